@@ -9,7 +9,7 @@ from .common import SPACES, ascii_lower, cut, maybe_broadcast
 
 MIN_CHARS, MIN_DOCS = 40, 5
 BATCHES, FANOUT = 4, 2
-LEAST = F.lit(-(1 << 63)).cast("long")
+LEAST = -(1 << 63)
 
 
 def lines_of(text: Column) -> Column:
@@ -68,7 +68,7 @@ class LineRuns:
 
 def repeated_lines(docs: DataFrame, text: str, order: str, min_chars: int, min_docs: int, batches: int, fanout: int) -> DataFrame:
     """(h, keeper) of the lines that at least min_docs documents hold."""
-    rows = docs.select(F.coalesce(F.col(order), LEAST).cast("long").alias("id"), F.col(text).alias("t"))
+    rows = docs.select(F.coalesce(F.col(order), F.lit(LEAST)).cast("long").alias("id"), F.col(text).alias("t"))
     low, high = rows.agg(F.min("id"), F.max("id")).first()
     runs = LineRuns(fanout)
     if low is None:
@@ -93,7 +93,7 @@ def dedup_lines(
     gives an empty result.
     """
     repeated = cut(repeated_lines(docs, text, order, min_chars, min_docs, batches, fanout))
-    rows = docs.select(F.col(order).alias("__id"), F.coalesce(F.col(order), LEAST).cast("long").alias("id"), F.col(text).alias("t"))
+    rows = docs.select(F.col(order).alias("__id"), F.coalesce(F.col(order), F.lit(LEAST)).cast("long").alias("id"), F.col(text).alias("t"))
     hashes = F.array_distinct(F.array_compact(F.transform(lines_of(F.col("t")), lambda x: _hash(line_key(x), min_chars))))
     held = rows.select("id", F.explode(hashes).alias("h"))
     drops = held.join(maybe_broadcast(repeated, 48), "h").where("id <> keeper").groupBy("id").agg(F.collect_set("h").alias("drop"))

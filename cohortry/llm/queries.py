@@ -10,6 +10,8 @@ from .common import documents
 from .contamination import find_contamination, is_contaminated
 from .exact_dedup import exact_groups
 from .line_dedup import dedup_lines
+from .sharding import shards
+from .substring_dedup import repeated_passages
 
 
 def op1_contamination(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -49,7 +51,19 @@ def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_groups(documents(spark, sf_dir)).withColumnRenamed("digest", "text_sha256")
 
 
-QUERIES = {f.__name__: f for f in (op1_contamination, op2_language_id, op5_line_dedup, op6_byte_bpe, op8_exact_dedup)}
+def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    crc = F.crc32(F.coalesce(F.col("text"), F.lit("")).cast("binary"))
+    rows = documents(spark, sf_dir).select("doc_id", "text", crc.alias("text_crc32"))
+    dealt = shards(rows, keep=["doc_id", "text_crc32"])
+    return dealt.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
+def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = repeated_passages(documents(spark, sf_dir))
+    return kept.select("doc_id", "n_words", "n_removed", F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
+
+
+QUERIES = {f.__name__: f for f in (op1_contamination, op2_language_id, op5_line_dedup, op6_byte_bpe, op8_exact_dedup, op9_sharding, op10_substring_dedup)}
 
 _LOWER = "translate(coalesce({}, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _WORDS = "regexp_extract_all(" + _LOWER + r", '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
@@ -76,6 +90,15 @@ m AS (SELECT doc_id, i, line, r.key IS NOT NULL AND doc_id <> keeper AS gone FRO
 SELECT doc_id, count(*) AS n_lines, CAST(sum(CAST(gone AS INT)) AS BIGINT) AS n_dropped,
   sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (WHERE NOT gone), '')) AS kept_sha256
 FROM m GROUP BY doc_id""",
+    "op10_substring_dedup": """
+WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+v AS (SELECT doc_id, i, md5(array_to_string(w[i:i + 34], ' ')) AS h FROM d, unnest(range(1, len(w) - 33)) AS t(i)),
+r AS (SELECT doc_id, i FROM v JOIN (SELECT h FROM v GROUP BY h HAVING count(*) > 1) USING (h)),
+c AS (SELECT DISTINCT doc_id, p FROM (SELECT doc_id, unnest(range(i, i + 35)) AS p FROM r)),
+x AS (SELECT doc_id, unnest(w) AS word, generate_subscripts(w, 1) AS p FROM d),
+k AS (SELECT doc_id, string_agg(word, ' ' ORDER BY p) AS kept, count(*) AS n FROM x ANTI JOIN c USING (doc_id, p) GROUP BY 1)
+SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, len(w) - coalesce(n, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+FROM d LEFT JOIN k USING (doc_id)""",
     "op8_exact_dedup": """
 SELECT doc_id, max(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size, doc_id = max(doc_id) OVER g AS kept,
   sha256(coalesce(text, '')) AS text_sha256
