@@ -10,6 +10,7 @@ from .common import documents
 from .contamination import find_contamination, is_contaminated
 from .exact_dedup import exact_groups
 from .line_dedup import dedup_lines
+from .near_dedup import near_duplicates
 from .sharding import shards
 from .substring_dedup import repeated_passages
 
@@ -47,6 +48,10 @@ def op6_byte_bpe(spark: SparkSession, sf_dir: str, vocabulary: str | None = None
     )
 
 
+def op7_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(documents(spark, sf_dir))
+
+
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_groups(documents(spark, sf_dir)).withColumnRenamed("digest", "text_sha256")
 
@@ -63,7 +68,7 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("doc_id", "n_words", "n_removed", F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op1_contamination, op2_language_id, op5_line_dedup, op6_byte_bpe, op8_exact_dedup, op9_sharding, op10_substring_dedup)}
+QUERIES = {f.__name__: f for f in (op1_contamination, op2_language_id, op5_line_dedup, op6_byte_bpe, op7_near_dedup, op8_exact_dedup, op9_sharding, op10_substring_dedup)}
 
 _LOWER = "translate(coalesce({}, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _WORDS = "regexp_extract_all(" + _LOWER + r", '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
