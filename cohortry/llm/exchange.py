@@ -32,19 +32,19 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 class WordHashes(dict):
-    """Word to 64-bit hash, forgotten when it grows too large."""
+    """Word (text, or its UTF-8 bytes) to 64-bit hash, forgotten when it grows too large."""
 
     limit = 300_000
 
-    def __missing__(self, word: str) -> int:
+    def __missing__(self, word: str | bytes) -> int:
         import xxhash
 
         if len(self) > self.limit:
             self.clear()
-        value = self[word] = xxhash.xxh3_64_intdigest(word.encode("utf-8", "surrogatepass"))
+        value = self[word] = xxhash.xxh3_64_intdigest(word if isinstance(word, bytes) else word.encode("utf-8", "surrogatepass"))
         return value
 
-    def of(self, words: list[str]) -> np.ndarray:
+    def of(self, words: list) -> np.ndarray:
         return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
 
 
@@ -75,6 +75,16 @@ def unpack_keys(data: bytes) -> np.ndarray:
     return np.cumsum(steps, dtype=np.uint64)
 
 
+def pack_planes(values: np.ndarray) -> bytes:
+    """32-bit numbers, their bytes sorted by significance and deflated."""
+    return zlib.compress(values.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes(), 1)
+
+
+def unpack_planes(data: bytes) -> np.ndarray:
+    raw = np.frombuffer(zlib.decompress(data), np.uint8)
+    return np.ascontiguousarray(raw.reshape(4, -1).T).view("<u4").ravel()
+
+
 def pack(values: np.ndarray) -> bytes:
     """Values of a fixed type, deflated."""
     return zlib.compress(np.ascontiguousarray(values).tobytes(), 1)
@@ -98,10 +108,15 @@ def runs(sorted_parts: np.ndarray):
         yield int(sorted_parts[a]), int(a), int(b)
 
 
-def layout(docs: DataFrame, text: str, part_keys: int = PART_KEYS, bytes_a_key: float = 6.5) -> tuple[int, int]:
+def layout_parts(size: int, part_keys: int = PART_KEYS, bytes_a_key: float = 6.5) -> int:
+    """Number of index partitions for texts of so many bytes."""
+    return max(LEAST_PARTS, math.ceil(size / bytes_a_key / part_keys))
+
+
+def layout(docs: DataFrame, text: str) -> tuple[int, int]:
     """Numbers of blocks and of index partitions for the texts of docs, from one sum over all rows."""
     size = docs.agg(F.sum(F.octet_length(text))).first()[0] or 0
-    return max(LEAST_BLOCKS, math.ceil(size / BLOCK_BYTES)), max(LEAST_PARTS, math.ceil(size / bytes_a_key / part_keys))
+    return max(LEAST_BLOCKS, math.ceil(size / BLOCK_BYTES)), layout_parts(size)
 
 
 def in_blocks(docs: DataFrame, text: str, blocks: int) -> DataFrame:

@@ -9,6 +9,7 @@ from . import bpe, language
 from .common import documents
 from .contamination import find_contamination, is_contaminated
 from .exact_dedup import exact_groups
+from .language_model import score_texts
 from .line_dedup import dedup_lines
 from .near_dedup import near_duplicates
 from .sharding import shards
@@ -31,6 +32,10 @@ def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return said.select("doc_id", language.held_out(F.col("doc_id"), 4).alias("held_out"), "lang_pred", "score")
 
 
+def op3_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_texts(documents(spark, sf_dir), language.held_out(F.col("doc_id"), 7))
+
+
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     kept = dedup_lines(documents(spark, sf_dir))
     return kept.select("doc_id", "n_lines", "n_dropped", F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
@@ -68,7 +73,7 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("doc_id", "n_words", "n_removed", F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op1_contamination, op2_language_id, op5_line_dedup, op6_byte_bpe, op7_near_dedup, op8_exact_dedup, op9_sharding, op10_substring_dedup)}
+QUERIES = {f.__name__: f for f in (op1_contamination, op2_language_id, op3_language_model, op5_line_dedup, op6_byte_bpe, op7_near_dedup, op8_exact_dedup, op9_sharding, op10_substring_dedup)}
 
 _LOWER = "translate(coalesce({}, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _WORDS = "regexp_extract_all(" + _LOWER + r", '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"

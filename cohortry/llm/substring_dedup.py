@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import re
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -12,7 +10,6 @@ from pyspark.sql import functions as F
 from . import exchange as X
 
 WINDOW = 35
-WORD = r"[^\x20\x09-\x0D]+"
 #: Any odd number: its powers are then invertible modulo 2**64.
 _BASE = 0x9E3779B97F4A7C15
 
@@ -33,10 +30,10 @@ def window_prints(hashes: np.ndarray, n: int) -> np.ndarray:
     return X.mix((sums[n:] - sums[:-n]) * back)
 
 
-def _block_prints(texts: list, n: int) -> tuple[list[list[str]], np.ndarray, np.ndarray]:
-    """Words by text, the prints of all windows within texts in order, the number of windows by text."""
-    find, hashes = re.compile(WORD).findall, X.WordHashes()
-    words = [find(t or "") for t in texts]
+def _block_prints(texts: list, n: int) -> tuple[list[list[bytes]], np.ndarray, np.ndarray]:
+    """Words by text (what splitting at the six white-space bytes leaves), the prints of all windows within texts in order, the number of windows by text."""
+    hashes = X.WordHashes()
+    words = [(t or "").encode("utf-8", "surrogatepass").split() for t in texts]
     sizes = np.array([len(w) for w in words], np.int64)
     flat = np.concatenate([*(hashes.of(w) for w in words), np.zeros(0, np.uint64)])
     prints = window_prints(flat, n)
@@ -99,7 +96,7 @@ def repeated_passages(docs: DataFrame, n: int = WINDOW, text: str = "text", orde
             turn = np.flatnonzero(np.diff(covered))
             spans = [{"start": int(a), "stop": int(b)} for a, b in zip(turn[::2], turn[1::2], strict=True)]
             kept = w if not spans else [x for x, c in zip(w, covered[1:-1], strict=True) if not c]
-            rows.append((i, len(w), len(w) - len(kept), spans, " ".join(kept)))
+            rows.append((i, len(w), len(w) - len(kept), spans, b" ".join(kept).decode("utf-8", "surrogatepass")))
         return pd.DataFrame(rows, columns=["id", "n_words", "n_removed", "spans", "text"])
 
     asked = dealt.groupBy("__block").applyInPandas(ask, "__block int, __part int, keys binary, twice binary")
