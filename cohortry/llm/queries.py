@@ -12,6 +12,7 @@ from .exact_dedup import exact_groups
 from .language_model import score_texts
 from .line_dedup import dedup_lines
 from .near_dedup import near_duplicates
+from .quality import quality
 from .sharding import shards
 from .substring_dedup import repeated_passages
 
@@ -36,6 +37,13 @@ def op3_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_texts(documents(spark, sf_dir), language.held_out(F.col("doc_id"), 7))
 
 
+def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    path = F.concat_ws("/", "source", "lang")
+    judged = quality(documents(spark, sf_dir), labels, F.col("source"), path, ["quality", "toxic"])
+    return judged.withColumn("kept", (F.col("p_quality") >= 0.5) & (F.col("p_toxic") < 0.5))
+
+
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     kept = dedup_lines(documents(spark, sf_dir))
     return kept.select("doc_id", "n_lines", "n_dropped", F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
@@ -73,7 +81,7 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("doc_id", "n_words", "n_removed", F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op1_contamination, op2_language_id, op3_language_model, op5_line_dedup, op6_byte_bpe, op7_near_dedup, op8_exact_dedup, op9_sharding, op10_substring_dedup)}
+QUERIES = {f.__name__: f for f in (op1_contamination, op2_language_id, op3_language_model, op4_quality, op5_line_dedup, op6_byte_bpe, op7_near_dedup, op8_exact_dedup, op9_sharding, op10_substring_dedup)}
 
 _LOWER = "translate(coalesce({}, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _WORDS = "regexp_extract_all(" + _LOWER + r", '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
