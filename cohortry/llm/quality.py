@@ -49,7 +49,7 @@ def fit(rows: list[tuple[np.ndarray, int]], steps: int = 300, penalty: float = 1
     weights, bias = np.zeros(WIDTH), 0.0
     y = np.array([r[1] for r in rows], float)
     positive = float(y.mean()) if len(y) else 0.5
-    if not 0 < positive < 1:  # one class only: no evidence
+    if not len(rows) or not 0 < positive < 1:  # one class only: no evidence
         return {"weights": weights.astype(np.float32), "bias": 0.0, "prior": min(max(positive, 0.01), 0.99)}
     at = np.concatenate([r[0] for r in rows])
     owner = np.repeat(np.arange(len(rows)), [len(r[0]) for r in rows])
