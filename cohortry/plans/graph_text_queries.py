@@ -75,7 +75,7 @@ def graph_summary(spark: SparkSession, d: str) -> DataFrame:
     return G.summary(_nodes(spark, d), _edges(spark, d))
 
 
-@register(f"""WITH {SCORES}, {_TALL}, {_EDGES} SELECT s.node_id || '>' || a.target_id || '>' || b.target_id AS path, 2 AS hops FROM (SELECT CAST(c_custkey AS VARCHAR) AS node_id FROM customer) s
+@register(f"""WITH {SCORES}, {_TALL}, {_EDGES} SELECT s.node_id || '>' || a.target_id || '>' || b.target_id AS path, CAST(2 AS BIGINT) AS hops FROM (SELECT CAST(c_custkey AS VARCHAR) AS node_id FROM customer) s
 JOIN (SELECT DISTINCT source_id, target_id FROM edges WHERE source_type = 'customer' AND edge_type = 'MEMBER_OF') a ON a.source_id = node_id JOIN (SELECT DISTINCT source_id, target_id FROM edges WHERE edge_type = 'PART_OF') b ON b.source_id = a.target_id""")
 def two_hop_paths(spark: SparkSession, d: str) -> DataFrame:
     """Paths of two edges from every customer."""
