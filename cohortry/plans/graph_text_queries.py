@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from cohortry.functions.scalar import folded_name, rounded, title
+from cohortry.functions.scalar import folded_name, rounded, short_id, title
 from cohortry.operators import claims as C
+from cohortry.operators import decisions as D
+from cohortry.operators import evidence as E
 from cohortry.operators import graph as G
 from cohortry.operators import quality as Q
 from cohortry.operators import teams as T
@@ -151,6 +153,41 @@ def evidence_bundles(spark: SparkSession, d: str) -> DataFrame:
     return C.bundles(i, _claims(spark, d), ["id", "capability"], "intent_id")
 
 
+_STYLE_SQL = ", ".join(f"{{'style': '{n}', 'fit': {rnd(' + '.join(f'{k} * {v}e0' for k, v in w.items()), 4)}}}" for n, w in D.STYLE_WEIGHTS.items() if n != "Balanced")
+
+
+@register(f"""WITH {SCORES}, f AS (SELECT id, unnest([{_STYLE_SQL}]) AS s FROM scores)
+SELECT id, s.style AS style, s.fit AS fit, {sql_bands('s.fit', D.FIT_LABELS, 'Poor')} AS label, substr(sha256(CAST(id AS VARCHAR) || ':role_fit:' || s.style), 1, 12) AS claim_id FROM f""")
+def role_fit_claims(spark: SparkSession, d: str) -> DataFrame:
+    """A claim for each entity and style of play."""
+    fits = F.array(*[F.struct(F.lit(n).alias("style"), rounded(D.alignment(n), 4).alias("fit")) for n in D.STYLE_WEIGHTS if n != "Balanced"])
+    f = entity_scores(spark, d).select("id", F.explode(fits).alias("s")).select("id", "s.style", "s.fit")
+    return f.withColumn("label", D.fit_label(F.col("fit"))).withColumn("claim_id", short_id(F.col("id").cast("string"), F.lit("role_fit"), F.col("style"), length=12))
+
+
+@register(f"""WITH {SCORES}, {_TALL}, m AS (SELECT id, string_agg(capability, ',' ORDER BY score DESC, capability) AS metrics, bool_or(capability = 'threat' AND score > 20) AS has_threat, min(n_orders) AS n FROM tall WHERE score > 20 GROUP BY id)
+SELECT c_custkey AS id, metrics, array_to_string(list_filter([CASE WHEN trim(c_name) = '' THEN 'title' END, CASE WHEN NOT coalesce(has_threat, false) THEN 'metric:threat' END, CASE WHEN n < 5 THEN 'members' END], lambda x: x IS NOT NULL), ',') AS faults
+FROM m JOIN customer ON id = c_custkey""")
+def evidence_packets(spark: SparkSession, d: str) -> DataFrame:
+    """Nested packets of the scores above 20, and what they lack."""
+    t = _tall(spark, d).where("score > 20").withColumn("confidence", F.lit(1.0))
+    names = entity_scores(spark, d).select("id", "name", "n_orders")
+    p = E.packets(t, "id", names, "name").join(names.select("id", "n_orders"), "id")
+    return p.select("id", F.array_join(F.col("metrics.metric_name"), ",").alias("metrics"), F.array_join(E.packet_faults(["threat"], F.col("n_orders") >= 5), ",").alias("faults"))
+
+
+_CHOICE = {"comparison": ("compare", 1.0), "player": ("player", 0.6), "team": ("team", 0.4), "replacement": ("replace", 0.9)}
+
+
+@register("WITH s AS (SELECT conv_id, turn, " + ", ".join(f"CASE WHEN contains(lower(text), '{w}') THEN {v}e0 ELSE 0e0 END AS {n}" for n, (w, v) in _CHOICE.items()) + ", 0.5e0 AS general FROM conversations) SELECT conv_id, turn, CASE "
+    + " ".join(f"WHEN {n} = greatest(comparison, player, team, replacement, general) THEN '{n}'" for n in [*_CHOICE, "general"]) + " END AS strategy FROM s")
+def strategy_choice(spark: SparkSession, d: str) -> DataFrame:
+    """The retrieval strategy with the largest score."""
+    low = F.lower("text")
+    scored = table(spark, d, "conversations").withColumns({n: F.when(F.contains(low, F.lit(w)), v).otherwise(0.0) for n, (w, v) in _CHOICE.items()} | {"general": F.lit(0.5)})
+    return scored.select("conv_id", "turn", E.prefer([*_CHOICE, "general"]).alias("strategy"))
+
+
 # Text (Q)
 
 def _sql_rewrites(x: str) -> str:
