@@ -40,6 +40,7 @@ def possession_factor(possession_pct: Column) -> Column:
 
 
 def clip(x: Column, low: float, high: float) -> Column:
+    """x between low and high; null stays null."""
     return F.when(x.isNull(), x).otherwise(F.least(F.greatest(x, F.lit(low)), F.lit(high)))
 
 
@@ -98,6 +99,7 @@ def entity_key(*parts: Column) -> Column:
 
 
 def age_years(birth_date: Column, as_of: Column) -> Column:
+    """Age at a date that the caller gives."""
     return rounded(F.datediff(as_of, birth_date) / F.lit(365.25), 1)
 
 

@@ -39,7 +39,7 @@ def flag(path: str) -> Column:
 
 
 def competitions(raw: DataFrame) -> DataFrame:
-    """Typed competitions; country '' and gender 'male' where absent."""
+    """Typed competitions; country '' and gender 'male' where absent."""
     return raw.select(
         "competition_id", "competition_name", F.coalesce("country_name", F.lit("")).alias("country_name"), "season_id", "season_name",
         F.coalesce("competition_gender", F.lit("male")).alias("competition_gender"),
@@ -47,7 +47,7 @@ def competitions(raw: DataFrame) -> DataFrame:
 
 
 def matches(raw: DataFrame) -> DataFrame:
-    """Flat matches, each once; a date that can't be read is null."""
+    """Flat matches, each once; a date that can't be read is null."""
     flat = raw.select(
         "match_id", F.try_to_timestamp("match_date", F.lit("yyyy-MM-dd")).cast("date").alias("match_date"), "kick_off", "match_week",
         F.col("competition.competition_id"), F.col("competition.competition_name"), F.col("season.season_id"), F.col("season.season_name"),
@@ -82,7 +82,7 @@ def _value(path: str) -> Column:
 
 
 def events(raw: DataFrame) -> DataFrame:
-    """One wide row an event; raw may carry match_id, for instance from the file's name."""
+    """One wide row an event; raw may carry match_id, for instance from the file's name."""
     aerial = flag("pass.aerial_won") | flag("shot.aerial_won") | flag("clearance.aerial_won") | flag("miscontrol.aerial_won")
     keep = [c for c in ("match_id",) if c in raw.columns]
     return raw.select(
@@ -95,7 +95,7 @@ def events(raw: DataFrame) -> DataFrame:
 
 
 def lineups(raw: DataFrame) -> DataFrame:
-    """One row a player, team and match; the starting position is that of the first 'Starting XI' stint."""
+    """One row a player, team and match; the starting position is that of the first 'Starting XI' stint."""
     p = raw.select("match_id", "team_id", "team_name", F.explode("lineup").alias("p"))
     start = F.get(F.filter("p.positions", lambda x: x["start_reason"] == "Starting XI"), F.lit(0))
     flat = p.select(

@@ -63,7 +63,7 @@ COUNTS = [
 
 
 def vectors(summary: DataFrame) -> DataFrame:
-    """Competition vectors from the player mart: null metrics become 0."""
+    """Competition vectors from the player mart: null metrics become 0."""
     df = summary.select(
         "player_id", "player_name", "team_name", F.col("competition_name").alias("competition"), F.col("season_name").alias("season"), "birth_date",
         position_group(F.col("position_name")).alias("position_group"), F.lit("competition").alias("profile_type"), "minutes_played", "matches_played",
@@ -83,7 +83,7 @@ def rolled_up(df: DataFrame, level: str) -> DataFrame:
     """Competition vectors to season vectors (level "season"), or season vectors to career vectors ("career").
 
     Rates become counts, counts are summed and normalised anew. Which quantity has a count of its own and
-    which is rebuilt from its rate differs by level: see the lists below.
+    which is rebuilt from its rate differs by level: see the lists below (F15, F16).
     """
     keys = ["player_id", "season"] if level == "season" else ["player_id"]
     m = F.col("minutes_played").cast("double")
@@ -135,7 +135,7 @@ def profiles(spark: SparkSession, vectors: DataFrame, competition_matches: int =
     """A profile for each vector: shrunk metrics, percentiles, capabilities, attributes, archetype, role, rating, signals.
 
     With strict the weights of ball security for defenders apply to the group of that name only, which no
-    position maps to; without, to center backs and fullbacks.
+    position maps to; without, to center backs and fullbacks (K1, K2, L1-L10, K8).
     """
     cohort, ids = ["profile_type", "position_group"], ["player_id", "profile_type", "position_group", "competition", "season", "team_name"]
     v = vectors.withColumn("key", F.xxhash64(*ids))
@@ -177,7 +177,7 @@ def profiles(spark: SparkSession, vectors: DataFrame, competition_matches: int =
 
 
 def role_label() -> Column:
-    """The first rule that holds."""
+    """The first rule that holds."""
     c = F.col
     many = sum((F.when(c(x) >= 60, 1).otherwise(0) for x in CAPABILITIES), F.lit(0))
     return (
@@ -215,7 +215,7 @@ TEAM = ["team_name", "competition", "season"]
 
 
 def team_profiles(df: DataFrame) -> dict[str, DataFrame]:
-    """Means with grade, concentration, bottlenecks, fragility and identity of the teams of competition profiles."""
+    """Means with grade, concentration, bottlenecks, fragility and identity of the teams of competition profiles."""
     squad = df.where((F.col("profile_type") == "competition") & (F.col("team_name") != "Multiple"))
     means = squad.groupBy(*TEAM).agg(F.count("*").alias("squad_size"), *[rounded(F.avg(c), 1).alias(c) for c in CAPABILITIES])
     mean = sum((F.col(c) for c in CAPABILITIES), F.lit(0.0)) / len(CAPABILITIES)
@@ -231,7 +231,7 @@ def team_profiles(df: DataFrame) -> dict[str, DataFrame]:
 
 
 def knowledge_graph(df: DataFrame, teams: dict[str, DataFrame]) -> tuple[DataFrame, DataFrame]:
-    """Nodes and edges of players, teams, capabilities, archetypes and signals."""
+    """Nodes and edges of players, teams, capabilities, archetypes and signals."""
     career, local = df.where("profile_type = 'career'"), df.where("profile_type = 'competition' AND team_name <> 'Multiple'").withColumn("team", entity_key(*map(F.col, TEAM)))
     means, fragile = teams["means"].withColumn("team", entity_key(*map(F.col, TEAM))), teams["fragility"].withColumn("team", entity_key(*map(F.col, TEAM)))
     tall = T.long_scores(career, ["player_id"], CAPABILITIES)
@@ -252,7 +252,7 @@ def knowledge_graph(df: DataFrame, teams: dict[str, DataFrame]) -> tuple[DataFra
 
 
 def player_claims(df: DataFrame, fingerprint: str) -> DataFrame:
-    """Capability and archetype claims of careers, with qualifiers."""
+    """Capability and archetype claims of careers, with qualifiers."""
     career = df.where("profile_type = 'career'").withColumn("n", F.col("matches_played"))
     rules = [*C.sample_rules("matches_played", "minutes_played"), ("overperformance", "informational", F.col("goals_minus_xg") > 2)]
     caveats = career.select("player_id", C.qualifiers(rules).alias("qualifiers"))
@@ -267,7 +267,7 @@ def player_claims(df: DataFrame, fingerprint: str) -> DataFrame:
 
 
 def team_claims(teams: dict[str, DataFrame], k: int = 5) -> DataFrame:
-    """Identity, bottleneck, concentration and the k largest fragility claims of teams: team, type, subject, strength."""
+    """Identity, bottleneck, concentration and the k largest fragility claims of teams: team, type, subject, strength."""
     pick = lambda df, kind, subject, strength: df.select(*TEAM, F.lit(kind).alias("claim_type"), subject.alias("subject"), strength.cast("double").alias("strength"))
     worst = K.top_k(teams["fragility"], TEAM, [F.desc("deficit"), F.col("player_id")], k)
     identity = F.when(F.col("secondary_style").isNotNull(), 75.0).when(F.col("primary_style") != "Balanced", 60.0).otherwise(40.0)
@@ -279,7 +279,7 @@ def team_claims(teams: dict[str, DataFrame], k: int = 5) -> DataFrame:
 
 
 def timeline(df: DataFrame, player_id: int) -> DataFrame:
-    """All profiles of a player, latest season first, the season's profile before those of its competitions."""
+    """All profiles of a player, latest season first, the season's profile before those of its competitions."""
     return df.where(F.col("player_id") == player_id).orderBy(F.desc("season"), F.when(F.col("profile_type") == "season", 0).otherwise(1))
 
 
@@ -287,3 +287,19 @@ def team_depth(df: DataFrame) -> DataFrame:
     """Members by team and position, with the rank of each by rating."""
     w = Window.partitionBy(*TEAM, "position_group").orderBy(F.desc("overall_rating"), "player_id")
     return df.where("profile_type = 'competition'").select(*TEAM, "position_group", "player_id", "overall_rating", F.row_number().over(w).cast("long").alias("depth"))
+
+
+def statistic_category() -> Column:
+    """Which group of statistics suits a player, by role family, else by position."""
+    role, low = F.col("role_family"), F.lower("position_group")
+    part = lambda x: F.contains(low, F.lit(x))
+    return (
+        F.when(role == "Goalkeeper", "Goalkeeper").when(role.isin("Progressive Defender", "Traditional Defender"), "Defender")
+        .when(role.isin("Midfield Controller", "Midfield Destroyer"), "Midfielder").when(role.isin("Creative Attacker", "Goal Scorer"), "Attacker")
+        .when(part("goalkeeper"), "Goalkeeper").when(part("back") | part("defender"), "Defender").when(part("mid"), "Midfielder").otherwise("Attacker")
+    )
+
+
+def capability_struct() -> Column:
+    """The six scores, their confidence and their weakest, as one nested column."""
+    return F.struct(*CAPABILITIES, "confidence", F.least(*CAPABILITIES).alias("weakest"))

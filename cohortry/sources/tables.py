@@ -9,23 +9,24 @@ from pyspark.sql import functions as F
 
 
 def read_json_arrays(spark: SparkSession, path: str, schema, recursive: bool = True) -> DataFrame:
-    """Files that hold one JSON array each, by an explicit schema; bad files give no rows."""
+    """Files that hold one JSON array each, by an explicit schema; bad files give no rows (A1, A2)."""
     reader = spark.read.schema(schema).option("multiLine", True).option("mode", "DROPMALFORMED").option("recursiveFileLookup", recursive)
     return reader.json(path)
 
 
 def with_file_key(df: DataFrame, out: str) -> DataFrame:
-    """df with the number that is its file's name; rows of files named otherwise go."""
+    """df with the number that is its file's name; rows of files named otherwise go (A3)."""
     key = F.regexp_extract(F.col("_metadata.file_name"), r"^(\d+)\.json$", 1)
     return df.withColumn(out, F.nullif(key, F.lit("")).cast("long")).where(F.col(out).isNotNull())
 
 
 def read_json_lines(spark: SparkSession, path: str, schema) -> DataFrame:
+    """One JSON object a line; bad lines are skipped."""
     return spark.read.schema(schema).option("mode", "DROPMALFORMED").json(path)
 
 
 def read_tables(spark: SparkSession, folder: str, names: list[str], views: bool = True) -> dict[str, DataFrame]:
-    """Parquet tables by name, lazily; a missing table is left out."""
+    """Parquet tables by name, lazily; a missing table is left out (A4)."""
     out = {}
     jvm = spark._jvm
     for name in names:
@@ -38,19 +39,20 @@ def read_tables(spark: SparkSession, folder: str, names: list[str], views: bool
 
 
 def save(df: DataFrame, path: str, force: bool = True, partition_by: list[str] | None = None) -> None:
-    """Overwrites, or leaves an existing table alone if not force."""
+    """Overwrites, or leaves an existing table alone if not force (A5)."""
     writer = df.write.mode("overwrite" if force else "ignore")
     (writer.partitionBy(*partition_by) if partition_by else writer).parquet(path)
 
 
 def save_profiles(profiles: DataFrame, collectives: DataFrame, folder: str, index_columns: list[str]) -> None:
-    """Profiles by profile_type, their index with lower-case names, and team profiles."""
+    """Profiles by profile_type, their index with lower-case names, and team profiles."""
     save(profiles, f"{folder}/profiles", partition_by=["profile_type"])
     save(profiles.select(*index_columns, F.lower("player_name").alias("name_lower")), f"{folder}/index")
     save(collectives, f"{folder}/collectives")
 
 
 def save_graph(nodes: DataFrame, edges: DataFrame, folder: str) -> None:
+    """Nodes, and edges by type (A10)."""
     save(nodes, f"{folder}/nodes")
     save(edges, f"{folder}/edges", partition_by=["edge_type"])
 
@@ -72,12 +74,13 @@ def load_summary(expected: DataFrame, loaded: DataFrame, key: str) -> DataFrame:
 
 
 def catalogue(competitions: DataFrame, name: str, season: str) -> DataFrame:
-    """Competitions by name and season, each with their total."""
+    """Competitions by name and season, each with their total."""
     total = competitions.agg(F.count("*").alias("total"))
     return competitions.crossJoin(F.broadcast(total)).orderBy(name, season)  # one row
 
 
 def views(spark: SparkSession) -> list[str]:
+    """Names of the registered views."""
     return sorted(t.name for t in spark.catalog.listTables())
 
 

@@ -58,3 +58,13 @@ def test_teams_graph_and_claims(spark, chain):
     assert all("sample_size:material" in r["qualifiers"] for r in claims.collect())
     assert P.team_claims(teams).where("claim_type = 'identity'").count() == 2
     assert [r["profile_type"] for r in P.timeline(chain[1], 5503).collect()][-1] in {"competition", "career"}
+
+
+def test_categories_and_aliases(spark, chain):
+    from cohortry.plans.aliases import PLAYERS, TEAMS, alias_table
+
+    got = chain[1].select("position_group", P.statistic_category().alias("c"), P.capability_struct().alias("s")).collect()
+    assert {r["c"] for r in got if r["position_group"] == "Winger"} == {"Attacker"} and all(r["s"]["weakest"] <= r["s"]["attacking_threat"] for r in got)
+    assert len(PLAYERS) == 54 and len(TEAMS) == 75
+    e = spark.createDataFrame([(1, "Lionel Andrés Messi Cuccittini"), (2, "Pedro González López"), (3, "Nobody")], "id long, name string")
+    assert {(r["token"], r["key"]) for r in alias_table(spark, PLAYERS, e, "id", "name").collect()} == {("messi", 1), ("lionel messi", 1), ("pedri", 2)}
