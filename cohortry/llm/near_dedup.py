@@ -19,6 +19,8 @@ SIMILARITY = 0.8
 #: The words of a text: runs of digits, letters a-z and all beyond ASCII, once lower-cased.
 WORD = r"[0-9a-z\x80-\U0010FFFF]+"
 LEAST = -(1 << 63)
+#: Bins of a text's histogram of words; members of a bucket that one cell holds about.
+BINS, CHUNK = 128, 512
 
 
 def words_of(text: str | None, find=re.compile(WORD).findall) -> list[str]:
@@ -63,6 +65,41 @@ def bucket_keys(kmers: np.ndarray, sketches: int, ell: int) -> np.ndarray:
     return np.concatenate([own, X.mix(own + X.mix(np.roll(own, -1) + np.uint64(7)))]).astype(np.int64)
 
 
+def word_bins(hashes: np.ndarray) -> bytes:
+    """Four bytes of a step, then a byte a bin: the words whose hash falls into the bin, in steps, rounded up."""
+    counts = np.bincount((hashes & np.uint64(BINS - 1)).astype(np.int64), minlength=BINS)
+    step = max(1, -(-int(counts.max()) // 255))
+    return step.to_bytes(4, "little") + (-(-counts // step)).astype(np.uint8).tobytes()
+
+
+def unpacked_bins(data: list[bytes]) -> np.ndarray:
+    raw = np.frombuffer(b"".join(data), np.uint8).reshape(len(data), 4 + BINS)
+    return raw[:, 4:].astype(np.int32) * np.ascontiguousarray(raw[:, :4]).view("<u4").astype(np.int32)
+
+
+def open_pairs(n: np.ndarray, labels: np.ndarray, sides: np.ndarray | None, bins: np.ndarray, least: float, stars: bool):
+    """(i, places j) of members with different labels, and sides if given, that may be similar. Matched words
+    are in both texts, so no more than the sum of the smaller bins. With stars, only enough pairs to give each
+    member that is in one a centre."""
+    order = np.argsort(n, kind="stable")
+    n, labels, bins = n[order], labels[order], bins[order]
+    sides = None if sides is None else sides[order]
+    ends = np.searchsorted(n, n / least * (1 + 1e-9), side="right")
+    taken = np.zeros(len(n), bool)
+    for i in range(len(n)):
+        if stars and taken[i]:
+            continue
+        open_ = (labels[i + 1 : ends[i]] != labels[i]) & (n[i] >= least * n[i + 1 : ends[i]])
+        if sides is not None:
+            open_ &= sides[i + 1 : ends[i]] != sides[i]
+        j = np.flatnonzero(open_) + i + 1
+        if len(j):
+            j = j[np.minimum(bins[i], bins[j]).sum(axis=1) >= least * n[j] - 1e-6]
+        if len(j):
+            taken[j] = True
+            yield order[i], order[j]
+
+
 def banded_matches(a: list, b: list, band: int) -> int:
     """Words of a and b that an alignment within the band can match: a longest common subsequence of
     words whose positions differ by band at most, by bits of the columns."""
@@ -97,23 +134,26 @@ def similarity(a: list, b: list, least: float = SIMILARITY) -> float:
 
 
 def _sketched(docs: DataFrame, k: int, ell: int, sketches: int) -> DataFrame:
-    """docs(id, digest, text) to (id, digest, n, keys)."""
+    """docs(id, digest, text) to (id, digest, n, bins, keys)."""
 
     def run(batches):
         import pyarrow as pa
 
         hashes = X.WordHashes()
         for batch in batches:
-            keys, counts = [], []
+            keys, counts, bins = [], [], []
             for t in batch.column(2).to_pylist():
                 words = words_of(t)
                 counts.append(len(words))
-                keys.append(bucket_keys(labelled_kmers(hashes.of(words), k), sketches, ell) if words else np.zeros(0, np.int64))
+                hashed = hashes.of(words)
+                bins.append(word_bins(hashed))
+                keys.append(bucket_keys(labelled_kmers(hashed, k), sketches, ell) if words else np.zeros(0, np.int64))
             ends = np.cumsum([0, *map(len, keys)]).astype(np.int32)
             lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([*keys, np.zeros(0, np.int64)])))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(counts, pa.int32()), lists], ["id", "digest", "n", "keys"])
+            columns = [batch.column(0), batch.column(1), pa.array(counts, pa.int32()), pa.array(bins, pa.binary()), lists]
+            yield pa.RecordBatch.from_arrays(columns, ["id", "digest", "n", "bins", "keys"])
 
-    return docs.mapInArrow(run, "id long, digest binary, n int, keys array<long>")
+    return docs.mapInArrow(run, "id long, digest binary, n int, bins binary, keys array<long>")
 
 
 def _verified(pairs: DataFrame, least: float) -> DataFrame:
@@ -131,6 +171,47 @@ def _verified(pairs: DataFrame, least: float) -> DataFrame:
     return pairs.mapInArrow(run, "a long, b long, similarity double")
 
 
+def _linked(pairs: DataFrame, rows: DataFrame, least: float) -> DataFrame:
+    """pairs(a, b) whose texts in rows(id, text) are similar, as (a, b, similarity)."""
+    used = pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct()
+    # A table of its own: the joins then read plain exchanges, and a leader with many candidates can be split.
+    contents = written(rows.select("id", "text").join(maybe_broadcast(used, 24), "id", "left_semi").dropDuplicates(["id"]))
+    with_a = pairs.join(contents.select(F.col("id").alias("a"), F.col("text").alias("ta")), "a")
+    with_both = with_a.join(contents.select(F.col("id").alias("b"), F.col("text").alias("tb")), "b").select("a", "b", "ta", "tb")
+    return _verified(with_both, least)
+
+
+def _open_pairs(rest: DataFrame, least: float, stars: bool) -> DataFrame:
+    """The open pairs (a, b) of rest(key, m, id, n, label, bins), where m is the size of the bucket. Members
+    of a large bucket are dealt over parts and meet in a cell for each two parts; small buckets share cells."""
+
+    def run(cell):
+        import pyarrow as pa
+
+        key, i, j = (cell.column(c).to_numpy() for c in ("key", "i", "j"))
+        order = np.lexsort((j, i, key))
+        ids, n, labels, first = (cell.column(c).to_numpy(zero_copy_only=False)[order] for c in ("id", "n", "label", "first"))
+        bins = unpacked_bins(cell.column("bins").to_pylist())[order]
+        key, i, j = key[order], i[order], j[order]
+        cuts = np.flatnonzero((np.diff(key) != 0) | (np.diff(i) != 0) | (np.diff(j) != 0)) + 1
+        a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for s, e in zip([0, *cuts], [*cuts, len(key)], strict=True):
+            for x, ys in open_pairs(n[s:e], labels[s:e], None if i[s] == j[s] else first[s:e], bins[s:e], least, stars):
+                a.append(np.full(len(ys), ids[s + x]))
+                b.append(ids[s + ys])
+        a, b = np.concatenate(a), np.concatenate(b)
+        return pa.table({"a": pa.array(np.minimum(a, b)), "b": pa.array(np.maximum(a, b))})
+
+    cells = ceil(rest.count() / CHUNK)
+    parts = F.ceil(F.col("m") / CHUNK).cast("int")
+    dealt = rest.withColumn("parts", parts).withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    dealt = dealt.withColumns({"i": F.least("part", "other"), "j": F.greatest("part", "other")})
+    cell = F.when(F.col("parts") > 1, F.xxhash64("key", "i", "j")).otherwise(F.pmod(F.col("key"), F.lit(max(cells, 1))))
+    dealt = dealt.select(cell.alias("cell"), "key", "i", "j", (F.col("part") == F.col("i")).alias("first"), "id", "n", "label", "bins")
+    return dealt.groupBy("cell").applyInArrow(run, "a long, b long").distinct()
+
+
 def near_duplicates(
     docs: DataFrame, text: str = "text", order: str = "doc_id", k: int = K, ell: int = ELL, sketches: int = SKETCHES, least: float = SIMILARITY
 ) -> DataFrame:
@@ -141,26 +222,40 @@ def near_duplicates(
     equals the empty one; a text without words is linked to equal texts only; rows with the same id
     share a class; a null id counts as the smallest id; an empty table gives an empty result.
 
-    Equal texts are collapsed first. In each bucket of equal sketches every text is a candidate of the
-    bucket's smallest id only, so candidates grow with the rows and not with their squares; the more
-    specific buckets give a text other leaders where a common passage leads a bucket.
+    Equal texts are collapsed first. In each bucket of equal sketches every text is first compared with the
+    bucket's smallest id, which joins large classes by as many pairs as rows. Then all members of a bucket
+    that are in different classes are compared, unless their lengths or words rule a link out: first with
+    centres, to join large classes that something else leads, then each pair that is left. So any two texts
+    that share a sketch were compared, or cannot be linked, or share a class.
     """
     rows = docs.select(F.coalesce(F.col(order).cast("long"), F.lit(LEAST)).alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     rows = rows.select("id", F.unhex(F.sha2(F.col("text").cast("binary"), 256)).alias("digest"), "text")
     sketched = cut(_sketched(rows, k, ell, sketches))
-    texts = sketched.groupBy("digest").agg(F.min(F.struct("id", "n", "keys")).alias("s")).select("digest", "s.*")
+    texts = cut(sketched.groupBy("digest").agg(F.min(F.struct("id", "n", "bins", "keys")).alias("s")).select("digest", "s.*"))
 
     held = texts.select("id", "n", F.explode("keys").alias("key"))
     leaders = held.groupBy("key").agg(F.min(F.struct("id", "n")).alias("lead"), F.count("*").alias("held")).where("held > 1").select("key", "lead")
     near = F.least(F.col("n"), F.col("lead.n")) >= least * F.greatest(F.col("n"), F.col("lead.n"))
     pairs = cut(held.join(leaders, "key").where((F.col("id") != F.col("lead.id")) & near).select(F.col("lead.id").alias("a"), F.col("id").alias("b")).distinct())
-
-    used = pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct()
-    # A table of its own: the joins then read plain exchanges, and a leader with many candidates can be split.
-    contents = written(rows.select("id", "text").join(maybe_broadcast(used, 24), "id", "left_semi").dropDuplicates(["id"]))
-    with_a = pairs.join(contents.select(F.col("id").alias("a"), F.col("text").alias("ta")), "a")
-    with_both = with_a.join(contents.select(F.col("id").alias("b"), F.col("text").alias("tb")), "b").select("a", "b", "ta", "tb")
-    labels = components(_verified(with_both, least))
+    labels = components(_linked(pairs, rows, least))
+
+    mixed = None
+    for stars in (True, False):
+        labelled = texts.join(maybe_broadcast(labels.withColumnRenamed("node", "id"), 40), "id", "left").withColumn("label", F.coalesce("label", "id"))
+        # Pairs of neighbouring sketches meet in the buckets of each, too.
+        held = labelled.select("id", "n", "label", "bins", F.explode(F.slice("keys", 1, sketches)).alias("key"))
+        if mixed is not None:
+            held = held.join(maybe_broadcast(mixed.select("key"), 24), "key", "left_semi")
+        mixed = cut(held.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count("*").alias("m")).where("low < high").select("key", "m"))
+        rest = cut(held.join(maybe_broadcast(mixed, 24), "key"))
+        more = cut(_open_pairs(rest, least, stars).join(pairs, ["a", "b"], "left_anti"))
+        found = _linked(more, rows, least)
+        pairs = pairs.union(more)
+        for end in ("a", "b"):
+            found = found.join(maybe_broadcast(labels, 40), F.col(end) == F.col("node"), "left").withColumn(end, F.coalesce("label", end)).select("a", "b")
+        joined = components(found).select(F.col("node").alias("old"), F.col("label").alias("new"))
+        known = labels.unionByName(joined.select(F.col("old").alias("node"), F.col("old").alias("label")).join(labels, "node", "left_anti"))
+        labels = cut(known.join(maybe_broadcast(joined, 40), F.col("label") == F.col("old"), "left").select("node", F.coalesce("new", "label").alias("label")))
 
     classes = texts.select("digest", "id").join(labels.withColumnRenamed("node", "id"), "id", "left").select("digest", F.coalesce("label", "id").alias("class_id"))
     said = sketched.select("id", "digest").join(classes, "digest")
