@@ -28,7 +28,10 @@ def shared_folder(spark: SparkSession) -> str:
     """A new path in the folder that all executors and the driver see."""
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoints-"))
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder and not context.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="checkpoints-"))
     return f"{context.getCheckpointDir()}/{uuid.uuid4().hex}"
 
 
@@ -39,6 +42,17 @@ def written(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.parquet(path)
 
 
+def bucketed(df: DataFrame, buckets: int, column: str) -> DataFrame:
+    """df as Parquet in the shared folder, bucketed by a column: what groups by it later needs no shuffle.
+    Its entry in the catalogue goes at once, the files stay with the other written tables."""
+    spark, name = df.sparkSession, f"t_{uuid.uuid4().hex}"
+    df.write.bucketBy(buckets, column).option("path", shared_folder(spark)).option("compression", "zstd").saveAsTable(name)
+    out = spark.table(name)
+    out.schema  # resolved while the entry is there
+    spark.sql(f"DROP TABLE {name}")
+    return out
+
+
 def cut(df: DataFrame) -> DataFrame:
     """A reliable checkpoint of df in the shared folder; survives lost executors."""
     shared_folder(df.sparkSession)

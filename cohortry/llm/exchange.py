@@ -11,11 +11,9 @@ import math
 import zlib
 
 import numpy as np
-from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
-#: UTF-8 bytes of text a block holds about, and blocks at least.
-BLOCK_BYTES, LEAST_BLOCKS = 4 << 20, 96
+#: UTF-8 bytes of text a block holds about.
+BLOCK_BYTES = 4 << 20
 #: Keys an index partition holds about, and partitions at least.
 PART_KEYS, LEAST_PARTS = 1 << 20, 64
 
@@ -111,14 +109,3 @@ def runs(sorted_parts: np.ndarray):
 def layout_parts(size: int, part_keys: int = PART_KEYS, bytes_a_key: float = 6.5) -> int:
     """Number of index partitions for texts of so many bytes."""
     return max(LEAST_PARTS, math.ceil(size / bytes_a_key / part_keys))
-
-
-def layout(docs: DataFrame, text: str) -> tuple[int, int]:
-    """Numbers of blocks and of index partitions for the texts of docs, from one sum over all rows."""
-    size = docs.agg(F.sum(F.octet_length(text))).first()[0] or 0
-    return max(LEAST_BLOCKS, math.ceil(size / BLOCK_BYTES)), layout_parts(size)
-
-
-def in_blocks(docs: DataFrame, text: str, blocks: int) -> DataFrame:
-    """docs dealt over blocks by a hash of id and text. The same call gives the same blocks."""
-    return docs.withColumn("__block", F.pmod(F.xxhash64(*[F.col(c) for c in docs.columns]), F.lit(blocks)).cast("int"))

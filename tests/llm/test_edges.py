@@ -134,6 +134,16 @@ def test_passages(spark):
     assert [tuple(s) for s in got[2]["spans"]] == [(0, 9), (10, 19)]
 
 
+@pytest.mark.parametrize("how", [{"bits": 1}, {"hot": 3}, {"hot": 1, "bits": 2, "block_bytes": 20_000}])
+def test_passages_do_not_depend_on_hashes_or_blocks(spark, how):
+    d = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    rows = [(1000, "a b " * 90), (1001, "a b " * 90), (1002, "b a " * 40), (1003, "z " * 200)]
+    d = d.select("doc_id", "text").unionByName(spark.createDataFrame(rows, "doc_id long, text string"))
+    want = {r["doc_id"]: (r["n_removed"], r["spans"]) for r in repeated_passages(d).collect()}
+    assert want[1000] == (180, [(0, 180)]) and want[1002] == (80, [(0, 80)]) and want[1003] == (200, [(0, 200)])
+    assert {r["doc_id"]: (r["n_removed"], r["spans"]) for r in repeated_passages(d, **how).collect()} == want
+
+
 def test_shards_of_one_hot_group(spark):
     rows = [(i, "hot" if i % 3 == 0 else f"text {i} " + "z" * (i % 50)) for i in range(600)]
     got = shards(spark.createDataFrame(rows, "doc_id long, text string")).collect()
