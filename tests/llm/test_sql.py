@@ -51,13 +51,54 @@ def test_phrases_equal_search():
     table = language.symbol_table(["the cat sat on the mat", "der hund und die katze"])
     refs = ["the cat sat on the mat and the rat", "der hund und die katze"]
     codes = [language.symbols_of(r, table) for r in refs]
-    tables = [language.parser(c, 64) for c in codes]
+    parsers = [language.Parser(c, int(table.max()) + 1) for c in codes]
     texts = ["the hat", "die katze und", "qqq", "thecat on a mat " * 3]
     found = [language.symbols_of(t, table) for t in texts]
     as_text = lambda c: "".join(chr(97 + int(x)) for x in c)
-    got = language.count_phrases(found, tables)
-    for i, t in enumerate(found):
-        assert list(got[i]) == [parse(as_text(t), as_text(c)) for c in codes]
+    for copies in (1, 30):  # a few texts are parsed one by one, many step together
+        got = language.count_phrases(found * copies, parsers)
+        for i, t in enumerate(found * copies):
+            assert list(got[i]) == [parse(as_text(t), as_text(c)) for c in codes]
+
+
+def best_by_search(text: str, sample: dict, table) -> tuple:
+    """(language, score) of a text by the definition."""
+    import math
+
+    as_text = lambda s: "".join(chr(0x4E00 + int(x)) for x in language.symbols_of(s, table))
+    refs = {k: as_text(v) for k, v in sample.items()}
+    if not any(c.isalpha() for c in text or "") or not refs:
+        return "und", 0.0
+    cost = {k: (parse(as_text(text), r) + 1) * math.log2(len(r) + 1) for k, r in refs.items()}
+    best = min(sorted(cost), key=cost.get)
+    return best, 1 / cost[best] / sum(1 / c for c in cost.values())
+
+
+def test_whole_query_equals_search(spark, docs):
+    d = spark.read.parquet(f"{SF}/documents.parquet")
+    sample = language.training_sample(d.where(~language.held_out(F.col("doc_id"), 4)), "text", "lang")
+    table = language.symbol_table(list(sample.values()))
+    got = {r["doc_id"]: r for r in queries.op2_language_id(spark, SF).collect()}
+    assert set(got) == set(docs)
+    for i, t in docs.items():
+        if len(t or "") < 6000:
+            want = best_by_search(t, sample, table)
+            assert got[i]["lang_pred"] == want[0] and got[i]["score"] == pytest.approx(want[1], rel=1e-12)
+
+
+def test_alphabets_of_thousands_of_letters_in_blocks_of_languages(spark):
+    import random
+
+    rng = random.Random(5)
+    words = {"a": [chr(0x4E00 + rng.randrange(3000)) * 2 for _ in range(900)], "b": [chr(0xAC00 + rng.randrange(4000)) + chr(0x4E00 + rng.randrange(3000)) for _ in range(900)], "c": ["".join(rng.choices("abcdefgh", k=5)) for _ in range(900)]}
+    rows = [(f"{k}{i}", k, " ".join(rng.choices(words[k], k=60))) for k in words for i in range(40)] + [("x", None, None)]
+    d = spark.createDataFrame(rows, "doc_id string, lang string, text string")
+    model = language.train(d)
+    for block_bytes in (1 << 30, 1):
+        got = {r["doc_id"]: r for r in language.identify(d, model, block_bytes=block_bytes).collect()}
+        assert len(got) == len(rows) and all(r["lang_pred"] == (r["lang"] or "und") for r in got.values())
+    sample = language.training_sample(d, "text", "lang", sample_chars=50)
+    assert all(0 < len(t) <= 50 for t in sample.values())  # no whole text fits: a stretch of one
 
 
 def test_language_accuracy(spark):
