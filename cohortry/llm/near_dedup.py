@@ -8,6 +8,7 @@ from math import ceil
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from . import exchange as X
 from .common import cut, maybe_broadcast, written
@@ -18,9 +19,10 @@ K, ELL, SKETCHES = 5, 2, 24
 SIMILARITY = 0.8
 #: The words of a text: runs of digits, letters a-z and all beyond ASCII, once lower-cased.
 WORD = r"[0-9a-z\x80-\U0010FFFF]+"
-LEAST = -(1 << 63)
 #: Bins of a text's histogram of words; members of a bucket that one cell holds about.
-BINS, CHUNK = 128, 512
+BINS, CHUNK = 512, 512
+#: Hash values of a long text in memory at once; rows an alignment takes between moves of its window.
+AT_ONCE, ROWS = 1 << 21, 1024
 
 
 def words_of(text: str | None, find=re.compile(WORD).findall) -> list[str]:
@@ -47,12 +49,17 @@ def labelled_kmers(hashes: np.ndarray, k: int) -> np.ndarray:
 def order_sketches(kmers: np.ndarray, sketches: int, ell: int) -> np.ndarray:
     """Each sketch: the ell k-mers with the smallest values of its hash function, in text order, as one number."""
     seeds = X.mix(np.arange(1, sketches + 1, dtype=np.uint64))
+    group = max(1, AT_ONCE // max(1, len(kmers)))
+    return np.concatenate([_sketches_by(seeds[i : i + group], kmers, ell) for i in range(0, sketches, group)])
+
+
+def _sketches_by(seeds: np.ndarray, kmers: np.ndarray, ell: int) -> np.ndarray:
     values = (kmers[None, :] ^ seeds[:, None]) * (seeds[:, None] | np.uint64(1))
     values ^= values >> np.uint64(32)
     if len(kmers) > ell:
         places = np.sort(np.argpartition(values, ell - 1, axis=1)[:, :ell], axis=1)
     else:
-        places = np.tile(np.arange(len(kmers)), (sketches, 1))
+        places = np.tile(np.arange(len(kmers)), (len(seeds), 1))
     out = seeds.copy()
     for i in range(places.shape[1]):
         out = X.mix(out + kmers[places[:, i]])
@@ -102,27 +109,43 @@ def open_pairs(n: np.ndarray, labels: np.ndarray, sides: np.ndarray | None, bins
 
 def banded_matches(a: list, b: list, band: int) -> int:
     """Words of a and b that an alignment within the band can match: a longest common subsequence of
-    words whose positions differ by band at most, by bits of the columns."""
-    low = 0
-    while low < min(len(a), len(b)) and a[low] == b[low]:
-        low += 1
-    high = 0
-    while high < min(len(a), len(b)) - low and a[-1 - high] == b[-1 - high]:
-        high += 1
-    a, b = a[low : len(a) - high], b[low : len(b) - high]
-    if not a or not b:
-        return low + high
-    at: dict = {}
-    for j, w in enumerate(b):
-        at[w] = at.get(w, 0) | 1 << j
-    full, near, row = (1 << len(b)) - 1, (1 << (2 * band + 1)) - 1, (1 << len(b)) - 1
-    for i, w in enumerate(a):
-        m = at.get(w, 0)
-        if m:
-            m &= near << (i - band) if i >= band else near >> (band - i)
+    words whose positions differ by band at most, by bits of the columns in the band's window."""
+    shorter = min(len(a), len(b))
+    low_end = next((i for i in range(shorter) if a[i] != b[i]), shorter)
+    high_end = next((i for i in range(shorter - low_end) if a[-1 - i] != b[-1 - i]), shorter - low_end)
+    a, b = a[low_end : len(a) - high_end], b[low_end : len(b) - high_end]
+    matched = base = width = row = 0  # row: a bit for each column of the window from base on, 0 if it is matched
+    rows = max(ROWS, band)
+    for start in range(0, len(a), rows):
+        first, last = max(0, start - band), min(len(b), start + rows + band)
+        if first >= len(b):
+            break
+        row |= (1 << last - base) - (1 << width)  # columns that come into reach
+        width = last - base
+        if first > base:  # columns out of reach of all rows to come
+            gone = first - base
+            matched += gone - (row & (1 << gone) - 1).bit_count()
+            row, width, base = row >> gone, width - gone, first
+        places: dict = {}
+        for j, w in enumerate(b[base:last]):
+            places.setdefault(w, []).append(j)
+        # The few most frequent words have a mask of the window, others their places: memory stays in proportion to it.
+        often, full, masks = 8 + width // 1024, (1 << width) - 1, {}
+        for i in range(start, min(start + rows, len(a))):
+            at = places.get(a[i])
+            if at is None:
+                continue
+            low, high = i - band - base, i + band - base
+            if len(at) > often:
+                m = masks.get(a[i])
+                if m is None:
+                    m = masks[a[i]] = sum(1 << j for j in at)
+                m = (m >> low << low if low > 0 else m) & (1 << high + 1) - 1
+            else:
+                m = sum(1 << j for j in at if low <= j <= high)
             u = row & m
             row = (row + u | row - u) & full
-    return low + high + len(b) - row.bit_count()
+    return low_end + high_end + matched + width - row.bit_count()
 
 
 def similarity(a: list, b: list, least: float = SIMILARITY) -> float:
@@ -133,8 +156,10 @@ def similarity(a: list, b: list, least: float = SIMILARITY) -> float:
     return banded_matches(a, b, ceil((1 - least) * longer)) / longer
 
 
-def _sketched(docs: DataFrame, k: int, ell: int, sketches: int) -> DataFrame:
-    """docs(id, digest, text) to (id, digest, n, bins, keys)."""
+def _sketched(rows: DataFrame, k: int, ell: int, sketches: int) -> DataFrame:
+    """rows(id, digest, text) to (id, digest, n, bins, keys)."""
+    added = "n int, bins binary, keys array<long>"
+    schema = T.StructType([*rows.select("id", "digest").schema.fields, *T.StructType.fromDDL(added).fields])
 
     def run(batches):
         import pyarrow as pa
@@ -151,9 +176,9 @@ def _sketched(docs: DataFrame, k: int, ell: int, sketches: int) -> DataFrame:
             ends = np.cumsum([0, *map(len, keys)]).astype(np.int32)
             lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([*keys, np.zeros(0, np.int64)])))
             columns = [batch.column(0), batch.column(1), pa.array(counts, pa.int32()), pa.array(bins, pa.binary()), lists]
-            yield pa.RecordBatch.from_arrays(columns, ["id", "digest", "n", "bins", "keys"])
+            yield pa.RecordBatch.from_arrays(columns, schema.names)
 
-    return docs.mapInArrow(run, "id long, digest binary, n int, bins binary, keys array<long>")
+    return rows.mapInArrow(run, schema)
 
 
 def _verified(pairs: DataFrame, least: float) -> DataFrame:
@@ -171,18 +196,20 @@ def _verified(pairs: DataFrame, least: float) -> DataFrame:
     return pairs.mapInArrow(run, "a long, b long, similarity double")
 
 
-def _linked(pairs: DataFrame, rows: DataFrame, least: float) -> DataFrame:
-    """pairs(a, b) whose texts in rows(id, text) are similar, as (a, b, similarity)."""
-    used = pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct()
+def _linked(pairs: DataFrame, rows: DataFrame, texts: DataFrame, least: float) -> DataFrame:
+    """pairs(a, b) of nodes whose texts are similar, as (a, b, similarity)."""
+    used = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
+    wanted = texts.select("node", "digest", "first").join(maybe_broadcast(used, 24), "node", "left_semi")
+    held = rows.join(maybe_broadcast(wanted, 96), (rows["digest"] == wanted["digest"]) & rows["id"].eqNullSafe(wanted["first"]))
     # A table of its own: the joins then read plain exchanges, and a leader with many candidates can be split.
-    contents = written(rows.select("id", "text").join(maybe_broadcast(used, 24), "id", "left_semi").dropDuplicates(["id"]))
-    with_a = pairs.join(contents.select(F.col("id").alias("a"), F.col("text").alias("ta")), "a")
-    with_both = with_a.join(contents.select(F.col("id").alias("b"), F.col("text").alias("tb")), "b").select("a", "b", "ta", "tb")
+    contents = written(held.select("node", "text").dropDuplicates(["node"]))
+    with_a = pairs.join(contents.select(F.col("node").alias("a"), F.col("text").alias("ta")), "a")
+    with_both = with_a.join(contents.select(F.col("node").alias("b"), F.col("text").alias("tb")), "b").select("a", "b", "ta", "tb")
     return _verified(with_both, least)
 
 
 def _open_pairs(rest: DataFrame, least: float, stars: bool) -> DataFrame:
-    """The open pairs (a, b) of rest(key, m, id, n, label, bins), where m is the size of the bucket. Members
+    """The open pairs (a, b) of rest(key, m, node, n, label, bins), where m is the size of the bucket. Members
     of a large bucket are dealt over parts and meet in a cell for each two parts; small buckets share cells."""
 
     def run(cell):
@@ -190,7 +217,7 @@ def _open_pairs(rest: DataFrame, least: float, stars: bool) -> DataFrame:
 
         key, i, j = (cell.column(c).to_numpy() for c in ("key", "i", "j"))
         order = np.lexsort((j, i, key))
-        ids, n, labels, first = (cell.column(c).to_numpy(zero_copy_only=False)[order] for c in ("id", "n", "label", "first"))
+        ids, n, labels, first = (cell.column(c).to_numpy(zero_copy_only=False)[order] for c in ("node", "n", "label", "first"))
         bins = unpacked_bins(cell.column("bins").to_pylist())[order]
         key, i, j = key[order], i[order], j[order]
         cuts = np.flatnonzero((np.diff(key) != 0) | (np.diff(i) != 0) | (np.diff(j) != 0)) + 1
@@ -204,11 +231,11 @@ def _open_pairs(rest: DataFrame, least: float, stars: bool) -> DataFrame:
 
     cells = ceil(rest.count() / CHUNK)
     parts = F.ceil(F.col("m") / CHUNK).cast("int")
-    dealt = rest.withColumn("parts", parts).withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
+    dealt = rest.withColumn("parts", parts).withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     dealt = dealt.withColumns({"i": F.least("part", "other"), "j": F.greatest("part", "other")})
     cell = F.when(F.col("parts") > 1, F.xxhash64("key", "i", "j")).otherwise(F.pmod(F.col("key"), F.lit(max(cells, 1))))
-    dealt = dealt.select(cell.alias("cell"), "key", "i", "j", (F.col("part") == F.col("i")).alias("first"), "id", "n", "label", "bins")
+    dealt = dealt.select(cell.alias("cell"), "key", "i", "j", (F.col("part") == F.col("i")).alias("first"), "node", "n", "label", "bins")
     return dealt.groupBy("cell").applyInArrow(run, "a long, b long").distinct()
 
 
@@ -217,39 +244,45 @@ def near_duplicates(
 ) -> DataFrame:
     """One row for each input row: order, class_id (the smallest id of its class), class_size, kept.
 
-    A class holds the rows linked, directly or through others, by equal texts or by texts of which an
-    alignment matches at least the share `least` of the longer one's words. class_id stays. A null text
-    equals the empty one; a text without words is linked to equal texts only; rows with the same id
-    share a class; a null id counts as the smallest id; an empty table gives an empty result.
-
-    Equal texts are collapsed first. In each bucket of equal sketches every text is first compared with the
-    bucket's smallest id, which joins large classes by as many pairs as rows. Then all members of a bucket
-    that are in different classes are compared, unless their lengths or words rule a link out: first with
-    centres, to join large classes that something else leads, then each pair that is left. So any two texts
-    that share a sketch were compared, or cannot be linked, or share a class.
+    A class holds the rows linked, directly or through others, by equal texts, by equal ids, or by texts of
+    which an alignment matches at least the share `least` of the longer one's words. The row of class_id
+    stays. Ids may be of any type that can be ordered; a null id counts as the smallest. A null text equals
+    the empty one; a text without words is linked to equal texts only; an empty table gives an empty result.
+    Long texts are compared whole, in memory and time of the band of their alignment.
+
+    Equal texts are collapsed to a node first. In each bucket of equal sketches every node is first compared
+    with the bucket's smallest, which joins large classes by as many pairs as rows. Then all members of a
+    bucket that are in different classes are compared, unless their lengths or words rule a link out: first
+    with centres, to join large classes that something else leads, then each pair that is left. So any two
+    texts that share a sketch were compared, or cannot be linked, or share a class.
     """
-    rows = docs.select(F.coalesce(F.col(order).cast("long"), F.lit(LEAST)).alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+    rows = docs.select(F.col(order).alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     rows = rows.select("id", F.unhex(F.sha2(F.col("text").cast("binary"), 256)).alias("digest"), "text")
-    sketched = cut(_sketched(rows, k, ell, sketches))
-    texts = cut(sketched.groupBy("digest").agg(F.min(F.struct("id", "n", "bins", "keys")).alias("s")).select("digest", "s.*"))
-
-    held = texts.select("id", "n", F.explode("keys").alias("key"))
-    leaders = held.groupBy("key").agg(F.min(F.struct("id", "n")).alias("lead"), F.count("*").alias("held")).where("held > 1").select("key", "lead")
+    smallest = F.min(F.struct(F.col("id").isNotNull().alias("known"), "id"))  # nulls first
+    sketched = written(_sketched(rows, k, ell, sketches))
+    texts = sketched.groupBy("digest").agg(smallest.alias("f"), F.min(F.struct("n", "bins", "keys")).alias("s"))
+    texts = written(texts.select("digest", F.col("f.id").alias("first"), "s.*", F.monotonically_increasing_id().alias("node")))
+    members = cut(sketched.select("id", "digest").join(texts.select("digest", "node"), "digest").select("id", "node"))
+    repeated = members.groupBy("id").agg(F.min("node").alias("a"), F.max("node").alias("b")).where("a < b").select(F.col("id").alias("same"), "a")
+    by_id = members.join(maybe_broadcast(repeated, 64), F.col("id").eqNullSafe(F.col("same"))).select("a", F.col("node").alias("b"))
+
+    held = texts.select("node", "n", F.explode("keys").alias("key"))
+    leaders = held.groupBy("key").agg(F.min(F.struct("node", "n")).alias("lead"), F.count("*").alias("held")).where("held > 1").select("key", "lead")
     near = F.least(F.col("n"), F.col("lead.n")) >= least * F.greatest(F.col("n"), F.col("lead.n"))
-    pairs = cut(held.join(leaders, "key").where((F.col("id") != F.col("lead.id")) & near).select(F.col("lead.id").alias("a"), F.col("id").alias("b")).distinct())
-    labels = components(_linked(pairs, rows, least))
+    pairs = cut(held.join(leaders, "key").where((F.col("node") != F.col("lead.node")) & near).select(F.col("lead.node").alias("a"), F.col("node").alias("b")).distinct())
+    labels = components(_linked(pairs, rows, texts, least).select("a", "b").union(by_id))
 
     mixed = None
     for stars in (True, False):
-        labelled = texts.join(maybe_broadcast(labels.withColumnRenamed("node", "id"), 40), "id", "left").withColumn("label", F.coalesce("label", "id"))
+        labelled = texts.join(maybe_broadcast(labels, 40), "node", "left").withColumn("label", F.coalesce("label", "node"))
         # Pairs of neighbouring sketches meet in the buckets of each, too.
-        held = labelled.select("id", "n", "label", "bins", F.explode(F.slice("keys", 1, sketches)).alias("key"))
+        held = labelled.select("node", "n", "label", "bins", F.explode(F.slice("keys", 1, sketches)).alias("key"))
         if mixed is not None:
             held = held.join(maybe_broadcast(mixed.select("key"), 24), "key", "left_semi")
         mixed = cut(held.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count("*").alias("m")).where("low < high").select("key", "m"))
-        rest = cut(held.join(maybe_broadcast(mixed, 24), "key"))
+        rest = written(held.join(maybe_broadcast(mixed, 24), "key"))
         more = cut(_open_pairs(rest, least, stars).join(pairs, ["a", "b"], "left_anti"))
-        found = _linked(more, rows, least)
+        found = _linked(more, rows, texts, least)
         pairs = pairs.union(more)
         for end in ("a", "b"):
             found = found.join(maybe_broadcast(labels, 40), F.col(end) == F.col("node"), "left").withColumn(end, F.coalesce("label", end)).select("a", "b")
@@ -257,16 +290,18 @@ def near_duplicates(
         known = labels.unionByName(joined.select(F.col("old").alias("node"), F.col("old").alias("label")).join(labels, "node", "left_anti"))
         labels = cut(known.join(maybe_broadcast(joined, 40), F.col("label") == F.col("old"), "left").select("node", F.coalesce("new", "label").alias("label")))
 
-    classes = texts.select("digest", "id").join(labels.withColumnRenamed("node", "id"), "id", "left").select("digest", F.coalesce("label", "id").alias("class_id"))
-    said = sketched.select("id", "digest").join(classes, "digest")
+    said = members.join(maybe_broadcast(labels, 40), "node", "left").select("id", F.coalesce("label", "node").alias("label"))
     # Classes of several rows only; a table of its own, so that a join beyond the broadcast can split a large class.
-    sizes = cut(said.groupBy("class_id").agg(F.count("*").alias("class_size")).where("class_size > 1"))
-    back = lambda c: F.when(F.col(c) == LEAST, F.lit(None)).otherwise(F.col(c)).cast(docs.schema[order].dataType)
-    said = said.join(maybe_broadcast(sizes, 40), "class_id", "left").withColumn("class_size", F.coalesce("class_size", F.lit(1)))
-    return said.select(back("id").alias(order), back("class_id").alias("class_id"), "class_size", (F.col("id") == F.col("class_id")).alias("kept"))
+    classes = cut(said.groupBy("label").agg(F.count("*").alias("class_size"), smallest.alias("f")).where("class_size > 1").select("label", "class_size", F.col("f.id").alias("first")))
+    said = said.join(maybe_broadcast(classes, 72), "label", "left")
+    class_id = F.when(F.col("class_size").isNull(), F.col("id")).otherwise(F.col("first"))
+    return said.select(F.col("id").alias(order), class_id.alias("class_id"), F.coalesce("class_size", F.lit(1)).alias("class_size"), F.col("id").eqNullSafe(class_id).alias("kept"))
 
 
 def drop_near_copies(docs: DataFrame, text: str = "text", order: str = "doc_id", **how) -> DataFrame:
-    """docs with one document of each class, the one with the smallest id; columns as they were."""
+    """docs with one document of each class, the one with the smallest id; columns as they were.
+
+    Rows that share an id share its fate; nulls, empty texts and empty tables as in near_duplicates.
+    """
     gone = near_duplicates(docs, text, order, **how).where("not kept").select(F.col(order).alias("__gone"))
     return docs.join(gone, F.col(order).eqNullSafe(F.col("__gone")), "left_anti")

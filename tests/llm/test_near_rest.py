@@ -46,3 +46,21 @@ def test_bucket_of_several_cells(spark, monkeypatch):
     for i in range(60, 100):
         texts[i] = " ".join([*passage, *(f"y{(i % 8) * 1000 + k if k % 9 else rng.randrange(99)}" for k in range(40))])
     assert _classes(spark, texts) == _brute(texts)
+
+
+def test_long_texts_and_ids_of_any_type(spark):
+    from cohortry.llm.near_dedup import banded_matches
+
+    rng = random.Random(4)
+    a = [f"w{rng.randrange(40)}" if i % 3 else f"u{i}" for i in range(6000)]
+    b = [w for i, w in enumerate(a) if i % 50]
+    best = [0] * (len(b) + 1)
+    for i, x in enumerate(a):  # the plain table, row by row
+        row = [0]
+        for j, y in enumerate(b):
+            row.append(max(row[j], best[j + 1], best[j] + (x == y and abs(i - j) <= 1300)))
+        best = row
+    assert banded_matches(a, b, 1300) == best[-1]
+    rows = [("b", " ".join(a)), ("a", " ".join(b)), ("c", "other words"), (None, "other  words"), ("d", None), ("c", "one more")]
+    got = {(r["doc_id"], r["class_id"], r["kept"]) for r in near_duplicates(spark.createDataFrame(rows, "doc_id string, text string")).collect()}
+    assert got == {("a", "a", True), ("b", "a", False), (None, None, True), ("c", None, False), ("d", "d", True)}
