@@ -95,7 +95,8 @@ def encode(docs: DataFrame, ranks: bytes, pattern: str, text: str = "text", out:
     """docs with one more column, the token ids (array<int>); out replaces a column of that name.
 
     The ids are those of byte-pair merging by rank within each match of pattern, without special tokens.
-    A null or empty text has no ids; repeated rows give repeated results; an empty table stays empty.
+    A null or empty text has no ids; a long text is encoded whole, piece by piece; repeated rows give
+    repeated results; an empty table stays empty.
     """
     kept = [c for c in docs.columns if c != out]
     schema = T.StructType([*docs.select(*[docs[c] for c in kept]).schema.fields, T.StructField(out, T.ArrayType(T.IntegerType(), False))])
@@ -122,22 +123,29 @@ def encode(docs: DataFrame, ranks: bytes, pattern: str, text: str = "text", out:
 
 
 def decode(docs: DataFrame, ranks: bytes, ids: str = "ids", out: str = "decoded") -> DataFrame:
-    """docs with one more column, the bytes of the ids in order (binary); empty for null or no ids."""
+    """docs with one more column, the bytes of the ids in order (binary); out replaces a column of that name.
+
+    No bytes stand for null, an empty list, a null among the ids, and ids that the vocabulary lacks,
+    negative ones included. Repeated rows give repeated results; an empty table stays empty.
+    """
     kept = [c for c in docs.columns if c != out]
     schema = T.StructType([*docs.select(*[docs[c] for c in kept]).schema.fields, T.StructField(out, T.BinaryType())])
     raw, at = docs.sparkSession.sparkContext.broadcast(ranks), kept.index(ids)
 
     def run(batches):
         import pyarrow as pa
+        import pyarrow.compute as pc
 
         table = {rank: token for token, rank in parse_ranks(raw.value).items()}
-        lengths = np.array([len(table.get(i, b"")) for i in range(max(table) + 1)], np.int64)
-        starts, blob = np.cumsum(lengths) - lengths, np.frombuffer(b"".join(table.get(i, b"") for i in range(max(table) + 1)), np.uint8)
+        unknown = max(table, default=-1) + 1  # the place after the last id, of no bytes
+        lengths = np.array([len(table.get(i, b"")) for i in range(unknown + 1)], np.int64)
+        starts, blob = np.cumsum(lengths) - lengths, np.frombuffer(b"".join(table.get(i, b"") for i in range(unknown)), np.uint8)
         for batch in batches:
             for low in range(0, batch.num_rows, 512):
                 part = batch.slice(low, 512)
                 column = part.column(at)
-                flat = column.flatten().to_numpy(zero_copy_only=False)
+                flat = pc.fill_null(column.flatten().cast(pa.int64()), -1).to_numpy(zero_copy_only=False)
+                flat = np.where((flat < 0) | (flat > unknown), unknown, flat)
                 sizes = lengths[flat]
                 ends = np.cumsum(sizes)
                 total = int(ends[-1]) if len(ends) else 0

@@ -24,6 +24,14 @@ def ascii_lower(text: Column) -> Column:
     return F.translate(text, UPPER, UPPER.lower())
 
 
+def fresh(name: str, taken: list[str]) -> str:
+    """name, with underscores behind it until no column is called so."""
+    low = {c.lower() for c in taken}
+    while name.lower() in low:
+        name += "_"
+    return name
+
+
 def shared_folder(spark: SparkSession) -> str:
     """A new path in the folder that all executors and the driver see."""
     context = spark.sparkContext

@@ -7,7 +7,7 @@ from math import ceil
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_BYTES, ascii_lower, cut
+from .common import BROADCAST_BYTES, ascii_lower, cut, fresh, written
 
 #: Everything between words, once A-Z are lower-cased.
 BETWEEN = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -43,7 +43,7 @@ def find_contamination(
 
     spans holds [start, stop) word positions of the windows found, items the ids (strings, sorted)
     of the items they come from, n_hit the words within any span. A null text has no words; items
-    without words are ignored; repeated rows give repeated results; a null id in benchmark counts
+    without words are ignored; a long text is read whole; repeated rows give repeated results; a null id in benchmark counts
     for no item. Nothing is found if either table is empty.
 
     The windows' sub-windows are hashed and broadcast in blocks of at most block_bytes. The scan
@@ -70,6 +70,8 @@ def find_contamination(
     # The first element stands for the row itself, so that one pass gives counts and hits.
     probed = rows.select("__id", "__key", "w", "n_words", "p.len", "p.step", F.posexplode(F.concat(F.array(F.lit(None).cast("long")), probes)).alias("pos", "h"))
 
+    if blocks > 1:
+        probed = written(probed)  # not hashed anew for each block
     found = None
     for k in range(blocks):
         part = index if blocks == 1 else index.where(F.pmod("h", F.lit(blocks)) == k)
@@ -111,13 +113,15 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, n: int = WINDOW, mode:
     """docs without contaminated documents (mode "document") or with the hit words cut out of their
     texts (mode "span": such a text becomes its other normalised words, joined by one space).
 
-    Columns and clean rows stay as they were. Ids should be unique; rows that share an id share its fate.
+    Columns and clean rows stay as they were, null texts included. Ids should be unique; rows that share
+    an id share its fate. A long text is read whole. Of an empty table nothing is left, and with an empty
+    benchmark all stays.
     """
-    found = find_contamination(docs, benchmark, n, text, order)
+    found, bad, spans = find_contamination(docs, benchmark, n, text, order), fresh("__bad", docs.columns), fresh("__spans", docs.columns)
     if mode == "document":
-        bad = found.where(is_contaminated(F.col("n_hit"), F.col("n_words"))).select(F.col(order).alias("__bad"))
-        return docs.join(bad, F.col(order).eqNullSafe(F.col("__bad")), "left_anti")
-    hits = found.where("n_hit > 0").groupBy(F.col(order).alias("__bad")).agg(F.first("spans").alias("__spans"))
-    kept = F.filter(words_of(F.col(text)), lambda w, i: ~F.exists("__spans", lambda s: (s["start"] <= i) & (i < s["stop"])))
-    cutout = F.when(F.col("__spans").isNotNull(), F.array_join(kept, " ")).otherwise(F.col(text))
-    return docs.join(hits, F.col(order).eqNullSafe(F.col("__bad")), "left").select(*[cutout.alias(c) if c == text else F.col(c) for c in docs.columns])
+        gone = found.where(is_contaminated(F.col("n_hit"), F.col("n_words"))).select(F.col(order).alias(bad))
+        return docs.join(gone, F.col(order).eqNullSafe(F.col(bad)), "left_anti")
+    hits = found.where("n_hit > 0").groupBy(F.col(order).alias(bad)).agg(F.first("spans").alias(spans))
+    kept = F.filter(words_of(F.col(text)), lambda w, i: ~F.exists(spans, lambda s: (s["start"] <= i) & (i < s["stop"])))
+    cutout = F.when(F.col(spans).isNotNull(), F.array_join(kept, " ")).otherwise(F.col(text))
+    return docs.join(hits, F.col(order).eqNullSafe(F.col(bad)), "left").select(*[cutout.alias(c) if c == text else F.col(c) for c in docs.columns])

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import BROADCAST_BYTES
+from .common import BROADCAST_BYTES, fresh
 
 #: Bound of the training sample: characters per language, in whole texts out of at most BUCKETS.
 SAMPLE_CHARS, BUCKETS = 32_000, 64
@@ -234,7 +234,7 @@ def identify(docs: DataFrame, model: dict, text: str = "text", out: str = "lang_
             blocks.append(range(start, i))
             start = i
     blocks.append(range(start, len(sizes)))
-    names = [f"__costs_{i}" for i in range(len(blocks))]
+    names = [fresh(f"__costs_{i}", kept) for i in range(len(blocks))]
     found = docs.select(*[docs[c] for c in kept])
     for name, languages in zip(names, blocks, strict=True):
         found = _costed(found, model, languages, text, name)

@@ -2,15 +2,13 @@
 
 from __future__ import annotations
 
-import uuid
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import exchange as X
-from .common import cut
+from .common import bucketed, cut
 
 #: Counts up to this one are discounted.
 DISCOUNTED = 5
@@ -59,7 +57,7 @@ class Unigrams:
         return np.where(counts > 0, d * counts * self.scale, self.unseen)
 
 
-def _blocks(docs: DataFrame, parts: int, block_bytes: int) -> DataFrame:
+def _blocks(docs: DataFrame, block_bytes: int) -> DataFrame:
     """docs(id, held, text) to one row a block: its documents, its distinct word keys with their training
     counts, and its tokens as positions among these keys. Blocks are stretches of a scan's partitions."""
 
@@ -291,34 +289,29 @@ def score_texts(docs: DataFrame, held_out: Column, text: str = "text", order: st
 
     Three packed exchanges do the work: blocks of documents ask for the counts of their words, then for
     the counts of their pairs and the sums of their contexts; the counts stay in checkpointed tables
-    partitioned by key. The blocks are a bucketed table, dropped at the end.
+    partitioned by key. The blocks are bucketed Parquet in the shared folder, which all three read.
     """
-    spark = docs.sparkSession
     rows = docs.select(F.col(order).cast("string").alias("id"), F.coalesce(held_out, F.lit(False)).alias("held"), F.col(text).alias("text"))
     size = docs.agg(F.sum(F.octet_length(text))).first()[0] or 0
     parts = X.layout_parts(size)
     buckets = max(32, -(-size // block_bytes) * 2)
-    name = f"lm_blocks_{uuid.uuid4().hex}"
-    _blocks(rows, parts, block_bytes).write.bucketBy(int(min(buckets, 100_000)), "block").saveAsTable(name)
-    try:
-        blocks = spark.table(name)
-        words = blocks.select("block", "keys", "counts").mapInPandas(_ask_words(parts), "block long, part int, keys binary, counts binary")
-        word_answers = cut(words.groupBy("part").applyInPandas(_answer_words(parts), ANSWER))
-        total, types, *n = _stats(word_answers)
-        unigrams, share = Unigrams(total, types, [0, *n]), max(1000.0, total / parts)
-
-        pairs = blocks.groupBy("block").cogroup(word_answers.groupBy("block")).applyInPandas(
-            _ask_pairs(parts, share), "block long, part int, heads binary, sizes binary, words binary, word_counts binary, learned binary"
-        )
-        pair_answers = cut(pairs.groupBy("part").applyInPandas(_answer_pairs(unigrams), ANSWER))
-        _, _, *n = _stats(pair_answers)
-        answers = word_answers.unionByName(pair_answers)
-        scored = blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInPandas(
-            _score(parts, share, unigrams, good_turing([0, *n])), "id string, held_out boolean, n_tokens long, n_known long, base_score double, score double"
-        )
-        out = scored.select(
-            F.col("id").cast(docs.schema[order].dataType).alias(order), "held_out", "n_tokens", "n_known", F.lit(int(total)).cast("long").alias("train_tokens"), "base_score", "score"
-        )
-        return cut(out)
-    finally:
-        spark.sql(f"DROP TABLE IF EXISTS {name}")
+    tasks = min(parts, 100_000)
+    blocks = bucketed(_blocks(rows, block_bytes), int(min(buckets, 100_000)), "block")
+    words = blocks.select("block", "keys", "counts").mapInPandas(_ask_words(parts), "block long, part int, keys binary, counts binary")
+    word_answers = cut(words.repartition(tasks, "part").groupBy("part").applyInPandas(_answer_words(parts), ANSWER))
+    total, types, *n = _stats(word_answers)
+    unigrams, share = Unigrams(total, types, [0, *n]), max(1000.0, total / parts)
+
+    pairs = blocks.groupBy("block").cogroup(word_answers.groupBy("block")).applyInPandas(
+        _ask_pairs(parts, share), "block long, part int, heads binary, sizes binary, words binary, word_counts binary, learned binary"
+    )
+    pair_answers = cut(pairs.repartition(tasks, "part").groupBy("part").applyInPandas(_answer_pairs(unigrams), ANSWER))
+    _, _, *n = _stats(pair_answers)
+    answers = word_answers.unionByName(pair_answers)
+    scored = blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInPandas(
+        _score(parts, share, unigrams, good_turing([0, *n])), "id string, held_out boolean, n_tokens long, n_known long, base_score double, score double"
+    )
+    out = scored.select(
+        F.col("id").cast(docs.schema[order].dataType).alias(order), "held_out", "n_tokens", "n_known", F.lit(int(total)).cast("long").alias("train_tokens"), "base_score", "score"
+    )
+    return out

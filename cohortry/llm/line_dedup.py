@@ -5,11 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACES, ascii_lower, cut, maybe_broadcast
+from .common import SPACES, ascii_lower, cut, maybe_broadcast, written
 
 MIN_CHARS, MIN_DOCS = 40, 5
 BATCHES, FANOUT = 4, 2
-LEAST = -(1 << 63)
+#: Ids drawn to cut the batches.
+DRAWN = 1024
 
 
 def lines_of(text: Column) -> Column:
@@ -28,13 +29,14 @@ def _hash(key: Column, min_chars: int) -> Column:
 class LineRuns:
     """Levels of sorted runs of (h, n, keeper): a line hash, the documents that hold it, the largest id.
 
-    A batch must hold whole documents, with smaller ids than all earlier batches. It is merge-anti-joined
-    with the runs: a line not seen before brings its keeper, a line seen before only its count. When a
-    level has `fanout` runs they are compacted to one run of the next level.
+    A batch must hold whole documents, with smaller ids than all earlier batches. So a line that a run
+    has counted in min_docs documents is settled: its keeper is known, and the batch's merge-anti-join with
+    the runs drops it. What is left is the batch's own run. When a level has `fanout` runs they are
+    compacted to one run of the next level, which settles the lines counted in several.
     """
 
-    def __init__(self, fanout: int = FANOUT):
-        self.fanout, self.levels = fanout, []
+    def __init__(self, min_docs: int = MIN_DOCS, fanout: int = FANOUT):
+        self.min_docs, self.fanout, self.levels = min_docs, fanout, []
 
     def runs(self) -> list[DataFrame]:
         return [r for level in self.levels for r in level]
@@ -50,9 +52,8 @@ class LineRuns:
         """lines: (id, h), each pair once."""
         batch = lines.groupBy("h").agg(F.count("*").alias("n"), F.max("id").alias("keeper"))
         for run in self.runs():
-            # A run's keepers are larger than any id of this batch.
-            seen = run.where("keeper is not null").select("h", F.lit(True).alias("__seen"))
-            batch = batch.join(seen, "h", "left").select("h", "n", F.when(F.col("__seen").isNull(), F.col("keeper")).alias("keeper"))
+            settled = run.where(F.col("n") >= self.min_docs).select("h")
+            batch = batch.join(maybe_broadcast(settled, 32), "h", "left_anti")
         new = cut(batch.sortWithinPartitions("h"))
         level = 0
         while True:
@@ -66,18 +67,20 @@ class LineRuns:
             level += 1
 
 
-def repeated_lines(docs: DataFrame, text: str, order: str, min_chars: int, min_docs: int, batches: int, fanout: int) -> DataFrame:
-    """(h, keeper) of the lines that at least min_docs documents hold."""
-    rows = docs.select(F.coalesce(F.col(order), F.lit(LEAST)).cast("long").alias("id"), F.col(text).alias("t"))
-    low, high = rows.agg(F.min("id"), F.max("id")).first()
-    runs = LineRuns(fanout)
-    if low is None:
-        low = high = 0
-    width = (high - low) // batches + 1
-    for k in reversed(range(batches)):
-        part = rows.where(F.col("id").between(low + k * width, min(low + (k + 1) * width - 1, high)))
-        hashes = F.array_distinct(F.array_compact(F.transform(lines_of(F.col("t")), lambda x: _hash(line_key(x), min_chars))))
-        runs.add(part.select("id", F.explode(hashes).alias("h")).distinct())
+def repeated_lines(keyed: DataFrame, min_docs: int, batches: int, fanout: int) -> DataFrame:
+    """(h, keeper) of the lines that at least min_docs documents hold; keyed: (id, hashes), repeats allowed.
+    A null id is smaller than any other, and keeper is null if only it holds the line."""
+    some = keyed.where("id is not null").select("id").orderBy(F.xxhash64("id")).limit(DRAWN)
+    ids = sorted((r[0] for r in some.collect()), reverse=True)  # at most DRAWN
+    cuts = sorted({ids[i * len(ids) // batches] for i in range(1, batches)}, reverse=True) if ids else []
+    runs = LineRuns(min_docs, fanout)
+    for high, low in zip([None, *cuts], [*cuts, None], strict=True):
+        part = keyed
+        if high is not None:
+            part = part.where(F.col("id").isNull() | (F.col("id") < high)) if low is None else part.where(F.col("id") < high)
+        if low is not None:
+            part = part.where(F.col("id") >= low)
+        runs.add(part.select("id", F.explode("hashes").alias("h")).distinct())
     return LineRuns.merged(runs.runs()).where(F.col("n") >= min_docs).select("h", "keeper")
 
 
@@ -88,19 +91,23 @@ def dedup_lines(
 
     A line's key is the line stripped of white space at both ends, A-Z lower-cased. Keys of at least
     min_chars code points that at least min_docs documents hold lose all their lines but those in the
-    document with the largest id. A null or empty text is one empty line. Rows with the same id are one
-    document for the counts; a null id counts as one document with the smallest id. An empty table
-    gives an empty result.
+    document with the largest id. A null or empty text is one empty line; a long text is split whole. Ids
+    may be of any type that can be ordered. Rows with the same id are one document for the counts; a null
+    id counts as one document with the smallest id. An empty table gives an empty result.
+
+    The hashes of the long enough lines are written once, by id; the batches and the drops read them.
     """
-    repeated = cut(repeated_lines(docs, text, order, min_chars, min_docs, batches, fanout))
-    rows = docs.select(F.col(order).alias("__id"), F.coalesce(F.col(order), F.lit(LEAST)).cast("long").alias("id"), F.col(text).alias("t"))
+    rows = docs.select(F.col(order).alias("id"), F.col(text).alias("t"))
     hashes = F.array_distinct(F.array_compact(F.transform(lines_of(F.col("t")), lambda x: _hash(line_key(x), min_chars))))
-    held = rows.select("id", F.explode(hashes).alias("h"))
-    drops = held.join(maybe_broadcast(repeated, 48), "h").where("id <> keeper").groupBy("id").agg(F.collect_set("h").alias("drop"))
-    out = rows.join(drops, "id", "left").withColumn("l", lines_of(F.col("t")))
+    keyed = written(rows.select("id", hashes.alias("hashes")).where(F.size("hashes") > 0))
+    repeated = cut(repeated_lines(keyed, min_docs, batches, fanout))
+    held = keyed.select("id", F.explode("hashes").alias("h"))
+    drops = held.join(maybe_broadcast(repeated, 48), "h").where(~F.col("id").eqNullSafe(F.col("keeper"))).groupBy("id").agg(F.collect_set("h").alias("drop"))
+    drops = drops.withColumnRenamed("id", "__of")
+    out = rows.join(drops, F.col("id").eqNullSafe(F.col("__of")), "left").withColumn("l", lines_of(F.col("t")))
     dropped = lambda x: F.coalesce(F.array_contains("drop", _hash(line_key(x), min_chars)), F.lit(False))
     kept = F.when(F.col("drop").isNull(), F.col("l")).otherwise(F.filter("l", lambda x: ~dropped(x)))
-    out = out.select("__id", "t", "l", kept.alias("k"), "drop")
+    out = out.select("id", "l", kept.alias("k"))
     return out.select(
-        F.col("__id").alias(order), F.array_join("k", "\n").alias(text), F.size("l").cast("long").alias("n_lines"), (F.size("l") - F.size("k")).cast("long").alias("n_dropped")
+        F.col("id").alias(order), F.array_join("k", "\n").alias(text), F.size("l").cast("long").alias("n_lines"), (F.size("l") - F.size("k")).cast("long").alias("n_dropped")
     )

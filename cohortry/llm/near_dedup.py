@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import exchange as X
-from .common import cut, maybe_broadcast, written
+from .common import cut, fresh, maybe_broadcast, written
 from .components import components
 
 #: Words in a k-mer, k-mers kept in text order by one sketch, sketches of a text.
@@ -303,5 +303,6 @@ def drop_near_copies(docs: DataFrame, text: str = "text", order: str = "doc_id",
 
     Rows that share an id share its fate; nulls, empty texts and empty tables as in near_duplicates.
     """
-    gone = near_duplicates(docs, text, order, **how).where("not kept").select(F.col(order).alias("__gone"))
-    return docs.join(gone, F.col(order).eqNullSafe(F.col("__gone")), "left_anti")
+    name = fresh("__gone", docs.columns)
+    gone = near_duplicates(docs, text, order, **how).where("not kept").select(F.col(order).alias(name))
+    return docs.join(gone, F.col(order).eqNullSafe(F.col(name)), "left_anti")

@@ -75,9 +75,10 @@ def fit(rows: list[tuple[np.ndarray, int]], steps: int = 300, penalty: float = 1
 
 
 def train(docs: DataFrame, labels: DataFrame, names: list[str], text: str, order: str, most: int = TRAINING_ROWS) -> dict[str, dict]:
-    """A classifier for each label column, from at most `most` labelled rows."""
+    """A classifier for each label column, from at most `most` labelled rows. Of documents that share an id the largest text counts."""
     chosen = labels.select(F.col(order).alias("id"), *names).where(F.col(order).isNotNull()).orderBy(F.xxhash64("id"), *names).limit(most)
-    sample = docs.select(F.col(order).alias("id"), F.coalesce(F.col(text), F.lit("")).alias("t")).join(F.broadcast(chosen), "id").select("t", *names)
+    texts = docs.select(F.col(order).alias("id"), F.coalesce(F.col(text), F.lit("")).alias("t")).join(F.broadcast(chosen.select("id").distinct()), "id")
+    sample = texts.groupBy("id").agg(F.max("t").alias("t")).join(F.broadcast(chosen), "id").select("t", *names)
 
     def run(batches):
         import pyarrow as pa
@@ -88,7 +89,7 @@ def train(docs: DataFrame, labels: DataFrame, names: list[str], text: str, order
             yield pa.RecordBatch.from_arrays([pa.array(found, pa.list_(pa.int32())), *batch.columns[1:]], ["f", *names])
 
     kinds = ", ".join(f"`{n}` {sample.schema[n].dataType.simpleString()}" for n in names)
-    rows = sample.mapInArrow(run, f"f array<int>, {kinds}").collect()  # at most `most` rows, as one label row is one text
+    rows = sample.mapInArrow(run, f"f array<int>, {kinds}").collect()  # at most `most` rows: a text for each chosen label row
     return {n: fit([(np.array(r["f"]), int(r[n])) for r in rows if r[n] is not None]) for n in names}
 
 
@@ -121,15 +122,18 @@ def _sigmoid(x: Column) -> Column:
     return 1 / (1 + F.exp(-x))
 
 
-def _strength(rates: DataFrame) -> float:
-    """How many documents a parent's rate is worth, by moments: rates(n, s) are groups of n documents whose
-    probabilities sum to s. Groups that differ no more than chance makes them give a strong parent."""
-    r = rates.where("n >= 2").agg(F.sum("n").alias("n"), F.sum("s").alias("s"), F.count("*").alias("k"), F.sum(F.col("s") * F.col("s") / F.col("n")).alias("q")).first()
-    if not r["k"] or r["k"] < 2:
+def _strength(groups: DataFrame, parent: list[str]) -> float:
+    """How many documents a parent's rate is worth, by moments around the parents' own rates: groups(n, s and
+    parent) are n documents whose probabilities sum to s. Groups that differ no more than chance makes
+    them give a strong parent."""
+    n, s = F.col("n"), F.col("s")
+    by = groups.where("n >= 2").groupBy(*parent).agg(F.sum(n).alias("n"), F.sum(s).alias("s"), F.count("*").alias("k"), F.sum(s * s / n).alias("q"), F.sum(n * n).alias("nn"))
+    r = by.agg(F.sum(n).alias("n"), F.sum(s).alias("s"), F.sum(F.col("k") - 1).alias("free"), F.sum(F.col("q") - s * s / n).alias("q"), F.sum(n - F.col("nn") / n).alias("room")).first()
+    if (r["free"] or 0) <= 0:
         return 100.0
     mean = r["s"] / r["n"]
     noise = max(mean * (1 - mean), 1e-9)
-    between = max((r["q"] - r["n"] * mean * mean) - (r["k"] - 1) * noise, 0.0) / max(r["n"] - r["n"] / r["k"], 1.0)
+    between = max(r["q"] - r["free"] * noise, 0.0) / max(r["room"], 1.0)
     return min(max(noise / between - 1 if between > 0 else 1e4, 1.0), 1e4)
 
 
@@ -141,7 +145,7 @@ def quality(
     A classifier learned from labels gives each document its evidence. A host's rate is shrunk toward the
     rate of all documents, a path's toward its host's, each by a strength estimated from how much such
     groups differ; a document's prior is its path's rate without the document's own part. A null text
-    counts as empty, a null host or path as a group of its own; repeated rows count as often as they
+    counts as empty, a long one is read whole, a null host or path counts as a group of its own; repeated rows count as often as they
     occur; without labels of both classes there is no evidence and only priors remain; an empty table
     gives an empty result.
     """
@@ -158,8 +162,8 @@ def quality(
     shrunk = paths.join(maybe_broadcast(hosts, 100), "host")
     for n in names:
         rate = (total[n] + 1.0 * models[n]["prior"]) / (total["n"] + 1.0) if total["n"] else models[n]["prior"]
-        kh = _strength(hosts.select(F.col("hn").alias("n"), F.col(f"hs_{n}").alias("s")))
-        kp = _strength(paths.select("n", F.col(f"s_{n}").alias("s")))
+        kh = _strength(hosts.select(F.col("hn").alias("n"), F.col(f"hs_{n}").alias("s")), [])
+        kp = _strength(paths.select("n", F.col(f"s_{n}").alias("s"), "host"), ["host"])
         shrunk = shrunk.withColumn(f"h_{n}", (F.col(f"hs_{n}") + kh * rate) / (F.col("hn") + kh)).withColumn(f"k_{n}", F.lit(kp))
     known = shrunk.select("host", "path", "n", *[F.col(f"s_{n}").alias(f"ps_{n}") for n in names], *[f"h_{n}" for n in names], *[f"k_{n}" for n in names])
     joined = scored.join(maybe_broadcast(known, 200), ["host", "path"])

@@ -119,6 +119,46 @@ def test_round_trip(docs):
         assert hashlib.md5(bytes(r["decoded"])).digest() == hashlib.md5((r["text"] or "").encode()).digest()
 
 
+def test_ids_that_the_vocabulary_lacks(spark):
+    ranks, _ = vocabulary()
+    rows = [(1, [-1, 72, None, 99_999_999, 73, 50_256]), (2, None), (3, []), (4, [None])]
+    got = {r["doc_id"]: bytes(r["decoded"]) for r in bpe.decode(spark.createDataFrame(rows, "doc_id long, ids array<int>"), ranks).collect()}
+    known = {i: t for t, i in bpe.parse_ranks(ranks).items()}
+    assert got == {1: known[72] + known[73], 2: b"", 3: b"", 4: b""}
+
+
+def test_lines_of_documents_with_names_as_ids(spark):
+    rows = [(x, "A line shared by all\nown " + str(x)) for x in ("a", "b", "c", "d", None)] + [("b", "A line shared by all")]
+    for batches in (1, 3):
+        got = {(r["doc_id"], r["text"]) for r in dedup_lines(spark.createDataFrame(rows, "doc_id string, text string"), min_chars=5, min_docs=3, batches=batches).collect()}
+        assert got == {("a", "own a"), ("b", "own b"), ("b", ""), ("c", "own c"), ("d", rows[3][1]), (None, "own None")}
+
+
+def test_settled_lines_leave_later_batches(spark):
+    from cohortry.llm.line_dedup import LineRuns
+
+    runs = LineRuns(min_docs=2, fanout=3)
+    runs.add(spark.createDataFrame([(9, b"x"), (8, b"x"), (8, b"y")], "id long, h binary"))
+    runs.add(spark.createDataFrame([(7, b"x"), (6, b"y"), (6, b"z")], "id long, h binary"))
+    assert sorted(bytes(r["h"]) for r in runs.runs()[1].collect()) == [b"y", b"z"]
+    runs.add(spark.createDataFrame([(5, b"z"), (4, b"x")], "id long, h binary"))
+    assert {bytes(r["h"]): (r["n"], r["keeper"]) for r in LineRuns.merged(runs.runs()).collect()} == {b"x": (2, 9), b"y": (2, 8), b"z": (2, 6)}
+    assert [len(level) for level in runs.levels] == [0, 1]
+
+
+def test_internal_names_may_clash(spark, benchmark, labels):
+    names = ["__gone", "__bad", "__spans", "__lang", "__score", "__key", "__tie", "__cell", "__id", "__text", "__digest", "__salt", "__n", "__costs_0"]
+    rows = [(i, f"some words of text {i % 3}", "en", "s", *[str(i)] * len(names)) for i in range(6)]
+    d = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, " + ", ".join(f"`{n}` string" for n in names))
+    for run in operators(benchmark, labels).values():
+        assert run(d).count() == 6
+    for stage in (drop_copies, drop_near_copies, lambda x: decontaminate(x, benchmark), lambda x: decontaminate(x, benchmark, mode="span")):
+        out = stage(d)
+        assert out.columns == d.columns and all(r["__gone"] == str(r["doc_id"]) for r in out.collect())
+    said = corpus_pipeline.identify_language(spark, d, "")
+    assert said.columns == d.columns and said.count() == 6
+
+
 def test_near_copies(docs):
     got = [(r["doc_id"], r["class_id"]) for r in near_duplicates(docs).collect()]
     assert (6, 4) in got and (5, 4) in got and (8, 7) in got and (12, 12) in got and (2, None) in got
@@ -154,6 +194,26 @@ def test_shards_of_one_hot_group(spark):
     assert len(sums) == 8 and max(sums.values()) - min(sums.values()) <= 1100  # the group is larger than a shard and is subdivided
 
 
+def test_cells_of_nearly_empty_texts(spark):
+    """Nine tenths have no text: they weigh little, but no task sorts them all."""
+    rows = spark.range(60_000).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 10 == 0, F.concat(F.lit("t"), F.col("id").cast("string"), F.repeat(F.lit("z"), 40))).alias("text"))
+    out = shards(rows, keep=["doc_id"], cell_rows=2000)
+    got = out.collect()
+    sums = [sum(r["size"] for r in got if r["shard"] == s) for s in range(8)]
+    assert max(sums) - min(sums) <= 0.01 * sum(sums) and len({r["doc_id"] for r in got}) == 60_000
+    for s in range(8):
+        slots = sorted(r["slot"] for r in got if r["shard"] == s)
+        assert slots == list(range(len(slots)))
+    sharded = next(n for n in _leaves(out) if "__cell" in n.columns)
+    assert sharded.groupBy("__cell").count().agg(F.max("count")).first()[0] <= 4000
+
+
+def _leaves(df):
+    """The tables that df reads."""
+    for path in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+        yield df.sparkSession.read.parquet(path)
+
+
 def test_stages(spark, docs, benchmark, tmp_path):
     benchmark.write.parquet(str(tmp_path / "benchmark.parquet"))
     for name, stage in corpus_pipeline.STAGES:

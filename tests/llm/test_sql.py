@@ -171,11 +171,39 @@ def test_banded_matches_equal_dynamic_program():
         assert near_dedup.banded_matches(a, b, band) == low + high + best[-1][-1]
 
 
-@pytest.mark.parametrize("source", ["sf0.001", "check_h"])
-def test_shards_keep_their_law(spark, source):
-    df = queries.op9_sharding(spark, f"/root/testdata/{source}")
-    rows = df.collect()
-    docs = spark.read.parquet(f"/root/testdata/{source}/documents.parquet")
+def placed(rows: list, n: int, heavy_share: float) -> dict:
+    """Shard by id, from (id, size, key, tie): light groups along one line of keys, heavy ones row by row."""
+    total, groups = sum(r[1] for r in rows), defaultdict(int)
+    for _, size, key, _ in rows:
+        groups[key] += size
+    heavy = {k: v for k, v in groups.items() if v > max(1.0, heavy_share * total / n)}
+    room, shares, out = [total / n] * n, {}, {}
+    for key in sorted(heavy, key=lambda k: (-heavy[k], k)):
+        left, shares[key] = float(heavy[key]), []
+        while left > 1e-9:
+            s = max(range(n), key=lambda i: (room[i], -i))
+            take = left if left <= room[s] or room[s] <= 0 else room[s]
+            shares[key].append((s, take))
+            room[s] -= take
+            left -= take
+    light = sum(r[1] for r in rows if r[2] not in heavy)
+    room = [max(0.0, x) for x in room]
+    ends = [light * sum(room[: i + 1]) / (sum(room) or 1.0) for i in range(n)]
+    before, at = 0, {}
+    for i, size, key, _ in sorted((r for r in rows if r[2] not in heavy), key=lambda r: (r[2], r[3])):
+        at.setdefault(key, before)
+        out[i] = min(sum(e <= at[key] + 1e-6 for e in ends), n - 1)
+        before += size
+    return out | {r[0]: {s for s, _ in shares[r[2]]} for r in rows if r[2] in heavy}
+
+
+@pytest.mark.parametrize("skewed", [False, True])
+def test_shards_keep_their_law(spark, skewed, tmp_path):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    if skewed:  # a third of the rows are copies of one text
+        docs = docs.withColumn("text", F.when(F.col("doc_id") % 3 == 0, F.lit("the same words again and again " * 20)).otherwise(F.col("text")))
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    rows = queries.op9_sharding(spark, str(tmp_path)).collect()
     sizes = {r[0]: (r[1], r[2]) for r in docs.select("doc_id", F.octet_length("text") + 1, F.crc32(F.col("text").cast("binary"))).collect()}
     assert len(rows) == len(sizes) and all((r["size"], r["text_crc32"]) == sizes[r["doc_id"]] for r in rows)
     total, by = sum(r["size"] for r in rows), defaultdict(list)
@@ -189,7 +217,62 @@ def test_shards_keep_their_law(spark, source):
     homes = defaultdict(set)
     for r in rows:
         homes[r["text_crc32"], r["size"]].add(r["shard"])
-    assert all(len(h) == 1 for h in homes.values())
+    assert skewed or all(len(h) == 1 for h in homes.values())
+    keyed = docs.withColumn("crc", F.crc32(F.col("text").cast("binary")))
+    keyed = keyed.select("doc_id", F.octet_length("text") + 1, F.xxhash64("text"), F.xxhash64("doc_id", "crc"))
+    want = placed([tuple(r) for r in keyed.collect()], 8, 0.02)
+    assert all(r["shard"] in want[r["doc_id"]] if isinstance(want[r["doc_id"]], set) else r["shard"] == want[r["doc_id"]] for r in rows)
+
+
+def test_quality_equals_brute_force(spark):
+    """Rates, shrinkage and posteriors of whole documents from the evidence of the trained classifiers."""
+    import math
+
+    import numpy as np
+
+    from cohortry.llm import exchange, quality as Q
+
+    d, labels = spark.read.parquet(f"{SF}/documents.parquet"), spark.read.parquet(f"{SF}/labels.parquet")
+    model = Q.train(d, labels, ["quality", "toxic"], "text", "doc_id")
+    hashes, rows = exchange.WordHashes(), d.collect()
+    sigmoid, logit = lambda x: 1 / (1 + math.exp(-x)), lambda p: math.log(p / (1 - p))
+    got = {r["doc_id"]: r for r in queries.op4_quality(spark, SF).collect()}
+    assert set(got) == {r["doc_id"] for r in rows}
+
+    def strength(groups):
+        """groups: (n, s, parent)"""
+        groups = [g for g in groups if g[0] >= 2]
+        parents = {g[2] for g in groups}
+        free = len(groups) - len(parents)
+        if not free:
+            return 100.0
+        mean = sum(g[1] for g in groups) / sum(g[0] for g in groups)
+        spread = room = 0.0
+        for p in parents:
+            own = [g for g in groups if g[2] == p]
+            n, s = sum(g[0] for g in own), sum(g[1] for g in own)
+            spread += sum(g[0] * (g[1] / g[0] - s / n) ** 2 for g in own)
+            room += n - sum(g[0] ** 2 for g in own) / n
+        noise = max(mean * (1 - mean), 1e-9)
+        between = max(spread - free * noise, 0.0) / max(room, 1.0)
+        return min(max(noise / between - 1 if between > 0 else 1e4, 1.0), 1e4)
+
+    for name, m in model.items():
+        llr = {r["doc_id"]: m["bias"] + float(m["weights"][Q.features(r["text"] or "", hashes)].sum(dtype=np.float64)) for r in rows}
+        own = {i: sigmoid(x + logit(m["prior"])) for i, x in llr.items()}
+        host, path = defaultdict(list), defaultdict(list)
+        for r in rows:
+            host[r["source"] or ""].append(own[r["doc_id"]])
+            path[r["source"] or "", "/".join(x for x in (r["source"], r["lang"]) if x is not None)].append(own[r["doc_id"]])
+        rate = (sum(own.values()) + m["prior"]) / (len(rows) + 1)
+        kh = strength([(len(v), sum(v), 0) for v in host.values()])
+        kp = strength([(len(v), sum(v), k[0]) for k, v in path.items()])
+        for r in rows:
+            h, p = host[r["source"] or ""], path[r["source"] or "", "/".join(x for x in (r["source"], r["lang"]) if x is not None)]
+            of_host = (sum(h) + kh * rate) / (len(h) + kh)
+            prior = (sum(p) - own[r["doc_id"]] + kp * of_host) / (len(p) - 1 + kp)
+            want = sigmoid(llr[r["doc_id"]] + logit(min(max(prior, 1e-6), 1 - 1e-6)))
+            assert got[r["doc_id"]][f"p_{name}"] == pytest.approx(want, rel=1e-6, abs=1e-12)
 
 
 def test_quality_on_held_out_labels(spark):
