@@ -41,6 +41,24 @@ def sample_rules(matches: str, minutes: str) -> list[tuple[str, str, Column]]:
     ]
 
 
+#: Competitions that are no league.
+NO_LEAGUE = ["Multiple", "All Competitions Career"]
+
+
+def context_rules(league: Column, over: Column, goals: Column, gated: Column, position: Column, positions: list[str], most: float = 2.0) -> list[tuple[str, str, Column]]:
+    """League context, regression risk of an overperformance `over` on few goals, a signal `gated` on
+    positions that this one isn't of, and overperformance beyond most."""
+    return [
+        ("league_context", "informational", ~league.isin(NO_LEAGUE)), ("regression_risk", "cautionary", (over > 0) & (goals < 5)),
+        ("role_dependence", "informational", gated & ~position.isin(positions)), ("overperformance", "informational", over > most),
+    ]
+
+
+def provenance(engine: str, fingerprint: str, rules: list[str], version: str = "1") -> Column:
+    """Where a claim comes from: engine, version, fingerprint of its input, rules applied."""
+    return F.struct(F.lit(engine).alias("engine"), F.lit(version).alias("version"), F.lit(fingerprint).alias("fingerprint"), F.array(*[F.lit(r) for r in rules]).alias("rules"))
+
+
 def coverage(sought: DataFrame, found: DataFrame, key: str, optional: list[str] = ()) -> DataFrame:
     """For each question: the claim types sought, found and missing, whether complete, and whether valid without the optional ones."""
     s = sought.groupBy(key).agg(F.array_sort(F.collect_set("claim_type")).alias("sought"))

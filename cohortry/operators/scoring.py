@@ -14,6 +14,11 @@ RATING_KNOTS = [(0.0, 40.0), (50.0, 70.0), (75.0, 78.0), (90.0, 84.0), (95.0, 88
 GRADES = [(85, "A+"), (80, "A"), (75, "A-"), (70, "B+"), (65, "B"), (60, "B-"), (55, "C+"), (50, "C"), (45, "C-")]
 
 
+def strength_band(score: Column) -> Column:
+    """elite from 80, excellent from 70, limited up to 40, else null."""
+    return F.when(score >= 80, "elite").when(score >= 70, "excellent").when(score <= 40, "limited")
+
+
 def best_of(first: dict[str, float], second: dict[str, float], inverted: set[str] = frozenset(), digits: int = 6) -> Column:
     """The larger of two weighted sums; metrics in `inverted` count as 100 minus their value."""
     side = lambda w: sum(((F.lit(100.0) - F.col(m)) if m in inverted else F.col(m)) * F.lit(float(v)) for m, v in w.items())

@@ -40,7 +40,7 @@ def fragility(df: DataFrame, member: str, team: list[str], position: str, scores
     """What a team loses without a member and cannot restore with the best other of the same position.
 
     The loss of a capability is the fall of its mean over the others. A replacement c restores the sum of
-    (c_k - mean_k) / (n + 1) over the capabilities that fall, so only the sum of c's scores over that set
+    (c_k - mean_k) / n over the capabilities that fall, so only the sum of c's scores over that set
     matters: for each position and each of the 2^k sets the two best members are kept, and a member
     meets its own set by an equi-join. Teams of fewer than two give no rows.
     """
@@ -50,9 +50,10 @@ def fragility(df: DataFrame, member: str, team: list[str], position: str, scores
     df = df.withColumns({"__n": n} | {f"__s_{s}": F.sum(s).over(w) for s in scores}).where("__n >= 2")
     rest = {f"__r_{s}": (F.col(f"__s_{s}") - F.col(s)) / (F.col("__n") - 1) for s in scores}
     df = df.withColumns(rest).withColumns({f"__l_{s}": F.col(f"__s_{s}") / F.col("__n") - F.col(f"__r_{s}") for s in scores})
-    mask = sum((F.when(F.col(f"__l_{s}") > 0, 1 << i).otherwise(0) for i, s in enumerate(scores)), F.lit(0))
+    falls = {s: rounded(F.col(f"__l_{s}"), 9) > 0 for s in scores}  # rounded: sums in another order don't fall
+    mask = sum((F.when(falls[s], 1 << i).otherwise(0) for i, s in enumerate(scores)), F.lit(0))
     lost = sum((F.greatest(F.col(f"__l_{s}"), F.lit(0.0)) for s in scores), F.lit(0.0))
-    base = sum((F.when(F.col(f"__l_{s}") > 0, F.col(f"__r_{s}")).otherwise(0.0) for s in scores), F.lit(0.0))
+    base = sum((F.when(falls[s], F.col(f"__r_{s}")).otherwise(0.0) for s in scores), F.lit(0.0))
     focal = df.select(member, *team, position, mask.cast("int").alias("mask"), lost.alias("lost"), base.alias("base"), F.col("__n").alias("n"))
 
     sums = F.transform(
@@ -69,7 +70,7 @@ def fragility(df: DataFrame, member: str, team: list[str], position: str, scores
     # One spot of n is filled again: n - 1 others and the replacement.
     restored = F.greatest(F.lit(0.0), F.coalesce((value - F.col("base")) / F.col("n"), F.lit(0.0)))
     deficit = F.col("lost") - restored
-    deficit = F.when(deficit <= 0, floor).otherwise(deficit)
+    deficit = F.when(rounded(deficit, 4) <= 0, floor).otherwise(deficit)
     return j.select(
         *team, member, F.when(own, F.col("c2")).otherwise(F.col("c1")).alias("replacement"), rounded(F.col("lost"), 4).alias("loss"),
         rounded(deficit, 4).alias("deficit"), rounded(F.lit(100.0) / deficit, 2).alias("replaceability"),
@@ -100,3 +101,17 @@ def leave_one_out(score: str, team: list[str]) -> Column:
 
 def with_added(team_sum: Column, team_n: Column, score: Column) -> Column:
     return (team_sum + score) / (team_n + 1)
+
+
+def listed(scores: list[str], keep, order: list[str] | None = None, k: int | None = None) -> Column:
+    """The names of the scores for which keep(score column) holds, from the highest score down (or by the
+    columns `order`, one a score), the first k at most, as text."""
+    order = order or [f"-{s}" for s in scores]
+    hits = F.array_compact(F.array(*[F.when(keep(F.col(s)), F.struct(F.expr(o).cast("double").alias("o"), F.lit(s).alias("s"))) for s, o in zip(scores, order, strict=True)]))
+    names = F.transform(F.array_sort(hits), lambda x: x["s"])
+    return F.array_join(names if k is None else F.slice(names, 1, k), ",")
+
+
+def emergent_traits(scores: list[str], least: float = 80.0) -> Column:
+    """"Elite <Name>" for each mean score above least (M5)."""
+    return F.array_join(F.array_compact(F.array(*[F.when(F.col(s) > least, f"Elite {s.replace('_', ' ').title()}") for s in scores])), ",")

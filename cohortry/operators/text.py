@@ -22,12 +22,31 @@ WORKSPACES = {"player_intelligence": "PLAYER_ANALYSIS", "team_intelligence": "TE
 INTENTS_LAST = [(("team", "squad", "tactic"), "TEAM_ANALYSIS"), (("player", "profile"), "PLAYER_ANALYSIS")]
 
 
+#: Patterns of questions of taste.
+SUBJECTIVE = [
+    r"\bgreatest\b.*\b(?:footballer|player|ever|of all time)\b", r"\bgoat\b", r"\bbest\b.*\b(?:footballer|player|ever|of all time)\b",
+    r"\bgreatest\b.*\b(?:team|manager|coach|club)\b",
+]
+#: Words of questions that name nobody.
+STOP_WORDS = """the and compare analyze who what how does is are vs versus which better best similar like replace replacement for at in of to a an
+fit fits would do can tell me about their his her its between both with from than that this think need has have did was were been being not no or
+but if so up out down way more most some any all each every very just also too presses pressing press weaknesses strengths style styles system
+systems formation tactics players player team squad match matches game games season seasons league competition""".split()
+
+
 def normalized_query(text: Column, rewrites: list[tuple[str, str]] = REWRITES) -> Column:
+    """Rewrites in order; words are those of Unicode."""
     for pattern, by in rewrites:
-        text = F.regexp_replace(text, pattern, by)
+        text = F.regexp_replace(text, "(?U)" + pattern, by)
     return text
 
 
+def is_subjective(text: Column) -> Column:
+    """Whether a question asks for taste; false for null."""
+    hits = [text.rlike("(?iU)" + p) for p in SUBJECTIVE]
+    return F.coalesce(hits[0] | hits[1] | hits[2] | hits[3], F.lit(False))
+
+
 def _any(text: Column, words: tuple[str, ...]) -> Column:
     out = F.contains(text, F.lit(words[0]))
     for w in words[1:]:

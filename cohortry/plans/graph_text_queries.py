@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -100,11 +102,13 @@ def registry_gaps(spark: SparkSession, d: str) -> DataFrame:
 
 _N = "tall_n AS (SELECT *, n_orders AS n FROM tall)"
 _CLAIMS = f"""claims AS (SELECT substr(sha256(CAST(id AS VARCHAR) || ':' || 'capability:' || capability || ':' || 'v1'), 1, 16) AS claim_id, id, 'capability' AS claim_type, capability, score,
-  {sql_bands('score', C.LEVELS, 'Below Average')} AS level, CASE WHEN n >= 10 THEN 'high' WHEN n >= 5 THEN 'medium' ELSE 'low' END AS confidence FROM tall_n)"""
+  {sql_bands('score', C.LEVELS, 'Below Average')} AS level, CASE WHEN n >= 10 THEN 'high' WHEN n >= 5 THEN 'medium' ELSE 'low' END AS confidence, 'scores|v1|weighted_score,levels' AS provenance FROM tall_n)"""
 
 
 def _claims(spark: SparkSession, d: str) -> DataFrame:
-    return C.capability_claims(_tall(spark, d).withColumn("n", F.col("n_orders")), "id", "v1")
+    c = C.capability_claims(_tall(spark, d).withColumn("n", F.col("n_orders")), "id", "v1")
+    p = C.provenance("scores", "v1", ["weighted_score", "levels"])
+    return c.withColumn("provenance", F.concat_ws("|", p["engine"], p["fingerprint"], F.array_join(p["rules"], ",")))
 
 
 @register(f"WITH {SCORES}, {_TALL}, {_N}, {_CLAIMS} SELECT * FROM claims")
@@ -114,10 +118,13 @@ def claims(spark: SparkSession, d: str) -> DataFrame:
 
 
 @register(f"""WITH {SCORES} SELECT id, array_to_string(list_filter([CASE WHEN n_orders < 3 THEN 'sample_size:material' WHEN n_orders < 5 THEN 'sample_size:cautionary' WHEN n_orders < 10 THEN 'sample_size:informational' END,
-  CASE WHEN exposure < 450 THEN 'minutes:cautionary' END, CASE WHEN threat - creation > 40 THEN 'overperformance:informational' END], lambda x: x IS NOT NULL), ',') AS qualifiers FROM scores""")
+  CASE WHEN exposure < 450 THEN 'minutes:cautionary' END, CASE WHEN cohort NOT IN ('Multiple', 'All Competitions Career') THEN 'league_context:informational' END,
+  CASE WHEN threat > creation AND n_orders < 5 THEN 'regression_risk:cautionary' END, CASE WHEN progression >= 75 AND team NOT IN ('NATION_1', 'NATION_2') THEN 'role_dependence:informational' END,
+  CASE WHEN threat - creation > 40 THEN 'overperformance:informational' END], lambda x: x IS NOT NULL), ',') AS qualifiers FROM scores""")
 def qualifiers(spark: SparkSession, d: str) -> DataFrame:
-    """Caveats of an entity's claims."""
-    rules = [*C.sample_rules("n_orders", "exposure"), ("overperformance", "informational", F.col("threat") - F.col("creation") > 40)]
+    """Caveats of an entity's claims, all six kinds."""
+    over = (F.col("threat") - F.col("creation")).cast("double")
+    rules = [*C.sample_rules("n_orders", "exposure"), *C.context_rules(F.col("cohort"), over, F.col("n_orders"), F.col("progression") >= 75, F.col("team"), ["NATION_1", "NATION_2"], 40.0)]
     return entity_scores(spark, d).select("id", F.array_join(C.qualifiers(rules), ",").alias("qualifiers"))
 
 
@@ -165,12 +172,12 @@ def role_fit_claims(spark: SparkSession, d: str) -> DataFrame:
     return f.withColumn("label", D.fit_label(F.col("fit"))).withColumn("claim_id", short_id(F.col("id").cast("string"), F.lit("role_fit"), F.col("style"), length=12))
 
 
-@register(f"""WITH {SCORES}, {_TALL}, m AS (SELECT id, string_agg(capability, ',' ORDER BY score DESC, capability) AS metrics, bool_or(capability = 'threat' AND score > 20) AS has_threat, min(n_orders) AS n FROM tall WHERE score > 20 GROUP BY id)
+@register(f"""WITH {SCORES}, {_TALL}, m AS (SELECT id, string_agg(capability, ',' ORDER BY score DESC, capability) AS metrics, bool_or(capability = 'threat') AS has_threat, min(n_orders) AS n FROM tall GROUP BY id)
 SELECT c_custkey AS id, metrics, array_to_string(list_filter([CASE WHEN trim(c_name) = '' THEN 'title' END, CASE WHEN NOT coalesce(has_threat, false) THEN 'metric:threat' END, CASE WHEN n < 5 THEN 'members' END], lambda x: x IS NOT NULL), ',') AS faults
 FROM m JOIN customer ON id = c_custkey""")
 def evidence_packets(spark: SparkSession, d: str) -> DataFrame:
-    """Nested packets of the scores above 20, and what they lack."""
-    t = _tall(spark, d).where("score > 20").withColumn("confidence", F.lit(1.0))
+    """Nested packets of the scores, and what they lack."""
+    t = _tall(spark, d).withColumn("confidence", F.lit(1.0))
     names = entity_scores(spark, d).select("id", "name", "n_orders")
     p = E.packets(t, "id", names, "name").join(names.select("id", "n_orders"), "id")
     return p.select("id", F.array_join(F.col("metrics.metric_name"), ",").alias("metrics"), F.array_join(E.packet_faults(["threat"], F.col("n_orders") >= 5), ",").alias("faults"))
@@ -190,18 +197,30 @@ def strategy_choice(spark: SparkSession, d: str) -> DataFrame:
 
 # Text (Q)
 
-def _sql_rewrites(x: str) -> str:
-    for p, by in X.REWRITES:
-        flags = "'gi'" if p.startswith("(?i)") else "'g'"
-        x = f"regexp_replace({x}, '{p.removeprefix('(?i)').replace(chr(39), chr(39) * 2)}', '{by}', {flags})"
-    return x
+def _marked(x: str) -> str:
+    """SQL of x with \\x01 and \\x02 around each word: DuckDB's \\b knows only ASCII words."""
+    return f"regexp_replace({x}, '([\\p{{L}}\\p{{N}}_]+)', '\x01\\1\x02', 'g')"
 
 
-@register("SELECT conv_id, turn, " + _sql_rewrites(r"regexp_replace(text, '[^\x00-\x7F]', '', 'g')") + " AS normalized FROM conversations")
+def _sql_rewrites(x: str) -> str:
+    x = _marked(x)
+    for p, by in X.REWRITES:
+        core, flags = p.removeprefix("(?i)"), "'gi'" if p.startswith("(?i)") else "'g'"
+        new = re.sub(r"\w+", "\x01\\g<0>\x02", by)
+        if core.startswith("'s"):
+            core = "''\x01s\x02"
+        elif core.startswith("s'"):
+            core, new = "s\x02''\x01", "s"
+        elif core.startswith(r"\b"):
+            core = "\x01" + core[2:-2].replace(r"\.?\s*", "\x02?\\.?\\s*\x01?") + "\x02"
+        x = f"regexp_replace({x}, '{core}', '{new}', {flags})"
+    return f"translate({x}, '\x01\x02', '')"
+
+
+@register("SELECT conv_id, turn, " + _sql_rewrites("text") + " AS normalized FROM conversations")
 def normalize_text(spark: SparkSession, d: str) -> DataFrame:
-    """Ordered rewrites of questions (Q1), of their ASCII part: engines differ on word ends beside other letters."""
-    plain = F.regexp_replace("text", r"[^\x00-\x7F]", "")
-    return table(spark, d, "conversations").select("conv_id", "turn", X.normalized_query(plain).alias("normalized"))
+    """Ordered rewrites of whole questions (Q1)."""
+    return table(spark, d, "conversations").select("conv_id", "turn", X.normalized_query(F.col("text")).alias("normalized"))
 
 
 _PLAIN = "translate(lower({}), 'àáâãäåçèéêëìíîïñòóôõöùúûüýÿ', 'aaaaaaceeeeiiiinooooouuuuyy')"
@@ -254,10 +273,17 @@ def intent_classify(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "conversations").select("conv_id", "turn", X.intent(F.col("text"), F.when(F.col("conv_id") % 3 == 0, "team_intelligence")).alias("intent"))
 
 
-@register("SELECT conv_id, turn, regexp_matches(text, '(?i)\\b(best|worst|favou?rite|greatest)\\b') AS subjective, strlen(text) AS n_bytes FROM conversations")
+def _sql_subjective() -> str:
+    """The patterns over text with marked words."""
+    alternatives = lambda p: re.sub(r"\(\?:(.*)\)", lambda m: "(" + "|".join("\x01" + a.replace(" ", "\x02 \x01") + "\x02" for a in m[1].split("|")) + ")", p)
+    plain = [re.sub(r"\\b(\w+)\\b", "\x01\\g<1>\x02", alternatives(p).replace(r"\b(", "(").replace(r")\b", ")")) for p in X.SUBJECTIVE]
+    return "(" + " OR ".join(f"regexp_matches({_marked('text')}, '(?i){p}')" for p in plain) + ")"
+
+
+@register(f"SELECT conv_id, turn, coalesce({_sql_subjective()}, false) AS subjective, strlen(text) AS n_bytes FROM conversations")
 def subjective_questions(spark: SparkSession, d: str) -> DataFrame:
     """Pattern filter and sizes in bytes."""
-    return table(spark, d, "conversations").select("conv_id", "turn", F.col("text").rlike(r"(?i)\b(best|worst|favou?rite|greatest)\b").alias("subjective"), F.octet_length("text").cast("long").alias("n_bytes"))
+    return table(spark, d, "conversations").select("conv_id", "turn", X.is_subjective(F.col("text")).alias("subjective"), F.octet_length("text").cast("long").alias("n_bytes"))
 
 
 @register("""WITH v AS (SELECT *, CASE WHEN length(text) % 3 = 0 THEN substr(text, 1, 8) END AS focus FROM conversations)

@@ -127,11 +127,15 @@ def role_rating_z(spark: SparkSession, d: str) -> DataFrame:
     return S.presented_rating(r, "rating", ["family"]).select("id", "family", "rating", "z_score", "rating_percentile", "display_rating")
 
 
+#: The twenty rules, with the scores of the demonstration in the place of metrics and percentiles.
 _RULES = [
-    ("elite_goal_scorer", "threat >= 85"), ("strong_chance_creator", "creation >= 80"), ("dual_threat_forward", "threat >= 70 AND creation >= 70"),
-    ("elite_ball_progressor", "progression >= 85"), ("high_press_resistant", "resistance >= 80"), ("technical_ball_retainer", "security >= 80"),
-    ("defensive_specialist", "defence >= 85"), ("box_to_box_profile", "progression >= 70 AND defence >= 70"),
-    ("well_rounded", " AND ".join(f"{c} >= 60" for c in CAPABILITIES)), ("small_sample_warning", "n_orders < 5"),
+    ("elite_goal_scorer", "threat >= 85"), ("strong_chance_creator", "creation >= 80"), ("clinical_finisher", "threat > creation AND n_orders * threat >= 900"),
+    ("xg_efficient_attacker", "threat > 10 * n_orders"), ("dual_threat_forward", "threat >= 70 AND creation >= 70"), ("elite_ball_progressor", "progression >= 85"),
+    ("progressive_fullback", "progression >= 75 AND creation >= 60 AND cohort = 'BUILDING'"), ("line_breaking_passer", "progression >= 80 AND security >= 50"),
+    ("ball_carrying_threat", "progression >= 80 AND threat >= 50"), ("high_press_resistant", "resistance >= 80"), ("technical_ball_retainer", "security >= 80"),
+    ("reliable_passer", "security > 85 AND progression > 50"), ("defensive_specialist", "defence >= 85"), ("high_intensity_presser", "defence >= 80 AND resistance >= 50"),
+    ("ball_winner", "defence >= 75"), ("tactically_versatile", "least(threat, defence) >= 80"), ("box_to_box_profile", "progression >= 70 AND defence >= 70"),
+    ("well_rounded", " AND ".join(f"{c} >= 60" for c in CAPABILITIES)), ("low_availability_risk", "n_orders >= 25"), ("small_sample_warning", "n_orders < 5"),
 ]
 _SIGNALS = "array_to_string(list_filter([" + ", ".join(f"CASE WHEN {c} THEN '{n}' END" for n, c in _RULES) + "], lambda x: x IS NOT NULL), ',')"
 
@@ -231,9 +235,9 @@ def team_grade(spark: SparkSession, d: str) -> DataFrame:
 n AS (SELECT *, count(*) OVER (PARTITION BY team) AS n, {', '.join(f'(sum({c}) OVER (PARTITION BY team) - {c}) / nullif(count(*) OVER (PARTITION BY team) - 1, 0) AS r_{c}, avg({c}) OVER (PARTITION BY team) AS m_{c}' for c in CAPABILITIES)} FROM scores),
 f AS (SELECT * FROM n WHERE n >= 2),
 l AS (SELECT *, {' + '.join(f'greatest(sum_{c}, 0e0)' for c in CAPABILITIES)} AS lost FROM (SELECT *, {', '.join(f'(m_{c} - r_{c}) AS sum_{c}' for c in CAPABILITIES)} FROM f)),
-c AS (SELECT l.team, l.id, l.lost, l.n, p.id AS cand, {' + '.join(f'CASE WHEN l.sum_{c} > 0 THEN p.{c} - l.r_{c} ELSE 0e0 END' for c in CAPABILITIES)} AS gain FROM l JOIN f p ON l.cohort = p.cohort AND l.id <> p.id),
+c AS (SELECT l.team, l.id, l.lost, l.n, p.id AS cand, {' + '.join(f'CASE WHEN {rnd(f'l.sum_{c}', 9)} > 0 THEN p.{c} - l.r_{c} ELSE 0e0 END' for c in CAPABILITIES)} AS gain FROM l JOIN f p ON l.cohort = p.cohort AND l.id <> p.id),
 b AS (SELECT team, id, any_value(lost) AS lost, any_value(n) AS n, max(gain) AS gain FROM c GROUP BY 1, 2),
-d AS (SELECT team, id, lost, CASE WHEN lost - greatest(0e0, coalesce(gain, 0e0) / n) <= 0 THEN 0.1e0 ELSE lost - greatest(0e0, coalesce(gain, 0e0) / n) END AS deficit FROM l LEFT JOIN b USING (team, id, lost, n))
+d AS (SELECT team, id, lost, CASE WHEN {rnd('lost - greatest(0e0, coalesce(gain, 0e0) / n)', 4)} <= 0 THEN 0.1e0 ELSE lost - greatest(0e0, coalesce(gain, 0e0) / n) END AS deficit FROM l LEFT JOIN b USING (team, id, lost, n))
 SELECT team, id, {rnd('lost', 4)} AS loss, {rnd('deficit', 4)} AS deficit FROM d""")
 def fragility(spark: SparkSession, d: str) -> DataFrame:
     """Leave-one-out loss and best replacement without pairing members (M4). The SQL pairs them all."""
@@ -269,32 +273,53 @@ def identity(spark: SparkSession, d: str) -> DataFrame:
     return T.best_styles(_team_z(spark, d), ["team"], CAPABILITIES, STYLES)
 
 
-@register(f"WITH {SCORES}, {_MEANS} SELECT team, {rnd('threat + security', 1)} AS strength FROM means ORDER BY strength DESC, team LIMIT 5")
+def _sql_listed(keep: str, order: str = "-{}", names: list[str] = CAPABILITIES, k: int | None = None) -> str:
+    """SQL of operators.teams.listed; {} stands for the score."""
+    hits = ", ".join(f"CASE WHEN {keep.format(c)} THEN {{'o': CAST({order.format(c)} AS DOUBLE), 's': '{c}'}} END" for c in names)
+    names = f"list_transform(list_sort(list_filter([{hits}], lambda x: x IS NOT NULL)), lambda x: x.s)"
+    return f"array_to_string({names if k is None else f'{names}[1:{k}]'}, ',')"
+
+
+@register(f"""WITH {SCORES}, {_MEANS} SELECT team, {rnd('threat + security', 1)} AS strength, {_sql_listed('{} >= 80')} AS strengths, {_sql_listed('{} <= 60')} AS weaknesses,
+  array_to_string(list_filter([{', '.join(f"CASE WHEN {c} > 50 THEN 'Elite {c.title()}' END" for c in CAPABILITIES)}], lambda x: x IS NOT NULL), ',') AS traits FROM means ORDER BY strength DESC, team LIMIT 5""")
 def strongest_teams(spark: SparkSession, d: str) -> DataFrame:
-    """The five strongest teams (M7, M8): a top-k report."""
-    return _means(spark, d).select("team", rounded(F.col("threat") + F.col("security"), 1).alias("strength")).orderBy(F.desc("strength"), "team").limit(5)
+    """The five strongest teams with strengths from 80 on, weaknesses up to 60, and traits (M5, M7, M8): a top-k report."""
+    lists = [T.listed(CAPABILITIES, lambda c: c >= 80).alias("strengths"), T.listed(CAPABILITIES, lambda c: c <= 60).alias("weaknesses"), T.emergent_traits(CAPABILITIES, 50.0).alias("traits")]
+    return _means(spark, d).select("team", rounded(F.col("threat") + F.col("security"), 1).alias("strength"), *lists).orderBy(F.desc("strength"), "team").limit(5)
 
 
 # Decisions (N)
 
 @register(f"""WITH {SCORES}, {_TALL}, c AS (SELECT id, capability, score, {rnd('(rank() OVER (PARTITION BY cohort, capability ORDER BY score) - 1) * 1e0 / count(*) OVER (PARTITION BY cohort, capability) * 100e0')} AS pct,
   row_number() OVER (PARTITION BY id ORDER BY score DESC, capability) AS k FROM tall)
-SELECT id, string_agg(capability, ',' ORDER BY k) FILTER (WHERE k <= 3) AS top, count(*) FILTER (WHERE pct >= 85) AS n_elite, count(*) FILTER (WHERE pct <= 35) AS n_weak FROM c GROUP BY id""")
+SELECT id, string_agg(capability, ',' ORDER BY k) FILTER (WHERE k <= 3) AS top, string_agg(capability, ',' ORDER BY k DESC) FILTER (WHERE k > 3) AS bottom,
+  coalesce(string_agg(capability || ' ' || CASE WHEN score >= 80 THEN 'elite' WHEN score >= 70 THEN 'excellent' ELSE 'limited' END, ',' ORDER BY k) FILTER (WHERE score >= 70 OR score <= 40), '') AS bands,
+  string_agg(capability || ' ' || CAST(CAST(pct AS BIGINT) AS VARCHAR) || 'th percentile', ',' ORDER BY capability) AS explained, count(*) FILTER (WHERE pct >= 85) AS n_elite, count(*) FILTER (WHERE pct <= 35) AS n_weak FROM c GROUP BY id""")
 def decision_card(spark: SparkSession, d: str) -> DataFrame:
-    """Elite and weak traits against the cohort, and the three best."""
+    """Elite and weak traits against the cohort, the three best and worst, bands and percentiles as text."""
     t = _tall(spark, d).withColumn("pct", K.below_percentile(["cohort", "capability"], "score"))
     t = t.withColumn("k", F.row_number().over(Window.partitionBy("id").orderBy(F.desc("score"), "capability")))
     top = F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("k") <= 3, F.struct("k", "capability")))), lambda x: x["capability"]), ",")
-    return t.groupBy("id").agg(top.alias("top"), F.count_if(F.col("pct") >= 85).alias("n_elite"), F.count_if(F.col("pct") <= 35).alias("n_weak"))
+    texts = lambda keep, order, text: F.array_join(F.transform(F.array_sort(F.collect_list(F.when(keep, F.struct(order.alias("o"), text.alias("t"))))), lambda x: x["t"]), ",")
+    bottom = texts(F.col("k") > 3, -F.col("k"), F.col("capability"))
+    banded = texts((F.col("score") >= 70) | (F.col("score") <= 40), F.col("k"), F.concat_ws(" ", "capability", S.strength_band(F.col("score"))))
+    explained = texts(F.lit(True), F.col("capability"), F.concat("capability", F.lit(" "), F.col("pct").cast("long").cast("string"), F.lit("th percentile")))
+    return t.groupBy("id").agg(top.alias("top"), bottom.alias("bottom"), banded.alias("bands"), explained.alias("explained"), F.count_if(F.col("pct") >= 85).alias("n_elite"), F.count_if(F.col("pct") <= 35).alias("n_weak"))
+
 
+_TO_MEDIAN = rnd("{0} - (SELECT median({0}) FROM means)", 4)
+_GAPS_UP, _GAPS_DOWN = _sql_listed(f"{_TO_MEDIAN} > 0", f"-{_TO_MEDIAN}", k=3), _sql_listed(f"{_TO_MEDIAN} < 0", _TO_MEDIAN, k=3)
 
-@register(f"WITH {SCORES}, {_MEANS} SELECT team, " + ", ".join(f"{rnd(f'{c} - (SELECT quantile_cont({c}, 0.75) FROM means)', 4)} AS {c}_gap" for c in CAPABILITIES) + ", " + rnd("threat - (SELECT median(threat) FROM means)", 4) + " AS threat_to_median FROM means")
+
+@register(f"WITH {SCORES}, {_MEANS} SELECT team, " + ", ".join(f"{rnd(f'{c} - (SELECT quantile_cont({c}, 0.75) FROM means)', 4)} AS {c}_gap" for c in CAPABILITIES) + ", " + rnd("threat - (SELECT median(threat) FROM means)", 4) + f" AS threat_to_median, {_GAPS_UP} AS strengths, {_GAPS_DOWN} AS weaknesses FROM means")
 def gap_to_quartile(spark: SparkSession, d: str) -> DataFrame:
-    """Distance of a team to the cohort's upper quartile and median."""
+    """Distance of a team to the cohort's upper quartile and median, and the three largest gaps either way."""
     m = _means(spark, d)
-    q = m.agg(*[F.percentile(c, 0.75).alias(f"q_{c}") for c in CAPABILITIES], F.percentile("threat", 0.5).alias("median"))
+    q = m.agg(*[F.percentile(c, 0.75).alias(f"q_{c}") for c in CAPABILITIES], *[F.percentile(c, 0.5).alias(f"m_{c}") for c in CAPABILITIES])
     j = m.crossJoin(F.broadcast(q))  # one row
-    return j.select("team", *[rounded(F.col(c) - F.col(f"q_{c}"), 4).alias(f"{c}_gap") for c in CAPABILITIES], rounded(F.col("threat") - F.col("median"), 4).alias("threat_to_median"))
+    gaps = j.select("team", *[rounded(F.col(c) - F.col(f"q_{c}"), 4).alias(f"{c}_gap") for c in CAPABILITIES], *[rounded(F.col(c) - F.col(f"m_{c}"), 4).alias(c) for c in CAPABILITIES])
+    lists = [T.listed(CAPABILITIES, lambda c: c > 0, k=3).alias("strengths"), T.listed(CAPABILITIES, lambda c: c < 0, CAPABILITIES, 3).alias("weaknesses")]
+    return gaps.select("team", *[f"{c}_gap" for c in CAPABILITIES], F.col("threat").alias("threat_to_median"), *lists)
 
 
 @register(f"""WITH {SCORES}, x AS (SELECT id, team, threat, avg(threat) OVER w AS before, (sum(threat) OVER w - threat) / nullif(count(*) OVER w - 1, 0) AS after FROM scores WINDOW w AS (PARTITION BY team))
@@ -316,49 +341,56 @@ def counterfactual_addition(spark: SparkSession, d: str) -> DataFrame:
 
 
 @register(f"""WITH {SCORES}, {_TALL} SELECT cohort, capability, min(score) AS low, max(score) AS high, count(*) AS n, arg_max(id, (score, -id)) AS best, arg_min(id, (score, id)) AS worst,
-  min(score) >= 70 AS shared_strength, max(score) - min(score) > 15 AS key_difference FROM tall WHERE n_orders >= 16 GROUP BY 1, 2""")
+  min(score) >= 70 AS shared_strength, max(score) - min(score) > 15 AS key_difference,
+  capability || CASE WHEN min(score) >= 70 THEN ': shared strength' WHEN max(score) - min(score) > 15 THEN ': ' || CAST(arg_max(id, (score, -id)) AS VARCHAR) || ' leads ' || CAST(arg_min(id, (score, id)) AS VARCHAR) ELSE ': alike' END AS summary FROM tall GROUP BY 1, 2""")
 def compare_group(spark: SparkSession, d: str) -> DataFrame:
-    """Shared strengths and key differences of groups of entities."""
-    return D.comparison(_tall(spark, d).where("n_orders >= 16"), ["cohort"], "id")
+    """Shared strengths and key differences of whole groups of entities, with a summary."""
+    c = D.comparison(_tall(spark, d), ["cohort"], "id")
+    gap = F.concat(F.lit(": "), F.col("best").cast("string"), F.lit(" leads "), F.col("worst").cast("string"))
+    return c.withColumn("summary", F.concat("capability", F.when(F.col("shared_strength"), ": shared strength").when(F.col("key_difference"), gap).otherwise(": alike")))
 
 
-_ASKED = {"creation": 0.6, "threat": 0.4}
+_ASKED = D.criteria({"creation": 1.0, "threat": 1.5}, ["Goalscoring", "Chance Creation"], {"security": 0.5, "defence": 0.0})
+_WEIGHT = sum(_ASKED.values())
 _FIT = rnd(f"({sql_sum(D.STYLE_WEIGHTS['High Press'])}) * 0.4e0 + 50e0 * 0.2e0 + 50e0 * 0.2e0 + 50e0 * 0.1e0 + 50e0 * 0.1e0", 1)
 
 
-@register(f"""WITH {SCORES}, c AS (SELECT id, {rnd(f'(creation * 0.6e0 + threat * 0.4e0) / 1e0 * 0.7e0 + {_FIT} * 0.3e0', 6)} AS fit_score,
+@register(f"""WITH {SCORES}, c AS (SELECT id, {rnd(f'({sql_sum(_ASKED)}) / {_WEIGHT}e0 * 0.7e0 + {_FIT} * 0.3e0', 6)} AS fit_score,
   CASE WHEN exposure > 1800 THEN 'high' WHEN exposure < 900 THEN 'low' ELSE 'medium' END AS confidence FROM scores WHERE cohort IN ('BUILDING', 'MACHINERY') AND exposure >= 100)
-SELECT *, row_number() OVER (ORDER BY fit_score DESC, id) AS rank FROM c ORDER BY fit_score DESC, id LIMIT 10""")
+SELECT *, CASE WHEN fit_score > 85 THEN 'Excellent Fit' WHEN fit_score > 70 THEN 'Strong Fit' ELSE 'Good Fit' END AS band, row_number() OVER (ORDER BY fit_score DESC, id) AS rank FROM c ORDER BY fit_score DESC, id LIMIT 10""")
 def rank_by_criteria(spark: SparkSession, d: str) -> DataFrame:
-    """The ten best by asked scores and style (N7, N13): a top-k report."""
+    """The ten best by built criteria and style, with their band (N7, N13): a top-k report."""
     fit = D.overall_fit(D.alignment("High Press"), F.lit(50.0))
     best = D.rank_candidates(entity_scores(spark, d), "id", _ASKED, fit=fit, where=F.col("cohort").isin("BUILDING", "MACHINERY") & (F.col("exposure") >= 100))
-    return best.select("id", "fit_score", D.confidence_by_minutes(F.col("exposure")).alias("confidence"), "rank")
+    return best.select("id", "fit_score", D.confidence_by_minutes(F.col("exposure")).alias("confidence"), D.star_band(F.col("fit_score")).alias("band"), "rank")
 
 
 _PAIR_DIST = "sqrt(" + " + ".join(f"(a.{c} - b.{c}) * (a.{c} - b.{c})" for c in CAPABILITIES) + ")"
 _RESTORE = lambda test: " + ".join(f"CASE WHEN a.{c} > 0 AND b.{c} * 100e0 / a.{c} {test} THEN 1 ELSE 0 END" for c in CAPABILITIES)
 
 
+_RESTORED = " + ".join(f"CASE WHEN a.{c} > 0 THEN least(b.{c} * 100e0 / a.{c}, 100e0) ELSE 0e0 END" for c in CAPABILITIES)
+_ABOVE = " + ".join(f"CASE WHEN a.{c} > 0 THEN 1 ELSE 0 END" for c in CAPABILITIES)
+
+
 @register(f"""WITH {SCORES}, p AS (SELECT a.id, b.id AS candidate, {rnd(f'greatest(0e0, least(100e0, (1e0 - {_PAIR_DIST} / 245e0) * 100e0))', 6)} AS fit_score,
-  CAST({_RESTORE('> 110')} AS BIGINT) AS enhanced, CAST({_RESTORE('< 85')} AS BIGINT) AS reduced
-  FROM scores a JOIN scores b ON a.cohort = b.cohort AND a.id <> b.id AND a.team <> b.team WHERE a.id IN (SELECT id FROM scores ORDER BY exposure DESC, id LIMIT 40)),
+  CAST({_RESTORE('> 110')} AS BIGINT) AS enhanced, CAST({_RESTORE('< 85')} AS BIGINT) AS reduced, {rnd(f'({_RESTORED}) / nullif({_ABOVE}, 0)', 4)} AS restored_pct
+  FROM scores a JOIN scores b ON a.cohort = b.cohort AND a.id <> b.id AND a.team <> b.team WHERE a.id % 100 = 0),
 r AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY fit_score DESC, candidate) AS rank FROM p) SELECT * FROM r WHERE rank <= 5""")
 def replacements(spark: SparkSession, d: str) -> DataFrame:
-    """The five nearest replacements of the forty busiest entities (N8, E10, E11, H4): a top-k report."""
+    """The five nearest replacements of each entity whose id is divisible by 100, out of all."""
     s = entity_scores(spark, d)
-    focal = s.orderBy(F.desc("exposure"), "id").limit(40)
-    return D.replacements(F.broadcast(focal), s, "id", "cohort", "team", CAPABILITIES)
+    return D.replacements(s.where("id % 100 = 0"), s, "id", "cohort", "team", CAPABILITIES)
 
 
-@register(f"""WITH {SCORES}, p AS (SELECT a.id, b.id AS candidate, {rnd(f'greatest(0e0, least(100e0, (1e0 - {_PAIR_DIST} / 245e0) * 100e0))', 6)} AS similarity FROM scores a JOIN scores b ON a.cohort = b.cohort AND a.id <> b.id WHERE a.n_orders >= 20),
+@register(f"""WITH {SCORES}, p AS (SELECT a.id, b.id AS candidate, {rnd(f'greatest(0e0, least(100e0, (1e0 - {_PAIR_DIST} / 245e0) * 100e0))', 6)} AS similarity FROM scores a JOIN scores b ON a.cohort = b.cohort AND a.id <> b.id WHERE a.id % 100 = 0),
 r AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY similarity DESC, candidate) AS rank FROM p WHERE similarity >= 60) SELECT * FROM r WHERE rank <= 3""")
 def similar_topn(spark: SparkSession, d: str) -> DataFrame:
-    """The most similar entities of the same cohort from similarity 60 on."""
+    """For each entity whose id is divisible by 100 the most similar of all in its cohort, from similarity 60 on."""
     s = entity_scores(spark, d)
     one = F.concat(F.lit("t"), F.col("id").cast("string"))  # each entity a team of its own
     s = s.withColumn("own", one)
-    r = D.replacements(s.where("n_orders >= 20"), s, "id", "cohort", "own", CAPABILITIES, 3).where("fit_score >= 60")
+    r = D.replacements(s.where("id % 100 = 0"), s, "id", "cohort", "own", CAPABILITIES, 3).where("fit_score >= 60")
     return r.select("id", "candidate", F.col("fit_score").alias("similarity"), "rank")
 
 
