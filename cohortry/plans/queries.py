@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from . import cohort_queries, graph_text_queries, score_queries
+from . import cohort_queries, domain_queries, graph_text_queries, score_queries
 
-MODULES = [cohort_queries, score_queries, graph_text_queries]
+MODULES = [cohort_queries, score_queries, graph_text_queries, domain_queries]
 QUERIES = {k: v for m in MODULES for k, v in m.QUERIES.items()}
 ORACLES = {k: v for m in MODULES for k, v in m.ORACLES.items()}
