@@ -84,12 +84,13 @@ def unpacked_bins(data: list[bytes]) -> np.ndarray:
     return raw[:, 4:].astype(np.int32) * np.ascontiguousarray(raw[:, :4]).view("<u4").astype(np.int32)
 
 
-def open_pairs(n: np.ndarray, labels: np.ndarray, sides: np.ndarray | None, bins: np.ndarray, least: float, stars: bool):
-    """(i, places j) of members with different labels, and sides if given, that may be similar. Matched words
-    are in both texts, so no more than the sum of the smaller bins. With stars, only enough pairs to give each
-    member that is in one a centre."""
+def open_pairs(n: np.ndarray, labels: np.ndarray, sides: np.ndarray | None, bins: np.ndarray, held: np.ndarray, key: int, least: float, stars: bool):
+    """(i, places j) of members with different labels, and sides if given, that may be similar and whose first
+    shared sketch (rows of held) is key: other buckets leave the pair to that one. Matched words are in both
+    texts, so no more than the sum of the smaller bins. With stars, only enough pairs to give each member
+    that is in one a centre."""
     order = np.argsort(n, kind="stable")
-    n, labels, bins = n[order], labels[order], bins[order]
+    n, labels, bins, held = n[order], labels[order], bins[order], held[order]
     sides = None if sides is None else sides[order]
     ends = np.searchsorted(n, n / least * (1 + 1e-9), side="right")
     taken = np.zeros(len(n), bool)
@@ -100,6 +101,8 @@ def open_pairs(n: np.ndarray, labels: np.ndarray, sides: np.ndarray | None, bins
         if sides is not None:
             open_ &= sides[i + 1 : ends[i]] != sides[i]
         j = np.flatnonzero(open_) + i + 1
+        if len(j):
+            j = j[held[i][(held[i] == held[j]).argmax(axis=1)] == key]
         if len(j):
             j = j[np.minimum(bins[i], bins[j]).sum(axis=1) >= least * n[j] - 1e-6]
         if len(j):
@@ -209,7 +212,7 @@ def _linked(pairs: DataFrame, rows: DataFrame, texts: DataFrame, least: float) -
 
 
 def _open_pairs(rest: DataFrame, least: float, stars: bool) -> DataFrame:
-    """The open pairs (a, b) of rest(key, m, node, n, label, bins), where m is the size of the bucket. Members
+    """The open pairs (a, b) of rest(key, m, node, n, label, bins, held), where held are a text's sketches and m is the size of the bucket. Members
     of a large bucket are dealt over parts and meet in a cell for each two parts; small buckets share cells."""
 
     def run(cell):
@@ -219,11 +222,12 @@ def _open_pairs(rest: DataFrame, least: float, stars: bool) -> DataFrame:
         order = np.lexsort((j, i, key))
         ids, n, labels, first = (cell.column(c).to_numpy(zero_copy_only=False)[order] for c in ("node", "n", "label", "first"))
         bins = unpacked_bins(cell.column("bins").to_pylist())[order]
+        held = cell.column("held").combine_chunks().flatten().to_numpy().reshape(len(order), -1)[order]
         key, i, j = key[order], i[order], j[order]
         cuts = np.flatnonzero((np.diff(key) != 0) | (np.diff(i) != 0) | (np.diff(j) != 0)) + 1
         a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
         for s, e in zip([0, *cuts], [*cuts, len(key)], strict=True):
-            for x, ys in open_pairs(n[s:e], labels[s:e], None if i[s] == j[s] else first[s:e], bins[s:e], least, stars):
+            for x, ys in open_pairs(n[s:e], labels[s:e], None if i[s] == j[s] else first[s:e], bins[s:e], held[s:e], key[s], least, stars):
                 a.append(np.full(len(ys), ids[s + x]))
                 b.append(ids[s + ys])
         a, b = np.concatenate(a), np.concatenate(b)
@@ -235,7 +239,7 @@ def _open_pairs(rest: DataFrame, least: float, stars: bool) -> DataFrame:
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     dealt = dealt.withColumns({"i": F.least("part", "other"), "j": F.greatest("part", "other")})
     cell = F.when(F.col("parts") > 1, F.xxhash64("key", "i", "j")).otherwise(F.pmod(F.col("key"), F.lit(max(cells, 1))))
-    dealt = dealt.select(cell.alias("cell"), "key", "i", "j", (F.col("part") == F.col("i")).alias("first"), "node", "n", "label", "bins")
+    dealt = dealt.select(cell.alias("cell"), "key", "i", "j", (F.col("part") == F.col("i")).alias("first"), "node", "n", "label", "bins", "held")
     return dealt.groupBy("cell").applyInArrow(run, "a long, b long").distinct()
 
 
@@ -251,7 +255,7 @@ def near_duplicates(
     Long texts are compared whole, in memory and time of the band of their alignment.
 
     Equal texts are collapsed to a node first. In each bucket of equal sketches every node is first compared
-    with the bucket's smallest, which joins large classes by as many pairs as rows. Then all members of a
+    with that of the smallest id, which joins large classes by as many pairs as rows. Then all members of a
     bucket that are in different classes are compared, unless their lengths or words rule a link out: first
     with centres, to join large classes that something else leads, then each pair that is left. So any two
     texts that share a sketch were compared, or cannot be linked, or share a class.
@@ -266,17 +270,21 @@ def near_duplicates(
     repeated = members.groupBy("id").agg(F.min("node").alias("a"), F.max("node").alias("b")).where("a < b").select(F.col("id").alias("same"), "a")
     by_id = members.join(maybe_broadcast(repeated, 64), F.col("id").eqNullSafe(F.col("same"))).select("a", F.col("node").alias("b"))
 
-    held = texts.select("node", "n", F.explode("keys").alias("key"))
-    leaders = held.groupBy("key").agg(F.min(F.struct("node", "n")).alias("lead"), F.count("*").alias("held")).where("held > 1").select("key", "lead")
+    # The smallest id leads: it is the likelier source of the others.
+    held = texts.select(F.struct(F.col("first").isNotNull().alias("known"), "first", "node", "n").alias("t"), F.explode("keys").alias("key"))
+    leaders = held.groupBy("key").agg(F.min("t").alias("lead"), F.count("*").alias("held")).where("held > 1").select("key", "lead")
     near = F.least(F.col("n"), F.col("lead.n")) >= least * F.greatest(F.col("n"), F.col("lead.n"))
-    pairs = cut(held.join(leaders, "key").where((F.col("node") != F.col("lead.node")) & near).select(F.col("lead.node").alias("a"), F.col("node").alias("b")).distinct())
+    held = texts.select("node", "n", F.explode("keys").alias("key"))
+    led = held.join(leaders, "key").where((F.col("node") != F.col("lead.node")) & near)
+    pairs = cut(led.select(F.least("lead.node", "node").alias("a"), F.greatest("lead.node", "node").alias("b")).distinct())
     labels = components(_linked(pairs, rows, texts, least).select("a", "b").union(by_id))
 
     mixed = None
     for stars in (True, False):
         labelled = texts.join(maybe_broadcast(labels, 40), "node", "left").withColumn("label", F.coalesce("label", "node"))
         # Pairs of neighbouring sketches meet in the buckets of each, too.
-        held = labelled.select("node", "n", "label", "bins", F.explode(F.slice("keys", 1, sketches)).alias("key"))
+        own = F.slice("keys", 1, sketches)
+        held = labelled.select("node", "n", "label", "bins", own.alias("held"), F.explode(own).alias("key"))
         if mixed is not None:
             held = held.join(maybe_broadcast(mixed.select("key"), 24), "key", "left_semi")
         mixed = cut(held.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count("*").alias("m")).where("low < high").select("key", "m"))
