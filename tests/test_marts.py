@@ -1,4 +1,8 @@
-"""Hand-made matches with values computed by hand."""
+"""Marts over random matches against plain loops over the same rows."""
+
+import math
+import random
+from collections import defaultdict
 
 import pytest
 from pyspark.sql import functions as F
@@ -13,76 +17,116 @@ EVENT = (
     "shot_statsbomb_xg double, shot_outcome string, shot_type string, carry_end_x double, carry_end_y double, dribble_outcome string, duel_type string, duel_outcome string, aerial_won boolean"
 )
 NAMES = [c.split()[0] for c in EVENT.split(", ")]
-
-
-def event(n, match, team, player, kind, **more):
-    row = dict.fromkeys(NAMES) | {"pass_switch": False, "pass_through_ball": False, "pass_shot_assist": False, "pass_goal_assist": False, "pass_cross": False, "aerial_won": False, "under_pressure": False}
-    row |= {"event_id": f"e{n}", "match_id": match, "minute": 10, "type_name": kind, "team_id": team, "team_name": {101: "Barcelona", 102: "Villarreal"}[team], "player_id": player, "location_x": 60.0, "location_y": 40.0} | more
-    return tuple(row[c] for c in NAMES)
+TEAMS = {7: "Harbour", 8: "Orchard", 9: "Quarry"}
+GAMES = [(50, 7, 8, 3, 1), (51, 8, 9, 0, 0), (52, 9, 7, 2, 4), (53, 7, 8, 1, 2)]
+PEOPLE = {11: (7, "Right Wing"), 12: (7, "Center Midfield"), 13: (8, "Center Forward"), 14: (8, "Left Back"), 15: (9, "Goalkeeper"), 16: (9, None)}
+
+
+def half_up(x, digits):
+    return math.floor(x * 10**digits + 0.5) / 10**digits
+
+
+def random_events():
+    rng, rows = random.Random(20), []
+    for match, home, away, _, _ in GAMES:
+        for player, (team, _) in PEOPLE.items():
+            if team not in (home, away) or (match, player) == (53, 16):
+                continue
+            for _ in range(rng.randint(12, 30)):
+                kind = rng.choice(["Pass"] * 6 + ["Shot"] * 3 + ["Carry"] * 3 + ["Dribble", "Dribble", "Pressure", "Duel"])
+                e = dict.fromkeys(NAMES) | {
+                    "event_id": f"e{len(rows)}", "match_id": match, "minute": rng.randint(1, 93), "type_name": kind, "team_id": team, "team_name": TEAMS[team], "player_id": player, "location_x": rng.uniform(0, 110),
+                    "location_y": rng.uniform(0, 80), "under_pressure": rng.random() < 0.3, "pass_switch": False, "pass_through_ball": False, "pass_shot_assist": rng.random() < 0.2, "pass_goal_assist": False,
+                    "pass_cross": False, "aerial_won": False,
+                }
+                if kind == "Pass":
+                    e |= {"pass_length": rng.uniform(2, 40), "pass_end_x": rng.uniform(0, 120), "pass_end_y": 40.0, "pass_outcome": rng.choice([None, None, None, "Incomplete", "Out"])}
+                if kind == "Shot":
+                    e |= {"shot_statsbomb_xg": rng.randint(1, 60) / 100, "shot_outcome": rng.choice(["Goal", "Saved", "Off T"]), "shot_type": rng.choice(["Open Play", "Open Play", "Penalty"])}
+                if kind == "Carry":
+                    e |= {"carry_end_x": rng.uniform(0, 120), "carry_end_y": rng.uniform(0, 80)}
+                if kind == "Dribble":
+                    e |= {"dribble_outcome": rng.choice(["Complete", "Incomplete"])}
+                if kind == "Duel":
+                    e |= {"duel_type": "Tackle", "duel_outcome": rng.choice(["Won", "Lost"])}
+                rows.append(e)
+    return rows
+
+
+ROWS = random_events()
 
 
 @pytest.fixture(scope="module")
 def tables(spark):
-    rows, add = [], lambda *a, **k: rows.append(event(len(rows), *a, **k))
-    for xg, out in ((0.3, "Goal"), (0.2, "Goal"), (0.1, "Saved")):
-        add(3001, 101, 5503, "Shot", shot_statsbomb_xg=xg, shot_outcome=out, shot_type="Open Play")
-    for i in range(8):
-        add(3001, 101, 5503, "Pass", pass_length=15.0 + i, pass_end_x=75.0, pass_end_y=35.0)
-    for _ in range(2):
-        add(3001, 101, 5503, "Pass", pass_length=30.0, pass_end_x=90.0, pass_end_y=20.0, pass_outcome="Incomplete")
-    for i in range(5):
-        add(3001, 101, 5503, "Carry", carry_end_x=72.0 + i, carry_end_y=38.0)
-    for out in ("Complete", "Complete", "Incomplete"):
-        add(3001, 101, 5503, "Dribble", dribble_outcome=out)
-    add(3002, 101, 5503, "Shot", shot_statsbomb_xg=0.15, shot_outcome="Goal", shot_type="Open Play")
-    for match, n, length in ((3001, 18, 12.0), (3002, 15, 11.0)):
-        for _ in range(n):
-            add(match, 101, 6832, "Pass", pass_length=length, pass_end_x=65.0 if match == 3001 else 63.0, pass_end_y=40.0)
-    for _ in range(2):
-        add(3001, 101, 6832, "Pass", pass_length=20.0, pass_end_x=80.0, pass_end_y=30.0, pass_outcome="Out")
-    for xg, out in ((0.25, "Saved"), (0.15, "Blocked")):
-        add(3001, 102, 9001, "Shot", shot_statsbomb_xg=xg, shot_outcome=out, shot_type="Open Play")
-    for _ in range(7):
-        add(3001, 102, 9001, "Pass", pass_length=10.0, pass_end_x=70.0, pass_end_y=38.0)
-    add(3001, 102, 9001, "Pass", pass_length=25.0, pass_end_x=85.0, pass_end_y=25.0, pass_outcome="Incomplete")
     matches = spark.createDataFrame(
-        [(3001, 11, "La Liga", 90, "2020/2021", 101, "Barcelona", 102, "Villarreal", 4, 0), (3002, 11, "La Liga", 90, "2020/2021", 102, "Villarreal", 101, "Barcelona", 1, 2)],
+        [(m, 3, "Coast Cup", 1, "2031", h, TEAMS[h], a, TEAMS[a], x, y) for m, h, a, x, y in GAMES],
         "match_id long, competition_id long, competition_name string, season_id long, season_name string, home_team_id long, home_team_name string, away_team_id long, away_team_name string, home_score long, away_score long",
     )
-    people = [(5503, "Lionel Messi", 101, "Barcelona", "Right Wing"), (6832, "Sergio Busquets", 101, "Barcelona", "Center Midfield"), (9001, "Gerard Moreno", 102, "Villarreal", "Center Forward")]
     lineups = spark.createDataFrame(
-        [(m, t, tn, p, pn, None, None, 170.0, 72.0, "X", pos) for m in (3001, 3002) for p, pn, t, tn, pos in people],
+        [(m, t, TEAMS[t], p, f"Player {p}", None, None, 180.0, 75.0, "Z", pos) for m, h, a, _, _ in GAMES for p, (t, pos) in PEOPLE.items() if t in (h, a)],
         "match_id long, team_id long, team_name string, player_id long, player_name string, player_nickname string, birth_date date, height_cm double, weight_kg double, country_name string, starting_position string",
     )
-    return matches, spark.createDataFrame(rows, EVENT), lineups
+    return matches, spark.createDataFrame([tuple(r[c] for c in NAMES) for r in ROWS], EVENT), lineups
+
+
+def of(**wanted):
+    return [r for r in ROWS if all(r[k] == v for k, v in wanted.items())]
 
 
 def test_match_summary(tables):
     rows = {r["match_id"]: r for r in marts.match_summary(*tables[:2]).collect()}
-    assert rows[3001]["result"] == "Home Win" and rows[3001]["match_classification"] == "High Scoring"
-    assert rows[3002]["result"] == "Away Win" and rows[3002]["match_classification"] == "Normal"
-    assert rows[3002]["home_xg"] is None and rows[3002]["away_xg"] == 0.15
-    assert rows[3001]["home_passes"] == 30 and rows[3001]["away_passes"] == 8 and rows[3001]["home_possession_pct"] == 78.9
+    assert [rows[m]["result"] for m in (50, 51, 52, 53)] == ["Home Win", "Draw", "Away Win", "Away Win"]
+    assert [rows[m]["match_classification"] for m in (50, 51, 53)] == ["High Scoring", "Goalless", "Normal"]
+    for m, h, a, _, _ in GAMES:
+        passes = {t: len(of(match_id=m, team_id=t, type_name="Pass")) for t in (h, a)}
+        assert (rows[m]["home_passes"], rows[m]["away_passes"]) == (passes[h], passes[a])
+        assert rows[m]["home_xg"] == half_up(sum(r["shot_statsbomb_xg"] for r in of(match_id=m, team_id=h, type_name="Shot")) + 1e-12, 3)
+        assert rows[m]["home_possession_pct"] == half_up(passes[h] * 100 / sum(passes.values()), 1)
+
+
+def expected_minutes(player):
+    total = 0
+    for m, h, a, _, _ in GAMES:
+        team, position = PEOPLE[player]
+        own = of(match_id=m, player_id=player)
+        if team in (h, a) and (position or own):
+            last = max(r["minute"] for r in of(match_id=m))
+            total += last if position else last - min(r["minute"] for r in own)
+    return total
 
 
 def test_player_summary(tables):
     rows = {r["player_id"]: r for r in marts.player_summary(*tables).collect()}
-    messi, busquets = rows[5503], rows[6832]
-    assert (messi["goals"], messi["xg_total"], messi["pass_accuracy_pct"], messi["minutes_played"], messi["matches_played"]) == (3, 0.75, 80.0, 20, 2)
-    assert (messi["goals_p90"], messi["dribble_success_pct"], messi["progressive_carries"]) == (13.5, 66.7, 5)
-    assert busquets["goals"] == 0 and busquets["xg_total"] == 0.0 and busquets["pass_accuracy_pct"] == 94.3
-    # A match without a pass doesn't count in the mean of the matches' mean lengths.
-    assert messi["avg_pass_length_m"] == 20.8
-    assert messi["position_name"] == "Right Wing" and messi["secondary_position_name"] is None
-    assert len(rows) == 3 and where_all(marts.player_summary(*tables), {"position_name": "Center Midfield", "team_name": None}).count() == 1
-    assert where_all(marts.player_summary(*tables), minimum={"matches_played": 3}).isEmpty()
+    assert set(rows) == set(PEOPLE)
+    for p, r in rows.items():
+        shots, passes = of(player_id=p, type_name="Shot"), of(player_id=p, type_name="Pass")
+        goals = sum(s["shot_outcome"] == "Goal" for s in shots)
+        accurate = sum(x["pass_outcome"] is None for x in passes)
+        assert (r["goals"], r["total_passes"], r["accurate_passes"], r["minutes_played"]) == (goals, len(passes), accurate, expected_minutes(p))
+        assert r["xg_total"] == pytest.approx(sum(s["shot_statsbomb_xg"] for s in shots), abs=6e-4) and r["npxg_total"] == pytest.approx(sum(s["shot_statsbomb_xg"] for s in shots if s["shot_type"] == "Open Play"), abs=6e-4)
+        assert r["goals_p90"] == half_up(goals * 90 / expected_minutes(p), 3) and r["pass_accuracy_pct"] == half_up(accurate * 100 / len(passes), 1)
+        carries = of(player_id=p, type_name="Carry")
+        assert r["progressive_carries"] == sum(c["carry_end_x"] - c["location_x"] >= 10 for c in carries)
+        assert r["total_carry_distance_m"] == pytest.approx(sum(math.hypot(c["carry_end_x"] - c["location_x"], c["carry_end_y"] - c["location_y"]) for c in carries), abs=0.06)
+        means = defaultdict(list)
+        for x in passes:
+            means[x["match_id"]].append(x["pass_length"])
+        # A match without a pass doesn't count in the mean of the matches' means.
+        assert r["avg_pass_length_m"] == pytest.approx(sum(sum(v) / len(v) for v in means.values()) / len(means), abs=6e-3)
+        assert r["position_name"] == PEOPLE[p][1] and r["secondary_position_name"] is None
+    assert where_all(marts.player_summary(*tables), {"position_name": "Center Midfield", "team_name": None}).count() == 1
+    assert where_all(marts.player_summary(*tables), minimum={"matches_played": 4}).isEmpty()
 
 
 def test_team_summary(tables):
     rows = {r["team_name"]: r for r in marts.team_summary(*tables[:2]).collect()}
-    b, v = rows["Barcelona"], rows["Villarreal"]
-    assert (b["wins"], b["draws"], b["losses"], b["points"], b["goals_scored"], b["goal_difference"]) == (2, 0, 0, 6, 6, 5)
-    assert (v["losses"], v["points"]) == (2, 0) and v["xg_against"] == 0.75 and b["xg_for"] == 0.75
+    harbour, quarry = rows["Harbour"], rows["Quarry"]
+    assert (harbour["wins"], harbour["draws"], harbour["losses"], harbour["points"], harbour["goals_scored"], harbour["goal_difference"]) == (2, 0, 1, 6, 8, 3)
+    assert (quarry["draws"], quarry["losses"], quarry["points"]) == (1, 1, 1)
+    for t, name in TEAMS.items():
+        games = [m for m, h, a, _, _ in GAMES if t in (h, a)]
+        xg = lambda own: sum(r["shot_statsbomb_xg"] for r in ROWS if r["match_id"] in games and r["type_name"] == "Shot" and (r["team_id"] == t) == own)
+        assert rows[name]["xg_for"] == pytest.approx(xg(True), abs=6e-4) and rows[name]["xg_against"] == pytest.approx(xg(False), abs=6e-4)
 
 
 def test_percentiles_are_bounded(tables):

@@ -22,7 +22,7 @@ SCHEMA = "id long, name string, position string, team string, minutes long, " +
 
 @pytest.fixture(scope="module")
 def players(spark):
-    rows = [(1, "A", "Center Forward", "X", 2000, 85.0, 90.0, 75.0, 80.0, 40.0, 70.0), (2, "B", "Center Forward", "Y", 2100, 82.0, 85.0, 70.0, 75.0, 45.0, 85.0), (3, "C", "Center Back", "Z", 2200, 60.0, 40.0, 85.0, 70.0, 95.0, 60.0)]
+    rows = [(1, "Ada", "Winger", "Elm", 1450, 62.0, 71.0, 58.0, 74.0, 33.0, 66.0), (2, "Bo", "Winger", "Oak", 1720, 64.0, 77.0, 52.0, 71.0, 30.0, 73.0), (3, "Cy", "Fullback", "Ash", 990, 48.0, 36.0, 69.0, 73.0, 88.0, 21.0)]
     return spark.createDataFrame(rows, SCHEMA)
 
 
@@ -32,8 +32,8 @@ def one(spark, *columns):
 
 def test_golden_ranking(players):
     got = D.rank_candidates(players, "id", {"creation": 0.6, "threat": 0.4}).collect()
-    assert [(r["name"], r["fit_score"]) for r in got][:2] == [("B", 85.0), ("A", 82.0)]
-    assert D.rank_candidates(players, "id", {}, where=F.col("minutes") >= 2100, excluded=players.where("id = 3")).first()["fit_score"] == 50.0
+    assert [(r["name"], r["fit_score"]) for r in got][:2] == [("Bo", 75.4), ("Ada", 69.0)]
+    assert D.rank_candidates(players, "id", {}, where=F.col("minutes") >= 1500, excluded=players.where("id = 3")).first()["fit_score"] == 50.0
 
 
 def test_replacement_and_comparison(players):
@@ -41,7 +41,7 @@ def test_replacement_and_comparison(players):
     assert [x["candidate"] for x in r] == [2]
     tall = teams.long_scores(players.where("id IN (1, 3)"), ["id"], CAPS).withColumn("g", F.lit(1))
     c = {x["capability"]: x for x in D.comparison(tall, ["g"], "id").collect()}
-    assert c["defence"]["key_difference"] and c["defence"]["best"] == 3 and c["defence"]["worst"] == 1 and c["defence"]["high"] == 95.0
+    assert c["defence"]["key_difference"] and c["defence"]["best"] == 3 and c["defence"]["worst"] == 1 and c["defence"]["high"] == 88.0
     assert c["resistance"]["shared_strength"] and not c["resistance"]["key_difference"]
 
 
