@@ -17,59 +17,77 @@ def wide_form(df: DataFrame, ids: list[str], metrics: list[str], value: str, suf
     return df.groupBy(*ids).agg(*[F.max(F.when(F.col("metric") == m, F.col(value))).alias(m + suffix) for m in metrics])
 
 
+def group_ranks(df: DataFrame, keys: list[str], value: str, buckets: int = 64) -> DataFrame:
+    """df with __rank of value in its group (nulls first, ties share the lowest), and the group's __n rows and
+    __nulls and the value's __ties, without one task for a group.
+
+    Values are counted first. Quantiles cut each group's distinct values into buckets: a window over the
+    buckets' sums (groups x buckets rows) and one within each bucket give the rows below each value.
+    """
+    own = [f"__k{i}" for i in range(len(keys))]
+    counts = df.groupBy(*[F.col(k).alias(o) for k, o in zip(keys, own, strict=True)], F.col(value).alias("__v")).agg(F.count("*").alias("__ties"))
+    cuts = F.percentile_approx(F.col("__v").cast("double"), [i / buckets for i in range(1, buckets)], 1000)
+    nulls = F.coalesce(F.sum(F.when(F.col("__v").isNull(), F.col("__ties"))), F.lit(0))
+    groups = counts.groupBy(*own).agg(cuts.alias("__cuts"), F.sum("__ties").alias("__n"), nulls.alias("__nulls"))  # a row a group
+    bucket = F.when(F.col("__v").isNull(), -1).otherwise(F.size(F.filter("__cuts", lambda e: e <= F.col("__v"))))
+    placed = _join_nulls(counts, groups, own).withColumn("__b", bucket).drop("__cuts")
+    sums = placed.groupBy(*own, "__b").agg(F.sum("__ties").alias("__s"))
+    earlier = F.sum("__s").over(Window.partitionBy(*own).orderBy("__b").rowsBetween(Window.unboundedPreceding, -1))
+    offsets = sums.select(*own, "__b", F.coalesce(earlier, F.lit(0)).alias("__o"))
+    within = F.sum("__ties").over(Window.partitionBy(*own, "__b").orderBy(F.col("__v").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, -1))
+    ranks = _join_nulls(placed.withColumn("__w", F.coalesce(within, F.lit(0))), offsets, [*own, "__b"])
+    ranks = ranks.select(*own, "__v", "__n", "__nulls", "__ties", (F.col("__o") + F.col("__w") + 1).alias("__rank"))
+    on = F.col(value).eqNullSafe(F.col("__v"))
+    for k, o in zip(keys, own, strict=True):
+        on = on & F.col(k).eqNullSafe(F.col(o))
+    return df.join(ranks, on).drop("__v", *own)
+
+
+def _join_nulls(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
+    """An equi-join in which null keys are equal."""
+    if not keys:
+        return left.crossJoin(F.broadcast(right))  # one row
+    renamed = right.select(*[F.col(k).alias(f"__r{k}") for k in keys], *[c for c in right.columns if c not in keys])
+    on = F.lit(True)
+    for k in keys:
+        on = on & F.col(k).eqNullSafe(F.col(f"__r{k}"))
+    return left.join(renamed, on).drop(*[f"__r{k}" for k in keys])
+
+
+_MARKS = ["__rank", "__n", "__nulls", "__ties"]
+
+
 def cohort_percent_rank(df: DataFrame, cohort: list[str], metrics: list[str], ids: list[str], suffix: str = "_pct", digits: int = 1) -> DataFrame:
     """ids, cohort and the percent rank (0 to 100, nulls lowest) of each metric in its cohort."""
-    tall = long_form(df, [*ids, *cohort], metrics)
-    w = Window.partitionBy(*cohort, "metric").orderBy(F.col("value").asc_nulls_first())
-    ranked = tall.withColumn("p", rounded(F.percent_rank().over(w) * 100, digits))
-    return wide_form(ranked, [*ids, *cohort], metrics, "p", suffix)
+    ranked = group_ranks(long_form(df, [*ids, *cohort], metrics), [*cohort, "metric"], "value")
+    p = F.when(F.col("__n") > 1, rounded((F.col("__rank") - 1) / (F.col("__n") - 1) * 100, digits)).otherwise(0.0)
+    return wide_form(ranked.withColumn("p", p), [*ids, *cohort], metrics, "p", suffix)
 
 
 def midrank_percentiles(df: DataFrame, cohort: list[str], metrics: list[str], ids: list[str], suffix: str = "_mid", digits: int = 6) -> DataFrame:
     """Percent of the cohort below the middle of a value's ties; null values get 0 but count in the cohort."""
-    tall = long_form(df, [*ids, *cohort], metrics)
-    group, ties = Window.partitionBy(*cohort, "metric"), Window.partitionBy(*cohort, "metric", "value")
-    rank = F.rank().over(group.orderBy(F.col("value").asc_nulls_last()))
-    mid = (rank + (F.count("*").over(ties) - 1) / 2 - 0.5) / F.count("*").over(group) * 100
-    ranked = tall.withColumn("p", F.when(F.col("value").isNull(), 0.0).otherwise(rounded(clip(mid, 0.0, 100.0), digits)))
-    return wide_form(ranked, [*ids, *cohort], metrics, "p", suffix)
-
-
-def global_ranks(df: DataFrame, value: str, buckets: int = 64) -> DataFrame:
-    """df with __rank (ties share the lowest, nulls first) and __n, without one task for all rows.
-
-    Values are counted first. Quantiles cut the distinct values into buckets: a window over the buckets'
-    sums (as many rows as buckets) and one within each bucket give the rows below each value.
-    """
-    cuts = df.agg(F.percentile_approx(F.col(value).cast("double"), [i / buckets for i in range(1, buckets)], 1000)).first()[0]
-    edges = sorted(set(cuts or []))
-    counts = df.groupBy(F.col(value).alias("__v")).agg(F.count("*").alias("__c"))
-    bucket = F.when(F.col("__v").isNull(), -1).otherwise(F.size(F.filter(F.array(*map(F.lit, edges)), lambda e: e <= F.col("__v"))) if edges else 0)
-    counts = counts.withColumn("__b", bucket)
-    sums = counts.groupBy("__b").agg(F.sum("__c").alias("__s"))
-    earlier = F.sum("__s").over(Window.orderBy("__b").rowsBetween(Window.unboundedPreceding, -1))
-    offsets = sums.select("__b", F.coalesce(earlier, F.lit(0)).alias("__o"))  # `buckets` + 1 rows
-    within = F.sum("__c").over(Window.partitionBy("__b").orderBy(F.col("__v").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, -1))
-    ranks = counts.join(F.broadcast(offsets), "__b").select("__v", (F.col("__o") + F.coalesce(within, F.lit(0)) + 1).alias("__rank"))
-    total = df.agg(F.count("*").alias("__n"))
-    return df.join(ranks, F.col(value).eqNullSafe(F.col("__v"))).drop("__v").crossJoin(F.broadcast(total))
+    ranked = group_ranks(long_form(df, [*ids, *cohort], metrics), [*cohort, "metric"], "value")
+    mid = (F.col("__rank") - F.col("__nulls") + (F.col("__ties") - 1) / 2 - 0.5) / F.col("__n") * 100
+    p = F.when(F.col("value").isNull(), 0.0).otherwise(rounded(clip(mid, 0.0, 100.0), digits))
+    return wide_form(ranked.withColumn("p", p), [*ids, *cohort], metrics, "p", suffix)
 
 
 def global_percent_rank(df: DataFrame, value: str, out: str, digits: int = 1) -> DataFrame:
-    ranked = global_ranks(df, value)
+    ranked = group_ranks(df, [], value)
     p = F.when(F.col("__n") > 1, rounded((F.col("__rank") - 1) / (F.col("__n") - 1) * 100, digits)).otherwise(0.0)
-    return ranked.withColumn(out, p).drop("__rank", "__n")
+    return ranked.withColumn(out, p).drop(*_MARKS)
 
 
 def global_ntile(df: DataFrame, value: str, tie: str, out: str, tiles: int = 10) -> DataFrame:
-    """Exact NTILE over all rows ordered by (value nulls first, tie): the place of a row is its value's
-    rank plus its place among equal values, so only ties share a task."""
-    ranked = global_ranks(df, value)
-    place = F.col("__rank") - 1 + F.row_number().over(Window.partitionBy(value).orderBy(tie)) - 1
-    size, extra = F.floor(F.col("__n") / tiles), F.col("__n") % tiles
+    """Exact NTILE over all rows ordered by (value nulls first, tie; tie a number): the place of a row is its
+    value's rank plus the rank of its tie among equal values. Rows equal in both share the lower tile."""
+    ranked = group_ranks(df, [], value).withColumnsRenamed({"__rank": "__low", "__n": "__all"}).drop("__nulls", "__ties")
+    ranked = group_ranks(ranked, [value], tie)
+    place = F.col("__low") - 1 + F.col("__rank") - 1
+    size, extra = F.floor(F.col("__all") / tiles), F.col("__all") % tiles
     big = extra * (size + 1)
     tile = F.when(place < big, F.floor(place / (size + 1))).otherwise(extra + F.floor((place - big) / F.greatest(size, F.lit(1)))) + 1
-    return ranked.withColumn(out, tile.cast("long")).drop("__rank", "__n")
+    return ranked.withColumn(out, tile.cast("long")).drop("__low", "__all", *_MARKS)
 
 
 def cohort_ntile(cohort: list[str], order: list[Column], tiles: int = 10) -> Column:

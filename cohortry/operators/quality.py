@@ -33,6 +33,22 @@ def range_rule(name: str, broken: Column, level: str = "error") -> Rule:
     return Rule(name, level, broken)
 
 
+def required_rule(label: str, columns: list[str], level: str = "error") -> Rule:
+    """A record that lacks one of its required keys (C2): the columns parsed from them are null."""
+    return Rule(f"missing_keys_{label}", level, F.exists(F.array(*[F.col(c).isNull() for c in columns]), lambda x: x))
+
+
+def group_sizes(df: DataFrame, key: str, value: str, expected: int) -> DataFrame:
+    """(key, n): the groups that don't hold exactly `expected` different values."""
+    return df.groupBy(key).agg(F.countDistinct(value).alias("n")).where(F.col("n") != expected)
+
+
+def first_files(df: DataFrame, file: str, most: int = 20) -> DataFrame:
+    """The rows of the first `most` files by name, for a sampled validation (C10): as many names go through the driver."""
+    names = [r[0] for r in df.select(file).distinct().orderBy(file).limit(most).collect()]
+    return df.where(F.col(file).isin(names))
+
+
 def report(df: DataFrame, rules: list[Rule], dataset: str) -> DataFrame:
     """One row: totals, clean rows, counts by level, validity in percent, and each rule's count."""
     flags = df.select(*[F.coalesce(r.broken, F.lit(False)).alias(f"r{i}") for i, r in enumerate(rules)])

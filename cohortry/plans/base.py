@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cohortry.functions.scalar import pct, rate
+from cohortry.sources.tables import stored
 
 CAPABILITIES = ["progression", "creation", "security", "resistance", "defence", "threat"]
 
@@ -70,11 +71,11 @@ def entity_scores(spark: SparkSession, d: str) -> DataFrame:
     """id, cohort, team, n_orders, exposure and six scores: midrank percentiles of the rates in the cohort."""
     from cohortry.operators.cohort import midrank_percentiles
 
-    df = entity_rates(spark, d)
+    df = stored(entity_rates(spark, d))
     metrics = [f"{c}_rate" for c in CAPABILITIES]
     scores = midrank_percentiles(df, ["cohort"], metrics, ["id"], suffix="")
     scores = scores.select("id", *[F.col(f"{c}_rate").alias(c) for c in CAPABILITIES])
-    return df.select("id", "name", "cohort", "team", "n_orders", "exposure").join(scores, "id")
+    return stored(df.select("id", "name", "cohort", "team", "n_orders", "exposure").join(scores, "id"))
 
 
 def midrank_sql(value: str, cohort: str = "cohort") -> str:

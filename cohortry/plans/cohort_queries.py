@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from cohortry.functions.scalar import bands, difference, pct, possession_factor, ratio, result_label, rounded, weighted
 from cohortry.operators import cohort as K
 
+from cohortry.sources.tables import stored
+
 from .base import CAPABILITIES, RATES, div, entity_facts, entity_rates, midrank_sql, rnd, table, ENTITY
 
 QUERIES, ORACLES = {}, {}
@@ -142,19 +144,20 @@ _SUM = lambda terms: " + ".join(f"{k} * {v}e0" for k, v in terms.items())  # noq
 def percentiles_in_cohort(spark: SparkSession, d: str) -> DataFrame:
     """Percent ranks in the cohort for qualified entities, and their weighted composite."""
     q = entity_rates(spark, d).where("n_orders >= 1 AND n_lines >= 10")
+    q = stored(q)
     return K.cohort_percent_rank(q, ["cohort"], _RATE_COLUMNS, ["id"]).withColumn("overall_percentile", weighted(_OVERALL, 1))
 
 
 @register(f"WITH {ENTITY} SELECT id, {rnd('percent_rank() OVER (ORDER BY n_returned ASC NULLS FIRST) * 100e0', 1)} AS returned_pct_overall FROM entity")
 def global_percentile(spark: SparkSession, d: str) -> DataFrame:
     """Percent rank over all entities without a single task."""
-    return K.global_percent_rank(entity_facts(spark, d).select("id", "n_returned"), "n_returned", "returned_pct_overall").select("id", "returned_pct_overall")
+    return K.global_percent_rank(stored(entity_facts(spark, d).select("id", "n_returned")), "n_returned", "returned_pct_overall").select("id", "returned_pct_overall")
 
 
 @register(f"WITH {RATES} SELECT id, ntile(10) OVER (ORDER BY exposure ASC NULLS FIRST, id) AS decile, ntile(10) OVER (PARTITION BY cohort ORDER BY progression_rate ASC NULLS FIRST, id) AS decile_in_cohort FROM rates")
 def deciles(spark: SparkSession, d: str) -> DataFrame:
     """Exact deciles over all entities and in the cohort."""
-    df = K.global_ntile(entity_rates(spark, d).select("id", "cohort", "exposure", "progression_rate"), "exposure", "id", "decile")
+    df = K.global_ntile(stored(entity_rates(spark, d).select("id", "cohort", "exposure", "progression_rate")), "exposure", "id", "decile")
     return df.select("id", "decile", K.cohort_ntile(["cohort"], [F.col("progression_rate").asc_nulls_first(), F.col("id")]).alias("decile_in_cohort"))
 
 
@@ -166,6 +169,7 @@ candidates AS (SELECT id, cohort, team, n_orders, contribution_score, row_number
 
 def _candidates(spark: SparkSession, d: str) -> DataFrame:
     q = entity_rates(spark, d).where("n_orders >= 2 AND n_lines >= 20")
+    q = stored(q)
     p = q.join(K.cohort_percent_rank(q, ["cohort"], _RATE_COLUMNS, ["id"]).drop("cohort"), "id").withColumn("contribution_score", weighted(_CONTRIBUTION, 1))
     w = Window.partitionBy("cohort")
     order = [F.desc("contribution_score"), F.desc("exposure"), F.col("id")]
@@ -200,7 +204,7 @@ def shrunk_metrics(spark: SparkSession, d: str) -> DataFrame:
 @register(f"WITH {RATES} SELECT id, cohort, {', '.join(f'{midrank_sql(v)} AS {v}_mid' for v in _RATE_COLUMNS)} FROM rates")
 def midrank_percentiles(spark: SparkSession, d: str) -> DataFrame:
     """Midrank percentiles of six metrics with one window."""
-    return K.midrank_percentiles(entity_rates(spark, d), ["cohort"], _RATE_COLUMNS, ["id"])
+    return K.midrank_percentiles(stored(entity_rates(spark, d)), ["cohort"], _RATE_COLUMNS, ["id"])
 
 
 @register(f"""WITH {RATES} SELECT id, {rnd('(exposure - avg(exposure) OVER w) / CASE WHEN stddev_pop(exposure) OVER w = 0 THEN 1e0 ELSE stddev_pop(exposure) OVER w END', 6)} AS z,

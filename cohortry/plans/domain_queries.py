@@ -7,12 +7,14 @@ team profiles, graph and claims are the library's, and each query's SQL says ane
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cohortry.functions.scalar import POSITION_GROUPS, rounded
 from cohortry.operators import cohort as K
+from cohortry.operators import graph as G
 from cohortry.operators import marts
+from cohortry.operators import quality as Q
 from cohortry.operators import scoring as S
 from cohortry.operators import teams as T
 
@@ -276,3 +278,50 @@ def fragility_claims(spark: SparkSession, d: str) -> DataFrame:
     """The five members each team would miss most (P5): a top-k by team."""
     f = _fragile(spark, d).select(*P.TEAM, "player_id", rounded(F.col("deficit"), 2).alias("strength"))
     return K.top_k(f, P.TEAM, [F.desc("strength"), F.col("player_id")], 5)
+
+
+# Raw checks and a squad's age
+
+@register(f"""WITH {_BASE}, j AS (SELECT event_id, event_type, json_extract_string(props, '$.k') AS k FROM events)
+SELECT 'missing_keys_event' AS rule, count(*) FILTER (WHERE k IS NULL OR event_type IS NULL) AS broken, count(*) AS total FROM j
+UNION ALL SELECT 'teams_not_2', count(*) FILTER (WHERE n <> 2), count(*) FROM (SELECT match_id, count(DISTINCT team_id) AS n FROM lu GROUP BY 1)
+UNION ALL SELECT 'missing_position_first_20_files', count(*) FILTER (WHERE starting_position IS NULL), count(*) FROM lu WHERE match_id IN (SELECT DISTINCT match_id FROM lu ORDER BY 1 LIMIT 20)""")
+def raw_checks(spark: SparkSession, d: str) -> DataFrame:
+    """Required keys of records, two teams a match, and a validation of the first twenty files only."""
+    parsed = table(spark, d, "events").select("event_type", F.get_json_object("props", "$.k").alias("k"))
+    _, _, lineups = _tables(spark, d)
+    row = lambda df, name, broken: df.agg(F.count_if(broken).alias("broken"), F.count("*").alias("total")).select(F.lit(name).alias("rule"), "broken", "total")
+    rule = Q.required_rule("event", ["k", "event_type"])
+    wrong = Q.group_sizes(lineups, "match_id", "team_id", 2).agg(F.count("*").alias("broken"))
+    pairs = wrong.crossJoin(lineups.agg(F.countDistinct("match_id").alias("total"))).select(F.lit("teams_not_2").alias("rule"), "broken", "total")  # one row each
+    sample = Q.first_files(lineups, "match_id")
+    return row(parsed, rule.name, rule.broken).unionByName(pairs).unionByName(row(sample, "missing_position_first_20_files", F.col("starting_position").isNull()))
+
+
+_EDGE = "SELECT '{0}' AS edge_type, CAST({1} AS VARCHAR) AS source_id, {2} AS target_id, {3} AS weight FROM {4}"
+_REQUIRED = [(n, c, w) for n, weights in P.WEIGHTS.items() for c, w in weights.items()]
+_VALUED = [(n, c, v) for n, values in P.STYLES.items() for c, v in zip(_CAPS, values, strict=True)]
+
+
+@register(f"""WITH {_BASE}, {_PROFILE}, {_ARCHETYPES}, rq(a, b, w) AS (VALUES {', '.join(f"('{a}', '{b}', {w}e0)" for a, b, w in _REQUIRED)}), vl(a, b, w) AS (VALUES {', '.join(f"('{a}', '{b}', {float(w)}e0)" for a, b, w in _VALUED)})
+{_EDGE.format('SEASON_OF', 'player_id', "concat(competition, '|', season, '|', team_name)", '1e0', 'lb')} UNION ALL {_EDGE.format('CAREER_OF', 'player_id', "CAST(count(*) AS VARCHAR)", '1e0', 'lb')} GROUP BY player_id
+UNION ALL {_EDGE.format('POSTED_METRIC', "concat(CAST(player_id AS VARCHAR), '|', competition, '|', season, '|', team_name)", "'goals_p90'", rnd('goals_p90', 3), 'lb')} WHERE goals_p90 > 0
+UNION ALL SELECT 'REQUIRES', a, b, w FROM rq UNION ALL SELECT 'VALUES', a, b, w FROM vl
+UNION ALL SELECT 'SUPERSEDES', CAST(player_id AS VARCHAR), concat(max(season), '>', min(season)), 1e0 FROM lb GROUP BY player_id HAVING count(DISTINCT season) > 1
+UNION ALL SELECT 'FITS_STYLE', concat(CAST(player_id AS VARCHAR), '|', competition, '|', season, '|', team_name), 'High Press', {rnd('(defensive_activity * 0.6e0 + press_resistance * 0.4e0) / 100e0', 4)} FROM lb""")
+def declared_edges(spark: SparkSession, d: str) -> DataFrame:
+    """Edges that are declared beside those built: levels, metrics, requirements, values, successions, fits."""
+    p = _profiles(spark, d)
+    where = F.concat_ws("|", "competition", "season", "team_name")
+    whole = F.concat_ws("|", F.col("player_id").cast("string"), where)
+    edge = lambda df, kind, source, target, weight: df.select(F.lit(kind).alias("edge_type"), source.alias("source_id"), target.alias("target_id"), weight.cast("double").alias("weight"))
+    player = F.col("player_id").cast("string")
+    seasons = p.groupBy("player_id").agg(F.count("*").alias("n"), F.max("season").alias("last"), F.min("season").alias("first"), F.countDistinct("season").alias("kinds"))
+    fixed = lambda kind, rows: edge(spark.createDataFrame([(a, b, float(w)) for a, b, w in rows], "a string, b string, w double"), kind, F.col("a"), F.col("b"), F.col("w"))
+    parts = [
+        edge(p, "SEASON_OF", player, where, F.lit(1.0)), edge(seasons, "CAREER_OF", player, F.col("n").cast("string"), F.lit(1.0)),
+        edge(p.where("goals_p90 > 0"), "POSTED_METRIC", whole, F.lit("goals_p90"), rounded(F.col("goals_p90"), 3)), fixed("REQUIRES", _REQUIRED), fixed("VALUES", _VALUED),
+        edge(seasons.where("kinds > 1"), "SUPERSEDES", player, F.concat_ws(">", "last", "first"), F.lit(1.0)),
+        edge(p, "FITS_STYLE", whole, F.lit("High Press"), rounded((F.col("defensive_activity") * 0.6 + F.col("press_resistance") * 0.4) / 100.0, 4)),
+    ]
+    return G.union_all(parts)

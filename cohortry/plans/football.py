@@ -11,6 +11,7 @@ from cohortry.operators import cohort as K
 from cohortry.operators import graph as G
 from cohortry.operators import scoring as S
 from cohortry.operators import teams as T
+from cohortry.sources.tables import stored
 
 # Capabilities and the weights of their metrics' percentiles.
 WEIGHTS = {
@@ -138,7 +139,7 @@ def profiles(spark: SparkSession, vectors: DataFrame, competition_matches: int =
     position maps to; without, to center backs and fullbacks (K1, K2, L1-L10, K8).
     """
     cohort, ids = ["profile_type", "position_group"], ["player_id", "profile_type", "position_group", "competition", "season", "team_name"]
-    v = vectors.withColumn("key", F.xxhash64(*ids))
+    v = stored(vectors.withColumn("key", F.xxhash64(*ids)))
     shrunk = v.select("key", *cohort, *[K.shrunk(m, "minutes_played", cohort, SHRINK_FROM, SHRINK_TO).alias(m) for m in METRICS])
     p = K.midrank_percentiles(shrunk, cohort, METRICS, ["key"], suffix="").drop(*cohort)
     groups = {"Defender": DEFENDER_SECURITY} | ({} if strict else {"Center Back": DEFENDER_SECURITY, "Fullback": DEFENDER_SECURITY})
@@ -147,7 +148,7 @@ def profiles(spark: SparkSession, vectors: DataFrame, competition_matches: int =
     scores["ball_security"] = rounded(S.by_group("position_group", groups, WEIGHTS["ball_security"]), 6)
     scores["defensive_activity"] = S.best_of(ACTIVE, CONTROLLING, NEGATIVE)
     caps = pg.select("key", *[scores[c].alias(c) for c in CAPABILITIES], *[F.col(m).alias(f"pct_{m}") for m in METRICS])
-    df = v.join(caps, "key")
+    df = stored(v.join(caps, "key"))  # read by several steps below
 
     low = F.col("matches_played") < 8
     versatile = df.withColumns({"threat": F.col("attacking_threat"), "defence": F.col("defensive_activity")})
@@ -173,11 +174,11 @@ def profiles(spark: SparkSession, vectors: DataFrame, competition_matches: int =
     df = df.withColumn("role_family", family.otherwise("Balanced")).withColumn("role_label", role_label())
     df = df.withColumn("overall_rating", S.role_rating(CAPABILITIES, {r: dict(zip(CAPABILITIES, w, strict=True)) for r, (_, w) in ROLES.items()}, "role_family"))
     df = S.presented_rating(df, "overall_rating", ["role_family"])
-    return df.withColumn("decision_signals", S.signals(signal_rules()))
+    return stored(df.withColumn("decision_signals", S.signals(signal_rules())))
 
 
 def role_label() -> Column:
-    """The first rule that holds."""
+    """The first rule that holds (L5). Thresholds and labels."""
     c = F.col
     many = sum((F.when(c(x) >= 60, 1).otherwise(0) for x in CAPABILITIES), F.lit(0))
     return (
@@ -196,6 +197,7 @@ def role_label() -> Column:
 
 
 def signal_rules() -> list[tuple[str, Column]]:
+    """Rules of the decision signals (L11). Thresholds and names."""
     c = F.col
     return [
         ("elite_goal_scorer", c("attacking_threat") >= 85), ("strong_chance_creator", c("chance_creation") >= 80),

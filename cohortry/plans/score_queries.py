@@ -407,7 +407,7 @@ def tactical_fit(spark: SparkSession, d: str) -> DataFrame:
     """Fit of each member to its team's own style and weaknesses."""
     means = _means(spark, d).select("team", *[F.col(c).alias(f"m_{c}") for c in CAPABILITIES])
     style = T.best_styles(_team_z(spark, d), ["team"], CAPABILITIES, STYLES).select("team", "primary_style")
-    j = entity_scores(spark, d).join(F.broadcast(means), "team").join(F.broadcast(style), "team")
+    j = entity_scores(spark, d).join(means, "team").join(style, "team")
     aligned = None
     for n in D.STYLE_WEIGHTS:
         hit = F.col("primary_style") == n

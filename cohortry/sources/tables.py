@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import tempfile
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
@@ -14,6 +15,29 @@ def read_json_arrays(spark: SparkSession, path: str, schema, recursive: bool = T
     return reader.json(path)
 
 
+def bad_json_files(spark: SparkSession, path: str, schema) -> DataFrame:
+    """(file, rows, bad): the files read_json_arrays leaves out or finds empty, to warn about (A1, C1): bad counts
+    records that don't parse, among them files whose root is no array of objects."""
+    from pyspark.sql import types as T
+
+    marked = T.StructType([*schema.fields, T.StructField("_corrupt_record", T.StringType())])
+    rows = spark.read.schema(marked).option("multiLine", True).option("recursiveFileLookup", True).json(path).select("*", F.col("_metadata.file_path").alias("__file"))
+    nothing = F.least(*[F.col(f"`{c}`").isNull().cast("int") for c in schema.fieldNames()], F.lit(1)) == 1
+    found = rows.groupBy(F.col("__file").alias("file")).agg(F.count("*").alias("rows"), F.count_if(F.col("_corrupt_record").isNotNull() | nothing).alias("bad"))
+    return found.where("bad > 0")
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """df written once to the folder of spark.checkpoint.dir and read from there by all that follows."""
+    context = df.sparkSession.sparkContext
+    if context.getCheckpointDir() is None:
+        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not folder and not context.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="checkpoints-"))
+    return df.checkpoint()
+
+
 def with_file_key(df: DataFrame, out: str) -> DataFrame:
     """df with the number that is its file's name; rows of files named otherwise go (A3)."""
     key = F.regexp_extract(F.col("_metadata.file_name"), r"^(\d+)\.json$", 1)
