@@ -42,3 +42,32 @@ def prefer(columns: list[str]) -> Column:
     for c in columns:
         out = F.when(F.col(c) == best, c) if out is None else out.when(F.col(c) == best, c)
     return out
+
+
+#: The steps of a retrieval strategy and the claim types it expects.
+PLANS = {
+    "player": (["GET_ENTITY", "TRAVERSE_EDGES", "PROJECT_CLAIMS"], ["capability", "archetype"]),
+    "comparison": (["GET_ENTITY", "TRAVERSE_EDGES", "PROJECT_CLAIMS"], ["capability", "archetype"]),
+    "replacement": (["GET_ENTITY", "TRAVERSE_EDGES", "PROJECT_CLAIMS"], ["capability", "archetype", "role_fit"]),
+    "team": (["GET_ENTITY", "TRAVERSE_EDGES", "PROJECT_CLAIMS"], ["team_capability", "team_fragility", "team_identity", "team_bottleneck", "team_concentration"]),
+    "general": ([], []),
+}
+
+
+def plans(strategy: Column) -> Column:
+    """The plan of a strategy as data (P13): a struct of steps and expected claim types."""
+    out = None
+    for name, (steps, types) in PLANS.items():
+        lists = F.struct(F.array(*map(F.lit, steps)).cast("array<string>").alias("steps"), F.array(*map(F.lit, types)).cast("array<string>").alias("expected"))
+        out = F.when(strategy == name, lists) if out is None else out.when(strategy == name, lists)
+    return out
+
+
+def strategy_scores(intent: Column, text: Column) -> dict[str, Column]:
+    """The score of each strategy for an intent, else by a keyword."""
+    low = F.lower(text)
+    has = lambda *xs: F.exists(F.array(*[F.contains(low, F.lit(x)) for x in xs]), lambda x: x)
+    return {
+        "comparison": F.when(intent == "COMPARE_PLAYERS", 1.0).otherwise(0.0), "player": F.when(intent == "PLAYER_ANALYSIS", 1.0).when(has("player"), 0.6).otherwise(0.0),
+        "team": F.when(intent == "TEAM_ANALYSIS", 1.0).when(has("team"), 0.4).otherwise(0.0), "replacement": F.when(intent == "RECRUITMENT", 0.8).when(has("replace"), 0.9).otherwise(0.0), "general": F.lit(0.5),
+    }

@@ -71,6 +71,30 @@ def tokens(text: Column, stop: list[str] = ()) -> Column:
     return F.filter(words, lambda w: (F.length(w) > 1) & ~w.isin(list(stop)) if stop else F.length(w) > 1)
 
 
+def words(text: Column) -> Column:
+    """Words of the folded text in order."""
+    return F.filter(F.split(folded_name(text), " "), lambda w: w != "")
+
+
+def whole_names(texts: DataFrame, query: str, text: str, names: DataFrame, most_words: int = 4) -> DataFrame:
+    """(query, pos, n, token, key) of the names of several words that stand in a text, word by word; a name
+    within a longer one that was found is left out. names: (token, key). An equi-join on the n-grams."""
+    w = texts.select(F.col(query).alias("query"), words(F.col(text)).alias("w"))
+    at = lambda n: F.transform(F.sequence(F.lit(1), F.size("w") - n + 1), lambda i: F.struct(i.alias("pos"), F.lit(n).alias("n"), F.array_join(F.slice("w", i, n), " ").alias("token")))
+    grams = F.flatten(F.array(*[F.when(F.size("w") >= n, at(n)).otherwise(F.array().cast("array<struct<pos:int,n:int,token:string>>")) for n in range(2, most_words + 1)]))
+    found = w.select("query", F.explode(grams).alias("g")).select("query", "g.*").join(names, "token")
+    longer = found.groupBy("query").agg(F.collect_set(F.struct("pos", "n")).alias("all"))  # of one text's own names
+    inside = F.exists("all", lambda o: (o["n"] > F.col("n")) & (o["pos"] <= F.col("pos")) & (o["pos"] + o["n"] >= F.col("pos") + F.col("n")))
+    return found.join(longer, "query").where(~inside).select("query", "pos", "n", "token", "key")
+
+
+def single_tokens(texts: DataFrame, query: str, text: str, found: DataFrame, stop: list[str] = STOP_WORDS) -> DataFrame:
+    """(query, token): the distinct words of more than one letter that no found name covers, without stop words."""
+    placed = texts.select(F.col(query).alias("query"), F.posexplode(words(F.col(text))).alias("p", "token")).where((F.length("token") > 1) & ~F.col("token").isin(stop))
+    covered = found.select("query", F.explode(F.sequence(F.col("pos") - 1, F.col("pos") + F.col("n") - 2)).alias("p"))
+    return placed.join(covered, ["query", "p"], "left_anti").select("query", "token").distinct()
+
+
 def name_index(entities: DataFrame, key: str, name: str, least_prefix: int = 4) -> DataFrame:
     """(token, key, kind): whole folded names, their words, and prefixes of words from least_prefix letters on."""
     base = entities.select(F.col(key).alias("key"), folded_name(F.col(name)).alias("n")).distinct()
@@ -112,3 +136,22 @@ def search_score(name: Column, query: str, minutes: Column) -> Column:
     hits = sum((F.when(F.contains(low, F.lit(w)), 1).otherwise(0) for w in words), F.lit(0))
     text = F.when(low == q, 1000).when(F.startswith(low, F.lit(q)), 500).when(hits == len(words), 200 + 10 * hits).when(F.contains(low, F.lit(q)), 100).otherwise(10 * hits)
     return F.when(text > 0, text + F.least(minutes / 10000.0, F.lit(50.0))).otherwise(0.0)
+
+
+def routed(kind: Column, players: Column, teams: Column) -> Column:
+    """Intent and entity roles (Q11) from the intent's kind and the arrays of players and teams found, in order:
+    a struct of intent, focus_player, compare_player, team, team_compare."""
+    p, t = F.size(players), F.size(teams)
+    one = lambda xs, i: F.get(xs, F.lit(i))
+    pair, clubs = (kind == "COMPARE_PLAYERS") & (p >= 2), (kind == "COMPARE_PLAYERS") & (p < 2) & (t >= 2)
+    single = kind.isin("PLAYER_ANALYSIS", "COUNTERFACTUAL") & (p >= 1)
+    scenario = (kind == "COUNTERFACTUAL") & (p >= 1) & (t >= 1)
+    hire, squad = (kind == "RECRUITMENT") & (p >= 1), (kind == "RECRUITMENT") & (p == 0) & (t >= 1)
+    club = (kind == "TEAM_ANALYSIS") & (t >= 1)
+    rest = ~(pair | clubs | single | hire | squad | club)  # nothing fits: whatever was found
+    focus = F.when(pair | single | hire | (rest & (p >= 1)), one(players, 0))
+    team = F.when(clubs | scenario | squad | club | (rest & (p == 0) & (t >= 1)), one(teams, 0))
+    routed_kind = F.when(clubs | scenario | squad, "TEAM_ANALYSIS").when((kind == "GENERAL") & team.isNotNull(), "TEAM_ANALYSIS").when((kind == "GENERAL") & focus.isNotNull(), "PLAYER_ANALYSIS").otherwise(kind)
+    return F.struct(
+        routed_kind.alias("intent"), focus.alias("focus_player"), F.when(pair, one(players, 1)).alias("compare_player"), team.alias("team"), F.when(clubs, one(teams, 1)).alias("team_compare"),
+    )

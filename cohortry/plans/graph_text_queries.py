@@ -183,16 +183,22 @@ def evidence_packets(spark: SparkSession, d: str) -> DataFrame:
     return p.select("id", F.array_join(F.col("metrics.metric_name"), ",").alias("metrics"), F.array_join(E.packet_faults(["threat"], F.col("n_orders") >= 5), ",").alias("faults"))
 
 
-_CHOICE = {"comparison": ("compare", 1.0), "player": ("player", 0.6), "team": ("team", 0.4), "replacement": ("replace", 0.9)}
+_PLAN_SQL = lambda i: "CASE strategy " + " ".join(f"WHEN '{n}' THEN '{','.join(p[i])}'" for n, p in E.PLANS.items()) + " END"
 
 
-@register("WITH s AS (SELECT conv_id, turn, " + ", ".join(f"CASE WHEN contains(lower(text), '{w}') THEN {v}e0 ELSE 0e0 END AS {n}" for n, (w, v) in _CHOICE.items()) + ", 0.5e0 AS general FROM conversations) SELECT conv_id, turn, CASE "
-    + " ".join(f"WHEN {n} = greatest(comparison, player, team, replacement, general) THEN '{n}'" for n in [*_CHOICE, "general"]) + " END AS strategy FROM s")
+@register(f"""WITH i AS (SELECT conv_id, turn, text, {{intent}} AS intent FROM (SELECT *, CASE WHEN conv_id % 3 = 0 THEN 'team_intelligence' END AS ws FROM conversations)),
+s AS (SELECT *, CASE WHEN intent = 'COMPARE_PLAYERS' THEN 1e0 ELSE 0e0 END AS comparison, CASE WHEN intent = 'PLAYER_ANALYSIS' THEN 1e0 WHEN contains(lower(text), 'player') THEN 0.6e0 ELSE 0e0 END AS player,
+  CASE WHEN intent = 'TEAM_ANALYSIS' THEN 1e0 WHEN contains(lower(text), 'team') THEN 0.4e0 ELSE 0e0 END AS team, CASE WHEN intent = 'RECRUITMENT' THEN 0.8e0 WHEN contains(lower(text), 'replace') THEN 0.9e0 ELSE 0e0 END AS replacement, 0.5e0 AS general FROM i),
+c AS (SELECT conv_id, turn, CASE {" ".join(f"WHEN {n} = greatest(comparison, player, team, replacement, general) THEN '{n}'" for n in ("comparison", "player", "team", "replacement", "general"))} END AS strategy FROM s)
+SELECT *, {_PLAN_SQL(0)} AS steps, {_PLAN_SQL(1)} AS expected FROM c""".replace("{intent}", "@INTENT@"))
 def strategy_choice(spark: SparkSession, d: str) -> DataFrame:
-    """The retrieval strategy with the largest score."""
-    low = F.lower("text")
-    scored = table(spark, d, "conversations").withColumns({n: F.when(F.contains(low, F.lit(w)), v).otherwise(0.0) for n, (w, v) in _CHOICE.items()} | {"general": F.lit(0.5)})
-    return scored.select("conv_id", "turn", E.prefer([*_CHOICE, "general"]).alias("strategy"))
+    """The retrieval strategy with the largest score, and its plan."""
+    c = table(spark, d, "conversations")
+    kind = X.intent(F.col("text"), F.when(F.col("conv_id") % 3 == 0, "team_intelligence"))
+    scores = E.strategy_scores(F.col("intent"), F.col("text"))
+    chosen = c.withColumn("intent", kind).withColumns(scores).select("conv_id", "turn", E.prefer(list(scores)).alias("strategy"))
+    plan = E.plans(F.col("strategy"))
+    return chosen.select("conv_id", "turn", "strategy", F.array_join(plan["steps"], ",").alias("steps"), F.array_join(plan["expected"], ",").alias("expected"))
 
 
 # Text (Q)
@@ -233,31 +239,50 @@ def folded_text(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "conversations").select("conv_id", "turn", folded_name(F.col("text")).alias("folded"))
 
 
-_TOKENS = f"tok AS (SELECT DISTINCT page_id AS query, token FROM (SELECT page_id, unnest(string_split({_FOLD.format('html')}, ' ')) AS token FROM pages) WHERE length(token) > 1)"
 _NAMES = f"ent AS (SELECT DISTINCT n_nationkey AS key, {_FOLD.format('n_name')} AS n FROM nation UNION SELECT DISTINCT 1000 + p_partkey, {_FOLD.format('p_name')} FROM part)"
+_WORDS = f"""wd AS (SELECT page_id AS query, list_filter(string_split({_FOLD.format('html')}, ' '), lambda x: x <> '') AS w FROM pages),
+gr AS (SELECT query, p, n, array_to_string(w[p:p + n - 1], ' ') AS token FROM wd, (VALUES (2), (3), (4)) k(n), unnest(range(1, len(w) - n + 2)) AS t(p)),
+fa AS (SELECT DISTINCT query, p, gr.n, token, key FROM gr JOIN ent ON gr.token = ent.n),
+fo AS (SELECT * FROM fa a WHERE NOT EXISTS (SELECT 1 FROM fa o WHERE o.query = a.query AND o.n > a.n AND o.p <= a.p AND o.p + o.n >= a.p + a.n)),
+cv AS (SELECT DISTINCT query, unnest(range(p, p + n)) AS p FROM fo),
+sg AS (SELECT query, unnest(w) AS token, generate_subscripts(w, 1) AS p FROM wd),
+tok AS (SELECT DISTINCT query, token FROM sg ANTI JOIN cv USING (query, p) WHERE length(token) > 1 AND token NOT IN ({', '.join(f"'{w}'" for w in X.STOP_WORDS)}))"""
 _INDEX = """w AS (SELECT key, unnest(string_split(n, ' ')) AS w FROM ent),
 idx AS (SELECT DISTINCT * FROM (SELECT n AS token, key, 1 AS kind FROM ent UNION ALL SELECT w, key, 2 FROM w UNION ALL SELECT w[1:i], key, 2 FROM w, unnest(range(4, length(w) + 1)) AS t(i) WHERE length(w) > 4)),
 j AS (SELECT query, tok.token, key, kind, min(kind) OVER (PARTITION BY query, tok.token) AS first FROM tok JOIN idx ON tok.token = idx.token),
-res AS (SELECT query, token, count(DISTINCT key) AS n_candidates, min(key) AS k FROM j WHERE kind = first GROUP BY 1, 2)"""
+one AS (SELECT query, token, count(DISTINCT key) AS n_candidates, min(key) AS k FROM j WHERE kind = first GROUP BY 1, 2),
+res AS (SELECT * FROM one UNION ALL SELECT query, token, count(DISTINCT key), min(key) FROM fo GROUP BY 1, 2),
+nm AS (SELECT DISTINCT query, key FROM fo)"""
 
 
-def _resolved(spark: SparkSession, d: str) -> DataFrame:
+def _resolved(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The entities of the pages' names and tokens, the names found whole, and the candidates' index."""
     n, p = table(spark, d, "nation"), table(spark, d, "part")
     e = n.select(F.col("n_nationkey").cast("long").alias("key"), F.col("n_name").alias("name")).unionByName(p.select((F.col("p_partkey") + 1000).alias("key"), F.col("p_name").alias("name")))
-    tokens = table(spark, d, "pages").select(F.col("page_id").alias("query"), F.explode(X.tokens(F.col("html"))).alias("token"))
-    return X.resolved(tokens, X.name_index(e, "key", "name"))
+    index, pages = X.name_index(e, "key", "name"), table(spark, d, "pages")
+    whole = X.whole_names(pages, "page_id", "html", index.where("kind = 1 AND token LIKE '% %'").select("token", "key"))
+    single = X.resolved(X.single_tokens(pages, "page_id", "html", whole), index)
+    several = whole.groupBy("query", "token").agg(F.countDistinct("key").alias("n_candidates"), F.min("key").alias("k"))
+    several = several.select("query", "token", F.when(F.col("n_candidates") == 1, F.col("k")).alias("key"), "n_candidates")
+    return single.unionByName(several), whole, index
 
 
-@register(f"WITH {_TOKENS}, {_NAMES}, {_INDEX} SELECT query, token, CAST(CASE WHEN n_candidates = 1 THEN k END AS BIGINT) AS key, n_candidates FROM res")
+@register(f"WITH {_NAMES}, {_WORDS}, {_INDEX} SELECT query, token, CAST(CASE WHEN n_candidates = 1 THEN k END AS BIGINT) AS key, n_candidates FROM res")
 def resolve_mentions(spark: SparkSession, d: str) -> DataFrame:
-    """Entities of the tokens of every page, by whole name, word or prefix (Q3, Q5-Q7)."""
-    return _resolved(spark, d)
+    """Entities of every page: names of several words first, the longest before those in it, then words by whole
+    name, word or prefix, without stop words (Q3, Q5-Q7)."""
+    return _resolved(spark, d)[0]
 
 
-@register(f"WITH {_TOKENS}, {_NAMES}, {_INDEX} SELECT query, count(*) AS n_ambiguous FROM res WHERE n_candidates > 1 GROUP BY query")
+@register(f"""WITH {_NAMES}, {_WORDS}, {_INDEX}, amb AS (SELECT query, token FROM res WHERE n_candidates > 1),
+left_ AS (SELECT a.query, a.token FROM amb a JOIN (SELECT token, key FROM idx) i ON a.token = i.token ANTI JOIN nm ON a.query = nm.query AND i.key = nm.key GROUP BY 1, 2 HAVING count(DISTINCT i.key) > 1)
+SELECT query, count(*) AS n_ambiguous FROM left_ GROUP BY query""")
 def ambiguous_tokens(spark: SparkSession, d: str) -> DataFrame:
-    """Tokens with several candidates (Q8)."""
-    return _resolved(spark, d).where("n_candidates > 1").groupBy("query").agg(F.count("*").alias("n_ambiguous"))
+    """Tokens with several candidates that no full name in the text covers (Q8)."""
+    found, whole, index = _resolved(spark, d)
+    open_ = found.where("n_candidates > 1").select("query", "token").join(index.select("token", "key").distinct(), "token")
+    left = open_.join(whole.select("query", "key").distinct(), ["query", "key"], "left_anti").groupBy("query", "token").agg(F.countDistinct("key").alias("n")).where("n > 1")
+    return left.groupBy("query").agg(F.count("*").alias("n_ambiguous"))
 
 
 def _sql_any(words: tuple) -> str:
@@ -267,6 +292,9 @@ def _sql_any(words: tuple) -> str:
 _INTENT = "CASE " + " ".join(f"WHEN {_sql_any(w)} THEN '{i}'" for w, i in [*X.INTENTS_FIRST]) + " " + " ".join(f"WHEN ws = '{k}' THEN '{i}'" for k, i in X.WORKSPACES.items()) + " " + " ".join(f"WHEN {_sql_any(w)} THEN '{i}'" for w, i in X.INTENTS_LAST) + " ELSE 'GENERAL' END"
 
 
+ORACLES["strategy_choice"] = ORACLES["strategy_choice"].replace("@INTENT@", _INTENT)
+
+
 @register(f"SELECT conv_id, turn, {_INTENT} AS intent FROM (SELECT *, CASE WHEN conv_id % 3 = 0 THEN 'team_intelligence' END AS ws FROM conversations)")
 def intent_classify(spark: SparkSession, d: str) -> DataFrame:
     """Ordered keyword rules and the workspace (Q9, Q11)."""
@@ -286,6 +314,24 @@ def subjective_questions(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "conversations").select("conv_id", "turn", X.is_subjective(F.col("text")).alias("subjective"), F.octet_length("text").cast("long").alias("n_bytes"))
 
 
+_FOUND_SQL = """f AS (SELECT conv_id, turn, role, text, @INTENT@ AS kind, regexp_extract_all(lower(text), '[a-z]*ing') AS p, regexp_extract_all(lower(text), '[a-z]*tion') AS t FROM (SELECT *, NULL AS ws FROM conversations)),
+r AS (SELECT *, kind = 'COMPARE_PLAYERS' AND len(p) >= 2 AS pair, kind = 'COMPARE_PLAYERS' AND len(p) < 2 AND len(t) >= 2 AS clubs, kind IN ('PLAYER_ANALYSIS', 'COUNTERFACTUAL') AND len(p) >= 1 AS single,
+  kind = 'COUNTERFACTUAL' AND len(p) >= 1 AND len(t) >= 1 AS scenario, kind = 'RECRUITMENT' AND len(p) >= 1 AS hire, kind = 'RECRUITMENT' AND len(p) = 0 AND len(t) >= 1 AS squad, kind = 'TEAM_ANALYSIS' AND len(t) >= 1 AS club FROM f),
+e AS (SELECT *, NOT (pair OR clubs OR single OR hire OR squad OR club) AS rest FROM r),
+o AS (SELECT *, CASE WHEN pair OR single OR hire OR (rest AND len(p) >= 1) THEN p[1] END AS focus_player, CASE WHEN pair THEN p[2] END AS compare_player,
+  CASE WHEN clubs OR scenario OR squad OR club OR (rest AND len(p) = 0 AND len(t) >= 1) THEN t[1] END AS team, CASE WHEN clubs THEN t[2] END AS team_compare FROM e)"""
+
+
+@register(f"""WITH {_FOUND_SQL.replace('@INTENT@', _INTENT)}
+SELECT conv_id, turn, CASE WHEN clubs OR scenario OR squad THEN 'TEAM_ANALYSIS' WHEN kind = 'GENERAL' AND team IS NOT NULL THEN 'TEAM_ANALYSIS' WHEN kind = 'GENERAL' AND focus_player IS NOT NULL THEN 'PLAYER_ANALYSIS' ELSE kind END AS intent,
+  focus_player, compare_player, team, team_compare FROM o""")
+def routed_questions(spark: SparkSession, d: str) -> DataFrame:
+    """Intents with the roles of the entities found, and rerouting (Q11). Words in -ing stand for players, in -tion for teams."""
+    found = lambda p: F.regexp_extract_all(F.lower("text"), F.lit(p), F.lit(0))
+    r = X.routed(X.intent(F.col("text")), found("[a-z]*ing"), found("[a-z]*tion"))
+    return table(spark, d, "conversations").select("conv_id", "turn", r.alias("r")).select("conv_id", "turn", "r.*")
+
+
 @register("""WITH v AS (SELECT *, CASE WHEN length(text) % 3 = 0 THEN substr(text, 1, 8) END AS focus FROM conversations)
 SELECT conv_id, turn, last_value(focus IGNORE NULLS) OVER w AS focus, coalesce(lag(role) OVER (PARTITION BY conv_id ORDER BY turn, role, text) <> role, false) AS changed FROM v WINDOW w AS (PARTITION BY conv_id ORDER BY turn, role, text ROWS UNBOUNDED PRECEDING)""")
 def follow_up_context(spark: SparkSession, d: str) -> DataFrame:
