@@ -69,7 +69,7 @@ def graph_nodes(spark: SparkSession, d: str) -> DataFrame:
 
 @register(f"WITH {SCORES}, {_TALL}, {_EDGES} SELECT * FROM edges")
 def graph_edges(spark: SparkSession, d: str) -> DataFrame:
-    """Edges of all types."""
+    """Edges of all types."""
     return _edges(spark, d)
 
 
@@ -144,7 +144,7 @@ _FOUND = "found AS (SELECT conv_id, CASE role WHEN 'user' THEN 'capability' WHEN
 f AS (SELECT DISTINCT conv_id, claim_type FROM found), j AS (SELECT s.conv_id, s.claim_type, f.claim_type IS NOT NULL AS ok FROM sought s LEFT JOIN f USING (conv_id, claim_type))
 SELECT conv_id, count(*) FILTER (WHERE ok) AS n_satisfied, coalesce(string_agg(claim_type, ',' ORDER BY claim_type) FILTER (WHERE NOT ok), '') AS missing, bool_and(ok) AS complete, bool_and(ok OR claim_type IN ('fragility', 'role_fit')) AS valid FROM j GROUP BY 1""")
 def coverage(spark: SparkSession, d: str) -> DataFrame:
-    """Claim types sought, found and missing by conversation."""
+    """Claim types sought, found and missing by conversation."""
     c = table(spark, d, "conversations")
     kind = F.when(F.col("role") == "user", "capability").when(F.col("role") == "assistant", "archetype").otherwise("role_fit")
     types = F.array(*[F.lit(x) for x in ("archetype", "capability", "fragility", "role_fit")])
@@ -297,7 +297,7 @@ ORACLES["strategy_choice"] = ORACLES["strategy_choice"].replace("@INTENT@", _INT
 
 @register(f"SELECT conv_id, turn, {_INTENT} AS intent FROM (SELECT *, CASE WHEN conv_id % 3 = 0 THEN 'team_intelligence' END AS ws FROM conversations)")
 def intent_classify(spark: SparkSession, d: str) -> DataFrame:
-    """Ordered keyword rules and the workspace (Q9, Q11)."""
+    """Ordered keyword rules and the workspace (Q9)."""
     return table(spark, d, "conversations").select("conv_id", "turn", X.intent(F.col("text"), F.when(F.col("conv_id") % 3 == 0, "team_intelligence")).alias("intent"))
 
 
@@ -351,6 +351,17 @@ def name_search(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "part").select("p_partkey", s.alias("score")).orderBy(F.desc("score"), "p_partkey").limit(5)
 
 
+@register(f"""WITH a AS (SELECT year(o_orderdate) AS run, o_orderpriority AS category, avg(o_totalprice) AS latency, max(length(o_orderpriority)) AS size FROM orders GROUP BY 1, 2)
+SELECT x.run, x.category, {rnd('y.latency - x.latency', 4)} AS latency_delta, {rnd('(y.latency / x.latency - 1e0) * 100e0', 4)} AS latency_pct, y.size - x.size AS size_delta FROM a x JOIN a y ON x.category = y.category AND y.run = x.run + 1""")
+def paired_deltas(spark: SparkSession, d: str) -> DataFrame:
+    """Each run's results against the next run's, paired by category."""
+    a = table(spark, d, "orders").groupBy(F.year("o_orderdate").alias("run"), F.col("o_orderpriority").alias("category")).agg(F.avg("o_totalprice").alias("latency"), F.max(F.length("o_orderpriority")).alias("size"))
+    x, y = a.alias("x"), a.select((F.col("run") - 1).alias("run"), "category", F.col("latency").alias("later"), F.col("size").alias("size2"))
+    return x.join(y, ["run", "category"]).select(
+        F.col("run").cast("long").alias("run"), "category", rounded(F.col("later") - F.col("latency"), 4).alias("latency_delta"), rounded((F.col("later") / F.col("latency") - 1.0) * 100.0, 4).alias("latency_pct"), (F.col("size2") - F.col("size")).cast("long").alias("size_delta"),
+    )
+
+
 # Data quality, logs and evaluation (C, F24, F27, F30, R3)
 
 @register("""WITH e AS (SELECT event_id, user_id, value, event_type, ts, row_number() OVER (PARTITION BY user_id, event_type, ts ORDER BY event_id) > 1 AS rep FROM events),
@@ -359,29 +370,33 @@ SELECT 'events' AS dataset, count(*) AS total, count(*) FILTER (WHERE NOT (a OR
   count(*) FILTER (WHERE a) AS null_user_id, count(*) FILTER (WHERE b) AS repeated_user_id_event_type_ts, count(*) FILTER (WHERE c) AS small_value, count(*) FILTER (WHERE w) AS large_value,
   count(*) FILTER (WHERE a OR b OR c) = 0 AS is_valid, floor(count(*) FILTER (WHERE NOT (a OR b OR c)) * 1000e0 / count(*) + 0.5e0) / 10e0 AS validity_pct FROM r""")
 def dq_report(spark: SparkSession, d: str) -> DataFrame:
-    """Null, repeat and range rules in one report."""
+    """Null, repeat and range rules in one report."""
     rules = [Q.null_rule("user_id"), Q.repeat_rule(["user_id", "event_type", "ts"], ["event_id"]), Q.range_rule("small_value", F.col("value") < 1), Q.range_rule("large_value", F.col("value") > 90, "warning")]
     return Q.report(table(spark, d, "events"), rules, "events")
 
 
-@register("""WITH v AS (SELECT *, array_agg(value) OVER (PARTITION BY event_type ORDER BY value, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS a FROM events)
-SELECT event_type, count(*) AS n, count(*) FILTER (WHERE value >= 50) AS n_high, round(max(value), 6) AS max_value, round(any_value(a[len(a) // 2 + 1]), 6) AS p50 FROM v GROUP BY 1""")
+@register("""WITH v AS (SELECT *, row_number() OVER (PARTITION BY event_type ORDER BY value) AS k, count(*) OVER (PARTITION BY event_type) AS n FROM events)
+SELECT event_type, count(*) AS n, count(*) FILTER (WHERE value >= 50) AS n_high, floor(count(*) FILTER (WHERE value >= 50) * 1000e0 / count(*) + 0.5e0) / 10e0 AS used_pct, round(avg(value), 6) AS avg_value,
+  round(max(value), 6) AS max_value, round(max(CASE WHEN k = n // 2 + 1 THEN value END), 6) AS p50, array_to_string(list_sort(list(DISTINCT user_id % 5)), ',') AS kinds FROM v GROUP BY 1""")
 def log_summary(spark: SparkSession, d: str) -> DataFrame:
-    """Counts, maxima and the upper median by type, without collecting a group."""
-    e = table(spark, d, "events")
-    w = Window.partitionBy("event_type")
-    ranked = e.withColumns({"k": F.row_number().over(w.orderBy("value", "event_id")), "n": F.count("*").over(w)})
-    return ranked.groupBy("event_type").agg(
-        F.count("*").alias("n"), F.count_if(F.col("value") >= 50).alias("n_high"), F.round(F.max("value"), 6).alias("max_value"),
-        F.round(F.max(F.when(F.col("k") == F.floor(F.col("n") / 2) + 1, F.col("value"))), 6).alias("p50"),
+    """Counts, shares, means, maxima, the upper median and distinct sets by type (F24). Values are ranked by bucketed counts."""
+    from cohortry.operators.cohort import group_ranks
+
+    e = group_ranks(table(spark, d, "events").select("event_type", "user_id", "value"), ["event_type"], "value")
+    middle = F.floor(F.col("__n") / 2) + 1  # the value whose ties hold this place
+    at = (F.col("__rank") <= middle) & (middle < F.col("__rank") + F.col("__ties"))
+    high = F.count_if(F.col("value") >= 50)
+    return e.groupBy("event_type").agg(
+        F.count("*").alias("n"), high.alias("n_high"), rounded(high * 100.0 / F.count("*"), 1).alias("used_pct"), F.round(F.avg("value"), 6).alias("avg_value"), F.round(F.max("value"), 6).alias("max_value"),
+        F.round(F.max(F.when(at, F.col("value"))), 6).alias("p50"), F.array_join(F.array_sort(F.collect_set(F.col("user_id") % 5)), ",").alias("kinds"),
     )
 
 
-@register("""SELECT o_custkey AS id, string_agg(DISTINCT o_orderpriority, ', ' ORDER BY o_orderpriority) AS priorities, string_agg(DISTINCT o_orderstatus, ', ' ORDER BY o_orderstatus) AS statuses, count(*) AS n FROM orders GROUP BY 1""")
+@register(f"""SELECT o_custkey AS id, arg_min(o_orderstatus, o_orderkey) AS first_status, {rnd('sum(o_totalprice)', 2)} AS total, string_agg(DISTINCT o_orderpriority, ', ' ORDER BY o_orderpriority) AS priorities, string_agg(DISTINCT o_orderstatus, ', ' ORDER BY o_orderstatus) AS statuses, count(*) AS n FROM orders GROUP BY 1""")
 def entity_index(spark: SparkSession, d: str) -> DataFrame:
-    """One row an entity with its distinct labels joined."""
+    """One row an entity with its first label, its sum, and its distinct labels joined."""
     joined = lambda c: F.array_join(F.array_sort(F.collect_set(c)), ", ")
-    return table(spark, d, "orders").groupBy(F.col("o_custkey").alias("id")).agg(joined("o_orderpriority").alias("priorities"), joined("o_orderstatus").alias("statuses"), F.count("*").alias("n"))
+    return table(spark, d, "orders").groupBy(F.col("o_custkey").alias("id")).agg(F.min_by("o_orderstatus", "o_orderkey").alias("first_status"), rounded(F.sum("o_totalprice"), 2).alias("total"), joined("o_orderpriority").alias("priorities"), joined("o_orderstatus").alias("statuses"), F.count("*").alias("n"))
 
 
 @register(f"""SELECT o_orderpriority AS category, count(*) AS n, count(*) FILTER (WHERE o_orderstatus = 'F') AS passed, count(*) FILTER (WHERE o_orderstatus <> 'F') AS failures, round(max(o_totalprice), 2) AS max_latency,

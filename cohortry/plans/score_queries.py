@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from cohortry.functions.scalar import ERF_A, ERF_P, rounded, weighted
+from cohortry.functions.scalar import ERF_A, ERF_P, age_years, rounded, weighted
 from cohortry.operators import cohort as K
 from cohortry.operators import decisions as D
 from cohortry.operators import scoring as S
@@ -224,11 +224,17 @@ def bottlenecks(spark: SparkSession, d: str) -> DataFrame:
 _MEAN6 = "(" + " + ".join(CAPABILITIES) + ") / 6e0"
 
 
-@register(f"WITH {SCORES}, {_MEANS} SELECT team, squad_size, {sql_bands(_MEAN6, S.GRADES, 'D')} AS grade FROM means")
+@register(f"""WITH {SCORES}, {_MEANS}, ag AS (SELECT n_name AS team, {rnd("avg(CASE WHEN c_acctbal >= 0 THEN floor(datediff('day', b, TIMESTAMP '2000-01-01') / 365.25e0 * 10e0 + 0.5e0) / 10e0 END)", 6)} AS average_age
+  FROM (SELECT o_custkey, CAST(min(o_orderdate) AS DATE) AS b FROM orders GROUP BY 1) JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey GROUP BY 1)
+SELECT team, squad_size, {sql_bands(_MEAN6, S.GRADES, 'D')} AS grade, average_age FROM means JOIN ag USING (team)""")
 def team_grade(spark: SparkSession, d: str) -> DataFrame:
-    """Mean scores, squad size and letter grade."""
+    """Mean scores, squad size, letter grade and the mean age of those whose age is known."""
     mean = sum((F.col(c) for c in CAPABILITIES), F.lit(0.0)) / 6
-    return _means(spark, d).select("team", "squad_size", S.grade(mean).alias("grade"))
+    born = table(spark, d, "orders").groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.min("o_orderdate").cast("date").alias("born"))
+    members = table(spark, d, "customer").join(born, "c_custkey").join(F.broadcast(table(spark, d, "nation")), F.col("c_nationkey") == F.col("n_nationkey"))
+    known = F.when(F.col("c_acctbal") >= 0, age_years(F.col("born"), F.lit("2000-01-01").cast("date")))
+    ages = members.groupBy(F.col("n_name").alias("team")).agg(rounded(F.avg(known), 6).alias("average_age"))
+    return _means(spark, d).select("team", "squad_size", S.grade(mean).alias("grade")).join(ages, "team")
 
 
 @register(f"""WITH {SCORES},
@@ -437,9 +443,15 @@ def ranking_inversions(spark: SparkSession, d: str) -> DataFrame:
 
 
 @register(f"""WITH {SCORES}, {_T_SQL}, s AS (SELECT id, template, {_SIM} AS similarity FROM scores, t), r AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY similarity DESC, template) AS k FROM s),
-g AS (SELECT template, count(*) AS n FROM r WHERE k = 1 GROUP BY 1) SELECT template, n, {rnd('n * 100e0 / (SELECT sum(n) FROM g)', 2)} AS share_pct FROM g""")
+g AS (SELECT CASE WHEN similarity < 0.3e0 THEN 'Unknown' ELSE template END AS template, count(*) AS n FROM r WHERE k = 1 GROUP BY 1), {_TALL}, b AS (SELECT capability, id, row_number() OVER (PARTITION BY capability ORDER BY score DESC, id) AS k FROM tall)
+SELECT 'template' AS part, template AS name, n, {rnd('n * 100e0 / (SELECT sum(n) FROM g)', 2)} AS share_pct, NULL AS best FROM g UNION ALL SELECT 'capability', capability, count(*), NULL, string_agg(CAST(id AS VARCHAR), ',' ORDER BY k) FILTER (WHERE k <= 5) FROM b GROUP BY capability""")
 def snapshot(spark: SparkSession, d: str) -> DataFrame:
-    """Distribution of the best templates."""
+    """Distribution of the best templates, the unknown among them, and the five best of each capability."""
     g = archetype_match(spark, d).where("rank = 1").groupBy("template").agg(F.count("*").alias("n"))
     total = g.agg(F.sum("n").alias("t"))
-    return g.crossJoin(F.broadcast(total)).select("template", "n", rounded(F.col("n") * 100.0 / F.col("t"), 2).alias("share_pct"))  # one row
+    shares = g.crossJoin(F.broadcast(total)).select(F.lit("template").alias("part"), F.col("template").alias("name"), "n", rounded(F.col("n") * 100.0 / F.col("t"), 2).alias("share_pct"), F.lit(None).cast("string").alias("best"))  # one row
+    tall = _tall(spark, d)
+    top = K.top_k(tall, ["capability"], [F.desc("score"), F.col("id")], 5).groupBy("capability").agg(F.array_sort(F.collect_list(F.struct("rank", "id"))).alias("b"))
+    counts = tall.groupBy("capability").agg(F.count("*").alias("n")).join(top, "capability")
+    best = F.array_join(F.transform("b", lambda x: x["id"].cast("string")), ",")
+    return shares.unionByName(counts.select(F.lit("capability").alias("part"), F.col("capability").alias("name"), "n", F.lit(None).cast("double").alias("share_pct"), best.alias("best")))
