@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, language
-from .common import documents
+from . import bpe, conversations, language, mixture, vector_codes
+from .common import documents, written
 from .contamination import find_contamination, is_contaminated
 from .exact_dedup import exact_groups
 from .language_model import score_texts
@@ -81,7 +81,32 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("doc_id", "n_words", "n_removed", F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op1_contamination, op2_language_id, op3_language_model, op4_quality, op5_line_dedup, op6_byte_bpe, op7_near_dedup, op8_exact_dedup, op9_sharding, op10_substring_dedup)}
+def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    books = vector_codes.train(rows)
+    coded = written(vector_codes.encode(rows, books).select("vec_id", "label", "code", "error"))
+    return vector_codes.label_errors(coded).select("vec_id", "code", "error", "label_error", F.lit(books.digest()).alias("codebooks_sha256"))
+
+
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = spark.read.parquet(f"{sf_dir}/conversations.parquet")
+    fixed = conversations.repair(conversations.damaged(rows))
+    said = rows.select("conv_id").distinct().unionByName(fixed.reports, True).unionByName(conversations.digests(fixed.turns), True)
+    numbers, empty = ("gaps", "blank", "duplicate", "truncated", "illegal", "cost"), F.sha2(F.lit("").cast("binary"), 256)
+    return said.groupBy("conv_id").agg(
+        *[F.coalesce(F.max(c), F.lit(0)).alias(c) for c in numbers],
+        F.coalesce(F.max("audit"), F.lit("")).alias("audit"), F.coalesce(F.max("repaired_sha256"), empty).alias("repaired_sha256"),
+    )
+
+
+def op13_source_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixture.taken(mixture.mix(documents(spark, sf_dir)))
+
+
+QUERIES = {f.__name__: f for f in (
+    op1_contamination, op2_language_id, op3_language_model, op4_quality, op5_line_dedup, op6_byte_bpe, op7_near_dedup, op8_exact_dedup, op9_sharding, op10_substring_dedup,
+    op11_vector_codes, op12_conversation_repair, op13_source_mixture,
+)}
 
 _LOWER = "translate(coalesce({}, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _WORDS = "regexp_extract_all(" + _LOWER + r", '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
@@ -121,4 +146,58 @@ FROM d LEFT JOIN k USING (doc_id)""",
 SELECT doc_id, max(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size, doc_id = max(doc_id) OVER g AS kept,
   sha256(coalesce(text, '')) AS text_sha256
 FROM documents WINDOW g AS (PARTITION BY coalesce(text, ''))""",
+    "op11_vector_codes": """
+WITH k AS (SELECT vec_id, label, embedding AS e, len(embedding) // 16 AS w FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+p AS (SELECT vec_id, p, list_transform(e[p * w + 1 : (p + 1) * w], lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM k, range(16) AS t(p)),
+b0 AS (SELECT p, rank() OVER (PARTITION BY p ORDER BY vec_id) - 1 AS j, v FROM p WHERE vec_id IN (SELECT vec_id FROM k ORDER BY vec_id LIMIT 64)),
+a0 AS (SELECT vec_id, p, any_value(v) AS v, min(struct_pack(d := d, j := j)) AS near FROM (SELECT vec_id, p, p.v, j, list_sum(list_transform(list_zip(p.v, b0.v), lambda z: (z[1] - z[2]) * (z[1] - z[2]))) AS d FROM p JOIN b0 USING (p)) GROUP BY 1, 2),
+m0 AS (SELECT p, j, list(CAST((s - ((s % n) + n) % n) // n AS BIGINT) ORDER BY i) AS v FROM (SELECT p, near.j AS j, i, sum(v[i]) AS s, count(*) AS n FROM a0, unnest(range(1, len(v) + 1)) AS t(i) GROUP BY 1, 2, 3) GROUP BY 1, 2),
+b1 AS (SELECT p, j, coalesce(m0.v, b0.v) AS v FROM b0 LEFT JOIN m0 USING (p, j)),
+a1 AS (SELECT vec_id, p, any_value(v) AS v, min(struct_pack(d := d, j := j)) AS near FROM (SELECT vec_id, p, p.v, j, list_sum(list_transform(list_zip(p.v, b1.v), lambda z: (z[1] - z[2]) * (z[1] - z[2]))) AS d FROM p JOIN b1 USING (p)) GROUP BY 1, 2),
+m1 AS (SELECT p, j, list(CAST((s - ((s % n) + n) % n) // n AS BIGINT) ORDER BY i) AS v FROM (SELECT p, near.j AS j, i, sum(v[i]) AS s, count(*) AS n FROM a1, unnest(range(1, len(v) + 1)) AS t(i) GROUP BY 1, 2, 3) GROUP BY 1, 2),
+b2 AS (SELECT p, j, coalesce(m1.v, b1.v) AS v FROM b1 LEFT JOIN m1 USING (p, j)),
+a2 AS (SELECT vec_id, p, min(struct_pack(d := d, j := j)) AS near FROM (SELECT vec_id, p, j, list_sum(list_transform(list_zip(p.v, b2.v), lambda z: (z[1] - z[2]) * (z[1] - z[2]))) AS d FROM p JOIN b2 USING (p)) GROUP BY 1, 2),
+c AS (SELECT vec_id, string_agg(printf('%02x', near.j), '' ORDER BY p) AS code, CAST(sum(near.d) AS BIGINT) AS error FROM a2 GROUP BY 1),
+h AS (SELECT sha256(string_agg(array_to_string(v, ','), ',' ORDER BY p, j)) AS codebooks_sha256 FROM b2)
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, codebooks_sha256 FROM c JOIN k USING (vec_id), h""",
+    "op12_conversation_repair": r"""
+WITH RECURSIVE crc AS (SELECT list_transform(range(256), lambda n: list_reduce(list_prepend(n, range(8)), lambda c, k: xor(c >> 1, 3988292384 * (c & 1)))) AS t),
+k AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ') AS key FROM conversations),
+r AS (SELECT k.*, xor(list_reduce(list_prepend(4294967295, list_transform(string_split(key, ''), lambda ch: CAST(ascii(ch) AS BIGINT))), lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1])), 4294967295) % 20 AS fate FROM k, crc),
+d AS (SELECT conv_id, turn, CASE WHEN fate = 4 THEN 'user' ELSE role END AS role, CASE fate WHEN 1 THEN '' WHEN 2 THEN translate(text, '.!?', '') ELSE text END AS text FROM r, unnest(range(CASE fate WHEN 0 THEN 0 WHEN 3 THEN 2 ELSE 1 END))),
+o AS (SELECT *, left(role, 1) AS ini, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS i, NOT regexp_matches(text, '[^\x20\x09-\x0D]') AS blank FROM d),
+f AS (SELECT *, NOT blank AND row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 AS dup, NOT regexp_matches(text, '[.!?][\x20\x09-\x0D]*$') AS cut, lag(ini) OVER (PARTITION BY conv_id ORDER BY i) || ini AS two FROM o),
+s AS (SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count_if(blank) AS blank, count_if(dup) AS duplicate,
+  count_if(NOT blank AND NOT dup AND cut) AS truncated, count_if(two NOT IN ('su', 'ua', 'au')) AS illegal, max(i) AS n FROM f GROUP BY 1),
+ins(p, q, price, word, said) AS (VALUES (0, 0, 0, '', []::VARCHAR[]), (1, 1, 0, '', []), (2, 2, 0, '', []), (3, 3, 0, '', []), (0, 2, 5, 'I', ['user:']), (1, 2, 5, 'I', ['user:']), (3, 2, 5, 'I', ['user:']),
+  (2, 3, 5, 'I', ['assistant:']), (0, 3, 10, 'II', ['user:', 'assistant:']), (1, 3, 10, 'II', ['user:', 'assistant:']), (3, 3, 10, 'II', ['user:', 'assistant:']), (2, 2, 10, 'II', ['assistant:', 'user:'])),
+edits(q, edit, t, ini, role, price) AS (VALUES (0, 'D', 0, '', '', 2), (1, 'D', 1, '', '', 2), (2, 'D', 2, '', '', 2), (3, 'D', 3, '', '', 2), (0, 'K', 1, 's', '', 0), (0, 'K', 2, 'u', '', 0), (1, 'K', 2, 'u', '', 0), (3, 'K', 2, 'u', '', 0),
+  (2, 'K', 3, 'a', '', 0), (0, 'R', 2, '', 'user', 1), (1, 'R', 2, '', 'user', 1), (3, 'R', 2, '', 'user', 1), (2, 'R', 3, '', 'assistant', 1)),
+w(conv_id, i, state, cost, audit, said) AS (
+  SELECT conv_id, CAST(0 AS BIGINT), 0, 0, '', []::VARCHAR[] FROM s
+  UNION ALL
+  SELECT conv_id, i, t, best.cost, best.audit, best.said FROM (
+    SELECT w.conv_id, f.i, e.t, min(struct_pack(
+      cost := w.cost + ins.price + e.price + CASE WHEN e.edit <> 'D' AND f.cut THEN 5 ELSE 0 END, audit := w.audit || ins.word || e.edit,
+      said := list_concat(w.said, ins.said, CASE e.edit WHEN 'D' THEN [] WHEN 'K' THEN [f.role || ':' || f.text] ELSE [e.role || ':' || f.text] END))) AS best
+    FROM w JOIN f ON f.conv_id = w.conv_id AND f.i = w.i + 1 JOIN ins ON ins.p = w.state JOIN edits e ON e.q = ins.q
+    WHERE e.edit = 'D' OR (NOT f.blank AND NOT f.dup AND (e.edit = 'R' OR e.ini = f.ini))
+    GROUP BY 1, 2, 3)),
+z AS (SELECT w.conv_id, min(struct_pack(cost := cost + CASE state WHEN 1 THEN 10 WHEN 2 THEN 5 ELSE 0 END, audit := audit || CASE state WHEN 1 THEN 'II' WHEN 2 THEN 'I' ELSE '' END,
+  said := list_concat(said, CASE state WHEN 1 THEN ['user:', 'assistant:'] WHEN 2 THEN ['assistant:'] ELSE [] END))) AS best FROM w JOIN s ON s.conv_id = w.conv_id AND w.i = s.n GROUP BY 1)
+SELECT c.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal,
+  CAST(coalesce(best.cost, 0) AS BIGINT) AS cost, coalesce(best.audit, '') AS audit, sha256(coalesce(array_to_string(best.said, chr(10)), '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) c LEFT JOIN s USING (conv_id) LEFT JOIN z USING (conv_id)""",
+    "op13_source_mixture": r"""
+WITH d AS (SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size, md5(coalesce(CAST(doc_id AS VARCHAR), '') || ':' || coalesce(text, '')) AS key FROM documents),
+s AS (SELECT *, (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1 AS w FROM (SELECT source, sum(size) AS s FROM d GROUP BY 1)),
+held AS (SELECT *, (sum(s) OVER () - coalesce(sum(3 * s) OVER before, 0)) / (sum(w) OVER () - coalesce(sum(w) OVER before, 0)) AS rate, row_number() OVER (ORDER BY 3 * s / w, source) AS n
+  FROM s WINDOW before AS (ORDER BY 3 * s / w, source ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+r AS (SELECT arg_min(rate, n) AS rate FROM held WHERE rate * w <= 3 * s),
+t AS (SELECT source, s, least(CAST(3 * s AS DOUBLE), rate * w) AS target FROM s, r),
+l AS (SELECT d.*, s, target, CAST(floor(target + 0.5) AS BIGINT) AS words, sum(size) OVER (PARTITION BY d.source ORDER BY key ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) - size AS begin
+  FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source)
+SELECT doc_id, size, CAST(s AS BIGINT) AS source_size, target,
+  CAST(CASE WHEN s = 0 THEN 0 ELSE words // s * size + greatest(0, least(size, words % s - begin)) END AS BIGINT) AS taken FROM l""",
 }
