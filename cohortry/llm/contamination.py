@@ -7,7 +7,7 @@ from math import ceil
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_BYTES, ascii_lower, cut, fresh, written
+from .common import BROADCAST_BYTES, ascii_lower, cut, fresh
 
 #: Everything between words, once A-Z are lower-cased.
 BETWEEN = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -70,8 +70,7 @@ def find_contamination(
     # The first element stands for the row itself, so that one pass gives counts and hits.
     probed = rows.select("__id", "__key", "w", "n_words", "p.len", "p.step", F.posexplode(F.concat(F.array(F.lit(None).cast("long")), probes)).alias("pos", "h"))
 
-    if blocks > 1:
-        probed = written(probed)  # not hashed anew for each block
+    # Each block hashes the texts anew: a probe carries its text's words by reference as long as it isn't written.
     found = None
     for k in range(blocks):
         part = index if blocks == 1 else index.where(F.pmod("h", F.lit(blocks)) == k)
