@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cohortry.functions.scalar import clip, rounded
+from cohortry.sources.tables import stored
 
 
 def long_form(df: DataFrame, ids: list[str], metrics: list[str]) -> DataFrame:
@@ -54,6 +55,51 @@ def _join_nulls(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame
     return left.join(renamed, on).drop(*[f"__r{k}" for k in keys])
 
 
+#: Distinct values that one task may put in order, at most, to find a quantile.
+SETTLED = 100_000
+
+
+def exact_quantiles(df: DataFrame, keys: list[str], value: str, shares: list[float], settled: int = SETTLED, cuts: int = 64) -> DataFrame:
+    """keys and q, the exact quantiles of value in each group (nulls out), interpolated between neighbours.
+
+    A distributed selection: values are counted, then each group is cut by approximate quantiles, the rows below
+    each cut are summed, and only the stretches that hold a wanted place are cut again, until none has more
+    than `settled` distinct values. So a task holds the values of one stretch, never those of a group. Null keys
+    are a group; a group without values gives no row.
+    """
+    own = [f"k{i}" for i in range(len(keys))]
+    counts = df.where(F.col(value).isNotNull()).groupBy(*[F.col(k).alias(o) for k, o in zip(keys, own, strict=True)], F.col(value).cast("double").alias("v")).agg(F.count("*").alias("c"))
+    counts = counts.withColumn("key", F.struct(*own) if own else F.struct(F.lit(0).alias("k")))
+    text = F.to_json("key", {"ignoreNullFields": "false"})  # one key that is never null
+    live = stored(counts.select("key", text.alias("g"), F.lit(0).alias("stretch"), "v", "c"))
+    wanted = live.groupBy("g").agg(F.sum("c").alias("n"), F.first("key").alias("key"))
+    places = F.flatten(F.array(*[F.array(F.floor(F.lit(p) * (F.col("n") - 1)), F.ceil(F.lit(p) * (F.col("n") - 1))) for p in shares]))
+    groups = stored(wanted)
+    # (g, stretch, place): place counts from the stretch's first row, at is the place in the group.
+    asked = groups.select("g", F.explode(F.array_distinct(places)).alias("at")).select("g", F.lit(0).alias("stretch"), "at", F.col("at").alias("place"))
+    while live.groupBy("g", "stretch").count().agg(F.coalesce(F.max("count"), F.lit(0))).first()[0] > settled:
+        edges = live.groupBy("g", "stretch").agg(F.percentile_approx("v", [i / cuts for i in range(1, cuts)], 10 * cuts).alias("edges"))
+        piece = F.size(F.filter("edges", lambda e: e < F.col("v")))
+        pieces = live.join(edges, ["g", "stretch"]).withColumn("piece", piece).drop("edges")
+        sums = pieces.groupBy("g", "stretch", "piece").agg(F.sum("c").alias("rows"))
+        before = F.coalesce(F.sum("rows").over(Window.partitionBy("g", "stretch").orderBy("piece").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+        here = asked.join(sums.withColumn("before", before), ["g", "stretch"]).where((F.col("place") >= F.col("before")) & (F.col("place") < F.col("before") + F.col("rows")))
+        asked = stored(here.select("g", (F.col("stretch") * cuts + F.col("piece")).alias("next"), "at", (F.col("place") - F.col("before")).alias("place")).withColumnRenamed("next", "stretch"))
+        kept = asked.select("g", "stretch").distinct()
+        live = stored(pieces.withColumn("stretch", F.col("stretch") * cuts + F.col("piece")).drop("piece").join(kept, ["g", "stretch"], "left_semi"))
+    below = F.coalesce(F.sum("c").over(Window.partitionBy("g", "stretch").orderBy("v").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    found = asked.join(live.withColumn("below", below), ["g", "stretch"]).where((F.col("place") >= F.col("below")) & (F.col("place") < F.col("below") + F.col("c")))
+    values = found.groupBy("g").agg(F.map_from_entries(F.collect_list(F.struct("at", "v"))).alias("values"))  # two a share
+    joined = groups.join(values, "g")
+
+    def quantile(p: float) -> Column:
+        place = F.lit(p) * (F.col("n") - 1)
+        low, high = F.element_at("values", F.floor(place)), F.element_at("values", F.ceil(place))
+        return low + (high - low) * (place - F.floor(place))
+
+    return joined.select(*[F.col("key")[o].alias(k) for k, o in zip(keys, own, strict=True)], F.array(*map(quantile, shares)).alias("q"))
+
+
 _MARKS = ["__rank", "__n", "__nulls", "__ties"]
 
 

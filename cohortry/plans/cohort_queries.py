@@ -224,9 +224,9 @@ def rolling_average(spark: SparkSession, d: str) -> DataFrame:
 @register(f"""WITH {ENTITY}, q AS (SELECT cohort, quantile_cont(exposure, [0.1, 0.25, 0.5, 0.75, 0.9, 0.95, 0.99]) AS q FROM entity GROUP BY 1)
 SELECT cohort, {', '.join(f"{rnd(f'q[{i + 1}]', 4)} AS p{p}" for i, p in enumerate((10, 25, 50, 75, 90, 95, 99)))} FROM q""")
 def calibration_quantiles(spark: SparkSession, d: str) -> DataFrame:
-    """Exact quantiles by cohort."""
+    """Exact quantiles by cohort, by distributed selection."""
     ps = (10, 25, 50, 75, 90, 95, 99)
-    q = entity_facts(spark, d).groupBy("cohort").agg(F.percentile("exposure", [p / 100 for p in ps]).alias("q"))
+    q = K.exact_quantiles(entity_facts(spark, d), ["cohort"], "exposure", [p / 100 for p in ps])
     return q.select("cohort", *[rounded(F.get("q", F.lit(i)), 4).alias(f"p{p}") for i, p in enumerate(ps)])
 
 

@@ -10,6 +10,7 @@ from cohortry.operators import cohort as K
 from cohortry.operators import decisions as D
 from cohortry.operators import scoring as S
 from cohortry.operators import teams as T
+from cohortry.operators.neighbours import neighbours
 
 from .base import CAPABILITIES, RATES, SCORES, div, entity_facts, entity_rates, entity_scores, rnd, table
 
@@ -385,19 +386,42 @@ _ABOVE = " + ".join(f"CASE WHEN a.{c} > 0 THEN 1 ELSE 0 END" for c in CAPABILITI
 r AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY fit_score DESC, candidate) AS rank FROM p) SELECT * FROM r WHERE rank <= 5""")
 def replacements(spark: SparkSession, d: str) -> DataFrame:
     """The five nearest replacements of each entity whose id is divisible by 100, out of all."""
-    s = entity_scores(spark, d)
-    return D.replacements(s.where("id % 100 = 0"), s, "id", "cohort", "team", CAPABILITIES)
+    return D.replacements(entity_scores(spark, d), "id", "cohort", "team", CAPABILITIES, asked=F.col("id") % 100 == 0)
 
 
 @register(f"""WITH {SCORES}, p AS (SELECT a.id, b.id AS candidate, {rnd(f'greatest(0e0, least(100e0, (1e0 - {_PAIR_DIST} / 245e0) * 100e0))', 6)} AS similarity FROM scores a JOIN scores b ON a.cohort = b.cohort AND a.id <> b.id WHERE a.id % 100 = 0),
 r AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY similarity DESC, candidate) AS rank FROM p WHERE similarity >= 60) SELECT * FROM r WHERE rank <= 3""")
 def similar_topn(spark: SparkSession, d: str) -> DataFrame:
     """For each entity whose id is divisible by 100 the most similar of all in its cohort, from similarity 60 on."""
-    s = entity_scores(spark, d)
-    one = F.concat(F.lit("t"), F.col("id").cast("string"))  # each entity a team of its own
-    s = s.withColumn("own", one)
-    r = D.replacements(s.where("id % 100 = 0"), s, "id", "cohort", "own", CAPABILITIES, 3).where("fit_score >= 60")
-    return r.select("id", "candidate", F.col("fit_score").alias("similarity"), "rank")
+    return _similar(spark, d, F.col("id") % 100 == 0)
+
+
+def _similar(spark: SparkSession, d: str, asked=None) -> DataFrame:
+    found = neighbours(entity_scores(spark, d), "id", "cohort", CAPABILITIES, 3, D.fit_of, reach=D.MAX_DISTANCE * 0.4 + 1e-4, asked=asked)
+    return found.ranked.where("score >= 60").select("id", "candidate", F.col("score").alias("similarity"), "rank")
+
+
+@register(f"""WITH {SCORES}, p AS (SELECT a.id, b.id AS candidate, {rnd(f'greatest(0e0, least(100e0, (1e0 - {_PAIR_DIST} / 245e0) * 100e0))', 6)} AS similarity FROM scores a JOIN scores b ON a.cohort = b.cohort AND a.id <> b.id),
+r AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY similarity DESC, candidate) AS rank FROM p WHERE similarity >= 60)
+SELECT 'P' || id AS source, 'P' || candidate AS target, 'SIMILAR_TO' AS edge_type, {rnd('similarity / 100e0', 6)} AS weight, rank FROM r WHERE rank <= 3""")
+def similar_edges(spark: SparkSession, d: str) -> DataFrame:
+    """SIMILAR_TO edges of every entity: its three most similar of all in its cohort, by pivots."""
+    return _edges(_similar(spark, d), "SIMILAR_TO", "similarity")
+
+
+@register(f"""WITH {SCORES}, p AS (SELECT a.id, b.id AS candidate, {rnd(f'greatest(0e0, least(100e0, (1e0 - {_PAIR_DIST} / 245e0) * 100e0))', 6)} AS fit_score FROM scores a JOIN scores b ON a.cohort = b.cohort AND a.id <> b.id AND a.team <> b.team),
+r AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY fit_score DESC, candidate) AS rank FROM p)
+SELECT 'P' || candidate AS source, 'P' || id AS target, 'REPLACEMENT_FOR' AS edge_type, {rnd('fit_score / 100e0', 6)} AS weight, rank FROM r WHERE rank <= 5""")
+def replacement_edges(spark: SparkSession, d: str) -> DataFrame:
+    """REPLACEMENT_FOR edges to every entity from its five nearest of the cohort in other teams."""
+    found = neighbours(entity_scores(spark, d), "id", "cohort", CAPABILITIES, 5, D.fit_of, apart="team").ranked
+    turned = found.select(F.col("candidate").alias("id"), F.col("id").alias("candidate"), "score", "rank")
+    return _edges(turned, "REPLACEMENT_FOR", "score")
+
+
+def _edges(pairs: DataFrame, kind: str, percent: str) -> DataFrame:
+    node = lambda c: F.concat(F.lit("P"), F.col(c).cast("string"))
+    return pairs.select(node("id").alias("source"), node("candidate").alias("target"), F.lit(kind).alias("edge_type"), rounded(F.col(percent) / 100, 6).alias("weight"), "rank")
 
 
 _WEAK = " + ".join(f"CASE WHEN m.{c} < 50 THEN 1 ELSE 0 END" for c in CAPABILITIES)

@@ -37,7 +37,7 @@ def test_golden_ranking(players):
 
 
 def test_replacement_and_comparison(players):
-    r = D.replacements(players.where("id = 1"), players, "id", "position", "team", CAPS).collect()
+    r = D.replacements(players, "id", "position", "team", CAPS, asked=F.col("id") == 1).collect()
     assert [x["candidate"] for x in r] == [2]
     tall = teams.long_scores(players.where("id IN (1, 3)"), ["id"], CAPS).withColumn("g", F.lit(1))
     c = {x["capability"]: x for x in D.comparison(tall, ["g"], "id").collect()}
