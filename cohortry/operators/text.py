@@ -76,18 +76,6 @@ def words(text: Column) -> Column:
     return F.filter(F.split(folded_name(text), " "), lambda w: w != "")
 
 
-def whole_names(texts: DataFrame, query: str, text: str, names: DataFrame, most_words: int = 4) -> DataFrame:
-    """(query, pos, n, token, key) of the names of several words that stand in a text, word by word; a name
-    within a longer one that was found is left out. names: (token, key). An equi-join on the n-grams."""
-    w = texts.select(F.col(query).alias("query"), words(F.col(text)).alias("w"))
-    at = lambda n: F.transform(F.sequence(F.lit(1), F.size("w") - n + 1), lambda i: F.struct(i.alias("pos"), F.lit(n).alias("n"), F.array_join(F.slice("w", i, n), " ").alias("token")))
-    grams = F.flatten(F.array(*[F.when(F.size("w") >= n, at(n)).otherwise(F.array().cast("array<struct<pos:int,n:int,token:string>>")) for n in range(2, most_words + 1)]))
-    found = w.select("query", F.explode(grams).alias("g")).select("query", "g.*").join(names, "token")
-    longer = found.groupBy("query").agg(F.collect_set(F.struct("pos", "n")).alias("all"))  # of one text's own names
-    inside = F.exists("all", lambda o: (o["n"] > F.col("n")) & (o["pos"] <= F.col("pos")) & (o["pos"] + o["n"] >= F.col("pos") + F.col("n")))
-    return found.join(longer, "query").where(~inside).select("query", "pos", "n", "token", "key")
-
-
 def single_tokens(texts: DataFrame, query: str, text: str, found: DataFrame, stop: list[str] = STOP_WORDS) -> DataFrame:
     """(query, token): the distinct words of more than one letter that no found name covers, without stop words."""
     placed = texts.select(F.col(query).alias("query"), F.posexplode(words(F.col(text))).alias("p", "token")).where((F.length("token") > 1) & ~F.col("token").isin(stop))

@@ -10,11 +10,13 @@ from pyspark.sql import functions as F
 from cohortry.functions.scalar import folded_name, rounded, short_id, title
 from cohortry.operators import claims as C
 from cohortry.operators import decisions as D
+from cohortry.operators import dialogue as L
 from cohortry.operators import evidence as E
 from cohortry.operators import graph as G
 from cohortry.operators import quality as Q
 from cohortry.operators import teams as T
 from cohortry.operators import text as X
+from cohortry.sources.tables import stored
 
 from .base import CAPABILITIES, SCORES, entity_scores, rnd, table
 from .score_queries import _MEANS, _TALL, _means, _tall, sql_bands
@@ -260,7 +262,7 @@ def _resolved(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFr
     n, p = table(spark, d, "nation"), table(spark, d, "part")
     e = n.select(F.col("n_nationkey").cast("long").alias("key"), F.col("n_name").alias("name")).unionByName(p.select((F.col("p_partkey") + 1000).alias("key"), F.col("p_name").alias("name")))
     index, pages = X.name_index(e, "key", "name"), table(spark, d, "pages")
-    whole = X.whole_names(pages, "page_id", "html", index.where("kind = 1 AND token LIKE '% %'").select("token", "key"))
+    whole = L.whole_names(pages, "page_id", "html", index.where("kind = 1").select("token", "key"))
     single = X.resolved(X.single_tokens(pages, "page_id", "html", whole), index)
     several = whole.groupBy("query", "token").agg(F.countDistinct("key").alias("n_candidates"), F.min("key").alias("k"))
     several = several.select("query", "token", F.when(F.col("n_candidates") == 1, F.col("k")).alias("key"), "n_candidates")
@@ -314,22 +316,96 @@ def subjective_questions(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "conversations").select("conv_id", "turn", X.is_subjective(F.col("text")).alias("subjective"), F.octet_length("text").cast("long").alias("n_bytes"))
 
 
-_FOUND_SQL = """f AS (SELECT conv_id, turn, role, text, @INTENT@ AS kind, regexp_extract_all(lower(text), '[a-z]*ing') AS p, regexp_extract_all(lower(text), '[a-z]*tion') AS t FROM (SELECT *, NULL AS ws FROM conversations)),
+#: Questions derived from orders: a customer's are a conversation, about parts (players) and nations (teams). Lots have
+#: names of seven words; the short names of parts are aliases of players, those of red ones of teams, too.
+_LOT = "({0}.p_name || ' of lot ' || {0}.p_partkey || ' grade ' || {0}.p_partkey % 7)"
+_QUESTION_SQL = f"""q AS (SELECT o_orderkey AS query, o_custkey AS conv, CASE o_orderkey % 7 WHEN 0 THEN 'Compare ' || {_LOT.format('a')} || ' and ' || {_LOT.format('b')} WHEN 1 THEN 'Who is better under pressure?'
+  WHEN 2 THEN 'Analyze the squad of ' || replace(n_name, '_', ' ') WHEN 3 THEN 'What are his strengths?' WHEN 4 THEN 'compare him with ' || {_LOT.format('b')}
+  WHEN 5 THEN 'Sign ' || a.p_name || ' for ' || replace(n_name, '_', ' ') ELSE 'What if ' || replace(n_name, '_', ' ') || ' plays without ' || {_LOT.format('a')} || '?' END AS text
+  FROM orders JOIN (SELECT l_orderkey, min(l_partkey) AS p1, max(l_partkey) AS p2 FROM lineitem GROUP BY 1) ON l_orderkey = o_orderkey
+  JOIN part a ON a.p_partkey = p1 JOIN part b ON b.p_partkey = p2 JOIN customer ON c_custkey = o_custkey JOIN nation ON n_nationkey = c_nationkey)"""
+_MENTION_SQL = f"""{_QUESTION_SQL},
+pn AS (SELECT CAST(p_partkey AS BIGINT) AS key, {_FOLD.format(_LOT.format('part'))} AS n FROM part), tn AS (SELECT CAST(n_nationkey AS BIGINT) AS key, {_FOLD.format("replace(n_name, '_', ' ')")} AS n FROM nation),
+pa AS (SELECT {_FOLD.format('p_name')} AS token, min(p_partkey) AS key FROM part GROUP BY 1), ta AS (SELECT token, key % 25 AS key FROM pa WHERE token LIKE 'red %'),
+nms AS (SELECT n AS token FROM pn UNION SELECT n FROM tn UNION SELECT token FROM pa),
+wd AS (SELECT query, list_filter(string_split({_FOLD.format('text')}, ' '), lambda x: x <> '') AS w FROM q),
+gr AS (SELECT query, p, n, array_to_string(w[p:p + n - 1], ' ') AS token FROM wd, unnest(range(2, 8)) AS k(n), unnest(range(1, len(w) - n + 2)) AS t(p)),
+fa AS (SELECT gr.* FROM gr JOIN nms USING (token)),
+fo AS (SELECT * FROM fa a WHERE NOT EXISTS (SELECT 1 FROM fa o WHERE o.query = a.query AND o.n > a.n AND o.p <= a.p AND o.p + o.n >= a.p + a.n)),
+cv AS (SELECT DISTINCT query, unnest(range(p, p + n)) AS p FROM fo),
+sg AS (SELECT query, unnest(w) AS token, generate_subscripts(w, 1) AS p FROM wd),
+tok AS (SELECT query, token, min(place) AS place FROM (SELECT query, token, [0, -length(token), p] AS place FROM fo
+  UNION ALL SELECT query, token, [1, 0, p] FROM sg ANTI JOIN cv USING (query, p) WHERE length(token) > 1 AND token NOT IN ({', '.join(f"'{w}'" for w in X.STOP_WORDS)})) GROUP BY 1, 2),
+ents AS (SELECT 't' AS kind, key, n FROM tn UNION ALL SELECT 'p', key, n FROM pn), ws AS (SELECT kind, key, unnest(string_split(n, ' ')) AS w FROM ents),
+idx AS (SELECT DISTINCT * FROM (SELECT kind, n AS token, key, 1 AS level FROM ents UNION ALL SELECT kind, w, key, 2 FROM ws UNION ALL SELECT kind, w[1:i], key, 2 FROM ws, unnest(range(4, length(w) + 1)) AS t(i) WHERE length(w) > 4
+  UNION ALL SELECT 'p', token, key, 0 FROM pa UNION ALL SELECT 't', token, key, 0 FROM ta)),
+hit AS (SELECT query, token, kind, count(DISTINCT key) AS c, min(key) AS key FROM (SELECT query, token, kind, key, level, min(level) OVER (PARTITION BY query, token, kind) AS first FROM tok JOIN idx USING (token)) WHERE level = first GROUP BY 1, 2, 3),
+one AS (SELECT tok.*, t.key AS team, p.key AS player FROM tok LEFT JOIN hit t ON t.query = tok.query AND t.token = tok.token AND t.kind = 't' AND t.c = 1 LEFT JOIN hit p ON p.query = tok.query AND p.token = tok.token AND p.kind = 'p' AND p.c = 1),
+seen AS (SELECT *, row_number() OVER (PARTITION BY query, team ORDER BY place) > 1 AS again FROM one),
+ps AS (SELECT query, list(player ORDER BY place) AS p FROM (SELECT query, player, min(place) AS place FROM seen WHERE player IS NOT NULL AND (team IS NULL OR again) GROUP BY 1, 2) GROUP BY 1),
+ts AS (SELECT query, list(team ORDER BY place) AS t FROM (SELECT query, team, min(place) AS place FROM seen WHERE team IS NOT NULL AND NOT again GROUP BY 1, 2) GROUP BY 1),
+f AS (SELECT conv, query, text, {_INTENT} AS kind, coalesce(p, []) AS p, coalesce(t, []) AS t FROM (SELECT *, NULL AS ws FROM q) LEFT JOIN ps USING (query) LEFT JOIN ts USING (query))"""
+_ROLE_SQL = f"""{_MENTION_SQL},
 r AS (SELECT *, kind = 'COMPARE_PLAYERS' AND len(p) >= 2 AS pair, kind = 'COMPARE_PLAYERS' AND len(p) < 2 AND len(t) >= 2 AS clubs, kind IN ('PLAYER_ANALYSIS', 'COUNTERFACTUAL') AND len(p) >= 1 AS single,
   kind = 'COUNTERFACTUAL' AND len(p) >= 1 AND len(t) >= 1 AS scenario, kind = 'RECRUITMENT' AND len(p) >= 1 AS hire, kind = 'RECRUITMENT' AND len(p) = 0 AND len(t) >= 1 AS squad, kind = 'TEAM_ANALYSIS' AND len(t) >= 1 AS club FROM f),
 e AS (SELECT *, NOT (pair OR clubs OR single OR hire OR squad OR club) AS rest FROM r),
 o AS (SELECT *, CASE WHEN pair OR single OR hire OR (rest AND len(p) >= 1) THEN p[1] END AS focus_player, CASE WHEN pair THEN p[2] END AS compare_player,
-  CASE WHEN clubs OR scenario OR squad OR club OR (rest AND len(p) = 0 AND len(t) >= 1) THEN t[1] END AS team, CASE WHEN clubs THEN t[2] END AS team_compare FROM e)"""
+  CASE WHEN clubs OR scenario OR squad OR club OR (rest AND len(p) = 0 AND len(t) >= 1) THEN t[1] END AS team, CASE WHEN clubs THEN t[2] END AS team_compare FROM e),
+i AS (SELECT *, CASE WHEN clubs OR scenario OR squad THEN 'TEAM_ANALYSIS' WHEN kind = 'GENERAL' AND team IS NOT NULL THEN 'TEAM_ANALYSIS' WHEN kind = 'GENERAL' AND focus_player IS NOT NULL THEN 'PLAYER_ANALYSIS' ELSE kind END AS intent FROM o)"""
+
+
+def _routed(spark: SparkSession, d: str) -> DataFrame:
+    lot = lambda p: F.concat(F.col(f"{p}.p_name"), F.lit(" of lot "), F.col(f"{p}.p_partkey"), F.lit(" grade "), F.col(f"{p}.p_partkey") % 7)
+    part, nation, number = table(spark, d, "part"), table(spark, d, "nation"), F.col("o_orderkey") % 7
+    ends = table(spark, d, "lineitem").groupBy("l_orderkey").agg(F.min("l_partkey").alias("p1"), F.max("l_partkey").alias("p2"))
+    j = table(spark, d, "orders").join(ends, F.col("l_orderkey") == F.col("o_orderkey")).join(part.alias("a"), F.col("a.p_partkey") == F.col("p1")).join(part.alias("b"), F.col("b.p_partkey") == F.col("p2"))
+    j = j.join(table(spark, d, "customer"), F.col("c_custkey") == F.col("o_custkey")).join(F.broadcast(nation), F.col("n_nationkey") == F.col("c_nationkey"))
+    team = F.translate("n_name", "_", " ")
+    texts = [
+        F.concat(F.lit("Compare "), lot("a"), F.lit(" and "), lot("b")), F.lit("Who is better under pressure?"), F.concat(F.lit("Analyze the squad of "), team), F.lit("What are his strengths?"),
+        F.concat(F.lit("compare him with "), lot("b")), F.concat(F.lit("Sign "), F.col("a.p_name"), F.lit(" for "), team), F.concat(F.lit("What if "), team, F.lit(" plays without "), lot("a"), F.lit("?")),
+    ]
+    said = F.when(number == 0, texts[0])
+    for i in range(1, 7):
+        said = said.when(number == i, texts[i])
+    questions = stored(j.select(F.col("o_orderkey").alias("query"), F.col("o_custkey").alias("conv"), said.alias("text")))
+
+    lots = part.alias("part").select(F.col("p_partkey").cast("long").alias("key"), lot("part").alias("name"))
+    nations = nation.select(F.col("n_nationkey").cast("long").alias("key"), team.alias("name"))
+    short = part.groupBy(folded_name(F.col("p_name")).alias("token")).agg(F.min("p_partkey").cast("long").alias("key"))
+    red = short.where("token LIKE 'red %'").select("token", (F.col("key") % 25).alias("key"))
+    players, teams = X.name_index(lots, "key", "name"), X.name_index(nations, "key", "name")
+    names = players.where("kind = 1").select("token", "key").unionByName(teams.where("kind = 1").select("token", "key")).unionByName(short)
+    found = L.resolve_both(L.question_tokens(questions, "query", "text", names), players, teams, short, red)
+    both = questions.join(found, "query", "left").withColumns({c: F.coalesce(c, F.array().cast("array<long>")) for c in ("players", "teams")})
+    return both.withColumn("r", X.routed(X.intent(F.col("text")), F.col("players"), F.col("teams"))).select("conv", "query", "text", "players", "teams", "r.*")
+
+
+@register(f"WITH {_ROLE_SQL} SELECT conv, query, array_to_string(p, ',') AS players, array_to_string(t, ',') AS teams, intent, focus_player, compare_player, team, team_compare FROM i")
+def routed_questions(spark: SparkSession, d: str) -> DataFrame:
+    """Players and teams of questions, teams first and with aliases, their roles, and rerouting (Q4-Q7, Q11)."""
+    listed = lambda c: F.array_join(F.col(c).cast("array<string>"), ",").alias(c)
+    return _routed(spark, d).select("conv", "query", listed("players"), listed("teams"), "intent", "focus_player", "compare_player", "team", "team_compare")
 
 
-@register(f"""WITH {_FOUND_SQL.replace('@INTENT@', _INTENT)}
-SELECT conv_id, turn, CASE WHEN clubs OR scenario OR squad THEN 'TEAM_ANALYSIS' WHEN kind = 'GENERAL' AND team IS NOT NULL THEN 'TEAM_ANALYSIS' WHEN kind = 'GENERAL' AND focus_player IS NOT NULL THEN 'PLAYER_ANALYSIS' ELSE kind END AS intent,
-  focus_player, compare_player, team, team_compare FROM o""")
-def routed_questions(spark: SparkSession, d: str) -> DataFrame:
-    """Intents with the roles of the entities found, and rerouting (Q11). Words in -ing stand for players, in -tion for teams."""
-    found = lambda p: F.regexp_extract_all(F.lower("text"), F.lit(p), F.lit(0))
-    r = X.routed(X.intent(F.col("text")), found("[a-z]*ing"), found("[a-z]*tion"))
-    return table(spark, d, "conversations").select("conv_id", "turn", r.alias("r")).select("conv_id", "turn", "r.*")
+def _sql_said(words: list[str]) -> str:
+    return "(" + " OR ".join(f"contains(lower(text), '{w}')" for w in words) + ")"
+
+
+@register(f"""WITH {_ROLE_SQL},
+a AS (SELECT *, len(p) + len(t) = 0 AND {_sql_said(L.PAIR_WORDS)} AS asks, intent = 'COMPARE_PLAYERS' AS cmp FROM i),
+b AS (SELECT *, last_value(CASE WHEN NOT asks OR cmp THEN cmp END IGNORE NULLS) OVER w AS compared, last_value(CASE WHEN compare_player IS NOT NULL THEN focus_player END IGNORE NULLS) OVER w AS first FROM a WINDOW w AS (PARTITION BY conv ORDER BY query ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+c AS (SELECT *, CASE WHEN coalesce(compared, false) AND first IS NOT NULL THEN CASE WHEN asks THEN 'pair' WHEN {_sql_said(L.SWAPS)} AND len(p) = 1 AND compare_player IS NULL THEN 'swap' END END AS k FROM b),
+g AS (SELECT *, last_value(CASE WHEN compare_player IS NOT NULL THEN compare_player WHEN k = 'swap' THEN p[1] END IGNORE NULLS) OVER w AS second, last_value(CASE WHEN k IS NOT NULL THEN first ELSE focus_player END IGNORE NULLS) OVER w AS was, last_value(team IGNORE NULLS) OVER w AS team_was
+  FROM c WINDOW w AS (PARTITION BY conv ORDER BY query ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+h AS (SELECT *, k IS NULL AND len(p) + len(t) = 0 AND {_sql_said(L.FOCUS_WORDS)} AND was IS NOT NULL AS same FROM g),
+z AS (SELECT *, CASE WHEN k IS NOT NULL THEN first WHEN same THEN was ELSE focus_player END AS focus FROM h)
+SELECT conv, query, CASE WHEN k IS NOT NULL THEN 'COMPARE_PLAYERS' WHEN same AND intent = 'GENERAL' THEN 'PLAYER_ANALYSIS' ELSE intent END AS intent, focus AS focus_player, CASE k WHEN 'pair' THEN second WHEN 'swap' THEN p[1] ELSE compare_player END AS compare_player, team,
+  coalesce(k, CASE WHEN same THEN 'focus' END) AS reused, coalesce(focus <> was, focus IS NOT NULL) AS player_changed, coalesce(team <> team_was, team IS NOT NULL) AS team_changed FROM z""")
+def dialogue_state(spark: SparkSession, d: str) -> DataFrame:
+    """What follow-up questions refer to, and turns where the player or team in focus changes (Q12, Q14)."""
+    out = L.followed_up(_routed(spark, d), "conv", "query")
+    return out.select("conv", "query", "intent", "focus_player", "compare_player", "team", "reused", "player_changed", "team_changed")
 
 
 @register("""WITH v AS (SELECT *, CASE WHEN length(text) % 3 = 0 THEN substr(text, 1, 8) END AS focus FROM conversations)
