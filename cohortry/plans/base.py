@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from contextvars import ContextVar
+from functools import wraps
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -67,8 +71,36 @@ RATES = (
 )
 
 
+_frames: ContextVar[dict | None] = ContextVar("frames", default=None)
+
+
+def per_query(query: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+    """query, in which all parts that ask for the scores of a folder get one frame, computed and written once.
+    The next call computes its own: nothing outlives a query."""
+
+    @wraps(query)
+    def run(spark: SparkSession, d: str) -> DataFrame:
+        token = _frames.set({})
+        try:
+            return query(spark, d)
+        finally:
+            _frames.reset(token)
+
+    return run
+
+
 def entity_scores(spark: SparkSession, d: str) -> DataFrame:
-    """id, cohort, team, n_orders, exposure and six scores: midrank percentiles of the rates in the cohort."""
+    """id, cohort, team, n_orders, exposure and six scores: midrank percentiles of the rates in the cohort. Within a
+    query (per_query) they are computed once."""
+    frames = _frames.get()
+    if frames is None:
+        return _entity_scores(spark, d)
+    if d not in frames:
+        frames[d] = _entity_scores(spark, d)
+    return frames[d]
+
+
+def _entity_scores(spark: SparkSession, d: str) -> DataFrame:
     from cohortry.operators.cohort import midrank_percentiles
 
     df = stored(entity_rates(spark, d))

@@ -16,9 +16,9 @@ from cohortry.operators import graph as G
 from cohortry.operators import quality as Q
 from cohortry.operators import teams as T
 from cohortry.operators import text as X
-from cohortry.sources.tables import stored
+from cohortry.sources.tables import new_folder, save_reported, stored
 
-from .base import CAPABILITIES, SCORES, entity_scores, rnd, table
+from .base import CAPABILITIES, SCORES, entity_facts, entity_scores, rnd, table
 from .score_queries import _MEANS, _TALL, _means, _tall, sql_bands
 
 QUERIES, ORACLES = {}, {}
@@ -50,17 +50,21 @@ def _nodes(spark: SparkSession, d: str) -> DataFrame:
     return G.union_all([G.nodes(table(spark, d, t), kind, key, name) for kind, t, key, name in kinds])
 
 
-def _edges(spark: SparkSession, d: str) -> DataFrame:
-    s, n = entity_scores(spark, d), table(spark, d, "nation")
-    places = n.join(F.broadcast(table(spark, d, "region")), F.col("n_regionkey") == F.col("r_regionkey"))
-    suppliers = table(spark, d, "supplier").join(F.broadcast(n), F.col("s_nationkey") == F.col("n_nationkey"))
-    return G.union_all([
-        G.edges(_tall(spark, d), "HAS_CAPABILITY", ("customer", "id"), ("capability", "capability"), rounded(F.col("score") / 100.0, 6)),
-        G.edges(s, "MEMBER_OF", ("customer", "id"), ("nation", "team"), None),
-        G.edges(places, "PART_OF", ("nation", "n_name"), ("region", "r_name"), None),
-        G.edges(suppliers, "MEMBER_OF", ("supplier", "s_suppkey"), ("nation", "n_name"), None),
-        G.edges(s.where("threat >= 85").withColumn("signal", F.lit("elite_goal_scorer")).dropDuplicates(["id", "signal"]), "TRIGGERS", ("customer", "id"), ("signal", "signal"), None),
-    ])
+def _edges(spark: SparkSession, d: str, types: list[str] | None = None) -> DataFrame:
+    """Edges of all types, or of those asked for: what no asked type needs isn't computed."""
+    n = table(spark, d, "nation")
+    members = lambda: entity_facts(spark, d) if types is not None and not {"HAS_CAPABILITY", "TRIGGERS"} & set(types) else entity_scores(spark, d)
+    places = lambda: n.join(F.broadcast(table(spark, d, "region")), F.col("n_regionkey") == F.col("r_regionkey"))
+    suppliers = lambda: table(spark, d, "supplier").join(F.broadcast(n), F.col("s_nationkey") == F.col("n_nationkey"))
+    elite = lambda: entity_scores(spark, d).where("threat >= 85").withColumn("signal", F.lit("elite_goal_scorer")).dropDuplicates(["id", "signal"])
+    parts = [
+        ("HAS_CAPABILITY", lambda: _tall(spark, d), ("customer", "id"), ("capability", "capability"), rounded(F.col("score") / 100.0, 6)),
+        ("MEMBER_OF", members, ("customer", "id"), ("nation", "team"), None),
+        ("PART_OF", places, ("nation", "n_name"), ("region", "r_name"), None),
+        ("MEMBER_OF", suppliers, ("supplier", "s_suppkey"), ("nation", "n_name"), None),
+        ("TRIGGERS", elite, ("customer", "id"), ("signal", "signal"), None),
+    ]
+    return G.union_all([G.edges(frame(), kind, source, target, weight) for kind, frame, source, target, weight in parts if types is None or kind in types])
 
 
 @register(f"WITH {_NODES} SELECT * FROM nodes")
@@ -85,11 +89,35 @@ def graph_summary(spark: SparkSession, d: str) -> DataFrame:
 JOIN (SELECT DISTINCT source_id, target_id FROM edges WHERE source_type = 'customer' AND edge_type = 'MEMBER_OF') a ON a.source_id = node_id JOIN (SELECT DISTINCT source_id, target_id FROM edges WHERE edge_type = 'PART_OF') b ON b.source_id = a.target_id""")
 def two_hop_paths(spark: SparkSession, d: str) -> DataFrame:
     """Paths of two edges from every customer."""
-    e = _edges(spark, d).where("edge_type IN ('MEMBER_OF', 'PART_OF') AND source_type IN ('customer', 'nation')")
+    e = _edges(spark, d, ["MEMBER_OF", "PART_OF"]).where("source_type IN ('customer', 'nation')")
     paths = G.traverse(e, table(spark, d, "customer").select(F.col("c_custkey").alias("node_id")), None, 2)
     return paths.where("hops = 2").select(F.array_join("path", ">").alias("path"), "hops")
 
 
+@register(f"""WITH {SCORES}, {_TALL}, {_NODES}, {_EDGES}, one AS (SELECT DISTINCT source_type || ':' || source_id AS s, target_type || ':' || target_id AS t FROM edges WHERE edge_type IN ('MEMBER_OF', 'PART_OF')),
+p AS (SELECT a.s AS source, b.t AS target, a.t AS via FROM one a JOIN one b ON a.t = b.s WHERE b.t <> a.s), k AS (SELECT node_type || ':' || node_id AS node, name FROM nodes)
+SELECT source, target, x.name || ' > ' || y.name || ' > ' || z.name AS names, CAST(2 AS BIGINT) AS hops FROM p JOIN k x ON x.node = source JOIN k y ON y.node = via JOIN k z ON z.node = target""")
+def named_paths(spark: SparkSession, d: str) -> DataFrame:
+    """Paths of two edges from every member over a stored adjacency, with the names of their nodes."""
+    adjacency = G.adjacency(_edges(spark, d, ["MEMBER_OF", "PART_OF"]))
+    start = adjacency.select("source").distinct()
+    found = G.walk(adjacency, start, 2).where("hops = 2")
+    named = G.with_names(found, _nodes(spark, d))
+    return named.select(F.col("path")[0].alias("source"), F.element_at("path", -1).alias("target"), F.array_join("names", " > ").alias("names"), "hops")
+
+
+@register(f"""WITH {SCORES}, {_TALL}, {_NODES}, {_EDGES} SELECT 'nodes' AS output, node_type AS kind, count(*) AS n, CAST(NULL AS VARCHAR) AS warning FROM nodes GROUP BY 2
+UNION ALL SELECT 'edges', edge_type, count(*), NULL FROM edges GROUP BY 2 UNION ALL SELECT 'edges', edge_type, 0, 'declared, but not built' FROM (VALUES ('HAS_CAPABILITY'), ('MEMBER_OF'), ('PART_OF'), ('TRIGGERS'), ('FRAGILE_ON'), ('SIMILAR_TO')) t(edge_type) WHERE edge_type NOT IN (SELECT edge_type FROM edges)""")
+def build_report(spark: SparkSession, d: str) -> DataFrame:
+    """Rows that the graph's build wrote, by output and kind, counted while they were written, and what the registry
+    misses (A6, A10, O12)."""
+    folder = new_folder(spark)
+    nodes = save_reported(_nodes(spark, d), f"{folder}/nodes", "node_type", ["customer", "supplier", "nation", "region"])
+    edges = save_reported(_edges(spark, d), f"{folder}/edges", "edge_type", DECLARED)
+    rows = [("nodes", k, n, None) for k, n in nodes.items() if n] + [("edges", k, n, None if n else "declared, but not built") for k, n in edges.items()]
+    return spark.createDataFrame(rows, "output string, kind string, n long, warning string")
+
+
 #: Edge types of the graph, built or not.
 DECLARED = ["HAS_CAPABILITY", "MEMBER_OF", "PART_OF", "TRIGGERS", "FRAGILE_ON", "SIMILAR_TO"]
 

@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -27,17 +28,51 @@ def bad_json_files(spark: SparkSession, path: str, schema) -> DataFrame:
     return found.where("bad > 0")
 
 
-def stored(df: DataFrame) -> DataFrame:
-    """df written once to the folder of spark.checkpoint.dir and read from there by all that follows."""
-    context = df.sparkSession.sparkContext
+def new_folder(spark: SparkSession) -> str:
+    """A new path in the folder of spark.checkpoint.dir, which all executors and the driver see."""
+    context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        folder = spark.conf.get("spark.checkpoint.dir", None)
         if not folder and not context.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="checkpoints-"))
+    return f"{context.getCheckpointDir()}/{uuid.uuid4().hex}"
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """df written once to the folder of spark.checkpoint.dir and read from there by all that follows."""
+    new_folder(df.sparkSession)
     return df.checkpoint()
 
 
+def save_reported(df: DataFrame, path: str, kind: str, kinds: list[str], wrong: dict[str, Column] | None = None) -> dict[str, int]:
+    """Writes df and returns the rows of each of the kinds, of other kinds ("other") and those that fail a check (by
+    its name), all observed during the write: no second pass over the data."""
+    from pyspark.sql import Observation
+
+    seen = Observation()
+    metrics = [F.count_if(F.col(kind) == k).alias(f"k{i}") for i, k in enumerate(kinds)]
+    metrics.append(F.count_if(~F.coalesce(F.col(kind).isin(kinds), F.lit(False))).alias("other"))
+    metrics += [F.count_if(c).alias(f"w{i}") for i, c in enumerate((wrong or {}).values())]
+    df.observe(seen, *metrics).write.mode("overwrite").parquet(path)
+    found = seen.get
+    out = {k: found[f"k{i}"] for i, k in enumerate(kinds)} | ({"other": found["other"]} if found["other"] else {})
+    return out | {name: found[f"w{i}"] for i, name in enumerate(wrong or {})}
+
+
+def bucketed(df: DataFrame, column: str, buckets: int | None = None) -> DataFrame:
+    """df as a table bucketed and sorted by a column: joins on it read it without a shuffle. There are as many buckets
+    as shuffle partitions, so that the other side's partitions fit them. Its entry in the catalogue goes at once;
+    the files stay in the folder of spark.checkpoint.dir."""
+    spark, name = df.sparkSession, f"b_{uuid.uuid4().hex}"
+    buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    df.repartition(buckets, column).write.bucketBy(buckets, column).sortBy(column).option("path", new_folder(spark)).saveAsTable(name)
+    out = spark.table(name)
+    out.schema  # resolved while the entry is there
+    spark.sql(f"DROP TABLE {name}")
+    return out
+
+
 def with_file_key(df: DataFrame, out: str) -> DataFrame:
     """df with the number that is its file's name; rows of files named otherwise go (A3)."""
     key = F.regexp_extract(F.col("_metadata.file_name"), r"^(\d+)\.json$", 1)

@@ -19,6 +19,17 @@ def test_no_python_and_no_product(spark, name):
     assert not re.search("Python|Pandas|MapInArrow|CartesianProduct", text)
 
 
+@pytest.mark.parametrize("name", ["hhi", "fragility", "graph_edges", "claims", "percentiles_in_cohort", "calibration_quantiles"])
+def test_no_python_before_the_cuts(spark, monkeypatch, name):
+    """The same over the frames that a query would write first: its plan reaches the tables."""
+    for module in ("plans.base", "plans.cohort_queries", "plans.score_queries", "plans.graph_text_queries", "operators.cohort", "operators.scoring", "operators.teams"):
+        monkeypatch.setattr(f"cohortry.{module}.stored", lambda df: df, raising=False)
+    text = plan(Q.QUERIES[name](spark, SF))
+    assert not re.search("Python|Pandas|MapInArrow|CartesianProduct|ExistingRDD", text)
+    scans = re.findall(r"ReadSchema: struct<([^>]*)>", text)
+    assert any("l_orderkey" in s for s in scans) and all("l_comment" not in s and "o_totalprice" not in s for s in scans)
+
+
 def test_scans_read_few_columns_and_push_filters(spark):
     text = plan(Q.QUERIES["entity_summary_fused"](spark, SF))
     schemas = re.findall(r"ReadSchema: struct<([^>]*)>", text)
