@@ -70,3 +70,40 @@ def first_failures(df: DataFrame, rules: list[Rule], key: str, most: int = 10) -
     tall = flagged.select(key, F.explode(found).alias("f")).select("f.rule", "f.level", key)
     w = Window.partitionBy("rule").orderBy(key)
     return tall.withColumn("__n", F.row_number().over(w)).where(F.col("__n") <= most).drop("__n")
+
+
+def lineage(stages: list[tuple[str, DataFrame]], key: str) -> DataFrame:
+    """How each key went through the stages, in one grouping: key, stages (names of those that have it), lost (the first
+    that has not, after one that has; null if none), rows (most rows of the key in a stage) and differences, an
+    array of (column, before, after, stage) where a column that two successive stages share has other values.
+
+    Values are compared as text, nulls being equal to one another only; a key with several rows in a stage is
+    compared by its least row of values. A null key is a key.
+    """
+    names, shared = [n for n, _ in stages], []
+    for (_, a), (_, b) in zip(stages, stages[1:], strict=False):
+        shared.append([c for c in a.columns if c != key and c in b.columns])
+    used = sorted({c for cs in shared for c in cs})
+    parts = None
+    for i, (_, df) in enumerate(stages):
+        values = F.struct(*[(F.col(c).cast("string") if c in df.columns else F.lit(None).cast("string")).alias(c) for c in used]) if used else F.struct(F.lit(1).alias("none"))
+        part = df.groupBy(F.col(key).alias("key")).agg(F.count("*").alias("n"), F.min(values).alias("v")).withColumn("i", F.lit(i))
+        parts = part if parts is None else parts.unionByName(part)
+    # A row for each stage at most, so that a key's group is as small as the chain.
+    at = lambda i, c: F.max(F.when(F.col("i") == i, F.col(c))).alias(f"{c}{i}")
+    wide = parts.groupBy("key").agg(*[at(i, c) for i in range(len(stages)) for c in ("n", "v")])
+    has = [F.col(f"n{i}").isNotNull() for i in range(len(stages))]
+    lost, seen = F.lit(None).cast("string"), F.lit(False)
+    for i, name in enumerate(names):
+        lost = F.when(lost.isNull() & seen & ~has[i], F.lit(name)).otherwise(lost)
+        seen = seen | has[i]
+    found = []
+    for i, cs in enumerate(shared):
+        for c in cs:
+            a, b = F.col(f"v{i}")[c], F.col(f"v{i + 1}")[c]
+            found.append(F.when(has[i] & has[i + 1] & ~a.eqNullSafe(b), F.struct(F.lit(c).alias("column"), a.alias("before"), b.alias("after"), F.lit(names[i + 1]).alias("stage"))))
+    differences = F.array_compact(F.array(*found)) if found else F.array().cast("array<struct<column:string,before:string,after:string,stage:string>>")
+    return wide.select(
+        F.col("key").alias(key), F.array_compact(F.array(*[F.when(h, F.lit(n)) for h, n in zip(has, names, strict=True)])).alias("stages"), lost.alias("lost"),
+        F.greatest(*[f"n{i}" for i in range(len(stages))] + ["n0"]).alias("rows"), differences.alias("differences"),
+    )

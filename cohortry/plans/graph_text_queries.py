@@ -16,7 +16,7 @@ from cohortry.operators import graph as G
 from cohortry.operators import quality as Q
 from cohortry.operators import teams as T
 from cohortry.operators import text as X
-from cohortry.sources.tables import new_folder, save_reported, stored
+from cohortry.sources.tables import changed_partitions, content_fingerprint, new_folder, save_reported, stored
 
 from .base import CAPABILITIES, SCORES, entity_facts, entity_scores, rnd, table
 from .score_queries import _MEANS, _TALL, _means, _tall, sql_bands
@@ -523,6 +523,34 @@ def fingerprint(spark: SparkSession, d: str) -> DataFrame:
     return row_counts({t: table(spark, d, t) for t in ("orders", "lineitem", "events")})
 
 
+_EDITED = "SELECT * REPLACE (CASE WHEN l_orderkey % 1000 = 0 THEN l_quantity + 1 ELSE l_quantity END AS l_quantity) FROM lineitem WHERE l_orderkey % 1000 <> 1 AND l_partkey % 100 <> 7"
+
+
+@register(f"""WITH b AS (SELECT l_partkey AS part, count(*) AS n FROM lineitem WHERE l_partkey % 100 <> 8 GROUP BY 1), e AS ({_EDITED}), a AS (SELECT l_partkey AS part, count(*) AS n FROM e GROUP BY 1),
+c AS (SELECT DISTINCT l_partkey AS part FROM lineitem WHERE l_orderkey % 1000 <= 1)
+SELECT part, coalesce(b.n, 0) AS n_before, coalesce(a.n, 0) AS n_now, CASE WHEN b.n IS NULL THEN 'added' WHEN a.n IS NULL THEN 'removed' ELSE 'changed' END AS change
+FROM b FULL JOIN a USING (part) WHERE b.n IS NULL OR a.n IS NULL OR part IN (SELECT part FROM c)""")
+def content_changes(spark: SparkSession, d: str) -> DataFrame:
+    """Parts whose order lines changed between two versions of the table, by order-free sums of row hashes."""
+    lines = table(spark, d, "lineitem")
+    edited = lines.where("l_orderkey % 1000 <> 1 AND l_partkey % 100 <> 7").withColumn("l_quantity", F.col("l_quantity") + F.when(F.col("l_orderkey") % 1000 == 0, 1).otherwise(0))
+    by = {"part": F.col("l_partkey")}
+    return changed_partitions(content_fingerprint(lines.where("l_partkey % 100 <> 8"), by), content_fingerprint(edited, by), ["part"])
+
+
+@register(f"""WITH {SCORES}, s AS (SELECT * FROM scores WHERE id % 50 <> 3), l AS (SELECT c_custkey AS id, e.id AS e, s.id AS s, CASE WHEN s.id % 70 = 5 AND e.team <> 'moved' THEN 1 ELSE 0 END AS n FROM customer LEFT JOIN entity e ON e.id = c_custkey LEFT JOIN s ON s.id = c_custkey)
+SELECT id, 'source' || CASE WHEN e IS NOT NULL THEN ',facts' ELSE '' END || CASE WHEN s IS NOT NULL THEN ',scores' ELSE '' END AS stages, CASE WHEN e IS NULL THEN 'facts' WHEN s IS NULL THEN 'scores' END AS lost, CAST(1 AS BIGINT) AS rows,
+  CASE WHEN n = 1 THEN 'team@scores' ELSE '' END AS differences FROM l""")
+def lineage_trace(spark: SparkSession, d: str) -> DataFrame:
+    """All customers from the source through facts to scores: where one is lost, and which values differ (R2). The
+    scores' stage lacks some, and has others in a team of another name, so that there is something to find."""
+    source = table(spark, d, "customer").select(F.col("c_custkey").alias("id"), F.col("c_name").alias("name"), F.col("c_mktsegment").alias("cohort"))
+    facts = entity_facts(spark, d).select("id", "name", "cohort", "team", "n_orders")
+    scores = entity_scores(spark, d).where("id % 50 <> 3").select("id", "cohort", F.when(F.col("id") % 70 == 5, "moved").otherwise(F.col("team")).alias("team"), "n_orders")
+    said = F.array_join(F.transform("differences", lambda x: F.concat(x["column"], F.lit("@"), x["stage"])), ",")
+    return Q.lineage([("source", source), ("facts", facts), ("scores", scores)], "id").select("id", F.array_join("stages", ",").alias("stages"), "lost", "rows", said.alias("differences"))
+
+
 @register("""WITH o AS (SELECT o_custkey, o_orderkey, o_orderdate, row_number() OVER (PARTITION BY o_orderpriority ORDER BY o_orderdate, o_orderkey) AS k FROM orders)
 SELECT l_orderkey, l_linenumber FROM lineitem WHERE l_orderkey IN (SELECT o_orderkey FROM o WHERE k <= 3)""")
 def scoped_load(spark: SparkSession, d: str) -> DataFrame:

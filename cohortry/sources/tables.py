@@ -103,13 +103,36 @@ def save(df: DataFrame, path: str, force: bool = True, partition_by: list[str] |
     (writer.partitionBy(*partition_by) if partition_by else writer).parquet(path)
 
 
-def save_profiles(profiles: DataFrame, collectives: DataFrame, folder: str, index_columns: list[str]) -> None:
-    """Profiles by profile_type, their index with lower-case names, and team profiles."""
-    save(profiles, f"{folder}/profiles", partition_by=["profile_type"])
+def save_profiles(profiles: DataFrame, collectives: DataFrame, folder: str, index_columns: list[str], key: str = "player_id", position: str = "position_group") -> None:
+    """Profiles by profile_type and position, clustered by key; their index with lower-case names; team profiles.
+
+    A partition's files hold ranges of keys, sorted, so that a read by position sees its folders only and one by
+    key skips all row groups but one of these. A null position is a folder of its own.
+    """
+    spread = profiles.withColumn("position", F.col(position)).repartitionByRange("profile_type", "position", key).sortWithinPartitions("profile_type", "position", key)
+    save(spread, f"{folder}/profiles", partition_by=["profile_type", "position"])
     save(profiles.select(*index_columns, F.lower("player_name").alias("name_lower")), f"{folder}/index")
+    places = profiles.select(key, "profile_type", F.col(position).alias("position")).distinct()
+    save(places.repartitionByRange(key).sortWithinPartitions(key), f"{folder}/places")
     save(collectives, f"{folder}/collectives")
 
 
+def profiles_by(spark: SparkSession, folder: str, profile_type: str | None = None, position: str | None = None) -> DataFrame:
+    """Stored profiles of a type and position, from their folders only."""
+    df = spark.read.parquet(f"{folder}/profiles")
+    df = df if profile_type is None else df.where(F.col("profile_type") == profile_type)
+    return (df if position is None else df.where(F.col("position") == position)).drop("position")
+
+
+def profile_of(spark: SparkSession, folder: str, value, key: str = "player_id") -> DataFrame:
+    """The stored profiles of one key: its places first, a few rows from one row group, then those folders only."""
+    places = spark.read.parquet(f"{folder}/places").where(F.col(key) == value).select("profile_type", "position").collect()  # of one key
+    df, here = spark.read.parquet(f"{folder}/profiles"), F.lit(False)
+    for r in places:
+        here = here | (F.col("profile_type") == r["profile_type"]) & (F.col("position").isNull() if r["position"] is None else F.col("position") == r["position"])
+    return df.where(here & (F.col(key) == value)).drop("position")
+
+
 def save_graph(nodes: DataFrame, edges: DataFrame, folder: str) -> None:
     """Nodes, and edges by type (A10)."""
     save(nodes, f"{folder}/nodes")
@@ -125,6 +148,27 @@ def same_fingerprint(now: DataFrame, before: DataFrame, versions: dict[str, str]
     return versions == versions_before and now.exceptAll(before).isEmpty() and before.exceptAll(now).isEmpty()
 
 
+def content_fingerprint(df: DataFrame, partition: dict[str, Column]) -> DataFrame:
+    """(the partition's columns, n, low, mix): rows of each partition, and the sum and exclusive or of a hash of each
+    row, which don't depend on the order of rows, columns or files and can be added up over parts. A null differs
+    from any value and from a null in another column."""
+    columns = sorted(df.columns)
+    h = F.xxhash64(*[F.col(f"`{c}`") for c in columns], *[F.col(f"`{c}`").isNull() for c in columns])
+    return df.groupBy(*[c.alias(n) for n, c in partition.items()]).agg(F.count("*").alias("n"), F.sum(h.cast("decimal(38,0)")).alias("low"), F.bit_xor(h).alias("mix"))
+
+
+def changed_partitions(before: DataFrame, now: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, n_before, n_now, change): partitions of two content fingerprints that were added, removed or changed."""
+    old = before.select(*[F.col(k).alias(f"__{k}") for k in keys], F.struct("n", "low", "mix").alias("__was"))
+    on = F.lit(True)
+    for k in keys:
+        on = on & F.col(k).eqNullSafe(F.col(f"__{k}"))
+    j = now.withColumn("__is", F.struct("n", "low", "mix")).join(old, on, "full")
+    change = F.when(F.col("__was").isNull(), "added").when(F.col("__is").isNull(), "removed").when(F.col("__was") != F.col("__is"), "changed")
+    known = [F.when(F.col("__is").isNull(), F.col(f"__{k}")).otherwise(F.col(k)).alias(k) for k in keys]
+    return j.select(*known, F.coalesce(F.col("__was")["n"], F.lit(0)).alias("n_before"), F.coalesce(F.col("__is")["n"], F.lit(0)).alias("n_now"), change.alias("change")).where("change IS NOT NULL")
+
+
 def load_summary(expected: DataFrame, loaded: DataFrame, key: str) -> DataFrame:
     """One row: keys expected, loaded and missing."""
     keys = loaded.select(key).distinct()
