@@ -136,27 +136,56 @@ def global_ntile(df: DataFrame, value: str, tie: str, out: str, tiles: int = 10)
     return ranked.withColumn(out, tile.cast("long")).drop("__low", "__all", *_MARKS)
 
 
-def cohort_ntile(cohort: list[str], order: list[Column], tiles: int = 10) -> Column:
-    return F.ntile(tiles).over(Window.partitionBy(*cohort).orderBy(*order)).cast("long")
+def with_group(df: DataFrame, keys: list[str], sums: dict[str, Column]) -> DataFrame:
+    """df with aggregates of each row's group, combined in each task first and joined back: no window holds a group.
+    df is read twice; null keys are a group."""
+    return _join_nulls(df, df.groupBy(*keys).agg(*[c.alias(n) for n, c in sums.items()]), keys)
 
 
-def below_percentile(cohort: list[str], value: str) -> Column:
-    """Percent of the cohort strictly below."""
-    w = Window.partitionBy(*cohort)
-    return rounded((F.rank().over(w.orderBy(F.col(value).asc_nulls_first())) - 1) / F.count("*").over(w) * 100, 0)
+def numbered(df: DataFrame, keys: list[str], order: list[Column], out: str, total: str = "__n") -> DataFrame:
+    """df with each row's number (from 1) in its group by an order that leaves no ties, and the group's rows.
+
+    Rows are dealt by ranges of group and order and counted on in each range; a table of a row for each group and
+    range says where a range begins. So a group is spread over tasks, however large.
+    """
+    columns = [F.col(k) for k in keys]
+    placed = stored(df.repartitionByRange(*columns, *order).sortWithinPartitions(*columns, *order).withColumn("__at", F.monotonically_increasing_id()))
+    placed = placed.withColumn("__part", F.shiftright("__at", 33))
+    parts = placed.groupBy(*keys, "__part").agg(F.min("__at").alias("__first"), F.count("*").alias("__c"))
+    w = Window.partitionBy(*keys)
+    before = F.coalesce(F.sum("__c").over(w.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    offsets = parts.select(*keys, "__part", "__first", before.alias("__before"), F.sum("__c").over(w).alias(total))
+    joined = _join_nulls(placed, offsets, [*keys, "__part"])
+    return joined.withColumn(out, F.col("__at") - F.col("__first") + F.col("__before") + 1).drop("__at", "__part", "__first", "__before")
+
+
+def cohort_ntile(df: DataFrame, cohort: list[str], order: list[Column], out: str, tiles: int = 10) -> DataFrame:
+    """Exact NTILE in the cohort by an order that leaves no ties."""
+    df = numbered(df, cohort, order, "__place", "__all")
+    place, size, extra = F.col("__place") - 1, F.floor(F.col("__all") / tiles), F.col("__all") % tiles
+    big = extra * (size + 1)
+    tile = F.when(place < big, F.floor(place / (size + 1))).otherwise(extra + F.floor((place - big) / F.greatest(size, F.lit(1)))) + 1
+    return df.withColumn(out, tile.cast("long")).drop("__place", "__all")
+
+
+def below_percentile(df: DataFrame, cohort: list[str], value: str, out: str) -> DataFrame:
+    """df with the percent of the cohort strictly below, nulls lowest."""
+    ranked = group_ranks(df, cohort, value)
+    return ranked.withColumn(out, rounded((F.col("__rank") - 1) / F.col("__n") * 100, 0)).drop(*_MARKS)
 
 
-def z_score(cohort: list[str], value: str) -> Column:
+def z_score(df: DataFrame, cohort: list[str], value: str, out: str) -> DataFrame:
     """With the population's deviation; 0 deviation counts as 1."""
-    w = Window.partitionBy(*cohort)
-    deviation = F.stddev_pop(value).over(w)
-    return (F.col(value) - F.avg(value).over(w)) / F.when(deviation == 0, 1.0).otherwise(deviation)
+    df = with_group(df, cohort, {"__mean": F.avg(value), "__deviation": F.stddev_pop(value)})
+    spread = F.when(F.col("__deviation") == 0, 1.0).otherwise(F.col("__deviation"))
+    return df.withColumn(out, (F.col(value) - F.col("__mean")) / spread).drop("__mean", "__deviation")
 
 
-def shrunk(value: str, exposure: str, cohort: list[str], low: float, high: float) -> Column:
-    """value drawn toward the cohort's mean, in full at exposure `low`, not at all from `high` on."""
+def shrunk(df: DataFrame, values: list[str], exposure: str, cohort: list[str], low: float, high: float, suffix: str = "") -> DataFrame:
+    """values drawn toward the cohort's mean, in full at exposure `low`, not at all from `high` on."""
     w = clip((F.col(exposure) - low) / (high - low), 0.0, 1.0)
-    return F.col(value) * w + F.avg(value).over(Window.partitionBy(*cohort)) * (1 - w)
+    df = with_group(df, cohort, {f"__m_{v}": F.avg(v) for v in values})
+    return df.withColumns({v + suffix: F.col(v) * w + F.col(f"__m_{v}") * (1 - w) for v in values}).drop(*[f"__m_{v}" for v in values])
 
 
 def confidence(n: Column, full: int = 10) -> Column:

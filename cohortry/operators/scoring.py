@@ -67,7 +67,7 @@ def presented_rating(df: DataFrame, raw: str, cohort: list[str]) -> DataFrame:
 
     Each step is a projection of its own, so that a value used many times is computed once.
     """
-    df = df.withColumn("__z", z_score(cohort, raw))
+    df = z_score(df, cohort, raw, "__z")
     df = df.withColumn("__p", normal_cdf(F.col("__z")) * 100)
     shown = rounded(clip(interpolated(F.col("__p"), RATING_KNOTS), 0.0, 99.9), 1)
     out = {"z_score": rounded(F.col("__z"), 2), "rating_percentile": rounded(F.col("__p"), 1), "display_rating": shown}

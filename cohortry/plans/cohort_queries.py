@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cohortry.functions.scalar import bands, difference, pct, possession_factor, ratio, result_label, rounded, weighted
@@ -158,7 +158,8 @@ def global_percentile(spark: SparkSession, d: str) -> DataFrame:
 def deciles(spark: SparkSession, d: str) -> DataFrame:
     """Exact deciles over all entities and in the cohort."""
     df = K.global_ntile(stored(entity_rates(spark, d).select("id", "cohort", "exposure", "progression_rate")), "exposure", "id", "decile")
-    return df.select("id", "decile", K.cohort_ntile(["cohort"], [F.col("progression_rate").asc_nulls_first(), F.col("id")]).alias("decile_in_cohort"))
+    df = K.cohort_ntile(df, ["cohort"], [F.col("progression_rate").asc_nulls_first(), F.col("id")], "decile_in_cohort")
+    return df.select("id", "decile", "decile_in_cohort")
 
 
 _CANDIDATES = f"""{RATES}, p AS (SELECT *, {_PCTS} FROM rates WHERE n_orders >= 2 AND n_lines >= 20),
@@ -167,15 +168,18 @@ candidates AS (SELECT id, cohort, team, n_orders, contribution_score, row_number
   count(*) OVER (PARTITION BY cohort) AS position_pool_size, progression_rate_pct >= 65 AS is_progressive, security_rate_pct >= 60 AND n_orders >= 10 AS is_high_volume, returned_pct > 50 AND n_returned >= 2 AS is_clinical FROM s)"""
 
 
+def _best_first() -> list:
+    return [F.desc("contribution_score"), F.desc("exposure"), F.col("id")]
+
+
+def _contributions(spark: SparkSession, d: str) -> DataFrame:
+    q = stored(entity_rates(spark, d).where("n_orders >= 2 AND n_lines >= 20"))
+    return q.join(K.cohort_percent_rank(q, ["cohort"], _RATE_COLUMNS, ["id"]).drop("cohort"), "id").withColumn("contribution_score", weighted(_CONTRIBUTION, 1))
+
+
 def _candidates(spark: SparkSession, d: str) -> DataFrame:
-    q = entity_rates(spark, d).where("n_orders >= 2 AND n_lines >= 20")
-    q = stored(q)
-    p = q.join(K.cohort_percent_rank(q, ["cohort"], _RATE_COLUMNS, ["id"]).drop("cohort"), "id").withColumn("contribution_score", weighted(_CONTRIBUTION, 1))
-    w = Window.partitionBy("cohort")
-    order = [F.desc("contribution_score"), F.desc("exposure"), F.col("id")]
-    return p.select(
-        "id", "cohort", "team", "n_orders", "contribution_score", F.row_number().over(w.orderBy(*order)).cast("long").alias("position_rank"),
-        F.count("*").over(w).alias("position_pool_size"), (F.col("progression_rate_pct") >= 65).alias("is_progressive"),
+    return K.numbered(_contributions(spark, d), ["cohort"], _best_first(), "position_rank", "position_pool_size").select(
+        "id", "cohort", "team", "n_orders", "contribution_score", "position_rank", "position_pool_size", (F.col("progression_rate_pct") >= 65).alias("is_progressive"),
         ((F.col("security_rate_pct") >= 60) & (F.col("n_orders") >= 10)).alias("is_high_volume"), ((F.col("returned_pct") > 50) & (F.col("n_returned") >= 2)).alias("is_clinical"),
     )
 
@@ -189,7 +193,8 @@ def candidates(spark: SparkSession, d: str) -> DataFrame:
 @register(f"WITH {_CANDIDATES} SELECT id, cohort, contribution_score, position_rank FROM candidates WHERE position_rank <= 5")
 def topn_candidates(spark: SparkSession, d: str) -> DataFrame:
     """The five best of each cohort."""
-    return _candidates(spark, d).where("position_rank <= 5").select("id", "cohort", "contribution_score", "position_rank")
+    best = K.top_k(_contributions(spark, d), ["cohort"], _best_first(), 5, "position_rank")
+    return best.select("id", "cohort", "contribution_score", "position_rank")
 
 
 @register(f"""WITH {RATES}, w AS (SELECT id, cohort, progression_rate, creation_rate, least(greatest((exposure - 90e0) / 810e0, 0e0), 1e0) AS w FROM rates)
@@ -197,8 +202,9 @@ SELECT id, {rnd('progression_rate * w + avg(progression_rate) OVER (PARTITION BY
   {rnd('creation_rate * w + avg(creation_rate) OVER (PARTITION BY cohort) * (1e0 - w)', 6)} AS creation_shrunk FROM w""")
 def shrunk_metrics(spark: SparkSession, d: str) -> DataFrame:
     """Rates drawn to the cohort's mean by exposure."""
-    df = entity_rates(spark, d)
-    return df.select("id", *[rounded(K.shrunk(f"{m}_rate", "exposure", ["cohort"], 90.0, 900.0), 6).alias(f"{m}_shrunk") for m in ("progression", "creation")])
+    names = ["progression", "creation"]
+    df = K.shrunk(stored(entity_rates(spark, d)), [f"{m}_rate" for m in names], "exposure", ["cohort"], 90.0, 900.0)
+    return df.select("id", *[rounded(F.col(f"{m}_rate"), 6).alias(f"{m}_shrunk") for m in names])
 
 
 @register(f"WITH {RATES} SELECT id, cohort, {', '.join(f'{midrank_sql(v)} AS {v}_mid' for v in _RATE_COLUMNS)} FROM rates")
@@ -211,8 +217,9 @@ def midrank_percentiles(spark: SparkSession, d: str) -> DataFrame:
   least(1e0, n_orders / 10e0) AS confidence, {rnd('(rank() OVER (PARTITION BY cohort ORDER BY exposure NULLS FIRST) - 1) * 1e0 / count(*) OVER w * 100e0')} AS below_pct FROM rates WINDOW w AS (PARTITION BY cohort)""")
 def z_scores(spark: SparkSession, d: str) -> DataFrame:
     """z-scores, strictly-below percentiles and sample confidence."""
-    df = entity_facts(spark, d)
-    return df.select("id", rounded(K.z_score(["cohort"], "exposure"), 6).alias("z"), K.confidence(F.col("n_orders")).alias("confidence"), K.below_percentile(["cohort"], "exposure").alias("below_pct"))
+    df = stored(entity_facts(spark, d).select("id", "cohort", "exposure", "n_orders"))
+    df = K.z_score(K.below_percentile(df, ["cohort"], "exposure", "below_pct"), ["cohort"], "exposure", "z")
+    return df.select("id", rounded(F.col("z"), 6).alias("z"), K.confidence(F.col("n_orders")).alias("confidence"), "below_pct")
 
 
 @register(f"SELECT event_id, {rnd('avg(value) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN 4 PRECEDING AND CURRENT ROW)', 4)} AS rolling_value FROM events")

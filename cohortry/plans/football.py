@@ -140,7 +140,7 @@ def profiles(spark: SparkSession, vectors: DataFrame, competition_matches: int =
     """
     cohort, ids = ["profile_type", "position_group"], ["player_id", "profile_type", "position_group", "competition", "season", "team_name"]
     v = stored(vectors.withColumn("key", F.xxhash64(*ids)))
-    shrunk = v.select("key", *cohort, *[K.shrunk(m, "minutes_played", cohort, SHRINK_FROM, SHRINK_TO).alias(m) for m in METRICS])
+    shrunk = K.shrunk(v, METRICS, "minutes_played", cohort, SHRINK_FROM, SHRINK_TO).select("key", *cohort, *METRICS)
     p = K.midrank_percentiles(shrunk, cohort, METRICS, ["key"], suffix="").drop(*cohort)
     groups = {"Defender": DEFENDER_SECURITY} | ({} if strict else {"Center Back": DEFENDER_SECURITY, "Fullback": DEFENDER_SECURITY})
     pg = p.join(v.select("key", "position_group"), "key")

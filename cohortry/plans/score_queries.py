@@ -304,7 +304,7 @@ SELECT id, string_agg(capability, ',' ORDER BY k) FILTER (WHERE k <= 3) AS top,
   string_agg(capability || ' ' || CAST(CAST(pct AS BIGINT) AS VARCHAR) || 'th percentile', ',' ORDER BY capability) AS explained, count(*) FILTER (WHERE pct >= 85) AS n_elite, count(*) FILTER (WHERE pct <= 35) AS n_weak FROM c GROUP BY id""")
 def decision_card(spark: SparkSession, d: str) -> DataFrame:
     """Elite and weak traits against the cohort, the three best and worst, bands and percentiles as text."""
-    t = _tall(spark, d).withColumn("pct", K.below_percentile(["cohort", "capability"], "score"))
+    t = K.below_percentile(_tall(spark, d), ["cohort", "capability"], "score", "pct")
     t = t.withColumn("k", F.row_number().over(Window.partitionBy("id").orderBy(F.desc("score"), "capability")))
     top = F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("k") <= 3, F.struct("k", "capability")))), lambda x: x["capability"]), ",")
     texts = lambda keep, order, text: F.array_join(F.transform(F.array_sort(F.collect_list(F.when(keep, F.struct(order.alias("o"), text.alias("t"))))), lambda x: x["t"]), ",")
@@ -460,9 +460,9 @@ def trade_offs(spark: SparkSession, d: str) -> DataFrame:
 SELECT id, actual, expected, abs(actual - expected) > n / 2e0 AS inverted FROM a""")
 def ranking_inversions(spark: SparkSession, d: str) -> DataFrame:
     """Rows whose rank is far from the expected one."""
-    w = Window.partitionBy("cohort")
-    rank = lambda c: F.row_number().over(w.orderBy(F.desc(c), "id")).cast("long")
-    a = entity_scores(spark, d).select("id", rank("threat").alias("actual"), rank("exposure").alias("expected"), F.count("*").over(w).alias("n"))
+    s = entity_scores(spark, d).select("id", "cohort", "threat", "exposure")
+    a = K.numbered(s, ["cohort"], [F.desc("threat"), F.col("id")], "actual")
+    a = K.numbered(a.drop("__n"), ["cohort"], [F.desc("exposure"), F.col("id")], "expected", "n")
     return a.select("id", "actual", "expected", (F.abs(F.col("actual") - F.col("expected")) > F.col("n") / 2).alias("inverted"))
 
 
