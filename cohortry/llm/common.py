@@ -43,13 +43,22 @@ def shared_folder(spark: SparkSession) -> str:
     return f"{context.getCheckpointDir()}/{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame) -> DataFrame:
+def written(df: DataFrame, compression: str = "snappy") -> DataFrame:
     """df as a Parquet table in the shared folder, read again: for wide rows, which a checkpoint would not compress."""
     path = shared_folder(df.sparkSession)
-    df.write.parquet(path)
+    df.write.option("compression", compression).parquet(path)
     return df.sparkSession.read.parquet(path)
 
 
+def forget(df: DataFrame) -> None:
+    """Deletes the files of a written() table. All that was made of it must be written or checkpointed itself."""
+    files = df.inputFiles()
+    if files:
+        spark = df.sparkSession
+        folder = spark._jvm.org.apache.hadoop.fs.Path(files[0]).getParent()
+        folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def bucketed(df: DataFrame, buckets: int, column: str) -> DataFrame:
     """df as Parquet in the shared folder, bucketed by a column: what groups by it later needs no shuffle.
     Its entry in the catalogue goes at once, the files stay with the other written tables."""

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 from math import ceil
+from typing import NamedTuple
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -11,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import exchange as X
-from .common import cut, fresh, maybe_broadcast, written
+from .common import cut, forget, fresh, maybe_broadcast, written
 from .components import components
 
 #: Words in a k-mer, k-mers kept in text order by one sketch, sketches of a text.
@@ -81,33 +82,48 @@ def word_bins(hashes: np.ndarray) -> bytes:
 
 def unpacked_bins(data: list[bytes]) -> np.ndarray:
     raw = np.frombuffer(b"".join(data), np.uint8).reshape(len(data), 4 + BINS)
-    return raw[:, 4:].astype(np.int32) * np.ascontiguousarray(raw[:, :4]).view("<u4").astype(np.int32)
-
-
-def open_pairs(n: np.ndarray, labels: np.ndarray, sides: np.ndarray | None, bins: np.ndarray, held: np.ndarray, key: int, least: float, stars: bool):
-    """(i, places j) of members with different labels, and sides if given, that may be similar and whose first
-    shared sketch (rows of held) is key: other buckets leave the pair to that one. Matched words are in both
-    texts, so no more than the sum of the smaller bins. With stars, only enough pairs to give each member
-    that is in one a centre."""
-    order = np.argsort(n, kind="stable")
-    n, labels, bins, held = n[order], labels[order], bins[order], held[order]
-    sides = None if sides is None else sides[order]
-    ends = np.searchsorted(n, n / least * (1 + 1e-9), side="right")
-    taken = np.zeros(len(n), bool)
-    for i in range(len(n)):
-        if stars and taken[i]:
-            continue
-        open_ = (labels[i + 1 : ends[i]] != labels[i]) & (n[i] >= least * n[i + 1 : ends[i]])
-        if sides is not None:
-            open_ &= sides[i + 1 : ends[i]] != sides[i]
-        j = np.flatnonzero(open_) + i + 1
+    steps = np.ascontiguousarray(raw[:, :4]).view("<u4").astype(np.int32)
+    return raw[:, 4:] if (steps == 1).all() else raw[:, 4:].astype(np.int32) * steps
+
+
+class Members(NamedTuple):
+    """Members of a bucket: node, n words, class label, whether outside the bucket's largest class, bins, sketches."""
+
+    node: np.ndarray
+    n: np.ndarray
+    label: np.ndarray
+    out: np.ndarray
+    bins: np.ndarray
+    held: np.ndarray
+
+    def at(self, places: np.ndarray) -> Members:
+        return Members(*[x[places] for x in self])
+
+
+def open_pairs(left: Members, right: Members, key: int, least: float, best: int | None):
+    """(node of left, nodes of right) with different labels that may be similar and whose first shared sketch is
+    key: other buckets leave the pair to that one. left are outside the largest class; two such members are
+    paired in the order of their nodes only. Matched words are in both texts, so no more than the sum of the
+    smaller bins. If best is given, each of left names only so many that it may be most similar to."""
+    right = right.at(np.argsort(right.n, kind="stable"))
+    low = np.searchsorted(right.n, left.n * least * (1 - 1e-9))
+    high = np.searchsorted(right.n, left.n / least * (1 + 1e-9), side="right")
+    for i in range(len(left.n)):
+        j = np.arange(low[i], high[i])
+        j = j[(right.label[j] != left.label[i]) & (~right.out[j] | (right.node[j] > left.node[i]))]
+        longer = np.maximum(right.n[j], left.n[i])
+        j = j[np.minimum(right.n[j], left.n[i]) >= least * longer]
         if len(j):
-            j = j[held[i][(held[i] == held[j]).argmax(axis=1)] == key]
+            j = j[left.held[i][(left.held[i] == right.held[j]).argmax(axis=1)] == key]
         if len(j):
-            j = j[np.minimum(bins[i], bins[j]).sum(axis=1) >= least * n[j] - 1e-6]
+            common = np.minimum(left.bins[i], right.bins[j]).sum(axis=1, dtype=np.int32)
+            share = common / np.maximum(right.n[j], left.n[i])
+            may = share >= least - 1e-9
+            j, share = j[may], share[may]
+            if best is not None and len(j) > best:
+                j = j[np.argpartition(-share, best)[:best]]
         if len(j):
-            taken[j] = True
-            yield order[i], order[j]
+            yield left.node[i], right.node[j]
 
 
 def banded_matches(a: list, b: list, band: int) -> int:
@@ -208,38 +224,45 @@ def _linked(pairs: DataFrame, rows: DataFrame, texts: DataFrame, least: float) -
     contents = written(held.select("node", "text").dropDuplicates(["node"]))
     with_a = pairs.join(contents.select(F.col("node").alias("a"), F.col("text").alias("ta")), "a")
     with_both = with_a.join(contents.select(F.col("node").alias("b"), F.col("text").alias("tb")), "b").select("a", "b", "ta", "tb")
-    return _verified(with_both, least)
+    links = cut(_verified(with_both, least))
+    forget(contents)
+    return links
 
 
-def _open_pairs(rest: DataFrame, least: float, stars: bool) -> DataFrame:
-    """The open pairs (a, b) of rest(key, m, node, n, label, bins, held), where held are a text's sketches and m is the size of the bucket. Members
-    of a large bucket are dealt over parts and meet in a cell for each two parts; small buckets share cells."""
+def _open_pairs(rest: DataFrame, least: float, best: int | None) -> DataFrame:
+    """The open pairs (a, b) of rest(key, m, most, top, node, n, label, bins, held): held are a text's sketches, m is
+    the size of the bucket, most that of its largest class, top. Members outside that class meet all members,
+    those within it don't meet one another: both sides of a large bucket are dealt over parts, and each two
+    parts meet in a cell; small buckets share cells."""
 
     def run(cell):
         import pyarrow as pa
 
-        key, i, j = (cell.column(c).to_numpy() for c in ("key", "i", "j"))
-        order = np.lexsort((j, i, key))
-        ids, n, labels, first = (cell.column(c).to_numpy(zero_copy_only=False)[order] for c in ("node", "n", "label", "first"))
-        bins = unpacked_bins(cell.column("bins").to_pylist())[order]
+        key, i, j, left = (cell.column(c).to_numpy() for c in ("key", "i", "j", "left"))
+        order = np.lexsort((left, j, i, key))
+        key, i, j, left = key[order], i[order], j[order], left[order]
+        columns = [cell.column(c).to_numpy(zero_copy_only=False)[order] for c in ("node", "n", "label", "out")]
         held = cell.column("held").combine_chunks().flatten().to_numpy().reshape(len(order), -1)[order]
-        key, i, j = key[order], i[order], j[order]
+        all_ = Members(*columns, unpacked_bins(cell.column("bins").to_pylist())[order], held)
         cuts = np.flatnonzero((np.diff(key) != 0) | (np.diff(i) != 0) | (np.diff(j) != 0)) + 1
         a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
         for s, e in zip([0, *cuts], [*cuts, len(key)], strict=True):
-            for x, ys in open_pairs(n[s:e], labels[s:e], None if i[s] == j[s] else first[s:e], bins[s:e], held[s:e], key[s], least, stars):
-                a.append(np.full(len(ys), ids[s + x]))
-                b.append(ids[s + ys])
+            middle = s + int(np.searchsorted(left[s:e], True))
+            for x, ys in open_pairs(all_.at(np.arange(middle, e)), all_.at(np.arange(s, middle)), key[s], least, best):
+                a.append(np.full(len(ys), x))
+                b.append(ys)
         a, b = np.concatenate(a), np.concatenate(b)
         return pa.table({"a": pa.array(np.minimum(a, b)), "b": pa.array(np.maximum(a, b))})
 
     cells = ceil(rest.count() / CHUNK)
-    parts = F.ceil(F.col("m") / CHUNK).cast("int")
-    dealt = rest.withColumn("parts", parts).withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
-    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    dealt = dealt.withColumns({"i": F.least("part", "other"), "j": F.greatest("part", "other")})
-    cell = F.when(F.col("parts") > 1, F.xxhash64("key", "i", "j")).otherwise(F.pmod(F.col("key"), F.lit(max(cells, 1))))
-    dealt = dealt.select(cell.alias("cell"), "key", "i", "j", (F.col("part") == F.col("i")).alias("first"), "node", "n", "label", "bins", "held")
+    parts = lambda size: F.ceil(size / CHUNK).cast("int")
+    rest = rest.withColumns({"out": F.col("label") != F.col("top"), "outs": parts(F.col("m") - F.col("most")), "alls": parts(F.col("m"))})
+    part = lambda salt, n: F.pmod(F.xxhash64("node", F.lit(salt)), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    right = rest.withColumns({"i": every("outs"), "j": part(0, "alls"), "left": F.lit(False)})
+    left = rest.where("out").withColumns({"i": part(1, "outs"), "j": every("alls"), "left": F.lit(True)})
+    cell = F.when(F.col("alls") > 1, F.xxhash64("key", "i", "j")).otherwise(F.pmod(F.col("key"), F.lit(max(cells, 1))))
+    dealt = right.unionByName(left).select(cell.alias("cell"), "key", "i", "j", "left", "node", "n", "label", "out", "bins", "held")
     return dealt.groupBy("cell").applyInArrow(run, "a long, b long").distinct()
 
 
@@ -257,8 +280,8 @@ def near_duplicates(
     Equal texts are collapsed to a node first. In each bucket of equal sketches every node is first compared
     with that of the smallest id, which joins large classes by as many pairs as rows. Then all members of a
     bucket that are in different classes are compared, unless their lengths or words rule a link out: first
-    with centres, to join large classes that something else leads, then each pair that is left. So any two
-    texts that share a sketch were compared, or cannot be linked, or share a class.
+    with the few they have most words in common with, to join what a leader has not, then each pair that is
+    left. So any two texts that share a sketch were compared, or cannot be linked, or share a class.
     """
     rows = docs.select(F.col(order).alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     rows = rows.select("id", F.unhex(F.sha2(F.col("text").cast("binary"), 256)).alias("digest"), "text")
@@ -280,16 +303,19 @@ def near_duplicates(
     labels = components(_linked(pairs, rows, texts, least).select("a", "b").union(by_id))
 
     mixed = None
-    for stars in (True, False):
+    for best in (8, None):
         labelled = texts.join(maybe_broadcast(labels, 40), "node", "left").withColumn("label", F.coalesce("label", "node"))
         # Pairs of neighbouring sketches meet in the buckets of each, too.
         own = F.slice("keys", 1, sketches)
         held = labelled.select("node", "n", "label", "bins", own.alias("held"), F.explode(own).alias("key"))
         if mixed is not None:
             held = held.join(maybe_broadcast(mixed.select("key"), 24), "key", "left_semi")
-        mixed = cut(held.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count("*").alias("m")).where("low < high").select("key", "m"))
-        rest = written(held.join(maybe_broadcast(mixed, 24), "key"))
-        more = cut(_open_pairs(rest, least, stars).join(pairs, ["a", "b"], "left_anti"))
+        classes = held.groupBy("key", "label").agg(F.count("*").alias("c"))
+        sizes = classes.groupBy("key").agg(F.sum("c").alias("m"), F.max("c").alias("most"), F.max_by("label", F.struct("c", "label")).alias("top"))
+        mixed = cut(sizes.where("most < m"))
+        rest = written(held.join(maybe_broadcast(mixed, 48), "key"), "zstd")
+        more = cut(_open_pairs(rest, least, best).join(pairs, ["a", "b"], "left_anti"))
+        forget(rest)
         found = _linked(more, rows, texts, least)
         pairs = pairs.union(more)
         for end in ("a", "b"):
