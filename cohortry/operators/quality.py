@@ -15,6 +15,33 @@ class Rule:
     broken: Column
 
 
+#: The keys that a record of each kind must have.
+REQUIRED_KEYS = {
+    "competition": ["competition_id", "competition_name", "season_id", "season_name"],
+    "match": ["match_id", "match_date", "home_team", "away_team", "home_score", "away_score"],
+    "event": ["id", "index", "type", "minute", "second"],
+    "lineup": ["team_id", "team_name", "lineup"],
+}
+#: Whether a missing column is an error or a warning, by kind of table.
+MISSING_LEVEL = {"competition": "error", "match": "warning", "event": "warning", "lineup": "error"}
+
+
+def key_faults(records: DataFrame, kind: str) -> DataFrame:
+    """records(file, record) with missing, those of the kind's required keys that a record lacks (C2): all of them if it
+    is no object. A key whose value is null is there. Rows without a record are left out."""
+    keys = F.coalesce(F.json_object_keys("record"), F.array().cast("array<string>"))
+    required = F.array(*map(F.lit, REQUIRED_KEYS[kind]))
+    return records.where(F.col("record").isNotNull()).select("file", "record", F.array_except(required, keys).alias("missing"))
+
+
+def column_faults(df: DataFrame, kind: str, declared: dict[str, str]) -> DataFrame:
+    """(dataset, level, column, found, declared): columns of a table that are missing or of another type than declared
+    (C9). Only the schema is looked at."""
+    found = {f.name: f.dataType.simpleString() for f in df.schema.fields}
+    rows = [(kind, MISSING_LEVEL[kind] if c not in found else "warning", c, found.get(c), t) for c, t in declared.items() if found.get(c) != t]
+    return df.sparkSession.createDataFrame(rows, "dataset string, level string, column string, found string, declared string")
+
+
 def missing_columns(df: DataFrame, required: list[str]) -> list[str]:
     return [c for c in required if c not in df.columns]
 

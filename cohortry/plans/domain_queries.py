@@ -9,14 +9,16 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as DT
 
 from cohortry.functions.scalar import POSITION_GROUPS, rounded
 from cohortry.operators import cohort as K
 from cohortry.operators import graph as G
-from cohortry.operators import marts
+from cohortry.operators import marts, normalize
 from cohortry.operators import quality as Q
 from cohortry.operators import scoring as S
 from cohortry.operators import teams as T
+from cohortry.sources.tables import new_folder, raw_records, read_json_arrays, stored, write_json_arrays
 
 from . import football as P
 from .base import div, midrank_sql, rnd, table
@@ -325,3 +327,45 @@ def declared_edges(spark: SparkSession, d: str) -> DataFrame:
         edge(p, "FITS_STYLE", whole, F.lit("High Press"), rounded((F.col("defensive_activity") * 0.6 + F.col("press_resistance") * 0.4) / 100.0, 4)),
     ]
     return G.union_all(parts)
+
+
+# Raw files: matches as nested JSON, written from orders, and read back
+
+def _raw_folder(spark: SparkSession, d: str) -> str:
+    """JSON arrays of matches in folders of depth two; every fiftieth lacks a key, and two files aren't arrays."""
+    o = table(spark, d, "orders").join(table(spark, d, "customer"), F.col("c_custkey") == F.col("o_custkey")).join(F.broadcast(table(spark, d, "nation")), F.col("n_nationkey") == F.col("c_nationkey"))
+    n = F.col("o_orderkey")
+    away = F.when(n % 50 != 7, F.struct(F.col("c_nationkey").cast("long").alias("away_team_id"), F.col("n_name").alias("away_team_name")))
+    raw = o.select(
+        n.alias("match_id"), F.date_format("o_orderdate", "yyyy-MM-dd").alias("match_date"), (n % 40).alias("match_week"), (n % 2).alias("half"),
+        F.struct((n % 5).alias("competition_id"), F.col("c_mktsegment").alias("competition_name")).alias("competition"), F.struct(F.year("o_orderdate").cast("long").alias("season_id"), F.year("o_orderdate").cast("string").alias("season_name")).alias("season"),
+        F.struct(F.col("o_custkey").alias("home_team_id"), F.col("c_name").alias("home_team_name")).alias("home_team"), away.alias("away_team"), (n % 6).alias("home_score"), (n % 4).alias("away_score"),
+        F.struct(F.lit(1).alias("id"), F.concat(F.lit("Ground "), (n % 9).cast("string")).alias("name")).alias("stadium"), F.when(n % 3 == 0, F.lit("available")).alias("match_status"),
+    )
+    folder = new_folder(spark)
+    for half in (0, 1):
+        write_json_arrays(raw.where(F.col("half") == half).drop("half"), f"{folder}/matches/{half}")
+    spark.createDataFrame([("{\"match_id\": 1}",), ("[{\"match_id\": 2, ",)], "value string").coalesce(1).write.option("maxRecordsPerFile", 1).text(f"{folder}/matches/broken")
+    return f"{folder}/matches"
+
+
+@register("""SELECT o_orderkey AS match_id, CAST(o_orderdate AS DATE) AS match_date, o_orderkey % 40 AS match_week, o_orderkey % 5 AS competition_id, c_mktsegment AS competition_name, year(o_orderdate) AS season_id, o_custkey AS home_team_id, c_name AS home_team_name,
+  CASE WHEN o_orderkey % 50 <> 7 THEN c_nationkey END AS away_team_id, CASE WHEN o_orderkey % 50 <> 7 THEN n_name END AS away_team_name, o_orderkey % 6 AS home_score, o_orderkey % 4 AS away_score, 'Ground ' || CAST(o_orderkey % 9 AS VARCHAR) AS stadium_name,
+  CASE WHEN o_orderkey % 3 = 0 THEN 'available' END AS match_status FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey""")
+def raw_matches(spark: SparkSession, d: str) -> DataFrame:
+    """Matches as nested JSON in folders, read back by the explicit schema and flattened; files that aren't arrays give
+    no match (A1, A2, B1, B2, B4, B7, B9)."""
+    path = _raw_folder(spark, d)
+    flat = normalize.matches(read_json_arrays(spark, path, DT.StructType.fromDDL(normalize.MATCH)).where("competition IS NOT NULL"))
+    return flat.select("match_id", "match_date", "match_week", "competition_id", "competition_name", "season_id", "home_team_id", "home_team_name", "away_team_id", "away_team_name", "home_score", "away_score", "stadium_name", "match_status")
+
+
+@register("""SELECT 'bad_files' AS rule, CAST(2 AS BIGINT) AS n UNION ALL SELECT 'records', count(*) FROM orders JOIN customer ON o_custkey = c_custkey
+UNION ALL SELECT 'missing:away_team', count(*) FROM orders JOIN customer ON o_custkey = c_custkey WHERE o_orderkey % 50 = 7 HAVING count(*) > 0""")
+def raw_report(spark: SparkSession, d: str) -> DataFrame:
+    """Files whose root is no array, records, and required keys that records lack, from the raw files."""
+    records = stored(raw_records(spark, _raw_folder(spark, d)))
+    bad = records.where("record IS NULL").agg(F.count("*").alias("n")).select(F.lit("bad_files").alias("rule"), "n")
+    faults = Q.key_faults(records, "match")
+    missing = faults.select(F.explode("missing").alias("key")).groupBy(F.concat(F.lit("missing:"), "key").alias("rule")).agg(F.count("*").alias("n"))
+    return bad.unionByName(faults.agg(F.count("*").alias("n")).select(F.lit("records").alias("rule"), "n")).unionByName(missing)

@@ -16,6 +16,35 @@ def read_json_arrays(spark: SparkSession, path: str, schema, recursive: bool = T
     return reader.json(path)
 
 
+def write_json_arrays(df: DataFrame, path: str, rows: int = 500) -> None:
+    """df as files that hold one JSON array of about so many rows each; null fields are left out of the objects."""
+    chunks = max(1, -(-df.count() // rows))
+    dealt = df.select(F.to_json(F.struct("*")).alias("row"), F.pmod(F.monotonically_increasing_id(), F.lit(chunks)).alias("chunk"))
+    arrays = dealt.groupBy("chunk").agg(F.concat(F.lit("["), F.array_join(F.collect_list("row"), ","), F.lit("]")).alias("value"))
+    arrays.select("value").write.option("maxRecordsPerFile", 1).mode("append").text(path)
+
+
+def empty_files(spark: SparkSession, path: str) -> list[str]:
+    """Files of no bytes below path, which Spark's scans don't show: from the listing, hidden files left out."""
+    top = spark._jvm.org.apache.hadoop.fs.Path(path)
+    found, out = top.getFileSystem(spark._jsc.hadoopConfiguration()).listFiles(top, True), []
+    while found.hasNext():
+        status = found.next()
+        if status.getLen() == 0 and status.getPath().getName()[0] not in "_.":
+            out.append(status.getPath().toString())
+    return sorted(out)
+
+
+def raw_records(spark: SparkSession, path: str) -> DataFrame:
+    """(file, record): the elements of each file's JSON array as text; one row with a null record for a file that is
+    empty, can't be read, or whose root is no array (C1). A file is read as one text."""
+    texts = spark.read.option("recursiveFileLookup", True).text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), "value")
+    elements = F.when(F.startswith(F.ltrim("value"), F.lit("[")), F.from_json("value", "array<string>"))
+    records = texts.select("file", F.explode_outer(elements).alias("record"))
+    nothing = [(f, None) for f in empty_files(spark, path)]
+    return records.unionByName(spark.createDataFrame(nothing, "file string, record string")) if nothing else records
+
+
 def bad_json_files(spark: SparkSession, path: str, schema) -> DataFrame:
     """(file, rows, bad): the files read_json_arrays leaves out or finds empty, to warn about (A1, C1): bad counts
     records that don't parse, among them files whose root is no array of objects."""

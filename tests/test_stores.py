@@ -51,3 +51,42 @@ def test_lineage(spark):
     ]
     assert [tuple(x) for x in got[1]["differences"]] == [("c", "2.0", "2.5", "three")] and got[3]["differences"] == got[9]["differences"] == []
     assert [tuple(x) for x in got[None]["differences"]] == [("a", "n", "m", "two")]
+
+
+def test_raw_files_with_faults(spark, tmp_path):
+    import json
+
+    import pytest
+
+    from cohortry.operators import quality as Q
+    from cohortry.sources.tables import bad_json_files, raw_records, read_json_arrays, with_file_key, write_json_arrays
+    from pyspark.sql import types as T
+
+    event = {"id": "x", "index": 1, "type": {"id": 3, "name": "Pass"}, "minute": 0, "second": None}
+    files = {"a/11.json": json.dumps([event, {**event, "id": "y"}]), "a/12.json": json.dumps([{"id": "z", "note": "no [keys]"}]), "b/13.json": json.dumps({"id": "root"}), "b/14.json": '[{"id": "cut', "b/15.json": "", "b/x.json": json.dumps([7, event])}
+    for name, text in files.items():
+        (tmp_path / name).parent.mkdir(exist_ok=True)
+        (tmp_path / name).write_text(text)
+    records = raw_records(spark, str(tmp_path))
+    found = {}
+    for r in records.collect():
+        found.setdefault(r["file"].rsplit("/", 1)[1], []).append(r["record"])
+    assert sorted(k for k, v in found.items() if v == [None]) == ["13.json", "14.json", "15.json"] and len(found["11.json"]) == 2
+    missing = {(r["file"].rsplit("/", 1)[1], json.loads(r["record"])["id"] if r["record"][0] == "{" else r["record"]): r["missing"] for r in Q.key_faults(records, "event").collect()}
+    # A key with a null value is there; what is no object lacks all keys.
+    assert missing == {("11.json", "x"): [], ("11.json", "y"): [], ("12.json", "z"): ["index", "type", "minute", "second"], ("x.json", "x"): [], ("x.json", "7"): Q.REQUIRED_KEYS["event"]}
+    schema = T.StructType.fromDDL("id string, index long, minute long")
+    bad = {r["file"].rsplit("/", 1)[1] for r in bad_json_files(spark, str(tmp_path), schema).collect()}
+    assert {"14.json", "x.json"} <= bad and not bad & {"11.json", "12.json"}
+    rows = with_file_key(read_json_arrays(spark, str(tmp_path / "a"), schema), "match_id").collect()
+    assert sorted((r["id"], r["match_id"]) for r in rows) == [("x", 11), ("y", 11), ("z", 12)]
+    with pytest.raises(KeyError):
+        Q.key_faults(records, "nothing")
+    # Written arrays read back as they were, but for null fields.
+    df = spark.createDataFrame([(i, None if i % 3 else f"n{i}") for i in range(1300)], "id long, name string")
+    write_json_arrays(df, str(tmp_path / "out"))
+    assert len(glob.glob(f"{tmp_path}/out/*.txt")) == 3
+    back = read_json_arrays(spark, str(tmp_path / "out"), df.schema)
+    assert sorted(map(str, back.collect())) == sorted(map(str, df.collect()))
+    faults = Q.column_faults(df, "competition", {"id": "bigint", "name": "int", "season_id": "bigint"}).collect()
+    assert [tuple(r) for r in faults] == [("competition", "warning", "name", "string", "int"), ("competition", "error", "season_id", None, "bigint")]
