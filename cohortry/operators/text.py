@@ -28,10 +28,16 @@ SUBJECTIVE = [
     r"\bgreatest\b.*\b(?:team|manager|coach|club)\b",
 ]
 #: Words of questions that name nobody.
-STOP_WORDS = """the and compare analyze who what how does is are vs versus which better best similar like replace replacement for at in of to a an
-fit fits would do can tell me about their his her its between both with from than that this think need has have did was were been being not no or
-but if so up out down way more most some any all each every very just also too presses pressing press weaknesses strengths style styles system
-systems formation tactics players player team squad match matches game games season seasons league competition""".split()
+STOP_WORDS = [
+    "the", "and", "compare", "analyze", "who", "what", "how", "does", "is", "are", "vs", "versus", "which", "better",
+    "best", "similar", "like", "replace", "replacement", "for", "at", "in", "of", "to", "a", "an", "fit", "fits",
+    "would", "do", "can", "tell", "me", "about", "their", "his", "her", "its", "between", "both", "with", "from",
+    "than", "that", "this", "think", "need", "has", "have", "did", "was", "were", "been", "being", "not", "no", "or",
+    "but", "if", "so", "up", "out", "down", "way", "more", "most", "some", "any", "all", "each", "every", "very",
+    "just", "also", "too", "presses", "pressing", "press", "weaknesses", "strengths", "style", "styles", "system",
+    "systems", "formation", "tactics", "players", "player", "team", "squad", "match", "matches", "game", "games",
+    "season", "seasons", "league", "competition",
+]
 
 
 def normalized_query(text: Column, rewrites: list[tuple[str, str]] = REWRITES) -> Column:

@@ -171,6 +171,7 @@ def _inverted(w: dict[str, float]) -> str:
     return " + ".join(f"(100e0 - p_{m}) * {v}e0" if m in P.NEGATIVE else f"p_{m} * {v}e0" for m, v in w.items())
 
 
+#: The role labels and when they hold, in order.
 _LABEL_RULES = [
     ("attacking_threat >= 85", "Elite Goal Scorer"), ("chance_creation >= 80 AND ball_progression >= 65", "Creative Playmaker"), ("ball_security >= 80 AND ball_progression >= 75", "Deep-Lying Playmaker"),
     ("ball_progression >= 70 AND defensive_activity >= 70", "Box-to-Box Midfielder"), ("ball_progression >= 75 AND chance_creation >= 65 AND position_group = 'Fullback'", "Progressive Fullback"),

@@ -128,7 +128,7 @@ def role_rating_z(spark: SparkSession, d: str) -> DataFrame:
     return S.presented_rating(r, "rating", ["family"]).select("id", "family", "rating", "z_score", "rating_percentile", "display_rating")
 
 
-#: The twenty rules, with the scores of the demonstration in the place of metrics and percentiles.
+#: The twenty rules, with the scores of the demonstration in the place of metrics and percentiles.
 _RULES = [
     ("elite_goal_scorer", "threat >= 85"), ("strong_chance_creator", "creation >= 80"), ("clinical_finisher", "threat > creation AND n_orders * threat >= 900"),
     ("xg_efficient_attacker", "threat > 10 * n_orders"), ("dual_threat_forward", "threat >= 70 AND creation >= 70"), ("elite_ball_progressor", "progression >= 85"),
