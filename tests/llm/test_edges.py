@@ -86,6 +86,21 @@ def test_contamination(docs, benchmark):
     assert span == {8: "here", 9: "", 12: "a"}
 
 
+def test_contamination_in_blocks_writes_no_texts(spark, benchmark, tmp_path):
+    """Several blocks hash a text anew: what is written beside the windows doesn't grow with the texts."""
+    from pathlib import Path
+
+    size = lambda: sum(f.stat().st_size for f in Path(spark.sparkContext.getCheckpointDir().removeprefix("file:")).rglob("*") if f.is_file())
+    written = []
+    for words in (1_000, 60_000):
+        d = spark.createDataFrame([(1, " ".join(f"w{i}" for i in range(words)) + " " + ITEM)], "doc_id long, text string")
+        before = size()
+        got = find_contamination(d, benchmark, block_bytes=2000).first()
+        assert (got["n_words"], got["n_hit"], got["items"]) == (words + 14, 14, ["1"])
+        written.append(size() - before)
+    assert written[1] < 2 * written[0]
+
+
 def test_language(docs):
     got = {(r["doc_id"], r["text"]): r for r in language.identify(docs, language.train(docs)).collect()}
     assert {got[k]["lang_pred"] for k in ((1, None), (2, ""), (11, "12345 !!!"))} == {"und"} and got[4, LONG]["lang_pred"] == "en"

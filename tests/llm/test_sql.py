@@ -33,7 +33,7 @@ def test_equals_sql(spark, con, name):
 
 def test_all_are_registered():
     names = __spark_entry__.queries()
-    assert all(any(n.startswith(f"op{i}_") for n in names) for i in range(1, 11)) and "pipeline" in names
+    assert all(any(n.startswith(f"op{i}_") for n in names) for i in range(1, 14)) and "pipeline" in names
 
 
 def parse(text: str, reference: str) -> int:
