@@ -165,7 +165,8 @@ def deciles(spark: SparkSession, d: str) -> DataFrame:
 _CANDIDATES = f"""{RATES}, p AS (SELECT *, {_PCTS} FROM rates WHERE n_orders >= 2 AND n_lines >= 20),
 s AS (SELECT *, {rnd(_SUM(_CONTRIBUTION), 1)} AS contribution_score FROM p),
 candidates AS (SELECT id, cohort, team, n_orders, contribution_score, row_number() OVER (PARTITION BY cohort ORDER BY contribution_score DESC, exposure DESC, id) AS position_rank,
-  count(*) OVER (PARTITION BY cohort) AS position_pool_size, progression_rate_pct >= 65 AS is_progressive, security_rate_pct >= 60 AND n_orders >= 10 AS is_high_volume, returned_pct > 50 AND n_returned >= 2 AS is_clinical FROM s)"""
+  count(*) OVER (PARTITION BY cohort) AS position_pool_size, progression_rate_pct >= 65 AS is_progressive, security_rate_pct >= 60 AND n_orders >= 10 AS is_high_volume, returned_pct > 50 AND n_returned >= 2 AS is_clinical,
+  threat_rate_pct >= 65 AS is_carrier, resistance_rate_pct >= 70 AND returned_pct >= 40 AS is_dribbler, coalesce(n_big > 0 AND {div('n_big', 'n_lines')} > 0.45, false) AS is_efficient FROM s)"""
 
 
 def _best_first() -> list:
@@ -181,6 +182,8 @@ def _candidates(spark: SparkSession, d: str) -> DataFrame:
     return K.numbered(_contributions(spark, d), ["cohort"], _best_first(), "position_rank", "position_pool_size").select(
         "id", "cohort", "team", "n_orders", "contribution_score", "position_rank", "position_pool_size", (F.col("progression_rate_pct") >= 65).alias("is_progressive"),
         ((F.col("security_rate_pct") >= 60) & (F.col("n_orders") >= 10)).alias("is_high_volume"), ((F.col("returned_pct") > 50) & (F.col("n_returned") >= 2)).alias("is_clinical"),
+        (F.col("threat_rate_pct") >= 65).alias("is_carrier"), ((F.col("resistance_rate_pct") >= 70) & (F.col("returned_pct") >= 40)).alias("is_dribbler"),
+        F.coalesce((F.col("n_big") > 0) & (F.col("n_big") / F.nullif(F.col("n_lines"), F.lit(0)) > 0.45), F.lit(False)).alias("is_efficient"),
     )
 
 
@@ -246,13 +249,14 @@ def correlations(spark: SparkSession, d: str) -> DataFrame:
     return entity_rates(spark, d).agg(*[rounded(F.corr(f"{a}_rate", f"{b}_rate"), 6).alias(f"{a}_{b}") for a, b in _PAIRS])
 
 
-@register(f"WITH {ENTITY} SELECT id, cohort, team, n_orders FROM entity WHERE cohort = 'BUILDING' AND team IS NOT NULL AND n_orders >= 5 AND (name ILIKE '%1%' OR exposure BETWEEN 100 AND 400)")
+@register(f"WITH {ENTITY} SELECT id, cohort, team, n_orders FROM entity WHERE cohort = 'BUILDING' AND team IS NOT NULL AND n_orders >= 5 AND (name ILIKE '%1%' OR exposure BETWEEN 100 AND 400) AND team NOT IN ('NATION_3', 'NATION_14')")
 def filtered_entities(spark: SparkSession, d: str) -> DataFrame:
     """Optional filters, ranges and case-blind patterns reach the scan."""
     from cohortry.operators.filters import where_all
 
     df = where_all(entity_facts(spark, d), {"cohort": "BUILDING", "team": None}, minimum={"n_orders": 5})
-    return df.where(F.col("team").isNotNull() & (F.col("name").ilike("%1%") | F.col("exposure").between(100, 400))).select("id", "cohort", "team", "n_orders")
+    kept = F.col("team").isNotNull() & ~F.col("team").isin("NATION_3", "NATION_14") & (F.col("name").ilike("%1%") | F.col("exposure").between(100, 400))
+    return df.where(kept).select("id", "cohort", "team", "n_orders")
 
 
 @register("SELECT count(DISTINCT id) AS players, count(*) FILTER (WHERE n_orders >= 10) AS regulars, count(DISTINCT team) AS teams FROM (WITH " + ENTITY + " SELECT * FROM entity)")
