@@ -23,7 +23,7 @@ WORD = r"[0-9a-z\x80-\U0010FFFF]+"
 #: Bins of a text's histogram of words; members of a bucket that one cell holds about.
 BINS, CHUNK = 512, 512
 #: Hash values of a long text in memory at once; rows an alignment takes between moves of its window.
-AT_ONCE, ROWS = 1 << 21, 1024
+AT_ONCE, ROWS = 1 << 19, 1024
 
 
 def words_of(text: str | None, find=re.compile(WORD).findall) -> list[str]:
@@ -186,8 +186,8 @@ def _sketched(rows: DataFrame, k: int, ell: int, sketches: int) -> DataFrame:
         hashes = X.WordHashes()
         for batch in batches:
             keys, counts, bins = [], [], []
-            for t in batch.column(2).to_pylist():
-                words = words_of(t)
+            for t in batch.column(2):  # one text at a time, not a batch of them
+                words = words_of(t.as_py())
                 counts.append(len(words))
                 hashed = hashes.of(words)
                 bins.append(word_bins(hashed))
@@ -207,7 +207,7 @@ def _verified(pairs: DataFrame, least: float) -> DataFrame:
         import pyarrow as pa
 
         for batch in batches:
-            found = [similarity(words_of(x), words_of(y), least) for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)]
+            found = [similarity(words_of(x.as_py()), words_of(y.as_py()), least) for x, y in zip(batch.column(2), batch.column(3), strict=True)]
             keep = pa.array([s >= least for s in found])
             out = pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found, pa.float64())], ["a", "b", "similarity"])
             yield out.filter(keep)

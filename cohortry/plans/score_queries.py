@@ -424,26 +424,26 @@ def _edges(pairs: DataFrame, kind: str, percent: str) -> DataFrame:
     return pairs.select(node("id").alias("source"), node("candidate").alias("target"), F.lit(kind).alias("edge_type"), rounded(F.col(percent) / 100, 6).alias("weight"), "rank")
 
 
-_WEAK = " + ".join(f"CASE WHEN m.{c} < 50 THEN 1 ELSE 0 END" for c in CAPABILITIES)
-_RELIEF = f"CASE WHEN {_WEAK} > 0 THEN (" + " + ".join(f"CASE WHEN m.{c} < 50 THEN s.{c} ELSE 0e0 END" for c in CAPABILITIES) + f") / ({_WEAK}) ELSE 50e0 END"
+_WEAK = " + ".join(f"CASE WHEN m.{c} < {D.WEAK} THEN 1 ELSE 0 END" for c in CAPABILITIES)
+_RELIEF = f"CASE WHEN {_WEAK} > 0 THEN (" + " + ".join(f"CASE WHEN m.{c} < {D.WEAK} THEN s.{c} ELSE 0e0 END" for c in CAPABILITIES) + f") / ({_WEAK}) ELSE 50e0 END"
 _ALIGN = "CASE z.primary_style " + " ".join(f"WHEN '{n}' THEN {' + '.join(f's.{k} * {v}e0' for k, v in w.items())}" for n, w in D.STYLE_WEIGHTS.items()) + " END"
 
 
 @register(f"""WITH {SCORES}, {_MEANS}, {_Z}, st AS ({_STYLE_ROWS}), r AS (SELECT *, row_number() OVER (PARTITION BY team ORDER BY similarity DESC, style) AS k FROM st),
-z1 AS (SELECT team, CASE WHEN similarity > 0.6 THEN style ELSE 'Balanced' END AS primary_style FROM r WHERE k = 1),
-f AS (SELECT s.id, z.primary_style, {rnd(f'({_ALIGN}) * 0.4e0 + 50e0 * 0.2e0 + ({_RELIEF}) * 0.2e0 + 50e0 * 0.1e0 + 50e0 * 0.1e0', 1)} AS overall FROM scores s JOIN means m ON s.team = m.team JOIN z1 z ON s.team = z.team)
+z1 AS (SELECT team, CASE WHEN similarity > 0.6 THEN style ELSE 'Balanced' END AS primary_style FROM r WHERE k = 1), att AS ({ORACLES['versatility']}),
+f AS (SELECT s.id, z.primary_style, {rnd(f'({_ALIGN}) * 0.4e0 + 50e0 * 0.2e0 + ({_RELIEF}) * 0.2e0 + a.versatility * 0.1e0 + a.availability * 0.1e0', 1)} AS overall FROM scores s JOIN means m ON s.team = m.team JOIN z1 z ON s.team = z.team JOIN att a ON a.id = s.id)
 SELECT *, {sql_bands('overall', D.FIT_LABELS, 'Poor')} AS label FROM f""")
 def tactical_fit(spark: SparkSession, d: str) -> DataFrame:
-    """Fit of each member to its team's own style and weaknesses."""
+    """Fit of each member to its team's own style and weaknesses, with its versatility and availability."""
     means = _means(spark, d).select("team", *[F.col(c).alias(f"m_{c}") for c in CAPABILITIES])
     style = T.best_styles(_team_z(spark, d), ["team"], CAPABILITIES, STYLES).select("team", "primary_style")
-    j = entity_scores(spark, d).join(means, "team").join(style, "team")
+    j = entity_scores(spark, d).join(means, "team").join(style, "team").join(versatility(spark, d), "id")
     aligned = None
     for n in D.STYLE_WEIGHTS:
         hit = F.col("primary_style") == n
         aligned = F.when(hit, D.alignment(n)) if aligned is None else aligned.when(hit, D.alignment(n))
-    relief = D.relief({c: F.col(f"m_{c}") < 50 for c in CAPABILITIES}, CAPABILITIES)
-    out = j.select("id", "primary_style", D.overall_fit(aligned, relief).alias("overall"))
+    relief = D.relief({c: F.col(f"m_{c}") < D.WEAK for c in CAPABILITIES}, CAPABILITIES)
+    out = j.select("id", "primary_style", D.overall_fit(aligned, relief, adaptable=F.col("versatility"), available=F.col("availability")).alias("overall"))
     return out.withColumn("label", D.fit_label(F.col("overall")))
 
 
