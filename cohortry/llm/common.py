@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -50,6 +52,19 @@ def written(df: DataFrame, compression: str = "snappy") -> DataFrame:
     return df.sparkSession.read.parquet(path)
 
 
+@contextmanager
+def few_rows_a_batch(spark: SparkSession, rows: int = 1000) -> Iterator[None]:
+    """Within it, actions send Python batches of at most so many rows: batches of long texts then take megabytes of an
+    executor's memory, not hundreds. The session's setting comes back at the end."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(min(rows, int(before)) if int(before) > 0 else rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def forget(df: DataFrame) -> None:
     """Deletes the files of a written() table. All that was made of it must be written or checkpointed itself."""
     files = df.inputFiles()

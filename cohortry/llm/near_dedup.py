@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import exchange as X
-from .common import cut, forget, fresh, maybe_broadcast, written
+from .common import cut, few_rows_a_batch, forget, fresh, maybe_broadcast, written
 from .components import components
 
 #: Words in a k-mer, k-mers kept in text order by one sketch, sketches of a text.
@@ -224,7 +224,8 @@ def _linked(pairs: DataFrame, rows: DataFrame, texts: DataFrame, least: float) -
     contents = written(held.select("node", "text").dropDuplicates(["node"]))
     with_a = pairs.join(contents.select(F.col("node").alias("a"), F.col("text").alias("ta")), "a")
     with_both = with_a.join(contents.select(F.col("node").alias("b"), F.col("text").alias("tb")), "b").select("a", "b", "ta", "tb")
-    links = cut(_verified(with_both, least))
+    with few_rows_a_batch(pairs.sparkSession):
+        links = cut(_verified(with_both, least))
     forget(contents)
     return links
 
@@ -286,7 +287,8 @@ def near_duplicates(
     rows = docs.select(F.col(order).alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     rows = rows.select("id", F.unhex(F.sha2(F.col("text").cast("binary"), 256)).alias("digest"), "text")
     smallest = F.min(F.struct(F.col("id").isNotNull().alias("known"), "id"))  # nulls first
-    sketched = written(_sketched(rows, k, ell, sketches))
+    with few_rows_a_batch(docs.sparkSession):
+        sketched = written(_sketched(rows, k, ell, sketches))
     texts = sketched.groupBy("digest").agg(smallest.alias("f"), F.min(F.struct("n", "bins", "keys")).alias("s"))
     texts = written(texts.select("digest", F.col("f.id").alias("first"), "s.*", F.monotonically_increasing_id().alias("node")))
     members = cut(sketched.select("id", "digest").join(texts.select("digest", "node"), "digest").select("id", "node"))
