@@ -6,6 +6,7 @@ import base64
 from itertools import chain
 
 import numpy as np
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
@@ -91,16 +92,8 @@ class Pieces(dict):
         return ids
 
 
-def encode(docs: DataFrame, ranks: bytes, pattern: str, text: str = "text", out: str = "ids") -> DataFrame:
-    """docs with one more column, the token ids (array<int>); out replaces a column of that name.
-
-    The ids are those of byte-pair merging by rank within each match of pattern, without special tokens.
-    A null or empty text has no ids; a long text is encoded whole, piece by piece; repeated rows give
-    repeated results; an empty table stays empty.
-    """
-    kept = [c for c in docs.columns if c != out]
-    schema = T.StructType([*docs.select(*[docs[c] for c in kept]).schema.fields, T.StructField(out, T.ArrayType(T.IntegerType(), False))])
-    raw, at = docs.sparkSession.sparkContext.broadcast(ranks), kept.index(text)
+def _encoder(raw: Broadcast, pattern: str, at: int, names: list[str]):
+    """Batches with the text at place at, to batches with its ids as one more column, all called names."""
 
     def run(batches):
         import pyarrow as pa
@@ -117,20 +110,13 @@ def encode(docs: DataFrame, ranks: bytes, pattern: str, text: str = "text", out:
                     if len(pieces) > REMEMBERED:
                         pieces.clear()
                 ids = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(found)))
-                yield pa.RecordBatch.from_arrays([*part.columns, ids], [*kept, out])
+                yield pa.RecordBatch.from_arrays([*part.columns, ids], names)
 
-    return docs.select(*[docs[c] for c in kept]).mapInArrow(run, schema)
+    return run
 
 
-def decode(docs: DataFrame, ranks: bytes, ids: str = "ids", out: str = "decoded") -> DataFrame:
-    """docs with one more column, the bytes of the ids in order (binary); out replaces a column of that name.
-
-    No bytes stand for null, an empty list, a null among the ids, and ids that the vocabulary lacks,
-    negative ones included. Repeated rows give repeated results; an empty table stays empty.
-    """
-    kept = [c for c in docs.columns if c != out]
-    schema = T.StructType([*docs.select(*[docs[c] for c in kept]).schema.fields, T.StructField(out, T.BinaryType())])
-    raw, at = docs.sparkSession.sparkContext.broadcast(ranks), kept.index(ids)
+def _decoder(raw: Broadcast, at: int, names: list[str]):
+    """Batches with ids at place at, to batches with their bytes as one more column, all called names."""
 
     def run(batches):
         import pyarrow as pa
@@ -153,6 +139,45 @@ def decode(docs: DataFrame, ranks: bytes, ids: str = "ids", out: str = "decoded"
                 counts = np.array([0 if n is None else n for n in column.value_lengths().to_pylist()], np.int64)
                 bounds = np.concatenate([[0], ends])[np.concatenate([[0], np.cumsum(counts)])].astype(np.int32)
                 data = pa.Array.from_buffers(pa.binary(), part.num_rows, [None, pa.py_buffer(bounds.tobytes()), pa.py_buffer(text.tobytes())])
-                yield pa.RecordBatch.from_arrays([*part.columns, data], [*kept, out])
+                yield pa.RecordBatch.from_arrays([*part.columns, data], names)
+
+    return run
+
+
+def encode(docs: DataFrame, ranks: bytes, pattern: str, text: str = "text", out: str = "ids") -> DataFrame:
+    """docs with one more column, the token ids (array<int>); out replaces a column of that name.
+
+    The ids are those of byte-pair merging by rank within each match of pattern, without special tokens.
+    A null or empty text has no ids; a long text is encoded whole, piece by piece; repeated rows give
+    repeated results; an empty table stays empty.
+    """
+    kept = [c for c in docs.columns if c != out]
+    schema = T.StructType([*docs.select(*[docs[c] for c in kept]).schema.fields, T.StructField(out, T.ArrayType(T.IntegerType(), False))])
+    raw = docs.sparkSession.sparkContext.broadcast(ranks)
+    return docs.select(*[docs[c] for c in kept]).mapInArrow(_encoder(raw, pattern, kept.index(text), [*kept, out]), schema)
+
+
+def decode(docs: DataFrame, ranks: bytes, ids: str = "ids", out: str = "decoded") -> DataFrame:
+    """docs with one more column, the bytes of the ids in order (binary); out replaces a column of that name.
+
+    No bytes stand for null, an empty list, a null among the ids, and ids that the vocabulary lacks,
+    negative ones included. Repeated rows give repeated results; an empty table stays empty.
+    """
+    kept = [c for c in docs.columns if c != out]
+    schema = T.StructType([*docs.select(*[docs[c] for c in kept]).schema.fields, T.StructField(out, T.BinaryType())])
+    raw = docs.sparkSession.sparkContext.broadcast(ranks)
+    return docs.select(*[docs[c] for c in kept]).mapInArrow(_decoder(raw, kept.index(ids), [*kept, out]), schema)
+
+
+def encode_and_decode(docs: DataFrame, ranks: bytes, pattern: str, text: str = "text", ids: str = "ids", out: str = "decoded") -> DataFrame:
+    """docs without the text, with its ids as of encode and the bytes of these as of decode; both replace columns
+    of their names. One Python worker does both, so that a core holds one, not two."""
+    rest = [c for c in docs.columns if c not in (text, ids, out)]
+    schema = T.StructType([*docs.select(*[docs[c] for c in rest]).schema.fields, T.StructField(ids, T.ArrayType(T.IntegerType(), False)), T.StructField(out, T.BinaryType())])
+    raw = docs.sparkSession.sparkContext.broadcast(ranks)
+    encoded, decoded = _encoder(raw, pattern, len(rest), [*rest, text, ids]), _decoder(raw, len(rest), [*rest, ids, out])
+
+    def run(batches):
+        return decoded(b.drop_columns([text]) for b in encoded(batches))
 
-    return docs.select(*[docs[c] for c in kept]).mapInArrow(run, schema)
+    return docs.select(*[docs[c] for c in rest], docs[text]).mapInArrow(run, schema)

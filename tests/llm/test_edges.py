@@ -134,6 +134,14 @@ def test_round_trip(docs):
         assert hashlib.md5(bytes(r["decoded"])).digest() == hashlib.md5((r["text"] or "").encode()).digest()
 
 
+def test_one_python_worker_encodes_and_decodes(docs):
+    ranks, pattern = vocabulary()
+    apart = {repr(r["doc_id"]): (r["ids"], r["decoded"]) for r in bpe.decode(bpe.encode(docs, ranks, pattern), ranks).collect()}
+    assert {repr(r["doc_id"]): (r["ids"], r["decoded"]) for r in bpe.encode_and_decode(docs, ranks, pattern).collect()} == apart
+    stage = dict(corpus_pipeline.STAGES)["byte_bpe"](docs.sparkSession, docs, "")
+    assert stage._jdf.queryExecution().executedPlan().toString().count("MapInArrow") == 1
+
+
 def test_ids_that_the_vocabulary_lacks(spark):
     ranks, _ = vocabulary()
     rows = [(1, [-1, 72, None, 99_999_999, 73, 50_256]), (2, None), (3, []), (4, [None])]
