@@ -12,6 +12,10 @@ from pyspark.sql import types as T
 
 #: Pieces a task remembers before it starts anew.
 REMEMBERED = 400_000
+#: Nodes below one node of the tree of a piece.
+FAN = 32
+#: Above every rank: of a pair that no token is.
+NO_RANK = 1 << 40
 
 
 def read_ranks(path: str) -> bytes:
@@ -29,50 +33,35 @@ def merge_piece(piece: bytes, ranks: dict[bytes, int]) -> tuple[int, ...]:
 
     A segment tree over byte positions holds at each leaf the rank of the live pair that starts there,
     packed with the position, so its root is the leftmost pair of the lowest rank. A merge updates the
-    leaves of the merged pair, of the one before and of the part that is gone.
+    leaves of the merged pair, of the one before and of the part that is gone. A node has up to FAN below
+    it, whose minimum is one call: a word's tree is its leaves and the root, a long piece's is still low.
     """
     if piece in ranks:
         return (ranks[piece],)
     n = len(piece)
-    size = 1 << (n - 1).bit_length()
-    shift = size.bit_length()
-    mask, none = (1 << shift) - 1, 1 << 62
+    shift = n.bit_length()
+    mask, none = (1 << shift) - 1, NO_RANK << shift
     get = ranks.get
-    tree = [none] * (2 * size)
-    for i in range(n - 1):
-        rank = get(piece[i : i + 2])
-        if rank is not None:
-            tree[size + i] = rank << shift | i
-    for i in range(size - 1, 0, -1):
-        a, b = tree[2 * i], tree[2 * i + 1]
-        tree[i] = a if a < b else b
+    leaves = [get(piece[i : i + 2], NO_RANK) << shift | i for i in range(n - 1)]
+    leaves.append(none)
+    top, levels = leaves, []
+    while len(top) > FAN:
+        below, top = top, [min(top[i : i + FAN]) for i in range(0, len(top), FAN)]
+        levels.append((below, top))
     after, before = list(range(1, n + 2)), list(range(-1, n))
-
-    def put(i: int, value: int) -> None:
-        i += size
-        tree[i] = value
-        i >>= 1
-        while i:
-            a, b = tree[2 * i], tree[2 * i + 1]
-            low = a if a < b else b
-            if tree[i] == low:
-                return
-            tree[i] = low
-            i >>= 1
-
-    while tree[1] != none:
-        i = tree[1] & mask
+    while (low := min(top)) < none:
+        i = low & mask
         gone = after[i]
         end = after[i] = after[gone]
         before[end] = i
-        if gone < n - 1 or tree[size + gone] != none:
-            put(gone, none)
-        rank = get(piece[i : after[end]]) if end < n else None
-        put(i, none if rank is None else rank << shift | i)
+        leaves[gone] = none
+        leaves[i] = get(piece[i : after[end]], NO_RANK) << shift | i if end < n else none
         j = before[i]
         if j >= 0:
-            rank = get(piece[j:end])
-            put(j, none if rank is None else rank << shift | j)
+            leaves[j] = get(piece[j:end], NO_RANK) << shift | j
+        if levels:
+            for at in (gone, i, max(j, 0)):
+                _lift(levels, at)
     ids, i = [], 0
     while i < n:
         ids.append(ranks[piece[i : after[i]]])
@@ -80,6 +69,16 @@ def merge_piece(piece: bytes, ranks: dict[bytes, int]) -> tuple[int, ...]:
     return tuple(ids)
 
 
+def _lift(levels: list[tuple[list[int], list[int]]], at: int) -> None:
+    """Renews the minima above leaf at, up to one that holds already."""
+    for below, above in levels:
+        at //= FAN
+        low = min(below[at * FAN : (at + 1) * FAN])
+        if above[at] == low:
+            return
+        above[at] = low
+
+
 class Pieces(dict):
     """Piece of text to its token ids, filled as needed."""
 

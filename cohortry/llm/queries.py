@@ -53,8 +53,8 @@ def op6_byte_bpe(spark: SparkSession, sf_dir: str, vocabulary: str | None = None
     import public_tokenizers
 
     ranks = bpe.read_ranks(vocabulary or public_tokenizers.path("byte_bpe_50k.tiktoken"))
-    encoded = bpe.encode(documents(spark, sf_dir).select("doc_id", "text"), ranks, public_tokenizers.PATTERN)
-    return bpe.decode(encoded.drop("text"), ranks).select(
+    docs = documents(spark, sf_dir).select("doc_id", "text")
+    return bpe.encode_and_decode(docs, ranks, public_tokenizers.PATTERN).select(
         "doc_id", F.size("ids").cast("long").alias("n_tokens"),
         F.sha2(F.array_join(F.col("ids").cast("array<string>"), " ").cast("binary"), 256).alias("ids_sha256"),
         F.sha2("decoded", 256).alias("decoded_sha256"),

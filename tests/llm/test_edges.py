@@ -1,12 +1,13 @@
 """Nulls, empty and very long texts, ties, repeated rows, empty tables and clashing columns, for each operator and stage."""
 
 import hashlib
+import random
 
 import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from cohortry.llm import bpe, language
+from cohortry.llm import bpe, language, queries
 from cohortry.llm.contamination import decontaminate, find_contamination
 from cohortry.llm.exact_dedup import drop_copies, exact_groups
 from cohortry.llm.language_model import score_texts
@@ -276,3 +277,20 @@ def test_pipeline_equals_brute_force(spark):
     got = corpus_pipeline.run(spark, sf).collect()
     assert {r["doc_id"] for r in got} == clean
     assert all(r["decoded_sha256"] == hashlib.sha256(docs[r["doc_id"]].encode()).hexdigest() and len(r["ids"]) == r["n_tokens"] for r in got)
+
+
+def test_the_query_of_tokens_uses_one_python_worker(spark):
+    plan = queries.op6_byte_bpe(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("MapInArrow") == 1
+
+
+def test_trees_of_one_and_more_levels_merge_the_leftmost_lowest_pair():
+    ranks = {bytes([97 + i]): i for i in range(3)} | {t: i for i, t in enumerate((b"aa", b"ab", b"bc", b"aab", b"abc", b"aaaa", b"bcaa"), 3)}
+    rng = random.Random(5)
+    for n in [*range(1, 70), bpe.FAN**2 - 1, bpe.FAN**2, bpe.FAN**2 + 1]:
+        piece = bytes(rng.choice(b"abc") for _ in range(n))
+        parts = [piece[i : i + 1] for i in range(n)] if piece not in ranks else [piece]
+        while pairs := [(ranks[x + y], i) for i, (x, y) in enumerate(zip(parts, parts[1:])) if x + y in ranks]:
+            at = min(pairs)[1]
+            parts[at : at + 2] = [parts[at] + parts[at + 1]]
+        assert bpe.merge_piece(piece, ranks) == tuple(ranks[x] for x in parts)
