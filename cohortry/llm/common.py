@@ -65,6 +65,20 @@ def few_rows_a_batch(spark: SparkSession, rows: int = 1000) -> Iterator[None]:
         spark.conf.set(name, before)
 
 
+@contextmanager
+def shuffles_removed(spark: SparkSession) -> Iterator[None]:
+    """Actions of frames made within it delete their shuffle files when they end; else these stay until the driver
+    happens to collect its garbage. A frame to be returned is made outside, as one that runs twice would shuffle
+    twice. The session's setting comes back at the end."""
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(name, "false")
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def forget(df: DataFrame) -> None:
     """Deletes the files of a written() table. All that was made of it must be written or checkpointed itself."""
     files = df.inputFiles()

@@ -7,12 +7,12 @@ from math import ceil
 from typing import NamedTuple
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import exchange as X
-from .common import cut, few_rows_a_batch, forget, fresh, maybe_broadcast, written
+from .common import cut, few_rows_a_batch, forget, fresh, maybe_broadcast, shuffles_removed, written
 from .components import components
 
 #: Words in a k-mer, k-mers kept in text order by one sketch, sketches of a text.
@@ -267,31 +267,20 @@ def _open_pairs(rest: DataFrame, least: float, best: int | None) -> DataFrame:
     return dealt.groupBy("cell").applyInArrow(run, "a long, b long").distinct()
 
 
-def near_duplicates(
-    docs: DataFrame, text: str = "text", order: str = "doc_id", k: int = K, ell: int = ELL, sketches: int = SKETCHES, least: float = SIMILARITY
-) -> DataFrame:
-    """One row for each input row: order, class_id (the smallest id of its class), class_size, kept.
+def _smallest_id() -> Column:
+    return F.min(F.struct(F.col("id").isNotNull().alias("known"), "id"))  # nulls first
 
-    A class holds the rows linked, directly or through others, by equal texts, by equal ids, or by texts of
-    which an alignment matches at least the share `least` of the longer one's words. The row of class_id
-    stays. Ids may be of any type that can be ordered; a null id counts as the smallest. A null text equals
-    the empty one; a text without words is linked to equal texts only; an empty table gives an empty result.
-    Long texts are compared whole, in memory and time of the band of their alignment.
 
-    Equal texts are collapsed to a node first. In each bucket of equal sketches every node is first compared
-    with that of the smallest id, which joins large classes by as many pairs as rows. Then all members of a
-    bucket that are in different classes are compared, unless their lengths or words rule a link out: first
-    with the few they have most words in common with, to join what a leader has not, then each pair that is
-    left. So any two texts that share a sketch were compared, or cannot be linked, or share a class.
-    """
+def _labels(docs: DataFrame, text: str, order: str, k: int, ell: int, sketches: int, least: float) -> tuple[DataFrame, DataFrame]:
+    """The node of each row, (id, node), and the class of each node that a link joins to others, (node, label)."""
     rows = docs.select(F.col(order).alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     rows = rows.select("id", F.unhex(F.sha2(F.col("text").cast("binary"), 256)).alias("digest"), "text")
-    smallest = F.min(F.struct(F.col("id").isNotNull().alias("known"), "id"))  # nulls first
     with few_rows_a_batch(docs.sparkSession):
         sketched = written(_sketched(rows, k, ell, sketches))
-    texts = sketched.groupBy("digest").agg(smallest.alias("f"), F.min(F.struct("n", "bins", "keys")).alias("s"))
+    texts = sketched.groupBy("digest").agg(_smallest_id().alias("f"), F.min(F.struct("n", "bins", "keys")).alias("s"))
     texts = written(texts.select("digest", F.col("f.id").alias("first"), "s.*", F.monotonically_increasing_id().alias("node")))
     members = cut(sketched.select("id", "digest").join(texts.select("digest", "node"), "digest").select("id", "node"))
+    forget(sketched)
     repeated = members.groupBy("id").agg(F.min("node").alias("a"), F.max("node").alias("b")).where("a < b").select(F.col("id").alias("same"), "a")
     by_id = members.join(maybe_broadcast(repeated, 64), F.col("id").eqNullSafe(F.col("same"))).select("a", F.col("node").alias("b"))
 
@@ -325,10 +314,32 @@ def near_duplicates(
         joined = components(found).select(F.col("node").alias("old"), F.col("label").alias("new"))
         known = labels.unionByName(joined.select(F.col("old").alias("node"), F.col("old").alias("label")).join(labels, "node", "left_anti"))
         labels = cut(known.join(maybe_broadcast(joined, 40), F.col("label") == F.col("old"), "left").select("node", F.coalesce("new", "label").alias("label")))
+    forget(texts)
+    return members, labels
 
+
+def near_duplicates(
+    docs: DataFrame, text: str = "text", order: str = "doc_id", k: int = K, ell: int = ELL, sketches: int = SKETCHES, least: float = SIMILARITY
+) -> DataFrame:
+    """One row for each input row: order, class_id (the smallest id of its class), class_size, kept.
+
+    A class holds the rows linked, directly or through others, by equal texts, by equal ids, or by texts of
+    which an alignment matches at least the share `least` of the longer one's words. The row of class_id
+    stays. Ids may be of any type that can be ordered; a null id counts as the smallest. A null text equals
+    the empty one; a text without words is linked to equal texts only; an empty table gives an empty result.
+    Long texts are compared whole, in memory and time of the band of their alignment.
+
+    Equal texts are collapsed to a node first. In each bucket of equal sketches every node is first compared
+    with that of the smallest id, which joins large classes by as many pairs as rows. Then all members of a
+    bucket that are in different classes are compared, unless their lengths or words rule a link out: first
+    with the few they have most words in common with, to join what a leader has not, then each pair that is
+    left. So any two texts that share a sketch were compared, or cannot be linked, or share a class.
+    """
+    with shuffles_removed(docs.sparkSession):
+        members, labels = _labels(docs, text, order, k, ell, sketches, least)
     said = members.join(maybe_broadcast(labels, 40), "node", "left").select("id", F.coalesce("label", "node").alias("label"))
     # Classes of several rows only; a table of its own, so that a join beyond the broadcast can split a large class.
-    classes = cut(said.groupBy("label").agg(F.count("*").alias("class_size"), smallest.alias("f")).where("class_size > 1").select("label", "class_size", F.col("f.id").alias("first")))
+    classes = cut(said.groupBy("label").agg(F.count("*").alias("class_size"), _smallest_id().alias("f")).where("class_size > 1").select("label", "class_size", F.col("f.id").alias("first")))
     said = said.join(maybe_broadcast(classes, 72), "label", "left")
     class_id = F.when(F.col("class_size").isNull(), F.col("id")).otherwise(F.col("first"))
     return said.select(F.col("id").alias(order), class_id.alias("class_id"), F.coalesce("class_size", F.lit(1)).alias("class_size"), F.col("id").eqNullSafe(class_id).alias("kept"))

@@ -1,4 +1,6 @@
 import random
+import time
+from pathlib import Path
 
 from cohortry.llm.near_dedup import near_duplicates, similarity, words_of
 
@@ -64,3 +66,20 @@ def test_long_texts_and_ids_of_any_type(spark):
     rows = [("b", " ".join(a)), ("a", " ".join(b)), ("c", "other words"), (None, "other  words"), ("d", None), ("c", "one more")]
     got = {(r["doc_id"], r["class_id"], r["kept"]) for r in near_duplicates(spark.createDataFrame(rows, "doc_id string, text string")).collect()}
     assert got == {("a", "a", True), ("b", "a", False), (None, None, True), ("c", None, False), ("d", "d", True)}
+
+
+def test_only_what_the_result_needs_stays_on_disk(spark):
+    texts = {i: " ".join(f"w{(i // 3, j) if j else i}" for j in range(80)) for i in range(90)}
+    docs, setting = spark.createDataFrame(list(texts.items()), "doc_id long, text string"), "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    near_duplicates(docs)  # the folder is there now
+    shared = Path(spark.sparkContext.getCheckpointDir().removeprefix("file:"))
+    local = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirsString()
+    shuffled = lambda: {f for d in local for f in Path(d).rglob("shuffle_*.data")}
+    tables, before, was = set(shared.rglob("*.parquet")), shuffled(), spark.conf.get(setting)
+    said = near_duplicates(docs)
+    assert set(shared.rglob("*.parquet")) == tables and spark.conf.get(setting) == was
+    end = time.time() + 20
+    while len(left := shuffled() - before) > 16 and time.time() < end:  # files go in the background
+        time.sleep(0.2)
+    assert len(left) <= 16  # of the last table, whose frame is returned
+    assert [said.count() for _ in range(2)] == [90, 90] and said.where("kept").count() == 30
