@@ -3,15 +3,17 @@
 from __future__ import annotations
 
 import base64
-from itertools import chain
+import struct
 
 import numpy as np
 from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-#: Pieces a task remembers before it starts anew.
-REMEMBERED = 400_000
+#: Pieces a task remembers before it sets them aside, and forgets those set aside before.
+REMEMBERED = 120_000
+#: Rows that a task encodes or decodes before it sends them on.
+ROWS = 128
 #: Nodes below one node of the tree of a piece.
 FAN = 32
 #: Above every rank: of a pair that no token is.
@@ -80,14 +82,25 @@ def _lift(levels: list[tuple[list[int], list[int]]], at: int) -> None:
 
 
 class Pieces(dict):
-    """Piece of text to its token ids, filled as needed."""
+    """Piece of text to its token ids, as the bytes of int32, filled as needed.
 
-    def __init__(self, ranks: dict[bytes, int]):
-        super().__init__()
-        self.ranks = ranks
+    Full, it sets its pieces aside and takes back those asked for again, until it is full once more. So the
+    frequent ones stay, and no more than twice `remembered` are held.
+    """
 
-    def __missing__(self, piece: str) -> tuple[int, ...]:
-        ids = self[piece] = merge_piece(piece.encode("utf-8"), self.ranks)
+    def __init__(self, ranks: dict[bytes, int], remembered: int = REMEMBERED):
+        super().__init__()
+        self.ranks, self.remembered, self.aside = ranks, remembered, {}
+
+    def __missing__(self, piece: str) -> bytes:
+        ids = self.aside.pop(piece, None)
+        if ids is None:
+            found = merge_piece(piece.encode("utf-8"), self.ranks)
+            ids = struct.pack(f"={len(found)}i", *found)
+        if len(self) >= self.remembered:
+            self.aside = dict(self)
+            self.clear()
+        self[piece] = ids
         return ids
 
 
@@ -100,15 +113,11 @@ def _encoder(raw: Broadcast, pattern: str, at: int, names: list[str]):
 
         pieces, findall = Pieces(parse_ranks(raw.value)), regex.compile(pattern).findall
         for batch in batches:
-            for low in range(0, batch.num_rows, 512):
-                part = batch.slice(low, 512)
-                found, ends = [], [0]
-                for t in part.column(at).to_pylist():
-                    found.append(np.fromiter(chain.from_iterable(map(pieces.__getitem__, findall(t or ""))), np.int32))
-                    ends.append(ends[-1] + len(found[-1]))
-                    if len(pieces) > REMEMBERED:
-                        pieces.clear()
-                ids = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(found)))
+            for low in range(0, batch.num_rows, ROWS):
+                part = batch.slice(low, ROWS)
+                found = [b"".join(map(pieces.__getitem__, findall(t.as_py() or ""))) for t in part.column(at)]
+                ends = np.cumsum([0, *[len(x) // 4 for x in found]]).astype(np.int32)
+                ids = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(found), np.int32)))
                 yield pa.RecordBatch.from_arrays([*part.columns, ids], names)
 
     return run
@@ -125,9 +134,10 @@ def _decoder(raw: Broadcast, at: int, names: list[str]):
         unknown = max(table, default=-1) + 1  # the place after the last id, of no bytes
         lengths = np.array([len(table.get(i, b"")) for i in range(unknown + 1)], np.int64)
         starts, blob = np.cumsum(lengths) - lengths, np.frombuffer(b"".join(table.get(i, b"") for i in range(unknown)), np.uint8)
+        del table
         for batch in batches:
-            for low in range(0, batch.num_rows, 512):
-                part = batch.slice(low, 512)
+            for low in range(0, batch.num_rows, ROWS):
+                part = batch.slice(low, ROWS)
                 column = part.column(at)
                 flat = pc.fill_null(column.flatten().cast(pa.int64()), -1).to_numpy(zero_copy_only=False)
                 flat = np.where((flat < 0) | (flat > unknown), unknown, flat)

@@ -2,8 +2,11 @@
 
 import hashlib
 import random
+from types import SimpleNamespace
 
+import numpy as np
 import pytest
+import regex
 from pyspark.sql import functions as F
 
 import corpus_pipeline
@@ -294,3 +297,26 @@ def test_trees_of_one_and_more_levels_merge_the_leftmost_lowest_pair():
             at = min(pairs)[1]
             parts[at : at + 2] = [parts[at] + parts[at + 1]]
         assert bpe.merge_piece(piece, ranks) == tuple(ranks[x] for x in parts)
+
+
+def test_remembered_pieces_are_few_and_the_frequent_ones_stay(monkeypatch):
+    ranks, merged, merge = bpe.parse_ranks(vocabulary()[0]), [], bpe.merge_piece
+    monkeypatch.setattr(bpe, "merge_piece", lambda piece, ranks: merged.append(piece) or merge(piece, ranks))
+    pieces = bpe.Pieces(ranks, 4)
+    for i in range(50):
+        for piece in (" frequent", f"w{i}xyzäö"):
+            assert np.frombuffer(pieces[piece], np.int32).tolist() == list(merge(piece.encode(), ranks))
+            assert len(pieces) + len(pieces.aside) <= 8
+    assert merged.count(b" frequent") == 1 and len(merged) == 51
+
+
+def test_encoding_and_decoding_in_parts_of_few_rows():
+    import pyarrow as pa
+
+    raw, pattern = vocabulary()
+    ranks, shared, texts = bpe.parse_ranks(raw), SimpleNamespace(value=raw), [None, "", "zwölf Äpfel 漢字 😀", "same text  here"] * 100
+    batch = pa.RecordBatch.from_pydict({"text": pa.array([*texts, *[None] * 200])})
+    got = list(bpe._decoder(shared, 1, ["text", "ids", "decoded"])(bpe._encoder(shared, pattern, 0, ["text", "ids"])([batch, batch.slice(0, 0)])))
+    assert max(b.num_rows for b in got) <= 128 and sum(b.num_rows for b in got) == 600
+    for t, ids, decoded in zip([*texts, *[None] * 200], *([x for b in got for x in b.column(c).to_pylist()] for c in (1, 2)), strict=True):
+        assert decoded == (t or "").encode() and ids == [i for p in regex.findall(pattern, t or "") for i in bpe.merge_piece(p.encode(), ranks)]
