@@ -51,3 +51,14 @@ def test_scores_and_shrinkage(df, rows):
             assert below[i] == int(low / len(own) * 100 + 0.5)
             w = (e - 90) / 810
             assert drawn[i] is None if v is None else drawn[i] == pytest.approx(v * w + mean * (1 - w))
+
+
+def test_what_differs_from_run_to_run_is_written_once(df):
+    """Approximate quantiles and sums of doubles depend on the order in which tasks end: two computations of them in one
+    plan gave ranks that didn't fit together."""
+    plan = lambda x: x._jdf.queryExecution().optimizedPlan().toString()
+    assert "percentile_approx" not in plan(K.group_ranks(df, ["k"], "v"))
+    assert "percentile_approx" not in plan(K.midrank_percentiles(df, ["k"], ["v", "e"], ["id"]))
+    shrunk = plan(K.shrunk(df, ["v"], "e", ["k"], 90.0, 900.0))
+    assert "avg(" not in shrunk and "LogicalRDD" in shrunk
+    assert "avg(" not in plan(K.z_score(df, ["k"], "e", "z"))
