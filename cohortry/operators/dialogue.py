@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cohortry.operators import text as X
-from cohortry.sources.tables import stored
+from cohortry.sources.tables import few, stored, written
 
 #: Words of questions about the pair compared before, ways to compare the one before with another, and
 #: words of questions about the one before.
@@ -23,35 +23,42 @@ def name_trie(names: DataFrame) -> DataFrame:
     return steps.groupBy("parent", "word", "node").agg(F.max("whole").alias("whole"))
 
 
-def whole_names(texts: DataFrame, query: str, text: str, names: DataFrame) -> DataFrame:
-    """(query, pos, n, token, key) of the names(token, key) of several words that stand in a text, word by word, however
-    many words they have; a name within a longer one that was found is left out.
+def found_names(texts: DataFrame, query: str, text: str, names: DataFrame) -> DataFrame:
+    """(query, pos, n, token): the names(token) of several words that stand in a text, word by word, however many words
+    they have; a name within a longer one that was found is left out.
 
     Each word that begins a name is a start; starts move along the trie a word at a time by equi-joins, and those that
-    leave it are gone. A start carries as many words as the longest name has.
+    leave it are gone. A start carries as many words as the longest name has. Spark takes the trie for as small as the
+    names' file, so it is counted before it may be broadcast.
     """
     several = names.where(F.contains("token", F.lit(" ")))
-    trie = stored(name_trie(several))
+    trie = written(name_trie(several))
     longest = several.agg(F.coalesce(F.max(F.size(F.split("token", " "))), F.lit(0))).first()[0]
     placed = texts.select(F.col(query).alias("query"), X.words(F.col(text)).alias("w")).select("query", "w", F.posexplode("w").alias("p", "word"))
     starts = placed.select("query", (F.col("p") + 1).alias("pos"), "word", F.slice("w", F.col("p") + 2, max(longest - 1, 1)).alias("rest"))
     roots = trie.where("parent = ''").select("word", "node", "whole")
-    live, found = starts.join(roots, "word").select("query", "pos", "rest", "node", "whole"), None
+    live, found = starts.join(few(roots), "word").select("query", "pos", "rest", "node", "whole"), None
     for n in range(2, longest + 1):
-        live = stored(live.withColumn("word", F.get("rest", F.lit(n - 2))).withColumnRenamed("node", "parent").drop("whole").join(trie, ["parent", "word"]).drop("parent", "word"))
+        steps = few(trie.where(F.size(F.split("node", " ")) == n))
+        live = written(live.withColumn("word", F.get("rest", F.lit(n - 2))).withColumnRenamed("node", "parent").drop("whole").join(steps, ["parent", "word"]).drop("parent", "word"))
         here = live.where("whole").select("query", "pos", F.lit(n).alias("n"), F.col("node").alias("token"))
         found = here if found is None else found.unionByName(here)
     if found is None:
         found = starts.where("false").select("query", "pos", F.lit(0).alias("n"), F.col("word").alias("token"))
     longer = found.groupBy("query").agg(F.collect_set(F.struct("pos", "n")).alias("all"))  # of one text's own names
     inside = F.exists("all", lambda o: (o["n"] > F.col("n")) & (o["pos"] <= F.col("pos")) & (o["pos"] + o["n"] >= F.col("pos") + F.col("n")))
-    return found.join(longer, "query").where(~inside).drop("all").join(several, "token").select("query", "pos", "n", "token", "key")
+    return found.join(longer.hint("merge"), "query").where(~inside).select("query", "pos", "n", "token")
+
+
+def whole_names(texts: DataFrame, query: str, text: str, names: DataFrame) -> DataFrame:
+    """(query, pos, n, token, key): found_names with the keys of each, from names(token, key)."""
+    return found_names(texts, query, text, names).join(names.hint("merge"), "token").select("query", "pos", "n", "token", "key")
 
 
 def question_tokens(texts: DataFrame, query: str, text: str, names: DataFrame, stop: list[str] = X.STOP_WORDS) -> DataFrame:
     """(query, place, token) of each question: names of several words, the longest first, then the words that no
     name covers, without stop words. place is their order."""
-    found = stored(whole_names(texts, query, text, names).select("query", "pos", "n", "token").distinct())
+    found = written(found_names(texts, query, text, names).distinct())
     words = texts.select(F.col(query).alias("query"), F.posexplode(X.words(F.col(text))).alias("p", "token"))
     covered = found.select("query", F.explode(F.sequence(F.col("pos") - 1, F.col("pos") + F.col("n") - 2)).alias("p"))
     single = words.where((F.length("token") > 1) & ~F.col("token").isin(stop)).join(covered, ["query", "p"], "left_anti")

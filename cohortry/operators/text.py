@@ -89,26 +89,56 @@ def single_tokens(texts: DataFrame, query: str, text: str, found: DataFrame, sto
     return placed.join(covered, ["query", "p"], "left_anti").select("query", "token").distinct()
 
 
-def name_index(entities: DataFrame, key: str, name: str, least_prefix: int = 4) -> DataFrame:
-    """(token, key, kind): whole folded names, their words, and prefixes of words from least_prefix letters on."""
-    base = entities.select(F.col(key).alias("key"), folded_name(F.col(name)).alias("n")).distinct()
-    words = base.select("key", F.explode(F.split("n", " ")).alias("w"))
+def name_classes(entities: DataFrame, key: str, name: str) -> DataFrame:
+    """(key, name, size): entities of the same folded names are one, with the least of their keys and their number, so
+    that a name which many bear costs no more than another."""
+    named = entities.select(F.col(key).alias("key"), folded_name(F.col(name)).alias("name")).distinct()
+    sets = named.groupBy("key").agg(F.sort_array(F.collect_set("name")).alias("names"))  # of one entity
+    return sets.groupBy("names").agg(F.min("key").alias("key"), F.count("*").alias("size")).select("key", F.explode("names").alias("name"), "size")
+
+
+def name_index(entities: DataFrame, key: str, name: str, least_prefix: int = 4, size: str | None = None) -> DataFrame:
+    """(token, key, kind): whole folded names, their words, and prefixes of words from least_prefix letters on; with
+    `size` (name_classes), that column too."""
+    more = [] if size is None else [F.col(size).alias("size")]
+    kept = ["key", *(["size"] if more else [])]
+    base = entities.select(F.col(key).alias("key"), folded_name(F.col(name)).alias("n"), *more).distinct()
+    words = base.select(*kept, F.explode(F.split("n", " ")).alias("w"))
     prefixes = F.transform(F.sequence(F.lit(least_prefix), F.greatest(F.length("w"), F.lit(least_prefix))), lambda i: F.substring(F.col("w"), F.lit(1), i))
-    full = base.select(F.col("n").alias("token"), "key", F.lit(1).alias("kind"))
-    whole = words.select(F.col("w").alias("token"), "key", F.lit(2).alias("kind"))
-    part = words.where(F.length("w") > least_prefix).select(F.explode(prefixes).alias("token"), "key", F.lit(3).alias("kind"))
+    full = base.select(F.col("n").alias("token"), *kept, F.lit(1).alias("kind"))
+    whole = words.select(F.col("w").alias("token"), *kept, F.lit(2).alias("kind"))
+    part = words.where(F.length("w") > least_prefix).select(F.explode(prefixes).alias("token"), *kept, F.lit(3).alias("kind"))
     return full.unionByName(whole).unionByName(part).distinct()
 
 
+def _size(index: DataFrame):
+    return F.col("size") if "size" in index.columns else F.lit(1)
+
+
+def token_sizes(index: DataFrame) -> DataFrame:
+    """(token, size): the entities that a token stands for, by whatever kind."""
+    return index.select("token", "key", _size(index).alias("size")).distinct().groupBy("token").agg(F.sum("size").alias("size"))
+
+
+def meanings(index: DataFrame, aliases: DataFrame | None = None) -> DataFrame:
+    """(token, n_candidates, k): a row a token: how many entities it stands for by the first kind that it matches (alias,
+    whole name, word or prefix), and the least of them."""
+    table = index.select("token", "key", "kind", _size(index).alias("size"))
+    table = table if aliases is None else table.unionByName(aliases.select("token", "key", F.lit(0).alias("kind"), F.lit(1).cast(table.schema["size"].dataType).alias("size")))
+    level = F.when(F.col("kind") == 3, 2).otherwise(F.col("kind")).alias("level")
+    once = table.select("token", "key", "size", level).distinct()
+    levels = once.groupBy("token", "level").agg(F.sum("size").alias("n_candidates"), F.min("key").alias("k"))
+    first = levels.groupBy("token").agg(F.min(F.struct("level", "n_candidates", "k")).alias("x"))
+    return first.select("token", "x.n_candidates", "x.k")
+
+
 def resolved(mentions: DataFrame, index: DataFrame, aliases: DataFrame | None = None) -> DataFrame:
     """(query, token, key, n_candidates): the entity of each token, by alias, then whole name, then word or
-    prefix; null if the first kind that matches has several. Equi-joins only."""
-    table = index if aliases is None else index.unionByName(aliases.select("token", "key", F.lit(0).alias("kind")))
-    j = mentions.join(table, "token")
-    best = Window.partitionBy("query", "token")
-    j = j.withColumn("level", F.when(F.col("kind") == 3, 2).otherwise(F.col("kind"))).withColumn("first", F.min("level").over(best)).where("level = first")
-    g = j.groupBy("query", "token").agg(F.countDistinct("key").alias("n_candidates"), F.min("key").alias("k"))
-    return g.select("query", "token", F.when(F.col("n_candidates") == 1, F.col("k")).alias("key"), "n_candidates")
+    prefix; null if the first kind that matches has several. What a token means is found once, before it meets its
+    mentions, so that a word of many names isn't paired with all of them in each text. The index is never broadcast:
+    Spark takes it for as small as the names' file."""
+    j = mentions.select("query", "token").distinct().join(meanings(index, aliases).hint("merge"), "token")
+    return j.select("query", "token", F.when(F.col("n_candidates") == 1, F.col("k")).alias("key"), "n_candidates")
 
 
 def carried_context(turns: DataFrame, conversation: str, turn: str, value: str, out: str) -> DataFrame:

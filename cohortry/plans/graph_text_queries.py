@@ -16,7 +16,7 @@ from cohortry.operators import graph as G
 from cohortry.operators import quality as Q
 from cohortry.operators import teams as T
 from cohortry.operators import text as X
-from cohortry.sources.tables import changed_partitions, content_fingerprint, new_folder, save_reported, stored
+from cohortry.sources.tables import changed_partitions, content_fingerprint, new_folder, save_reported, stored, written
 
 from .base import CAPABILITIES, SCORES, entity_facts, entity_scores, rnd, table
 from .score_queries import _MEANS, _TALL, _means, _tall, sql_bands
@@ -286,14 +286,15 @@ nm AS (SELECT DISTINCT query, key FROM fo)"""
 
 
 def _resolved(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """The entities of the pages' names and tokens, the names found whole, and the candidates' index."""
+    """The entities of the pages' names and tokens, the names found whole, and the candidates' index. Parts of the same
+    name are one entity with a size."""
     n, p = table(spark, d, "nation"), table(spark, d, "part")
     e = n.select(F.col("n_nationkey").cast("long").alias("key"), F.col("n_name").alias("name")).unionByName(p.select((F.col("p_partkey") + 1000).alias("key"), F.col("p_name").alias("name")))
-    index, pages = X.name_index(e, "key", "name"), table(spark, d, "pages")
-    whole = L.whole_names(pages, "page_id", "html", index.where("kind = 1").select("token", "key"))
+    index, pages = written(X.name_index(X.name_classes(e, "key", "name"), "key", "name", size="size")), table(spark, d, "pages")
+    names = index.where("kind = 1")
+    whole = written(L.found_names(pages, "page_id", "html", names.select("token")))
     single = X.resolved(X.single_tokens(pages, "page_id", "html", whole), index)
-    several = whole.groupBy("query", "token").agg(F.countDistinct("key").alias("n_candidates"), F.min("key").alias("k"))
-    several = several.select("query", "token", F.when(F.col("n_candidates") == 1, F.col("k")).alias("key"), "n_candidates")
+    several = X.resolved(whole, names)
     return single.unionByName(several), whole, index
 
 
@@ -310,8 +311,11 @@ SELECT query, count(*) AS n_ambiguous FROM left_ GROUP BY query""")
 def ambiguous_tokens(spark: SparkSession, d: str) -> DataFrame:
     """Tokens with several candidates that no full name in the text covers (Q8)."""
     found, whole, index = _resolved(spark, d)
-    open_ = found.where("n_candidates > 1").select("query", "token").join(index.select("token", "key").distinct(), "token")
-    left = open_.join(whole.select("query", "key").distinct(), ["query", "key"], "left_anti").groupBy("query", "token").agg(F.countDistinct("key").alias("n")).where("n > 1")
+    open_ = found.where("n_candidates > 1").select("query", "token").distinct().join(X.token_sizes(index).hint("merge"), "token")
+    # Of a token's entities, those of the names found whole in the text are covered: few names, each of few tokens.
+    named = whole.select("query", F.col("token").alias("name")).distinct().join(index.where("kind = 1").select(F.col("token").alias("name"), "key").hint("merge"), "name").select("query", "key").distinct()
+    covered = named.join(index.select("token", "key", "size").distinct().hint("merge"), "key").groupBy("query", "token").agg(F.sum("size").alias("covered"))
+    left = open_.join(covered, ["query", "token"], "left").where(F.col("size") - F.coalesce("covered", F.lit(0)) > 1)
     return left.groupBy("query").agg(F.count("*").alias("n_ambiguous"))
 
 
@@ -396,7 +400,7 @@ def _routed(spark: SparkSession, d: str) -> DataFrame:
     said = F.when(number == 0, texts[0])
     for i in range(1, 7):
         said = said.when(number == i, texts[i])
-    questions = stored(j.select(F.col("o_orderkey").alias("query"), F.col("o_custkey").alias("conv"), said.alias("text")))
+    questions = written(j.select(F.col("o_orderkey").alias("query"), F.col("o_custkey").alias("conv"), said.alias("text")))
 
     lots = part.alias("part").select(F.col("p_partkey").cast("long").alias("key"), lot("part").alias("name"))
     nations = nation.select(F.col("n_nationkey").cast("long").alias("key"), team.alias("name"))

@@ -129,6 +129,21 @@ def test_resolution(spark):
     assert got["pedri"] == (3, 1) and got["lion"] == (1, 1) and got["lionel messi"] == (1, 1) and got["goat"] == (1, 1) and got["mess"] == (None, 2)
 
 
+def test_common_words_meet_their_mentions_once(spark):
+    """A word of many names was paired with all of them in each text, and the index could be broadcast."""
+    e = spark.createDataFrame([(i, ["Red Bolt", "Red Rod", "Blue Bolt"][i % 3]) for i in range(2, 302)] + [(1, "Red Gear"), (1, "Red Wheel")], "key long, name string")
+    classes = text.name_classes(e, "key", "name")
+    assert sorted(tuple(r) for r in classes.collect()) == [(1, "red gear", 1), (1, "red wheel", 1), (2, "blue bolt", 100), (3, "red bolt", 100), (4, "red rod", 100)]
+    m = spark.createDataFrame([(q, t) for q in range(50) for t in ("red", "bolt", "gear", "red bolt", "wheels")], "query long, token string")
+    whole = text.resolved(m, text.name_index(e, "key", "name"))
+    for got in (whole, text.resolved(m, text.name_index(classes, "key", "name", size="size"))):
+        want = {("red", None, 201), ("bolt", None, 200), ("gear", 1, 1), ("red bolt", None, 100)}
+        assert sorted(map(tuple, got.collect()), key=str) == sorted(((q, *w) for q in range(50) for w in want), key=str)
+    assert {r["token"]: r["size"] for r in text.token_sizes(text.name_index(classes, "key", "name", size="size")).where("token IN ('red', 'red rod')").collect()} == {"red": 201, "red rod": 100}
+    plan = whole._jdf.queryExecution().executedPlan().toString()
+    assert "Window" not in plan and "BroadcastHashJoin" not in plan
+
+
 def test_questions(spark):
     rows = [("Messi vs Pedri",), ("Find a DM for Barcelona's squad",), ("what if we remove him",), ("hello",)]
     df = spark.createDataFrame(rows, ["q"]).select(text.normalized_query(F.col("q")).alias("n"), text.intent(F.col("q")).alias("i"))
