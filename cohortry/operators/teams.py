@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cohortry.functions.scalar import rounded
+from cohortry.operators.cohort import with_group
 
 HHI_LIMIT, GAP = 2500.0, 20.0
 
@@ -44,10 +45,8 @@ def fragility(df: DataFrame, member: str, team: list[str], position: str, scores
     matters: for each position and each of the 2^k sets the two best members are kept, and a member
     meets its own set by an equi-join. Teams of fewer than two give no rows.
     """
-    k = len(scores)
-    w = Window.partitionBy(*team)
-    n = F.count("*").over(w)
-    df = df.withColumns({"__n": n} | {f"__s_{s}": F.sum(s).over(w) for s in scores}).where("__n >= 2")
+    df = df.select(member, *team, position, *scores)
+    df = with_group(df, team, {"__n": F.count("*")} | {f"__s_{s}": F.sum(s) for s in scores}).where("__n >= 2")
     rest = {f"__r_{s}": (F.col(f"__s_{s}") - F.col(s)) / (F.col("__n") - 1) for s in scores}
     df = df.withColumns(rest).withColumns({f"__l_{s}": F.col(f"__s_{s}") / F.col("__n") - F.col(f"__r_{s}") for s in scores})
     falls = {s: rounded(F.col(f"__l_{s}"), 9) > 0 for s in scores}  # rounded: sums in another order don't fall
@@ -56,13 +55,7 @@ def fragility(df: DataFrame, member: str, team: list[str], position: str, scores
     base = sum((F.when(falls[s], F.col(f"__r_{s}")).otherwise(0.0) for s in scores), F.lit(0.0))
     focal = df.select(member, *team, position, mask.cast("int").alias("mask"), lost.alias("lost"), base.alias("base"), F.col("__n").alias("n"))
 
-    sums = F.transform(
-        F.sequence(F.lit(0), F.lit(2**k - 1)),
-        lambda m: F.struct(m.alias("mask"), sum((F.when(F.shiftright(m, i).bitwiseAND(1) == 1, F.col(s)).otherwise(0.0) for i, s in enumerate(scores)), F.lit(0.0)).alias("v")),
-    )
-    pool = df.select(F.col(member).alias("c"), position, F.explode(sums).alias("x")).select("c", position, "x.mask", "x.v")
-    best = Window.partitionBy(position, "mask").orderBy(F.desc("v"), "c")
-    two = pool.withColumn("r", F.row_number().over(best)).where("r <= 2")
+    two = _two_best(df.select(F.col(member).alias("c"), position, *scores), position, scores)
     top = two.groupBy(position, "mask").agg(*[F.max(F.when(F.col("r") == r, F.col(c))).alias(f"{c}{r}") for r in (1, 2) for c in ("c", "v")])
     j = focal.join(top, [position, "mask"], "left")
     own = F.col("c1") == F.col(member)
@@ -77,6 +70,24 @@ def fragility(df: DataFrame, member: str, team: list[str], position: str, scores
     )
 
 
+def _two_best(pool: DataFrame, position: str, scores: list[str], parts: int = 16) -> DataFrame:
+    """(position, mask, c, v, r): the two members c of each position with the largest sums v of each set of scores, ties by c.
+
+    The sums of all members for all sets are not dealt or sorted: a first pass keeps the largest of each of some parts
+    of the members, and the second largest of these bounds the two best from below, so that a second pass lets
+    few others through.
+    """
+    sets = F.explode(F.array(*[F.lit(m) for m in range(2 ** len(scores))])).alias("mask")
+    value = sum((F.when(F.col("mask").bitwiseAND(1 << i) > 0, F.col(s)).otherwise(0.0) for i, s in enumerate(scores)), F.lit(0.0))
+    sums = pool.select("c", position, *scores, sets).select("c", position, "mask", value.alias("v"))
+    most = sums.groupBy(position, "mask", F.pmod(F.xxhash64("c"), F.lit(parts)).alias("part")).agg(F.max("v").alias("v"))
+    largest = F.sort_array(F.collect_list("v"), asc=False)  # of the parts
+    bounds = most.groupBy(position, "mask").agg(F.get(largest, F.lit(1)).alias("bound"))
+    let = sums.join(F.broadcast(bounds), [position, "mask"]).where(F.col("bound").isNull() | (F.col("v") >= F.col("bound")))  # positions x sets
+    best = Window.partitionBy(position, "mask").orderBy(F.desc("v"), "c")
+    return let.withColumn("r", F.row_number().over(best)).where("r <= 2").select(position, "mask", "c", "v", "r")
+
+
 def best_styles(means: DataFrame, team: list[str], scores: list[str], styles: dict[str, dict[str, float]]) -> DataFrame:
     """Primary and secondary style by the cosine of the team's z-vector (columns z_<score>) with each style."""
     sims = []

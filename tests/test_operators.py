@@ -104,6 +104,23 @@ def test_fragility_equals_brute_force(spark):
             assert got[r[0]]["deficit"] == pytest.approx(0.1 if deficit <= 0 else deficit, abs=2e-4)
 
 
+def test_two_best_of_each_set_without_sorting_all_sums(spark):
+    """Ties go by name; the sums of all members for all sets don't reach the window, only those above a bound."""
+    rng = random.Random(5)
+    rows = [(f"m{i:03}", rng.choice("ab"), *[float(rng.randint(0, 3)) for _ in CAPS]) for i in range(300)] + [("alone", "c", *[1.0] * 6)]
+    df = spark.createDataFrame(rows, "c string, position string, " + ", ".join(f"{c} double" for c in CAPS))
+    two = teams._two_best(df, "position", CAPS)
+    got = {(r["position"], r["mask"], r["r"]): (r["c"], r["v"]) for r in two.collect()}
+    want = {}
+    for p in "abc":
+        for m in range(64):
+            ranked = sorted((-sum(x for i, x in enumerate(r[2:]) if m >> i & 1), r[0]) for r in rows if r[1] == p)
+            want |= {(p, m, k + 1): (c, -v) for k, (v, c) in enumerate(ranked[:2])}
+    assert got == want
+    window = two._jdf.queryExecution().optimizedPlan().toString().split("Window [")[1]
+    assert "bound" in window and window.index("bound") < window.index("Generate explode")
+
+
 def test_concentration_and_shares(spark, players):
     tall = teams.long_scores(players.withColumn("team", F.lit("T")), ["id", "team"], CAPS)
     for r in teams.concentration(tall, ["team"]).collect():
