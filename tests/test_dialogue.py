@@ -82,3 +82,13 @@ def test_carried_values_cross_ranges(spark):
     df = spark.range(2000).select(F.lit("a").alias("k"), "id", F.when(F.col("id") % 500 == 3, F.col("id")).alias("v"))
     got = {r["id"]: r["last"] for r in L.carried(df, "k", "id", {"last": F.col("v")}).collect()}
     assert got == {i: None if i <= 3 else (i - 4) // 500 * 500 + 3 for i in range(2000)}
+
+
+def test_tables_are_broadcast_only_if_counted_few(spark):
+    """Spark takes exploded names for as small as their file, which sent the trie through the driver."""
+    from cohortry.sources.tables import few
+
+    left, names = spark.range(100), spark.range(50).toDF("id")
+    plan = lambda right: left.join(right, "id")._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan(few(names)) and "BroadcastHashJoin" in plan(names)
+    assert "BroadcastHashJoin" not in plan(few(names, 49)) and "SortMergeJoin" in plan(few(names, 49))
